@@ -145,3 +145,138 @@ def cashflow_facts(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("string").alias("consolidation_scope"),
         parts,
     ).withColumn("fact_id", F.col("part").cast("long"))
+
+
+# ---------------------------------------------------------------- texts and labels
+
+
+def first_patterns() -> list[tuple[str, str]]:
+    """(pattern, statement) of every dictionary metric, in dictionary order."""
+    return [(r["patterns"][0] if r["patterns"] else r["patterns_exact"][0], r["statement_type"]) for r in base_metric_rows()]
+
+
+def pick(values: list[str], index: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+
+
+def row_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as row labels: a dictionary word by part, dressed by line number; statement by supplier."""
+    known = first_patterns()
+    which = F.col("l_partkey") % len(known)
+    word = pick([p for p, _ in known], which)
+    number = F.col("l_linenumber") % 7
+    label = (
+        F.when(number == 0, F.concat(F.lit("一、"), word))
+        .when(number == 1, word)
+        .when(number == 2, F.concat(word, F.lit("合计")))
+        .when(number == 3, F.concat(F.lit("其中："), word))
+        .when(number == 4, F.concat(F.lit("加"), word))
+        .when(number == 5, F.concat(word, F.lit("明细")))
+        .otherwise(F.concat(F.lit(" "), word, F.lit("（净亏损以“-”号填列）")))
+    )
+    statement = F.when(F.col("l_suppkey") % 4 == 0, F.lit("income")).otherwise(pick([s for _, s in known], which))
+    return table(spark, folder, "lineitem").select(
+        line_id().alias("row_id"), label.alias("label"), statement.alias("statement_type"), "l_extendedprice", "l_quantity"
+    )
+
+
+def number_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Row labels followed by a price and a bracketed quantity."""
+    return row_labels(spark, folder).select(
+        "row_id",
+        "label",
+        F.concat(
+            F.col("label"), F.lit("  "), F.format_number("l_extendedprice", 2), F.lit(" ("),
+            F.format_number("l_quantity", 0), F.lit(")  12.5%"),
+        ).alias("line"),
+    )
+
+
+HEAD_WORDS = ["合并资产负债表", "利润表", "Cash Flow Statement", "所有者权益变动表", "附注 [230105A]"]
+UNIT_NAMES = ["万元", "千元", "元", "人民币", "USD", "股"]
+
+
+def heads(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as report heads: statement by key, unit by customer, order date 20 years on in three notations."""
+    day = F.add_months("o_orderdate", 240)
+    kind = F.col("o_orderkey") % 3
+    shown = (
+        F.when(kind == 0, F.date_format(day, "yyyy年M月d日"))
+        .when(kind == 1, F.date_format(day, "yyyy-MM-dd"))
+        .otherwise(F.date_format(day, "yyyy/M/d"))
+    )
+    return table(spark, folder, "orders").select(
+        "o_orderkey",
+        F.concat(
+            pick(HEAD_WORDS, F.col("o_orderkey") % 5), F.lit(" 单位："), pick(UNIT_NAMES, F.col("o_custkey") % 6), F.lit(" "), shown
+        ).alias("head"),
+    )
+
+
+# ---------------------------------------------------------------- report pages
+
+HTML_LABELS = ["货币资金", "应收账款", "存货", "固定资产", "短期借款"]
+HTML_YEARS = ["2024年度", "2023年度", "2022年度"]
+
+
+def html_sums(spark: SparkSession, folder: str) -> DataFrame:
+    """Order totals per customer: five priorities by three states."""
+    cents = F.round("o_totalprice", 2).cast("decimal(18,2)")
+    cells = [
+        F.sum(
+            F.when((F.substring("o_orderpriority", 1, 1) == str(p + 1)) & (F.col("o_orderstatus") == s), cents)
+        ).alias(f"v{p}{i}")
+        for p in range(5)
+        for i, s in enumerate("FOP")
+    ]
+    return table(spark, folder, "orders").groupBy("o_custkey").agg(*cells)
+
+
+def html_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """A report per customer: a text page with its name and an HTML page with the sums, odd keys with merged heads."""
+    cell = lambda c: F.concat(F.lit("<td>"), F.coalesce(F.format_number(c, 2), F.lit("")), F.lit("</td>"))
+    body = F.concat(
+        *[
+            F.concat(F.lit(f"<tr><td>{name}</td>"), *[cell(f"v{p}{i}") for i in range(3)], F.lit("</tr>"))
+            for p, name in enumerate(HTML_LABELS)
+        ]
+    )
+    years = "".join(f"<td>{y}</td>" for y in HTML_YEARS)
+    plain = F.lit(f"<tr><td>项目</td>{years}</tr>")
+    merged = F.lit(f'<tr><td rowspan="2">项目</td><td colspan="3">金额</td></tr><tr>{years}</tr>')
+    head = F.when(F.col("o_custkey") % 2 == 1, merged).otherwise(plain)
+    md = F.concat(F.lit("# 合并资产负债表\n单位：元\n<table>"), head, body, F.lit("</table>\n"))
+    about = F.concat(F.lit("公司名称：C"), F.col("o_custkey").cast("string"), F.lit("\n2024年年度报告\n截至2024年12月31日\n单位：元"))
+    pages = F.inline(
+        F.array(
+            F.struct(F.lit(1).alias("page"), about.alias("text_raw"), about.alias("text_md")),
+            F.struct(F.lit(2).alias("page"), F.lit("").alias("text_raw"), md.alias("text_md")),
+        )
+    )
+    return html_sums(spark, folder).select(F.col("o_custkey").alias("report_id"), F.lit("layout").alias("engine"), pages)
+
+
+TEXT_HEADS = [
+    "合并利润表\n单位：元\n项目 本期 上期",
+    "资产负债表\n单位：万元\n项目 2024年 2023年",
+    "概况\n说明文字\n备注",
+]
+
+
+def text_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """A report per customer, a page per order: three head lines by order key, three number lines, prose."""
+    amount = lambda share: F.format_number(F.round(F.col("o_totalprice") * share, 0), 0)
+    text = F.concat(
+        pick(TEXT_HEADS, F.col("o_orderkey") % 3),
+        F.lit("\n营业收入 "), amount(1.0), F.lit(" "), amount(0.5),
+        F.lit("\n营业成本 "), amount(0.25), F.lit(" ("), amount(0.125), F.lit(")"),
+        F.lit("\n其中：利息收入 "), amount(0.0625),
+        F.lit("\n\n本公司经营情况良好，收入增长。\n"),
+    )
+    return table(spark, folder, "orders").select(
+        F.col("o_custkey").alias("report_id"),
+        F.lit("text").alias("engine"),
+        F.col("o_orderkey").cast("int").alias("page"),
+        text.alias("text_raw"),
+        F.concat(F.lit("## Page\n\n"), text).alias("text_md"),
+    )

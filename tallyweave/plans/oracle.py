@@ -172,3 +172,159 @@ SELECT f.report_id, f.fact_type, f.metric_id, f.as_of_date, f.consolidation_scop
        CASE WHEN p.pick IS NOT NULL THEN 'verified' ELSE f.resolution_status END AS resolution_status,
        CASE WHEN p.pick IS NOT NULL THEN 'manual' ELSE f.resolution_method END AS resolution_method
 FROM facts f LEFT JOIN p ON {same("f", "p")} LEFT JOIN stock c ON c.candidate_id = p.pick WHERE f.fact_type = 'stock'"""
+
+# ---------------------------------------------------------------- labels and recognisers
+
+from tallyweave.functions.base_metrics import base_metric_rows  # noqa: E402
+from tallyweave.plans import derive as D  # noqa: E402
+
+
+def quoted(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+_known = D.first_patterns()
+N = len(_known)
+
+ROW_LABELS = f"""
+row_labels AS (
+  SELECT row_id, l_extendedprice, l_quantity, statement_type,
+    CASE v WHEN 0 THEN '一、' || w WHEN 1 THEN w WHEN 2 THEN w || '合计' WHEN 3 THEN '其中：' || w WHEN 4 THEN '加' || w
+           WHEN 5 THEN w || '明细' ELSE ' ' || w || '（净亏损以“-”号填列）' END AS label
+  FROM (SELECT ((l_orderkey*8 + l_linenumber)*100000 + l_partkey)*10000 + l_suppkey AS row_id, l_linenumber % 7 AS v,
+          l_extendedprice, l_quantity, {quoted(p for p, _ in _known)}[l_partkey % {N} + 1] AS w,
+          CASE WHEN l_suppkey % 4 = 0 THEN 'income' ELSE {quoted(s for _, s in _known)}[l_partkey % {N} + 1] END AS statement_type
+        FROM lineitem))"""
+
+
+def norm_sql(text: str) -> str:
+    """Label normalisation step by step."""
+    out = text
+    for pattern in (
+        r"^\s*([（(]\s*[一二三四五六七八九十0-9]+\s*[）)]|[一二三四五六七八九十0-9]+[、.．])\s*",
+        r"^\s*其中\s*[：:]\s*",
+    ):
+        out = f"regexp_replace({out}, '{pattern}', '')"
+    note = "[（(][^（）()]{0,64}(净亏损以|亏损以|损失以|收益以|号填列|填列)[^（）()]{0,64}[）)]"
+    out = f"regexp_replace({out}, '{note}', '', 'g')"
+    marks = r"""[\s　：:（）()，,．.。;；、_—－/\\“”"''‘’`-]+"""
+    return f"lower(regexp_replace({out}, '{marks}', '', 'g'))"
+
+
+def _values(rows) -> str:
+    show = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(show(v) for v in r) + ")" for r in rows)
+
+
+DICTIONARY = f"""
+dict AS (
+  SELECT *, {norm_sql("pattern")} AS np FROM (VALUES {_values(
+    (r["metric_code"], r["statement_type"], r["value_nature"], r["def_order"], kind, p)
+    for r in base_metric_rows() for kind in ("patterns", "patterns_exact") for p in r[kind]
+  )}) t(code, st, nature, ord, kind, pattern)),
+direct AS (SELECT st, {norm_sql("l")} AS nl, code FROM (VALUES ('balance','资产合计','total_assets'),
+   ('cashflow','到的现金','cash_received_from_capital_contributions'), ('cashflow','利、利润','cash_paid_dividends_interest'),
+   ('cashflow','耗、生产性生物资产折旧','depreciation_amortization')) t(st, l, code)),
+names AS (SELECT DISTINCT label, {norm_sql("label")} AS nl FROM row_labels),
+tests AS (
+  SELECT n.label, d.st, d.code, d.ord FROM names n JOIN dict d ON
+    (NOT (contains(n.label,'%') OR n.nl LIKE '%率' OR n.nl LIKE '%比率%' OR n.nl LIKE '%比例%') OR d.nature = 'ratio')
+    AND (d.np <> '' AND n.nl = d.np
+      OR d.kind = 'patterns' AND d.np <> '' AND
+         CASE WHEN starts_with(n.nl, d.np) THEN n.nl[len(d.np)+1:] IN ('合计','小计','净额','总额','余额')
+              WHEN ends_with(n.nl, d.np) THEN n.nl[:len(n.nl)-len(d.np)] IN ('其中','一','二','三','四','五','六','七','八','九','十','加','减')
+              ELSE false END)),
+firsts AS (SELECT label, st, arg_min(code, ord) AS code FROM tests GROUP BY ALL),
+found AS (
+  SELECT n.label, s.st, coalesce(x.code, f.code) AS code
+  FROM names n CROSS JOIN (VALUES ('income'),('balance'),('cashflow')) s(st)
+  LEFT JOIN direct x ON x.st = s.st AND x.nl = n.nl LEFT JOIN firsts f ON f.label = n.label AND f.st = s.st)"""
+
+SQL["number_extract"] = f"""WITH {ROW_LABELS}
+SELECT row_id, 2 AS n_numbers, round(l_extendedprice,2) AS first_value, -round(l_quantity,0) AS second_value,
+       '(' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ')' AS second_text,
+       trim(label) || ' 12.5%' AS row_label, round(l_extendedprice,2) AS cell_value FROM row_labels"""
+
+SQL["head_recognisers"] = """
+SELECT o_orderkey,
+  CASE o_orderkey % 5 WHEN 0 THEN 'balance_sheet' WHEN 1 THEN 'income_statement' WHEN 2 THEN 'cash_flow' WHEN 3 THEN 'changes_in_equity' ELSE 'balance_sheet' END AS statement_type,
+  CASE o_custkey % 6 WHEN 4 THEN 'USD' WHEN 5 THEN NULL ELSE 'CNY' END AS currency,
+  CASE o_custkey % 6 WHEN 0 THEN '10k' WHEN 1 THEN '1k' WHEN 2 THEN '1' END AS units,
+  CAST(year(o_orderdate) + 20 AS INT) AS fiscal_year, CAST(o_orderdate + INTERVAL 20 YEAR AS DATE) AS period_end
+FROM orders"""
+
+SQL["label_normalize"] = f"WITH {ROW_LABELS} SELECT {norm_sql('label')} AS norm_label, count(*) AS n_rows FROM row_labels GROUP BY 1"
+
+SQL["metric_match"] = f"""WITH {ROW_LABELS}, {DICTIONARY},
+other AS (SELECT label, list(struct_pack(st := st, code := code)) FILTER (WHERE code IS NOT NULL) AS hits FROM found GROUP BY label)
+SELECT r.row_id, f.code AS metric_code,
+  coalesce(f.code, CASE WHEN len(o.hits) = 1 THEN o.hits[1].code END) AS fallback_code,
+  CASE WHEN f.code IS NULL AND len(o.hits) = 1 THEN o.hits[1].st ELSE r.statement_type END AS fallback_statement,
+  'raw_' || left(sha1(r.statement_type || ':' || n.nl), 12) AS raw_code
+FROM row_labels r JOIN names n USING (label) JOIN found f ON f.label = r.label AND f.st = r.statement_type JOIN other o ON o.label = r.label"""
+
+SQL["label_ambiguity"] = f"""WITH {ROW_LABELS}, {DICTIONARY},
+plain AS (
+  SELECT n.nl, d.st, d.code FROM (SELECT DISTINCT nl FROM names) n JOIN dict d ON
+    d.np <> '' AND n.nl = d.np OR d.kind = 'patterns' AND d.np <> '' AND
+         CASE WHEN starts_with(n.nl, d.np) THEN n.nl[len(d.np)+1:] IN ('合计','小计','净额','总额','余额')
+              WHEN ends_with(n.nl, d.np) THEN n.nl[:len(n.nl)-len(d.np)] IN ('其中','一','二','三','四','五','六','七','八','九','十','加','减')
+              ELSE false END),
+many AS (SELECT nl, st, count(DISTINCT code) AS n, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM plain GROUP BY ALL HAVING count(DISTINCT code) > 1),
+used AS (SELECT {norm_sql('label')} AS nl, count(*) AS n_rows FROM row_labels GROUP BY 1)
+SELECT many.nl AS norm_key, st AS statement_type, n AS n_metrics, codes, n_rows FROM many JOIN used USING (nl)"""
+
+# ---------------------------------------------------------------- report tables
+
+HTML = f"""
+cells AS (
+  SELECT o_custkey AS report_id, CAST(left(o_orderpriority,1) AS INT) - 1 AS p, strpos('FOP', o_orderstatus) - 1 AS i,
+         sum(CAST(round(o_totalprice,2) AS DECIMAL(18,2))) AS value
+  FROM orders GROUP BY ALL),
+kept AS (SELECT report_id, min(p) AS first_p FROM cells GROUP BY 1 HAVING count(DISTINCT p) >= 3),
+grid AS (
+  -- leading rows without a number count as header rows
+  SELECT k.report_id, p.p, p.p - k.first_p AS row_index, i.i, {quoted(D.HTML_LABELS)}[p.p+1] AS label, {quoted(D.HTML_YEARS)}[i.i+1] AS y,
+         ['2024-12-31','2023-12-31','2022-12-31'][i.i+1]::DATE AS d, CAST(c.value AS DOUBLE) AS value
+  FROM kept k CROSS JOIN range(5) p(p) CROSS JOIN range(3) i(i)
+  LEFT JOIN cells c ON c.report_id = k.report_id AND c.p = p.p AND c.i = i.i
+  WHERE p.p >= k.first_p)"""
+
+HEAD = "CASE WHEN report_id % 2 = 1 THEN '金额 ' || y ELSE y END"
+
+SQL["html_table_cells"] = f"""WITH {HTML}
+SELECT report_id, row_index, label, 'balance_sheet' AS statement_type, '1' AS units, true AS is_consolidated,
+       i AS column_index, {HEAD} AS column_label, d AS period_end, value FROM grid"""
+
+SQL["text_table_rows"] = """
+WITH t AS (
+  SELECT o_custkey AS report_id, o_orderkey AS page, o_orderkey % 3 AS k, o_totalprice AS a,
+         max(CASE WHEN o_orderkey % 3 < 2 THEN o_orderkey END) OVER
+           (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS near
+  FROM orders),
+s AS (SELECT *, CASE WHEN k < 2 THEN k WHEN page - near <= 2 THEN near % 3 END AS st FROM t),
+r AS (SELECT s.*, i, [round(a,0), round(a*0.25,0), NULL][i+1] AS v1, [round(a*0.5,0), -round(a*0.125,0), round(a*0.0625,0)][i+1] AS v2,
+             ['营业收入','营业成本','其中：利息收入'][i+1] AS label FROM s CROSS JOIN range(3) x(i) WHERE st IS NOT NULL)
+SELECT report_id, page, page AS page_start, i AS row_index, label, v1 AS value_1, v2 AS value_2,
+  CASE st WHEN 0 THEN '合并利润表' ELSE '资产负债表' END AS title,
+  CASE st WHEN 0 THEN 'income_statement' ELSE 'balance_sheet' END AS statement_type,
+  CASE WHEN k < 2 THEN 'CNY' END AS currency, CASE k WHEN 0 THEN '1' WHEN 1 THEN '10k' END AS units,
+  st = 0 AS is_consolidated,
+  CASE k WHEN 0 THEN 'current_period|prior_period' WHEN 1 THEN '2024|2023' ELSE 'col_1|col_2' END AS column_labels
+FROM r"""
+
+SQL["report_metadata"] = """
+SELECT DISTINCT o_custkey AS report_id, '2024年年度报告' AS report_title, 'C' || o_custkey AS company_name, CAST(NULL AS VARCHAR) AS ticker,
+  'annual' AS report_type, 2024 AS fiscal_year, DATE '2024-12-31' AS period_end, 'CNY' AS currency, '1' AS units,
+  'detected' AS currency_status, 'detected' AS units_status, 'detected' AS period_status, 'ready' AS status FROM orders"""
+
+SQL["candidate_facts"] = f"""WITH {HTML}
+SELECT report_id, 'stock' AS fact_type, ['cash_and_cash_equivalents','accounts_receivable','inventory','fixed_assets','short_term_borrowings'][p+1] AS metric_code,
+  d AS as_of_date, value, '1' AS unit, 'CNY' AS currency, 'consolidated' AS consolidation_scope, {HEAD} AS column_label,
+  2 AS page, label AS raw_label, format('{{:,.2f}}', value) AS raw_value
+FROM grid WHERE value IS NOT NULL"""
+
+SQL["report_star"] = f"""WITH {HTML}
+SELECT report_id, '合并资产负债表' AS title, 'CNY' AS currency, '1' AS units, 'detected' AS currency_status, 'detected' AS units_status,
+  count(DISTINCT p) AS n_rows, 0 AS n_total_rows, count(value) AS n_cells, round(sum(value),2) AS total, 3 AS n_columns, 2024 AS last_year
+FROM grid GROUP BY report_id"""

@@ -7,7 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.functions import labels as L
+from tallyweave.functions import recognise as R
 from tallyweave.operators import consensus as C
+from tallyweave.operators import facts as H
+from tallyweave.operators import matching as M
+from tallyweave.operators import tables as T
+from tallyweave.operators.stage import stage
 from tallyweave.plans import derive as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +131,131 @@ def resolve_picks(spark: SparkSession, folder: str) -> DataFrame:
         ),
         "value",
     )
+
+
+# ---------------------------------------------------------------- recognisers and labels
+
+
+@query
+def number_extract(spark: SparkSession, folder: str) -> DataFrame:
+    lines = stage(D.number_lines(spark, folder), {"cells": R.numbers(F.col("line"))})
+    return lines.select(
+        "row_id",
+        F.size("cells").alias("n_numbers"),
+        F.get("cells", 0)["value"].cast("double").alias("first_value"),
+        F.get("cells", 1)["value"].cast("double").alias("second_value"),
+        F.get("cells", 1)["raw_text"].alias("second_text"),
+        R.strip_numbers(F.col("line")).alias("row_label"),
+        R.first_number(F.col("line")).cast("double").alias("cell_value"),
+    )
+
+
+@query
+def head_recognisers(spark: SparkSession, folder: str) -> DataFrame:
+    """Statement, currency, unit, year and date of report heads."""
+    rule_map = F.create_map(F.lit("230105a"), F.lit("balance_sheet"))
+    head = F.col("head")
+    return D.heads(spark, folder).select(
+        "o_orderkey",
+        R.detect_statement(head, rule_map).alias("statement_type"),
+        R.detect_currency(head).alias("currency"),
+        R.detect_units(head).alias("units"),
+        R.first_year(head).alias("fiscal_year"),
+        R.first_date(head).alias("period_end"),
+    )
+
+
+@query
+def label_normalize(spark: SparkSession, folder: str) -> DataFrame:
+    rows = D.row_labels(spark, folder)
+    return rows.groupBy(L.normalize_label(F.col("label")).alias("norm_label")).agg(F.count("*").alias("n_rows"))
+
+
+@query
+def metric_match(spark: SparkSession, folder: str) -> DataFrame:
+    """Metric of each row label under its statement, with the raw code where none matches."""
+    rows = M.match_labels(D.row_labels(spark, folder), M.base_metrics(spark))
+    code, statement = M.match_with_fallback(F.col("statement_type"))
+    return rows.select(
+        "row_id",
+        M.match_for(F.col("statement_type")).alias("metric_code"),
+        code.alias("fallback_code"),
+        statement.alias("fallback_statement"),
+        L.raw_metric_code(F.col("label"), F.col("statement_type")).alias("raw_code"),
+    )
+
+
+@query
+def label_ambiguity(spark: SparkSession, folder: str) -> DataFrame:
+    return M.ambiguous_labels(D.row_labels(spark, folder), M.base_metrics(spark))
+
+
+# ---------------------------------------------------------------- report tables and candidates
+
+
+@query
+def html_table_cells(spark: SparkSession, folder: str) -> DataFrame:
+    tables, rows = T.html_tables(D.html_pages(spark, folder), M.base_patterns())
+    named = tables.select(*T.KEY, "statement_type", "units", "is_consolidated", "columns")
+    cells = rows.join(named, T.KEY).select(
+        "report_id", "row_index", "label", "statement_type", "units", "is_consolidated", "columns",
+        F.posexplode("cells").alias("column_index", "cell"),
+    )
+    column = F.get("columns", F.col("column_index"))
+    return cells.select(
+        "report_id", "row_index", "label", "statement_type", "units", "is_consolidated", "column_index",
+        column["label"].alias("column_label"),
+        column["period_end"].alias("period_end"),
+        F.col("cell.value").cast("double").alias("value"),
+    )
+
+
+@query
+def text_table_rows(spark: SparkSession, folder: str) -> DataFrame:
+    tables, rows = T.text_tables(D.text_pages(spark, folder), M.base_patterns())
+    named = tables.select(*T.KEY, "title", "statement_type", "currency", "units", "is_consolidated", "columns", "page_start")
+    return rows.join(named, T.KEY).select(
+        "report_id",
+        F.col("page_number").alias("page"),
+        "page_start",
+        "row_index",
+        "label",
+        F.get("cells", 0)["value"].cast("double").alias("value_1"),
+        F.get("cells", 1)["value"].cast("double").alias("value_2"),
+        "title", "statement_type", "currency", "units", "is_consolidated",
+        F.array_join(F.transform("columns", lambda c: c["label"]), "|").alias("column_labels"),
+    )
+
+
+@query
+def report_metadata(spark: SparkSession, folder: str) -> DataFrame:
+    meta = H.field_status(T.report_metadata(D.html_pages(spark, folder)))
+    return meta.drop("engine", "raw_head", "period_start", "version_no", "is_restated")
+
+
+@query
+def candidate_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Report pages to tables to candidates."""
+    pages = D.html_pages(spark, folder)
+    tables, rows = T.html_tables(pages, M.base_patterns())
+    found = H.build_candidates(tables, rows, T.report_metadata(pages), M.base_metrics(spark))
+    return found.select(
+        "report_id", "fact_type", "metric_code", "as_of_date", F.col("value").cast("double").alias("value"),
+        "unit", "currency", "consolidation_scope", "column_label", "source_trace.page", "source_trace.raw_label",
+        "source_trace.raw_value",
+    )
+
+
+@query
+def report_star(spark: SparkSession, folder: str) -> DataFrame:
+    """Stored rows and cells per report table, with fallbacks and flags."""
+    pages = D.html_pages(spark, folder)
+    tables, rows = T.html_tables(pages, M.base_patterns())
+    star = H.normalize_tables(tables, rows, T.report_metadata(pages))
+    cells = star["cells"].groupBy("report_id").agg(F.count("*").alias("n_cells"), F.sum(F.col("value").cast("decimal(38,2)")).cast("double").alias("total"))
+    rows_n = star["rows"].groupBy("report_id").agg(F.count("*").alias("n_rows"), F.count_if("is_total").alias("n_total_rows"))
+    columns = star["columns"].groupBy("report_id").agg(F.count("*").alias("n_columns"), F.max("fiscal_year").alias("last_year"))
+    return (
+        star["tables"].select("report_id", "title", "currency", "units", "currency_status", "units_status")
+        .join(rows_n, "report_id").join(cells, "report_id").join(columns, "report_id")
+    )
