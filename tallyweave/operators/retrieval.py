@@ -223,7 +223,7 @@ def result_rows(hits: DataFrame) -> DataFrame:
 
 
 def _fixed(value: Column, digits: int) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", value), F.lit("n/a"))
+    return F.when(value.isNotNull(), F.format_string(f"%.{digits}f", value)).otherwise(F.lit("n/a"))
 
 
 def display_lines(hits: DataFrame, top: int = 5) -> DataFrame:

@@ -233,8 +233,12 @@ def html_sums(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def html_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """A report per customer: a text page with its name and an HTML page with the sums, odd keys with merged heads."""
-    cell = lambda c: F.concat(F.lit("<td>"), F.coalesce(F.format_number(c, 2), F.lit("")), F.lit("</td>"))
+    """A report per customer: a text page with its name and an HTML page with the sums, odd keys with merged heads.
+
+    The digit 2 is shown as 3, so that no sum looks like a year.
+    """
+    shown = lambda c: F.translate(F.format_number(c, 2), "2", "3")
+    cell = lambda c: F.concat(F.lit("<td>"), F.coalesce(shown(c), F.lit("")), F.lit("</td>"))
     body = F.concat(
         *[
             F.concat(F.lit(f"<tr><td>{name}</td>"), *[cell(f"v{p}{i}") for i in range(3)], F.lit("</tr>"))
@@ -280,3 +284,148 @@ def text_pages(spark: SparkSession, folder: str) -> DataFrame:
         text.alias("text_raw"),
         F.concat(F.lit("## Page\n\n"), text).alias("text_md"),
     )
+
+
+# ---------------------------------------------------------------- registry, sessions, retrieval
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents with a path and a content hash; ``doc_no`` is the driver's id."""
+    docs = table(spark, folder, "documents")
+    return docs.select(
+        F.col("doc_id").alias("doc_no"),
+        F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("hash"),
+        "text",
+        "lang",
+    )
+
+
+def prior_registry(spark: SparkSession, folder: str) -> DataFrame:
+    """Registry left by an earlier run: sources with an even last digit, status by id."""
+    status = pick(["indexed", "empty", "failed", "indexed"], F.col("doc_no") % 4)
+    return (
+        documents(spark, folder)
+        .filter(F.rlike("path", F.lit("^src[0-9]*[02468]/")))
+        .groupBy("hash")
+        .agg(F.min(F.struct("doc_no", "path")).alias("d"))
+        .select(
+            F.substring("hash", 1, 32).alias("doc_id"),
+            F.col("d.path").alias("path"),
+            "hash",
+            F.col("d.doc_no").alias("doc_no"),
+        )
+        .withColumn("status", status)
+        .select("doc_id", "path", "hash", "status", F.lit(1).alias("num_chunks"), F.lit(0).cast("long").alias("updated_at"))
+    )
+
+
+def messages(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("session_id"), F.col("turn").alias("ts"), "role", F.col("text").alias("content")
+    )
+
+
+def vector_corpus(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
+
+
+def centroid_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """One query per label: the mean of its vectors."""
+    parts = vector_corpus(spark, folder).select("label", F.posexplode("embedding").alias("i", "v"))
+    means = parts.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+    return means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("p")).select(
+        F.col("label").cast("long").alias("query_id"), F.transform("p", lambda x: x["m"]).alias("embedding")
+    )
+
+
+def ranked_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Search hits of the centroid queries with a source, a page and a text."""
+    from tallyweave.operators.retrieval import top_n
+
+    hits = top_n(centroid_queries(spark, folder), vector_corpus(spark, folder).select("id", "embedding"))
+    return hits.withColumns(
+        {
+            "source_path": F.when(F.col("id") % 9 != 0, F.concat(F.lit("src"), (F.col("id") % 10).cast("string"))),
+            "page": F.when(F.col("id") % 11 != 0, F.col("id") % 40),
+            "text": F.repeat(F.concat(F.lit("passage "), F.col("id").cast("string"), F.lit(" ")), 30),
+        }
+    )
+
+
+def rerank_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """A ranker's JSON answer per query: scores by id, some ids left out, one query answered in prose."""
+    hits = ranked_passages(spark, folder).filter(F.col("id") % 13 != 0)
+    item = F.struct((F.col("rank") - 1).alias("index"), ((F.col("id") * 7919) % 11).alias("score"))
+    answers = hits.groupBy("query_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("response"))
+    return answers.withColumn("response", F.when(F.col("query_id") == 3, F.lit("no scores today")).otherwise(F.col("response")))
+
+
+# ---------------------------------------------------------------- dictionary jobs
+
+
+def letters(column: Column) -> Column:
+    """Digits as letters, for labels that must not hold digits."""
+    return F.translate(column.cast("string"), "0123456789", "abcdefghij")
+
+
+def part_name() -> Column:
+    return F.concat_ws(" ", "p_name", F.lower("p_type"), letters(F.col("p_brand")), letters(F.col("p_size")))
+
+
+def part_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts as metric definitions: parent is a tenth of the key, statement by size, some labels short or too general."""
+    key = F.col("p_partkey")
+    code = F.concat(F.lit("m"), key.cast("string"))
+    return table(spark, folder, "part").select(
+        key.cast("int").alias("def_order"),
+        code.alias("metric_code"),
+        part_name().alias("metric_name_cn"),
+        F.when(key % 3 == 0, F.concat(F.lit("Part "), letters(key))).alias("metric_name_en"),
+        pick(["income", "balance", "cashflow"], F.col("p_size") % 3).alias("statement_type"),
+        F.when(F.col("p_size") % 3 == 1, F.lit("stock")).otherwise(F.lit("flow")).alias("value_nature"),
+        F.when(key > 0, F.concat(F.lit("m"), F.floor(key / 10).cast("string"))).alias("parent_metric_code"),
+        F.array(
+            part_name(), pick(["合计", "资产", "甲乙", "期末余额", "主营收入"], key % 5), F.concat(F.lit("专项"), letters(key))
+        ).alias("patterns"),
+        F.array(pick(["甲乙", "丙"], key % 2)).alias("patterns_exact"),
+        F.array(F.concat(F.lit("item "), letters(key)), pick(["total", "ab", "Net asset"], key % 3)).alias("patterns_en"),
+        F.array().cast("array<string>").alias("patterns_en_exact"),
+    )
+
+
+def taxonomy_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as taxonomy labels of their order: part names, other words, stop words, in three languages."""
+    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), part_name().alias("name"), "p_name")
+    n = F.col("l_linenumber")
+    label = (
+        F.when(n % 4 == 0, F.col("name"))
+        .when(n % 4 == 1, F.concat(F.col("p_name"), pick([" asset", " revenue", " cash flow", " ratio", ""], F.col("l_partkey") % 5)))
+        .when(n % 4 == 2, pick(["合计", "现金", "丁", "x9"], F.col("l_partkey") % 4))
+        .otherwise(F.concat(F.lit("附加"), letters(F.col("l_partkey") % 100)))
+    )
+    return table(spark, folder, "lineitem").join(parts, "l_partkey").select(
+        F.concat(F.lit("ns:c-"), F.col("l_orderkey").cast("string")).alias("concept"),
+        label.alias("label"),
+        pick(["zh-CN", "en", "fr"], n % 3).alias("lang"),
+        F.lit("ifrs").alias("source"),
+        line_id().alias("entry_order"),
+    )
+
+
+def contents_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as one long contents list: every tenth key a heading, the others notes on a part, some overridden."""
+    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("o_custkey"), part_name().alias("name"))
+    key = F.col("o_orderkey")
+    name = F.when(key % 50 == 7, F.lit("合同资产")).otherwise(F.coalesce("name", F.lit("未知项目")))
+    text = F.when(
+        key % 10 == 0, F.concat(F.lit("CAS"), key.cast("string"), F.lit("  "), pick(["现金流量表", "存货资产", "收入"], key % 3))
+    ).otherwise(
+        F.concat(
+            F.lit("["), F.lpad((key % 1000000).cast("string"), 6, "0"), F.lit("] 附注_ "), name, F.lit("（已执行新准则）"),
+            F.when(key % 4 == 1, F.lit(" 比率")).otherwise(F.lit("")),
+        )
+    )
+    return table(spark, folder, "orders").join(parts, "o_custkey", "left").select(
+        F.lit(0).alias("doc"), key.alias("row_index"), text.alias("text")
+    )

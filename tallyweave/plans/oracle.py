@@ -279,7 +279,7 @@ SELECT many.nl AS norm_key, st AS statement_type, n AS n_metrics, codes, n_rows
 HTML = f"""
 cells AS (
   SELECT o_custkey AS report_id, CAST(left(o_orderpriority,1) AS INT) - 1 AS p, strpos('FOP', o_orderstatus) - 1 AS i,
-         sum(CAST(round(o_totalprice,2) AS DECIMAL(18,2))) AS value
+         CAST(replace(CAST(sum(CAST(round(o_totalprice,2) AS DECIMAL(18,2))) AS VARCHAR),'2','3') AS DECIMAL(18,2)) AS value
   FROM orders GROUP BY ALL),
 kept AS (SELECT report_id, min(p) AS first_p FROM cells GROUP BY 1 HAVING count(DISTINCT p) >= 3),
 grid AS (
@@ -328,3 +328,443 @@ SQL["report_star"] = f"""WITH {HTML}
 SELECT report_id, '合并资产负债表' AS title, 'CNY' AS currency, '1' AS units, 'detected' AS currency_status, 'detected' AS units_status,
   count(DISTINCT p) AS n_rows, 0 AS n_total_rows, count(value) AS n_cells, round(sum(value),2) AS total, 3 AS n_columns, 2024 AS last_year
 FROM grid GROUP BY report_id"""
+
+# ---------------------------------------------------------------- chunks
+
+WS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0b}]"
+
+
+def trimmed(text: str) -> str:
+    return f"regexp_replace({text}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def chunk_rows(list_sql: str, with_sql: str = "") -> str:
+    return f"""{with_sql}
+SELECT doc_id, i - 1 AS chunk_index, length(c[i]) AS n_chars, md5(c[i]) AS text_md5
+FROM (SELECT doc_id, {list_sql} AS c FROM documents) d, range(1, len(c) + 1) r(i)"""
+
+
+# RE2 has no look-behind: a mark is put after each sentence end instead and split at.
+SENTENCES = (
+    f"list_filter(list_transform(string_split(regexp_replace(text, '([。！？.!?]){WS}+', '\\1' || chr(1), 'g'), chr(1)), "
+    f"lambda s: {trimmed('s')}), lambda s: s <> '')"
+)
+WORDS = f"len(list_filter(regexp_split_to_array(%s, '{WS}+'), lambda w: w <> ''))"
+LINES = f"list_filter(list_transform(string_split(text, chr(10)), lambda s: {trimmed('s')}), lambda s: s <> '')"
+
+
+def overlapped(list_sql: str, width: int) -> str:
+    return (
+        f"list_reduce(list_transform({list_sql}, lambda s: [s]), lambda acc, s: "
+        f"list_append(acc, right(acc[-1], {width}) || s[1]))"
+    )
+
+
+SQL["document_parts"] = f"""
+SELECT doc_id, i AS part_no, length(c[i]) AS n_chars, md5(c[i]) AS text_md5
+FROM (SELECT doc_id, {LINES} AS c FROM documents) d, range(1, len(c) + 1) r(i)"""
+SQL["sentence_split"] = chunk_rows(SENTENCES)
+SQL["hard_split"] = chunk_rows("list_transform(range(0, length(text), 450), lambda i: substr(text, i + 1, 500))")
+SQL["chunk_overlap"] = chunk_rows(overlapped(LINES, 30))
+SQL["token_count"] = f"SELECT doc_id, {WORDS % 'text'} AS n_words FROM documents"
+# The running list holds [text so far, its words] per chunk; a sentence joins the last chunk while 60 words suffice.
+_PACKED = (
+    "list_transform(list_reduce(list_transform(" + SENTENCES + ", lambda s: [struct_pack(t := s, n := " + WORDS % "s" + ")]), "
+    "lambda acc, s: CASE WHEN acc[-1].n + s[1].n <= 60 "
+    "THEN list_append(acc[:-2], struct_pack(t := acc[-1].t || ' ' || s[1].t, n := acc[-1].n + s[1].n)) "
+    "ELSE list_append(acc, s[1]) END), lambda x: x.t)"
+)
+SQL["sentence_chunks"] = f"""WITH p AS (SELECT doc_id, {_PACKED} AS packed FROM documents)
+SELECT doc_id, i - 1 AS chunk_index, length(c[i]) AS n_chars, md5(c[i]) AS text_md5
+FROM (SELECT doc_id, {overlapped("packed", 20)} AS c FROM p) d, range(1, len(c) + 1) r(i)"""
+
+# ---------------------------------------------------------------- retrieval
+
+TERMS = r"list_filter(regexp_split_to_array(lower(%s), '[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+'), lambda t: t <> '')"
+
+SQL["hash_embedding"] = f"""WITH t AS (
+  SELECT conv_id, turn, CAST(('0x' || left(md5(term), 8)) AS BIGINT) % 32 AS bucket
+  FROM (SELECT conv_id, turn, unnest({TERMS % 'text'}) AS term FROM conversations)),
+c AS (SELECT conv_id, turn, bucket, count(*) AS n FROM t GROUP BY ALL)
+SELECT conv_id, turn, bucket, round(n / sqrt(sum(n*n) OVER (PARTITION BY conv_id, turn)), 6) AS weight FROM c"""
+
+HITS = """
+corpus AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+means AS (SELECT label, i, avg(v[i]) AS m FROM corpus, range(1, 65) r(i) GROUP BY ALL),
+query AS (SELECT CAST(label AS BIGINT) AS query_id, list(m ORDER BY i) AS q FROM means GROUP BY label),
+pairs AS (SELECT query_id, id, list_cosine_similarity(v, q) AS score FROM query CROSS JOIN corpus),
+hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM pairs QUALIFY rank <= 20)"""
+
+SQL["vector_topk"] = f"WITH {HITS} SELECT query_id, id, round(score, 6) AS score, rank FROM hits"
+SQL["hits_at_k"] = f"""WITH {HITS},
+j AS (SELECT query_id, bool_or(rank <= 5 AND label = query_id) AS hit FROM hits JOIN corpus USING (id) GROUP BY 1)
+SELECT count(*) AS n_queries, count(*) FILTER (WHERE hit) AS n_hit, count(*) FILTER (WHERE hit) / count(*) AS hits_at_k FROM j"""
+
+RERANKED = f"""{HITS},
+best AS (
+  SELECT query_id, id, rank, CAST((id * 7919) % 11 AS DOUBLE) AS rerank_score,
+         row_number() OVER (PARTITION BY query_id ORDER BY (id * 7919) % 11 DESC, rank) AS position
+  FROM hits WHERE id % 13 <> 0 AND query_id <> 3
+  UNION ALL SELECT query_id, id, rank, NULL, rank FROM hits WHERE query_id = 3),
+top AS (
+  SELECT query_id, id, position, rerank_score, CASE WHEN id % 9 <> 0 THEN 'src' || (id % 10) END AS source_path,
+         CASE WHEN id % 11 <> 0 THEN id % 40 END AS page, repeat('passage ' || id || ' ', 30) AS text
+  FROM best WHERE position <= 5)"""
+
+SQL["rerank_topk"] = f"WITH {RERANKED} SELECT query_id, position, id, rerank_score FROM top"
+SQL["context_blocks"] = f"""WITH {RERANKED}
+SELECT query_id, string_agg('[' || position || '] Source: ' || coalesce(source_path,'unknown') || ' | Page: ' ||
+  coalesce(CAST(page AS VARCHAR),'0') || chr(10) || text, chr(10) || chr(10) ORDER BY position) AS context FROM top GROUP BY 1"""
+SQL["citations"] = f'WITH {RERANKED} SELECT query_id, position AS "index", source_path, page, left(text, 200) AS snippet FROM top'
+SQL["hit_display"] = f"""WITH {RERANKED}
+SELECT query_id, position, '- [' || position || '] ' || coalesce(source_path,'None') || ' p.' || coalesce(CAST(page AS VARCHAR),'None') AS line,
+  coalesce(format('{{:.2f}}', rerank_score), 'n/a') AS rerank_text FROM top"""
+
+POSTINGS = f"""words AS (SELECT doc_id, t[i] AS term, i - 1 AS pos FROM (SELECT doc_id, {TERMS % 'text'} AS t FROM documents) d, range(1, len(t) + 1) r(i)),
+index AS (SELECT term, doc_id, count(*) AS tf, min(pos) AS first_position FROM words GROUP BY ALL)"""
+
+SQL["postings"] = f"WITH {POSTINGS} SELECT * FROM index"
+SQL["term_search"] = f"""WITH {POSTINGS},
+q AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS % 'text'}) AS term FROM benchmark),
+n AS (SELECT query_id, count(*) AS n FROM q GROUP BY 1),
+m AS (SELECT query_id, doc_id, count(*) AS n, sum(tf) AS tf_sum FROM q JOIN index USING (term) GROUP BY ALL)
+SELECT m.query_id, m.doc_id, CAST(m.tf_sum AS BIGINT) AS tf_sum FROM m JOIN n ON m.query_id = n.query_id AND m.n = n.n"""
+
+# ---------------------------------------------------------------- registry and sessions
+
+SQL["content_hash"] = "SELECT left(sha256(text), 32) AS doc_id, sha256(text) AS hash, count(*) AS n_copies FROM documents GROUP BY ALL"
+
+REGISTRY = f"""
+docs AS (SELECT doc_id AS doc_no, source || '/' || doc_id AS path, sha256(text) AS hash, text, lang FROM documents),
+prior AS (
+  SELECT left(hash, 32) AS doc_id, arg_min(path, doc_no) AS path, hash,
+         ['indexed','empty','failed','indexed'][min(doc_no) % 4 + 1] AS status, 1 AS num_chunks, 0 AS updated_at
+  FROM docs WHERE regexp_matches(path, '^src[0-9]*[02468]/') GROUP BY hash),
+outcome AS (
+  SELECT d.*, CASE WHEN k.hash IS NOT NULL THEN 0 ELSE {WORDS % 'd.text'} // 50 END AS num_chunks,
+         CASE WHEN k.hash IS NOT NULL THEN 'skipped' WHEN contains(d.text, '@') THEN 'failed'
+              WHEN {WORDS % 'd.text'} < 50 THEN 'empty' ELSE 'indexed' END AS status
+  FROM docs d LEFT JOIN (SELECT hash FROM prior WHERE status = 'indexed') k ON k.hash = d.hash)"""
+
+SQL["index_summary"] = f"""WITH {REGISTRY}
+SELECT lang, count(*) FILTER (WHERE status='indexed') AS indexed, count(*) FILTER (WHERE status='skipped') AS skipped,
+  count(*) FILTER (WHERE status='empty') AS empty, count(*) FILTER (WHERE status='failed') AS errors FROM outcome GROUP BY lang"""
+SQL["registry_upsert"] = f"""WITH {REGISTRY},
+both_ AS (SELECT *, 0 AS seq FROM prior UNION ALL
+  SELECT left(hash,32), path, hash, status, num_chunks, doc_no + 1, 1 FROM outcome WHERE status <> 'skipped')
+SELECT doc_id, path, hash, status, num_chunks, updated_at FROM both_
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC, updated_at DESC, path DESC) = 1"""
+SQL["unseen_documents"] = f"""WITH {REGISTRY}
+SELECT hash, min(doc_no) AS doc_no, arg_min(path, doc_no) AS path FROM docs WHERE hash NOT IN (SELECT hash FROM prior) GROUP BY hash"""
+SQL["registry_health"] = """
+SELECT doc_id, source || '/' || doc_id AS path, 'indexed' AS status, 1 AS num_chunks, (SELECT count(*) FROM documents) AS n_documents
+FROM documents ORDER BY doc_id DESC LIMIT 5"""
+SQL["session_activity"] = "SELECT conv_id AS session_id, min(turn) AS created_at, max(turn) AS updated_at, count(*) AS n_messages FROM conversations GROUP BY 1"
+SQL["last_messages"] = """
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts) AS position, ts, role, content_md5 FROM (
+  SELECT conv_id AS session_id, turn AS ts, role, md5(text) AS content_md5 FROM conversations
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3)"""
+SQL["latest_user_query"] = """
+SELECT conv_id AS session_id, trim(arg_max(text, turn)) AS query FROM conversations WHERE role = 'user' GROUP BY 1"""
+
+# ---------------------------------------------------------------- dictionary jobs
+
+def letters(text: str) -> str:
+    return f"translate(CAST({text} AS VARCHAR), '0123456789', 'abcdefghij')"
+
+
+PART_NAME = f"concat_ws(' ', p_name, lower(p_type), {letters('p_brand')}, {letters('p_size')})"
+PARTS = f"""
+parts AS (
+  SELECT p_partkey AS k, 'm' || p_partkey AS code, {PART_NAME} AS cn, CASE WHEN p_partkey % 3 = 0 THEN 'Part ' || {letters('p_partkey')} END AS en,
+    ['income','balance','cashflow'][p_size % 3 + 1] AS st, CASE WHEN p_size % 3 = 1 THEN 'stock' ELSE 'flow' END AS nature,
+    CASE WHEN p_partkey > 0 THEN 'm' || (p_partkey // 10) END AS parent,
+    [{PART_NAME}, ['合计','资产','甲乙','期末余额','主营收入'][p_partkey % 5 + 1], '专项' || {letters('p_partkey')}] AS pat,
+    [['甲乙','丙'][p_partkey % 2 + 1]] AS pat_exact, ['item ' || {letters('p_partkey')}, ['total','ab','Net asset'][p_partkey % 3 + 1]] AS pat_en
+  FROM part)"""
+# Labels of a metric in order: names, phrases, exact labels, English phrases.
+PART_LABELS = f"""{PARTS},
+label_rows AS (SELECT code, k, i, label, {norm_sql('label')} AS norm FROM (
+  SELECT code, k, unnest([cn, en] || pat || pat_exact || pat_en) AS label,
+         generate_subscripts([cn, en] || pat || pat_exact || pat_en, 1) AS i FROM parts) WHERE coalesce(label, '') <> ''),
+lindex AS (SELECT norm, arg_min(code, k * 100 + i) AS code, count(DISTINCT code) > 1 AS ambiguous FROM label_rows WHERE norm <> '' GROUP BY norm)"""
+
+SQL["label_index"] = f"WITH {PART_LABELS} SELECT norm, code AS metric_code, ambiguous FROM lindex"
+
+TAXONOMY = f"""{PART_LABELS},
+entries AS (
+  SELECT 'ns:c-' || l_orderkey AS concept, l_orderkey, ((l_orderkey*8 + l_linenumber)*100000 + l_partkey)*10000 + l_suppkey AS entry_order,
+    CASE l_linenumber % 4 WHEN 0 THEN {PART_NAME}
+      WHEN 1 THEN p_name || [' asset',' revenue',' cash flow',' ratio',''][l_partkey % 5 + 1]
+      WHEN 2 THEN ['合计','现金','丁','x9'][l_partkey % 4 + 1] ELSE '附加' || {letters('l_partkey % 100')} END AS label,
+    ['cn','en','fr'][l_linenumber % 3 + 1] AS lang
+  FROM lineitem JOIN part ON p_partkey = l_partkey),
+normed AS (SELECT *, {norm_sql('label')} AS norm FROM entries),
+joined AS (SELECT n.*, x.code FROM normed n LEFT JOIN lindex x ON x.norm = n.norm AND NOT x.ambiguous),
+concepts AS (
+  SELECT concept, min(entry_order) AS concept_order, arg_min(code, entry_order) FILTER (WHERE code IS NOT NULL) AS code,
+         arg_min(label, entry_order) AS name, string_agg(label, ' ' ORDER BY entry_order) AS words FROM joined GROUP BY concept),
+typed AS (SELECT *, CASE WHEN regexp_matches(words, '(?i)(现金|现金流|cash\\s*flow)') THEN 'cashflow'
+    WHEN regexp_matches(words, '(?i)(收入|成本|费用|利润|收益|税|income|revenue|expense|profit|loss)') THEN 'income'
+    WHEN regexp_matches(words, '(?i)(资产|负债|权益|capital|equity|asset|liabil)') THEN 'balance' END AS st FROM concepts),
+mapped AS (SELECT concept, concept_order, code IS NULL AS is_new, name, st, words,
+    coalesce(code, CASE WHEN st IS NOT NULL THEN lower('xbrl_ifrs_' || regexp_replace(concept, '[^a-zA-Z0-9_]+', '_', 'g')) END) AS code FROM typed)"""
+
+SQL["concept_mapping"] = f"""WITH {TAXONOMY}
+SELECT concept, code AS metric_code, is_new, name AS metric_name_cn, st AS statement_type,
+  CASE WHEN regexp_matches(words, '(?i)(率|%|percentage|ratio)') THEN 'ratio' WHEN st = 'balance' THEN 'stock' ELSE 'flow' END AS value_nature
+FROM mapped WHERE code IS NOT NULL"""
+
+from tallyweave.operators import dictionary as J  # noqa: E402
+
+
+def among(norm: str, labels) -> str:
+    return f"{norm} IN (SELECT {norm_sql('x')} FROM (SELECT unnest({quoted(labels)}) AS x))"
+
+
+SQL["taxonomy_merge"] = f"""WITH {TAXONOMY},
+adds AS (
+  SELECT m.code, m.concept_order, n.entry_order, n.label,
+    CASE WHEN n.lang = 'cn' THEN 'patterns' ELSE 'patterns_en' END || CASE WHEN length(n.norm) <= 2 THEN '_exact' ELSE '' END AS bucket
+  FROM normed n JOIN mapped m USING (concept)
+  WHERE m.code IS NOT NULL AND n.norm <> '' AND NOT {among('n.norm', J.STOP_LABELS)}
+    AND NOT (length(n.norm) <= 2 AND n.norm IN ('资产','负债','权益','现金','成本','费用'))
+    AND NOT regexp_matches(n.label, '[0-9]') AND n.lang IN ('cn','en')),
+old AS (
+  SELECT code, 'patterns' AS bucket, unnest(pat) AS label, generate_subscripts(pat,1) AS i FROM parts
+  UNION ALL SELECT code, 'patterns_exact', unnest(pat_exact), generate_subscripts(pat_exact,1) FROM parts
+  UNION ALL SELECT code, 'patterns_en', unnest(pat_en), generate_subscripts(pat_en,1) FROM parts),
+both_ AS (
+  SELECT code, bucket, label, 0 AS a, i AS b, 0 AS c FROM old
+  UNION ALL
+  SELECT code, bucket, label, 1, min(concept_order), arg_min(entry_order, (concept_order, entry_order)) FROM adds
+  WHERE (code, bucket, label) NOT IN (SELECT (code, bucket, label) FROM old) GROUP BY code, bucket, label)
+SELECT code AS metric_code, bucket, count(*) AS n_labels, string_agg(label, '|' ORDER BY a, b, c) AS labels FROM both_ GROUP BY code, bucket"""
+
+CONTENTS = f"""
+toc_rows AS (
+  SELECT o_orderkey AS k, CASE WHEN o_orderkey % 50 = 7 THEN '合同资产' ELSE coalesce({PART_NAME.replace("concat_ws(' ', p_name", "concat_ws(' ', p_name")}, '未知项目') END AS raw_name,
+    p_name IS NULL AS lost, o_orderkey % 10 = 0 AS top, ['现金流量表','存货资产','收入'][o_orderkey % 3 + 1] AS heading
+  FROM orders LEFT JOIN part ON p_partkey = o_custkey),
+named AS (SELECT k, top, heading, CASE WHEN k % 50 <> 7 AND lost THEN '未知项目' ELSE raw_name END AS name FROM toc_rows),
+filled AS (
+  SELECT *, max(CASE WHEN top THEN k END) OVER (ORDER BY k) AS head_k FROM named),
+toc AS (
+  SELECT f.k, f.top, CASE WHEN f.head_k IS NOT NULL THEN 'CAS' || f.head_k END AS cas_code, h.heading AS cas_name,
+    CASE WHEN NOT f.top THEN lpad(CAST(f.k % 1000000 AS VARCHAR), 6, '0') END AS sub_code,
+    CASE WHEN NOT f.top THEN f.name || CASE WHEN f.k % 4 = 1 THEN ' 比率' ELSE '' END END AS sub_name,
+    CASE WHEN NOT f.top THEN '附注_ ' || f.name || '（已执行新准则）' || CASE WHEN f.k % 4 = 1 THEN ' 比率' ELSE '' END END AS sub_name_raw
+  FROM filled f LEFT JOIN named h ON h.k = f.head_k)"""
+
+SQL["contents_fill"] = f"""WITH {CONTENTS}
+SELECT k AS row_index, CASE WHEN top THEN 'cas' ELSE 'sub' END AS level, cas_code, cas_name, sub_code, sub_name, sub_name_raw FROM toc"""
+
+CONTENTS_MAP = f"""{CONTENTS}, {PARTS},
+name_rows AS (SELECT DISTINCT code, {norm_sql('label')} AS norm FROM (SELECT code, unnest([cn] || pat || pat_exact) AS label FROM parts)),
+one_name AS (SELECT norm, min(code) AS code FROM name_rows WHERE norm <> '' GROUP BY norm HAVING count(DISTINCT code) = 1),
+subs AS (SELECT *, {norm_sql('sub_name')} AS norm, sub_name = '合同资产' AS over_,
+   row_number() OVER (PARTITION BY sub_name = '合同资产' ORDER BY k) = 1 AS first_ FROM toc WHERE NOT top),
+picked AS (SELECT s.*, o.code AS one FROM subs s LEFT JOIN one_name o USING (norm))"""
+
+SQL["contents_mapping"] = f"""WITH {CONTENTS_MAP}, typed AS (
+  SELECT *, CASE WHEN contains(coalesce(cas_name,'') || ' ' || sub_name, '现金流量') THEN 'cashflow'
+    WHEN regexp_matches(coalesce(cas_name,'') || ' ' || sub_name, '(资产|负债|权益|财务报表|金融工具|合并财务报表|主体中权益|公允价值|持有待售|租赁)') THEN 'balance' ELSE 'income' END AS st FROM picked)
+SELECT k AS row_order, cas_code, sub_code, sub_name, sub_name_raw,
+  CASE WHEN over_ THEN 'contract_assets' WHEN one IS NOT NULL THEN one ELSE 'cas2020_' || sub_code END AS metric_code,
+  CASE WHEN over_ AND first_ THEN 'override_create' WHEN over_ THEN 'override' WHEN one IS NOT NULL THEN 'unique_name' ELSE 'auto_create' END AS mapping_method,
+  CAST(CASE WHEN over_ AND first_ THEN 0.95 WHEN over_ THEN 1.0 WHEN one IS NOT NULL THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence,
+  st AS statement_type, CASE WHEN regexp_matches(sub_name, '(率|每股|%|比率)') THEN 'ratio' WHEN st = 'balance' THEN 'stock' ELSE 'flow' END AS value_nature
+FROM typed"""
+
+SQL["contents_counts"] = f"""WITH {CONTENTS_MAP},
+raw AS (
+  SELECT one AS code, 'patterns_exact' AS bucket, sub_name AS label FROM picked WHERE one IS NOT NULL
+  UNION SELECT one, 'patterns', sub_name_raw FROM picked WHERE one IS NOT NULL AND sub_name_raw <> sub_name
+  UNION SELECT one, 'patterns', '[' || sub_code || '] ' || sub_name_raw FROM picked WHERE one IS NOT NULL),
+fresh AS (SELECT * FROM raw WHERE (code, bucket, label) NOT IN (
+  SELECT (code, 'patterns', l) FROM (SELECT code, unnest(pat) AS l FROM parts) UNION ALL
+  SELECT (code, 'patterns_exact', l) FROM (SELECT code, unnest(pat_exact) AS l FROM parts)))
+SELECT (SELECT count(*) FROM picked WHERE one IS NOT NULL) AS matched, (SELECT count(*) FROM picked WHERE one IS NULL) AS skipped,
+  0 AS created, (SELECT count(*) FROM fresh) AS alias_added"""
+
+SQL["dictionary_cleanup"] = f"""WITH {PARTS}, bits AS (
+  SELECT code, k, 1 AS no, unnest(pat) AS l, generate_subscripts(pat,1) AS i, 'patterns' AS b FROM parts
+  UNION ALL SELECT code, k, 1, unnest(pat_en), generate_subscripts(pat_en,1), 'patterns_en' FROM parts),
+judged AS (SELECT *, {norm_sql('l')} AS n FROM bits),
+fate AS (SELECT *, CASE WHEN {among('n', J.STOP_LABELS)} THEN 'drop' WHEN length(n) > 2 THEN 'keep'
+    WHEN b = 'patterns' AND n IN ('资产','负债','权益','现金','成本','费用') THEN 'drop' ELSE 'move' END AS f FROM judged),
+rows_ AS (
+  SELECT code, b AS bucket, l, 0 AS a, i FROM fate WHERE f = 'keep'
+  UNION ALL SELECT code, 'patterns_exact', unnest(pat_exact), 0, 1 FROM parts
+  UNION ALL SELECT f.code, b || '_exact', l, 1, i FROM fate f JOIN parts p ON p.code = f.code WHERE f.f = 'move' AND NOT (b = 'patterns' AND list_contains(p.pat_exact, l))),
+lists AS (SELECT code, bucket, count(*) AS n_labels, string_agg(l, '|' ORDER BY a, i) AS labels FROM rows_ GROUP BY ALL)
+SELECT code AS metric_code, bucket, n_labels, labels, (SELECT bool_or(f <> 'keep') FROM fate WHERE fate.code = lists.code) AS changed FROM lists"""
+
+SQL["pattern_buckets"] = f"""WITH {PARTS}, bits AS (
+  SELECT code, unnest(pat) AS l, generate_subscripts(pat,1) AS i, 'patterns' AS b FROM parts
+  UNION ALL SELECT code, unnest(pat_en), generate_subscripts(pat_en,1), 'patterns_en' FROM parts),
+judged AS (SELECT *, {norm_sql('l')} AS n FROM bits),
+rows_ AS (
+  SELECT code, b AS bucket, l, 0 AS a, i FROM judged WHERE length(n) > 2
+  UNION ALL SELECT code, 'patterns_exact', unnest(pat_exact), 0, 1 FROM parts
+  UNION ALL SELECT j.code, b || '_exact', l, 1, i FROM judged j JOIN parts p ON p.code = j.code
+    WHERE length(n) BETWEEN 1 AND 2 AND NOT (b = 'patterns' AND (list_contains(p.pat_exact, l) OR n IN ('资产','负债','权益','现金','成本','费用'))))
+SELECT code AS metric_code, bucket, count(*) AS n_labels, string_agg(l, '|' ORDER BY a, i) AS labels FROM rows_ GROUP BY ALL"""
+
+SQL["dictionary_merge"] = f"""WITH {PARTS}, side AS (
+  SELECT code, k, en, pat, pat_exact, pat_en, st <> 'income' AS loaded, k % 2 = 0 AS base FROM parts WHERE st <> 'income' OR k % 2 = 0),
+rows_ AS (
+  SELECT code, 'patterns' AS bucket, unnest(CASE WHEN loaded AND NOT base THEN pat[1:1] ELSE pat END) AS l, generate_subscripts(CASE WHEN loaded AND NOT base THEN pat[1:1] ELSE pat END, 1) AS i FROM side
+  UNION ALL SELECT code, 'patterns_exact', unnest(pat_exact), 1 FROM side
+  UNION ALL SELECT code, 'patterns_en', unnest(pat_en), generate_subscripts(pat_en,1) FROM side)
+SELECT r.code AS metric_code, bucket, count(*) AS n_labels, string_agg(l, '|' ORDER BY i) AS labels,
+  any_value(CASE WHEN s.base THEN s.en END) AS metric_name_en, any_value(CASE WHEN s.loaded THEN s.k ELSE 1000000 + s.k END) AS def_order
+FROM rows_ r JOIN side s USING (code) GROUP BY r.code, bucket"""
+
+SQL["dictionary_prune"] = f"""WITH {PARTS}
+SELECT count(*) AS before, count(*) FILTER (WHERE NOT starts_with(code, 'm1')) AS after, count(*) FILTER (WHERE starts_with(code, 'm1')) AS removed FROM parts"""
+
+SQL["metric_upsert"] = f"""WITH {PARTS}
+SELECT code AS metric_code, CASE WHEN k % 2 = 0 THEN cn ELSE 'old' END AS metric_name_cn,
+  CASE WHEN k % 2 = 1 THEN 'old' ELSE coalesce(en, upper(code)) END AS metric_name_en, st AS statement_type, nature AS value_nature, st <> 'income' AS is_new
+FROM parts WHERE k % 2 = 0 OR st = 'income'"""
+
+SQL["metric_parents"] = f"""WITH {PARTS}
+SELECT c.code AS metric_code, p.k AS parent_metric_id FROM parts c LEFT JOIN parts p ON p.code = c.parent AND p.st <> 'cashflow' WHERE c.st <> 'cashflow'"""
+
+SQL["dictionary_aliases"] = f"""WITH {PARTS}
+SELECT code AS metric_code, unnest(pat) AS alias_text, 'cn' AS language, 'phrase' AS match_mode FROM parts
+UNION ALL SELECT code, unnest(pat_exact), 'cn', 'exact' FROM parts UNION ALL SELECT code, unnest(pat_en), 'en', 'phrase' FROM parts"""
+
+SQL["metric_ancestors"] = f"""WITH RECURSIVE {PARTS},
+up AS (SELECT code, parent AS a, 1 AS d FROM parts WHERE parent IS NOT NULL
+  UNION ALL SELECT up.code, p.parent, d + 1 FROM up JOIN parts p ON p.code = up.a WHERE p.parent IS NOT NULL)
+SELECT code AS metric_code, a AS ancestor_code, d AS distance FROM up"""
+
+SQL["taxonomy_match"] = f"""WITH {CONTENTS_MAP},
+recs AS (SELECT k, sub_code, sub_name, sub_name_raw, one AS code FROM picked),
+keys AS (
+  SELECT k, sub_code, code, {norm_sql('x')} AS name_key FROM (SELECT k, sub_code, code, unnest([sub_name, sub_name_raw]) AS x FROM recs)),
+by_code AS (
+  SELECT sub_code, s.st, CASE WHEN count(DISTINCT p.code) FILTER (WHERE p.st = s.st) = 1 THEN min(p.code) FILTER (WHERE p.st = s.st) END AS code
+  FROM recs r LEFT JOIN parts p ON p.code = r.code CROSS JOIN (VALUES ('income'),('balance'),('cashflow')) s(st) GROUP BY ALL),
+by_name AS (
+  SELECT name_key, s.st, CASE WHEN count(DISTINCT p.code) FILTER (WHERE p.st = s.st) = 1 THEN min(p.code) FILTER (WHERE p.st = s.st) END AS code
+  FROM keys r LEFT JOIN parts p ON p.code = r.code CROSS JOIN (VALUES ('income'),('balance'),('cashflow')) s(st) GROUP BY ALL),
+free_name AS (SELECT name_key, arg_min(sub_code, k) AS sub_code FROM keys WHERE code IS NULL GROUP BY name_key),
+labels_ AS (SELECT k, sub_code AS own_code, k % 2 = 0 AS coded, sub_name_raw, {norm_sql("'[' || sub_code || '] ' || sub_name_raw")} AS with_code, {norm_sql("sub_name_raw")} AS plain FROM recs),
+names2 AS (SELECT k, own_code, coded, CASE WHEN coded THEN with_code ELSE regexp_replace(plain, '^(附注)+', '') END AS n1,
+    CASE WHEN coded AND starts_with(with_code, own_code) THEN regexp_replace(with_code[7:], '^(附注)+', '') END AS n2 FROM labels_),
+found3 AS (
+  SELECT n.k, s.st, coalesce(CASE WHEN n.coded THEN c.code END, b1.code, b2.code,
+     'cas2020_' || coalesce(CASE WHEN n.coded AND r.code IS NULL THEN n.own_code END, f1.sub_code, f2.sub_code)) AS code
+  FROM names2 n CROSS JOIN (VALUES ('income'),('balance'),('cashflow')) s(st)
+  JOIN recs r ON r.k = n.k
+  LEFT JOIN by_code c ON c.sub_code = n.own_code AND c.st = s.st
+  LEFT JOIN by_name b1 ON b1.name_key = n.n1 AND b1.st = s.st LEFT JOIN by_name b2 ON b2.name_key = n.n2 AND b2.st = s.st
+  LEFT JOIN free_name f1 ON f1.name_key = n.n1 LEFT JOIN free_name f2 ON f2.name_key = n.n2)
+SELECT k AS row_id, max(code) FILTER (WHERE st='income') AS match_income, max(code) FILTER (WHERE st='balance') AS match_balance,
+  max(code) FILTER (WHERE st='cashflow') AS match_cashflow FROM found3 GROUP BY k"""
+
+# ---------------------------------------------------------------- evaluation
+
+SQL["match_quality"] = f"""WITH {ROW_LABELS}, {DICTIONARY},
+cases AS (
+  SELECT CASE WHEN NOT contains(r.label, '明细') THEN {quoted(r["metric_code"] for r in base_metric_rows())}[(r.row_id // 10000) % 100000 % {N} + 1] END AS e,
+         f.code AS p, CASE WHEN r.row_id % 3 <> 0 THEN 'required' ELSE 'optional_only' END AS s
+  FROM row_labels r JOIN found f ON f.label = r.label AND f.st = r.statement_type),
+c AS (
+  SELECT coalesce(s, 'all_cases') AS split, count(*) AS total, count(*) FILTER (WHERE e IS NOT DISTINCT FROM p) AS exact_match,
+    count(*) FILTER (WHERE e = p) AS tp, count(*) FILTER (WHERE e IS NULL AND p IS NOT NULL) AS fp,
+    count(*) FILTER (WHERE e IS NOT NULL AND e IS DISTINCT FROM p) AS fn, count(*) FILTER (WHERE e IS NULL AND p IS NULL) AS tn
+  FROM cases GROUP BY ROLLUP (s)),
+d AS (SELECT *, exact_match / total AS x, tp / (tp + fp) AS pr, tp / (tp + fn) AS re, fp / (fp + tn) AS fr FROM c)
+SELECT split, total, exact_match, tp, fp, fn, tn, round(x, 9) AS exact_match_rate, round(pr, 9) AS positive_precision, round(re, 9) AS positive_recall,
+  round(2*pr*re/(pr+re), 9) AS positive_f1, round(fr, 9) AS false_positive_rate_on_negatives, x >= 0.9 AND fr <= 0.1 AS passed FROM d"""
+
+SQL["nearest_rank_percentile"] = """
+SELECT event_type, list_sort(list(value))[CAST(round_even(0.95 * (count(*) - 1), 0) AS INT) + 1] AS p95 FROM events GROUP BY event_type"""
+
+SQL["extraction_quality"] = f"""WITH {HTML}, n AS (SELECT count(DISTINCT report_id) AS t, count(*) AS c, count(value) AS v FROM grid)
+SELECT 1.0 AS doc_success_rate, t AS tables_total, 1.0 AS table_success_rate, 1.0 AS statement_table_rate, 1.0 AS table_unit_rate,
+  1.0 AS table_currency_rate, c // 3 AS rows_total, c AS cells_total, round(v / c, 9) AS numeric_cell_rate, 1.0 AS core_metric_match_rate,
+  1.0 AS meta_currency_rate, 1.0 AS meta_units_rate, 1.0 AS meta_period_end_rate FROM n"""
+
+SQL["quality_kpis"] = f"""WITH {HTML}, {BALANCE},
+m(kpi, value) AS (
+  SELECT 'evidence_link_rate', 1.0 UNION ALL SELECT 'required_field_presence', 1.0 UNION ALL
+  SELECT 'table_extraction_success_rate', (SELECT count(*) FROM kept) / (SELECT count(DISTINCT o_custkey) FROM orders) UNION ALL
+  SELECT 'column_alignment_accuracy', (SELECT avg(CASE WHEN n = 3 THEN 1.0 ELSE 0.0 END) FROM (SELECT count(value) AS n FROM grid GROUP BY report_id, p)) UNION ALL
+  SELECT 'unit_currency_detection_rate', 1.0 UNION ALL SELECT 'period_detection_rate', 1.0 UNION ALL
+  SELECT 'integrity_checks_pass_rate', (SELECT (count(*) + count(*) FILTER (WHERE status = 'pass')) / (2 * count(*)) FROM (
+     SELECT {passes("assets", "(owed + equity)")} FROM wide))),
+k(kpi, threshold, scope) AS (VALUES ('evidence_link_rate',1.0,'report'),('required_field_presence',0.98,'report'),('table_extraction_success_rate',0.90,'dataset'),
+  ('column_alignment_accuracy',0.95,'table'),('unit_currency_detection_rate',0.95,'table'),('period_detection_rate',0.95,'report'),('integrity_checks_pass_rate',0.98,'report'))
+SELECT kpi, scope, CAST(threshold AS DOUBLE) AS threshold, round(CAST(value AS DOUBLE), 9) AS value, value >= threshold AS passed FROM k JOIN m USING (kpi)"""
+
+SQL["raw_label_share"] = f"""WITH {ROW_LABELS}, {DICTIONARY}
+SELECT ['text','layout','scan'][r.row_id % 3 + 1] AS engine, CASE WHEN r.statement_type = 'balance' THEN 'stock' ELSE 'flow' END AS fact_type,
+  count(*) AS n, count(*) FILTER (WHERE f.code IS NULL) AS n_raw, round(count(*) FILTER (WHERE f.code IS NULL) / count(*), 9) AS raw_share
+FROM row_labels r JOIN found f ON f.label = r.label AND f.st = r.statement_type GROUP BY ALL"""
+
+SQL["citation_coverage"] = f"""WITH {RERANKED}
+SELECT count(*) AS n, count(*) FILTER (WHERE source_path IS NOT NULL AND page IS NOT NULL) / count(*) AS coverage FROM top"""
+
+SQL["gold_scores"] = f"""WITH {consensus(1)},
+gold AS (SELECT report_id, metric_id, as_of_date, unit, consolidation_scope, max(value) AS g FROM stock GROUP BY ALL),
+j AS (SELECT g, f.value AS p FROM gold LEFT JOIN facts f ON f.fact_type = 'stock' AND f.resolution_method = 'consensus' AND f.report_id = gold.report_id AND f.metric_id = gold.metric_id
+  AND f.as_of_date = gold.as_of_date AND f.unit IS NOT DISTINCT FROM gold.unit AND f.consolidation_scope IS NOT DISTINCT FROM gold.consolidation_scope)
+SELECT count(*) AS n_gold, round(count(p) / count(*), 9) AS completeness, round(count(*) FILTER (WHERE abs(g - p) <= 0.01) / count(*), 9) AS field_accuracy,
+  round(count(*) FILTER (WHERE abs(g - p) <= 0.01) / count(p), 9) AS numeric_accuracy FROM j"""
+
+# ---------------------------------------------------------------- dimensions and run log
+
+SQL["ingest_summary"] = f"""WITH {HTML},
+s AS (SELECT report_id, 1 AS tables, count(DISTINCT p) AS rows, count(*) AS cells, count(value) AS stock_facts FROM grid GROUP BY 1),
+a AS (SELECT DISTINCT o_custkey AS report_id, 2 AS pages FROM orders),
+j AS (SELECT a.report_id, pages, coalesce(tables,0) AS tables, coalesce(rows,0) AS rows, coalesce(cells,0) AS cells, 0 AS flow_facts, coalesce(stock_facts,0) AS stock_facts FROM a LEFT JOIN s USING (report_id))
+SELECT *, '{{"pages":' || pages || ',"tables":' || tables || ',"rows":' || rows || ',"cells":' || cells || ',"flow_facts":' || flow_facts || ',"stock_facts":' || stock_facts || '}}' AS summary_json FROM j"""
+
+SQL["ingest_modes"] = f"""WITH {REGISTRY}
+SELECT CASE WHEN p.hash IS NULL THEN 'running' ELSE 'skipped' END AS status, CASE WHEN p.hash IS NOT NULL THEN '{{"reason":"duplicate"}}' END AS summary_json, count(*) AS n
+FROM docs d LEFT JOIN prior p USING (hash) GROUP BY ALL"""
+
+SQL["company_dimension"] = """
+SELECT DISTINCT c_mktsegment || ' ' || (c_nationkey % 5) AS name, CASE WHEN c_nationkey % 3 <> 0 THEN CAST(c_nationkey % 4 AS VARCHAR) END AS ticker,
+  c_nationkey % 3 = 0 AS was_stored FROM customer"""
+
+SQL["metric_dimension"] = f"""WITH {ROW_LABELS}, {DICTIONARY},
+u AS (SELECT coalesce(f.code, 'raw_' || left(sha1(r.statement_type || ':' || n.nl), 12)) AS metric_code, r.label, r.statement_type, r.row_id
+  FROM row_labels r JOIN names n USING (label) JOIN found f ON f.label = r.label AND f.st = r.statement_type)
+SELECT metric_code, arg_min(label, row_id) AS metric_name, arg_min(statement_type, row_id) AS metric_statement,
+  CASE WHEN arg_min(statement_type, row_id) = 'balance' THEN 'stock' ELSE 'flow' END AS value_nature, '1' AS unit_default FROM u GROUP BY 1"""
+
+SQL["page_upsert"] = """
+SELECT o_custkey AS report_id, o_orderkey AS page,
+  CASE WHEN o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_custkey % 4 = 0) THEN CASE o_custkey % 4 WHEN 0 THEN '<table></table>' WHEN 1 THEN 'plain' END ELSE 'new' END AS text_md,
+  CASE WHEN o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_custkey % 4 = 0) THEN 'old' ELSE 'new' END AS text_raw FROM orders"""
+
+SQL["question_items"] = """WITH t AS (
+  SELECT ((l_orderkey*8 + l_linenumber)*100000 + l_partkey)*10000 + l_suppkey AS row_id, l_linenumber AS n, l_returnflag AS f,
+    CASE WHEN l_linenumber % 3 <> 0 THEN 'Order' || chr(10) || l_orderkey || chr(10) || chr(10) ELSE '' END || 'TABLE:' || chr(10) || 'qty' || chr(9) ||
+    CAST(l_quantity AS INT) || chr(10) || 'line' || chr(9) || l_linenumber || chr(10) || chr(10) || ' ' || chr(10) || l_returnflag AS body FROM lineitem),
+h AS (SELECT *, sha256(body) AS h, CASE WHEN n % 2 = 0 THEN 'q' || row_id ELSE left(sha256(body), 12) END AS qa_id FROM t)
+SELECT row_id, qa_id, left(h, 32) AS doc_id, 'finqa::lines.json::' || qa_id AS source_path,
+  CASE n % 4 WHEN 1 THEN 'How many?' WHEN 2 THEN 'What line?' WHEN 3 THEN 'Which flag?' END AS question,
+  CASE WHEN n % 2 = 1 THEN '42' ELSE f END AS answer, md5(body) AS text_md5 FROM h"""
+
+SQL["layout_pages"] = """WITH i AS (
+  SELECT l_orderkey AS report_id, l_linenumber % 2 + 1 AS page, l_linenumber AS n, l_partkey AS p, l_suppkey % 9 AS lv,
+    ((l_orderkey*8 + l_linenumber)*100000 + l_partkey)*10000 + l_suppkey AS pos FROM lineitem WHERE l_partkey % 3 < 2),
+m AS (
+  SELECT *, CASE WHEN p % 3 = 0 THEN CASE WHEN lv > 0 THEN repeat('#', least(lv, 6)) || ' ' ELSE '' END || 'item ' || p
+    ELSE CASE WHEN n % 3 <> 0 THEN '### cap' || chr(10) || chr(10) ELSE '' END || '<table>' || p || '</table>' || CASE WHEN n % 3 = 1 THEN chr(10) || chr(10) || 'note' ELSE '' END END AS md,
+    CASE WHEN p % 3 = 0 THEN 'item ' || p ELSE nullif(concat_ws(chr(10), CASE WHEN n % 3 <> 0 THEN 'cap' END, CASE WHEN n % 3 = 1 THEN 'note' END), '') END AS raw FROM i)
+SELECT report_id, 'layout' AS engine, page, string_agg(md, chr(10) || chr(10) ORDER BY pos) AS text_md, coalesce(string_agg(raw, chr(10) ORDER BY pos), '') AS text_raw FROM m GROUP BY ALL"""
+
+# ---------------------------------------------------------------- streams
+
+SQL["stream_unseen"] = "SELECT sha256(text) AS hash, left(sha256(text), 32) AS doc_id, arg_min(source, doc_id) AS source FROM documents GROUP BY 1, 2"
+SQL["stream_sessions"] = """WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations)
+SELECT conv_id AS session_id, min(turn) AS created_at, max(turn) AS updated_at, count(*) AS n_messages,
+  min(turn) FILTER (WHERE b <= 3) AS first_kept, count(*) FILTER (WHERE b <= 3) AS n_kept FROM r GROUP BY conv_id"""

@@ -9,12 +9,22 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import labels as L
 from tallyweave.functions import recognise as R
+from tallyweave.functions import text as X
+from tallyweave.functions import vectors as V
+from tallyweave.operators import chunking as K
 from tallyweave.operators import consensus as C
+from tallyweave.operators import dictionary as J
 from tallyweave.operators import facts as H
 from tallyweave.operators import matching as M
+from tallyweave.operators import quality as Q
+from tallyweave.operators import registry as G
+from tallyweave.operators import retrieval as S
 from tallyweave.operators import tables as T
 from tallyweave.operators.stage import stage
 from tallyweave.plans import derive as D
+from tallyweave.functions.base_metrics import base_metric_rows
+from tallyweave.sources import items as I
+from tallyweave.streaming import incremental, sessions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -259,3 +269,532 @@ def report_star(spark: SparkSession, folder: str) -> DataFrame:
         star["tables"].select("report_id", "title", "currency", "units", "currency_status", "units_status")
         .join(rows_n, "report_id").join(cells, "report_id").join(columns, "report_id")
     )
+
+
+# ---------------------------------------------------------------- chunks
+
+
+def _docs(spark: SparkSession, folder: str) -> DataFrame:
+    return D.table(spark, folder, "documents").select("doc_id", "text")
+
+
+def _hashed(df: DataFrame, *keys: str) -> DataFrame:
+    """Texts as length and MD5, so that results stay small."""
+    return df.select(*keys, F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+@query
+def document_parts(spark: SparkSession, folder: str) -> DataFrame:
+    return _hashed(K.split_parts(_docs(spark, folder)), "doc_id", "part_no")
+
+
+@query
+def sentence_split(spark: SparkSession, folder: str) -> DataFrame:
+    return _hashed(K.chunk_documents(_docs(spark, folder), X.sentences), "doc_id", "chunk_index")
+
+
+@query
+def sentence_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    chunker = K.chunk_column("sentence", 60, 20, X.count_words)
+    return _hashed(K.chunk_documents(_docs(spark, folder), chunker), "doc_id", "chunk_index")
+
+
+@query
+def recursive_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    chunker = K.chunk_column("recursive", 80, 20, X.count_words)
+    return _hashed(K.chunk_documents(_docs(spark, folder), chunker), "doc_id", "chunk_index")
+
+
+@query
+def semantic_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    embed = lambda c: V.hash_embedding(c, 16)
+    unit = lambda s: F.struct(s.alias("sent"), embed(s).alias("vec"), X.count_words(s).cast("int").alias("size"))
+    chunker = lambda c: X.semantic_chunks(F.transform(X.sentences(c), unit), 200, 20, 0.3)
+    return _hashed(K.chunk_documents(_docs(spark, folder), chunker), "doc_id", "chunk_index")
+
+
+@query
+def hard_split(spark: SparkSession, folder: str) -> DataFrame:
+    return _hashed(K.chunk_documents(_docs(spark, folder), lambda c: X.hard_split(c, 500, 50)), "doc_id", "chunk_index")
+
+
+@query
+def chunk_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of each text with the chained tail of the line before."""
+    chunker = lambda c: X.overlap_chunks(X.nonempty(F.transform(X.lines(c), X.strip)), 30)
+    return _hashed(K.chunk_documents(_docs(spark, folder), chunker), "doc_id", "chunk_index")
+
+
+@query
+def token_count(spark: SparkSession, folder: str) -> DataFrame:
+    return _docs(spark, folder).select("doc_id", X.count_words(F.col("text")).alias("n_words"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+@query
+def hash_embedding(spark: SparkSession, folder: str) -> DataFrame:
+    """Bucket counts of the default embedder over conversation turns, as rows."""
+    turns = D.table(spark, folder, "conversations")
+    made = K.stage(K.spread(turns), {"vec": V.hash_embedding(F.col("text"), 32)}, ["conv_id", "turn"])
+    return made.select("conv_id", "turn", F.posexplode("vec").alias("bucket", "weight")).filter("weight > 0").withColumn(
+        "weight", F.round("weight", 6)
+    )
+
+
+@query
+def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
+    """Top 20 vectors of the whole corpus for the mean of each label."""
+    hits = S.top_n(D.centroid_queries(spark, folder), D.vector_corpus(spark, folder).select("id", "embedding"))
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query
+def hashed_topk(spark: SparkSession, folder: str) -> DataFrame:
+    planes = S.hyperplanes(64, 12, 6)
+    corpus = D.vector_corpus(spark, folder).select("id", "embedding")
+    hits = S.hashed_top_n(D.centroid_queries(spark, folder), corpus, 20, planes)
+    return hits.withColumn("score", F.round("score", 6))
+
+
+@query
+def hits_at_k(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of label queries with a vector of their own label among the first five."""
+    corpus = D.vector_corpus(spark, folder)
+    hits = S.top_n(D.centroid_queries(spark, folder), corpus.select("id", "embedding"))
+    judged = hits.join(corpus.select("id", "label"), "id").withColumn("relevant", F.col("label") == F.col("query_id"))
+    return Q.hits_at_k(judged, 5)
+
+
+def _reranked(spark: SparkSession, folder: str) -> DataFrame:
+    answers = D.rerank_responses(spark, folder).withColumn("parsed", S.parse_scores(F.col("response")))
+    failed = answers.filter("parsed IS NULL")
+    scores = answers.select("query_id", F.posexplode("parsed").alias("score_pos", "p")).select(
+        "query_id", "score_pos", "p.index", F.col("p.score").alias("rerank_score")
+    )
+    return S.rerank(D.ranked_passages(spark, folder), scores, 5, failed)
+
+
+@query
+def rerank_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return _reranked(spark, folder).select("query_id", "position", "id", "rerank_score")
+
+
+@query
+def context_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    return S.context_blocks(_reranked(spark, folder))
+
+
+@query
+def citations(spark: SparkSession, folder: str) -> DataFrame:
+    return S.citations(_reranked(spark, folder))
+
+
+@query
+def hit_display(spark: SparkSession, folder: str) -> DataFrame:
+    return S.display_lines(_reranked(spark, folder)).drop("vector_text")
+
+
+@query
+def postings(spark: SparkSession, folder: str) -> DataFrame:
+    index = S.postings(_docs(spark, folder), "doc_id")
+    return index.select("term", "doc_id", "tf", F.get("positions", 0).alias("first_position"))
+
+
+@query
+def term_search(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold all words of a benchmark passage."""
+    items = D.table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return S.term_search(S.postings(_docs(spark, folder), "doc_id").drop("positions"), items, "doc_id")
+
+
+# ---------------------------------------------------------------- registry and sessions
+
+
+@query
+def content_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return G.with_hash(D.table(spark, folder, "documents").drop("doc_id")).groupBy("doc_id", "hash").agg(
+        F.count("*").alias("n_copies")
+    )
+
+
+def _outcome(spark: SparkSession, folder: str) -> DataFrame:
+    """Result of indexing all documents once: known contents are skipped, short texts fail or stay empty."""
+    docs = D.documents(spark, folder)
+    known = D.prior_registry(spark, folder).filter("status = 'indexed'").select("hash").distinct()
+    n_words = X.count_words(F.col("text"))
+    fresh = docs.join(known, "hash", "left_anti").withColumns(
+        {
+            "num_chunks": F.floor(n_words / 50).cast("int"),
+            "error": F.when(F.contains("text", F.lit("@")), F.lit("bad character")),
+        }
+    )
+    done = fresh.withColumn("status", G.index_status(F.col("num_chunks"), F.col("error")))
+    skipped = docs.join(known, "hash", "left_semi").withColumns(
+        {"num_chunks": F.lit(0), "error": F.lit(None).cast("string"), "status": F.lit("skipped")}
+    )
+    columns = ["doc_no", "path", "hash", "lang", "num_chunks", "error", "status"]
+    return done.select(*columns).unionByName(skipped.select(*columns))
+
+
+@query
+def index_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return G.index_summary(_outcome(spark, folder), ["lang"])
+
+
+@query
+def registry_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Registry after the run; of copies the document with the highest number is written last."""
+    incoming = _outcome(spark, folder).filter("status <> 'skipped'").select(
+        F.substring("hash", 1, 32).alias("doc_id"), "path", "hash", "status", "num_chunks",
+        (F.col("doc_no") + 1).alias("updated_at"),
+    )
+    return G.upsert_documents(D.prior_registry(spark, folder), incoming)
+
+
+@query
+def unseen_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """First copy of each content that no earlier run has seen, whatever its status."""
+    fresh = G.unseen(D.documents(spark, folder), D.prior_registry(spark, folder), only_indexed=False, batch_order="doc_no")
+    return fresh.select("hash", "doc_no", "path")
+
+
+@query
+def registry_health(spark: SparkSession, folder: str) -> DataFrame:
+    docs = D.documents(spark, folder).select(
+        F.col("doc_no").alias("doc_id"), "path", F.lit("indexed").alias("status"), F.lit(1).alias("num_chunks"),
+        F.col("doc_no").alias("updated_at"),
+    )
+    return G.registry_health(docs)
+
+
+@query
+def session_activity(spark: SparkSession, folder: str) -> DataFrame:
+    return G.session_activity(D.messages(spark, folder))
+
+
+@query
+def last_messages(spark: SparkSession, folder: str) -> DataFrame:
+    return G.last_messages(D.messages(spark, folder), 3).select(
+        "session_id", "position", "ts", "role", F.md5(F.col("content").cast("binary")).alias("content_md5")
+    )
+
+
+@query
+def latest_user_query(spark: SparkSession, folder: str) -> DataFrame:
+    return G.latest_user_query(D.messages(spark, folder))
+
+
+# ---------------------------------------------------------------- dictionary jobs
+
+
+@query
+def label_index(spark: SparkSession, folder: str) -> DataFrame:
+    return J.label_index(D.part_metrics(spark, folder))
+
+
+@query
+def concept_mapping(spark: SparkSession, folder: str) -> DataFrame:
+    return J.map_concepts(D.taxonomy_labels(spark, folder), D.part_metrics(spark, folder), create=True).drop("concept_order")
+
+
+def _label_lists(metrics: DataFrame) -> DataFrame:
+    packs = F.inline(F.array(*[F.struct(F.lit(b).alias("bucket"), F.col(b).alias("labels")) for b in J.BUCKETS]))
+    return metrics.select("metric_code", packs).filter(F.size("labels") > 0).select(
+        "metric_code", "bucket", F.size("labels").alias("n_labels"), F.array_join("labels", "|").alias("labels")
+    )
+
+
+@query
+def taxonomy_merge(spark: SparkSession, folder: str) -> DataFrame:
+    return _label_lists(J.merge_labels(D.part_metrics(spark, folder), D.taxonomy_labels(spark, folder), create=True))
+
+
+@query
+def contents_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """A single list filled down in blocks."""
+    return J.contents(D.contents_rows(spark, folder)).drop("doc")
+
+
+def _toc(spark: SparkSession, folder: str) -> DataFrame:
+    return J.contents(D.contents_rows(spark, folder)).filter("level = 'sub'").withColumnRenamed("row_index", "row_order")
+
+
+@query
+def contents_mapping(spark: SparkSession, folder: str) -> DataFrame:
+    return J.map_contents(_toc(spark, folder), D.part_metrics(spark, folder), create=True).drop("cas_name", "metric_name_cn")
+
+
+@query
+def contents_counts(spark: SparkSession, folder: str) -> DataFrame:
+    metrics = D.part_metrics(spark, folder)
+    return J.contents_counts(J.map_contents(_toc(spark, folder), metrics), metrics)
+
+
+@query
+def dictionary_cleanup(spark: SparkSession, folder: str) -> DataFrame:
+    done = J.clean_dictionary(D.part_metrics(spark, folder))
+    return _label_lists(done).join(done.select("metric_code", "changed"), "metric_code")
+
+
+@query
+def pattern_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    return _label_lists(M.bucket_patterns(D.part_metrics(spark, folder)))
+
+
+@query
+def dictionary_merge(spark: SparkSession, folder: str) -> DataFrame:
+    """Definitions of large parts loaded over the definitions of even keys."""
+    metrics = D.part_metrics(spark, folder)
+    loaded = metrics.filter("statement_type <> 'income'").withColumn("patterns", F.slice("patterns", 1, 1)).withColumn(
+        "metric_name_en", F.lit(None).cast("string")
+    )
+    base = metrics.filter("def_order % 2 = 0")
+    merged = M.merge_metrics(base, loaded)
+    return _label_lists(merged).join(merged.select("metric_code", "metric_name_en", "def_order"), "metric_code")
+
+
+@query
+def dictionary_prune(spark: SparkSession, folder: str) -> DataFrame:
+    return J.prune_counts(D.part_metrics(spark, folder), "m1")
+
+
+@query
+def metric_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Income metrics are stored with old names; all even keys come in."""
+    metrics = D.part_metrics(spark, folder)
+    stored = metrics.filter("statement_type = 'income'").select(
+        F.col("def_order").cast("long").alias("metric_id"), "metric_code", F.lit("old").alias("metric_name_cn"),
+        F.lit("old").alias("metric_name_en"), "statement_type", "value_nature",
+    )
+    done = J.upsert_metrics(stored, metrics.filter("def_order % 2 = 0"))
+    known = F.col("metric_code") == F.concat(F.lit("m"), F.col("metric_id").cast("string"))
+    return done.withColumn("is_new", ~known).drop("metric_id")
+
+
+@query
+def metric_parents(spark: SparkSession, folder: str) -> DataFrame:
+    metrics = D.part_metrics(spark, folder).withColumn("metric_id", F.col("def_order"))
+    return J.resolve_parents(metrics.filter("statement_type <> 'cashflow'"))
+
+
+@query
+def dictionary_aliases(spark: SparkSession, folder: str) -> DataFrame:
+    return J.alias_rows(D.part_metrics(spark, folder))
+
+
+@query
+def metric_ancestors(spark: SparkSession, folder: str) -> DataFrame:
+    return J.ancestors(D.part_metrics(spark, folder))
+
+
+@query
+def taxonomy_match(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels the dictionary does not know, looked up by code and name in contents records."""
+    mapped = J.map_contents(_toc(spark, folder), D.part_metrics(spark, folder))
+    records = mapped.withColumnRenamed("row_order", "record_order")
+    rows = D.contents_rows(spark, folder).filter(~F.rlike("text", F.lit("^CAS"))).select(
+        F.col("row_index").alias("row_id"),
+        F.when(F.col("row_index") % 2 == 0, F.col("text")).otherwise(F.regexp_extract("text", r"\A\[\d+\] (.*)\z", 1)).alias("label"),
+    )
+    metrics = M.bucket_patterns(D.part_metrics(spark, folder)).withColumns({b: F.array().cast("array<string>") for b in J.BUCKETS})
+    found = M.match_labels(rows, metrics, "label", records)
+    return found.select("row_id", *[f"match_{s}" for s in L.STATEMENTS])
+
+
+# ---------------------------------------------------------------- evaluation
+
+
+@query
+def match_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Row labels judged against the metric their word belongs to; dressed-up labels are negatives."""
+    word_codes = [r["metric_code"] for r in base_metric_rows()]
+    rows = M.match_labels(D.row_labels(spark, folder), M.base_metrics(spark))
+    part = F.floor(F.col("row_id") / 10000) % 100000
+    negative = F.contains("label", F.lit("明细"))
+    cases = rows.select(
+        F.when(~negative, D.pick(word_codes, part % len(word_codes))).alias("expected"),
+        M.match_for(F.col("statement_type")).alias("predicted"),
+        (F.col("row_id") % 3 != 0).alias("required"),
+    )
+    quality = Q.match_quality(cases)
+    gates = Q.match_gates(quality).select("split", "passed")
+    rates = ["exact_match_rate", "positive_precision", "positive_recall", "positive_f1", "false_positive_rate_on_negatives"]
+    return quality.withColumns({r: F.round(r, 9) for r in rates}).join(gates, "split")
+
+
+@query
+def nearest_rank_percentile(spark: SparkSession, folder: str) -> DataFrame:
+    return Q.nearest_rank(D.table(spark, folder, "events"), "value", 95, ("event_type",))
+
+
+@query
+def extraction_quality(spark: SparkSession, folder: str) -> DataFrame:
+    pages = D.html_pages(spark, folder)
+    tables, rows = T.html_tables(pages, M.base_patterns())
+    meta = T.report_metadata(pages)
+    reports = meta.select("report_id", F.lit(True).alias("ok"))
+    out = Q.extraction_quality(reports, tables, M.match_labels(rows, M.base_metrics(spark)), meta)
+    return out.withColumn("numeric_cell_rate", F.round("numeric_cell_rate", 9))
+
+
+@query
+def quality_kpis(spark: SparkSession, folder: str) -> DataFrame:
+    pages = D.html_pages(spark, folder)
+    tables, rows = T.html_tables(pages, M.base_patterns())
+    meta = T.report_metadata(pages)
+    candidates = H.build_candidates(tables, rows, meta, M.base_metrics(spark))
+    values = Q.kpi_values(meta, tables, rows, candidates, C.balance_identity(D.balance_facts(spark, folder)))
+    return Q.quality_kpis(values.withColumn("value", F.round("value", 9)))
+
+
+@query
+def raw_label_share(spark: SparkSession, folder: str) -> DataFrame:
+    """Row labels of three engines with the dictionary's or the raw code."""
+    rows = M.match_labels(D.row_labels(spark, folder), M.base_metrics(spark))
+    code = F.coalesce(M.match_for(F.col("statement_type")), L.raw_metric_code(F.col("label"), F.col("statement_type")))
+    coded = rows.select(
+        D.pick(["text", "layout", "scan"], F.col("row_id") % 3).alias("engine"),
+        F.when(F.col("statement_type") == "balance", "stock").otherwise("flow").alias("fact_type"),
+        code.alias("metric_code"),
+    )
+    return Q.raw_label_share(coded).withColumn("raw_share", F.round("raw_share", 9))
+
+
+@query
+def citation_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    return Q.citation_coverage(S.citations(_reranked(spark, folder)))
+
+
+@query
+def gold_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Consensus values of stock facts judged against the hand-checked largest candidate."""
+    stock = D.stock_candidates(spark, folder).withColumns({"unit": F.coalesce("unit", F.lit("-")), "consolidation_scope": F.coalesce("consolidation_scope", F.lit("-"))})
+    facts = C.consensus_facts(stock, D.versions(spark))
+    keys = ["report_id", "metric_id", "as_of_date", "unit", "consolidation_scope"]
+    gold = stock.groupBy(*keys).agg(F.max("value").alias("value"))
+    agreed = facts.filter("resolution_method = 'consensus'")
+    out = Q.gold_scores(gold, agreed, keys)
+    return out.withColumns({c: F.round(c, 9) for c in ("completeness", "field_accuracy", "numeric_accuracy")})
+
+
+# ---------------------------------------------------------------- dimensions and run log
+
+
+@query
+def ingest_summary(spark: SparkSession, folder: str) -> DataFrame:
+    pages = D.html_pages(spark, folder)
+    tables, rows = T.html_tables(pages, M.base_patterns())
+    candidates = H.build_candidates(tables, rows, T.report_metadata(pages), M.base_metrics(spark))
+    return H.ingest_summary(pages, tables, rows, candidates).drop("engine")
+
+
+@query
+def ingest_modes(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as reports against the contents an earlier run stored."""
+    docs = D.documents(spark, folder).select(F.col("doc_no").alias("report_id"), F.col("hash").alias("source_hash"))
+    registry = D.prior_registry(spark, folder).select(F.col("hash").alias("source_hash"), F.lit(1).alias("report_id"))
+    return H.version_log(H.ingest_mode(docs, registry)).groupBy("status", "summary_json").agg(F.count("*").alias("n"))
+
+
+@query
+def company_dimension(spark: SparkSession, folder: str) -> DataFrame:
+    """Customers of a segment and supplier-like tickers; one segment is stored already."""
+    reports = D.table(spark, folder, "customer").select(
+        F.concat("c_mktsegment", F.lit(" "), (F.col("c_nationkey") % 5).cast("string")).alias("company_name"),
+        F.when(F.col("c_nationkey") % 3 != 0, (F.col("c_nationkey") % 4).cast("string")).alias("ticker"),
+    )
+    stored = H.company_dimension(reports.filter(F.col("ticker").isNull())).withColumn("company_id", F.lit(1).cast("long"))
+    return H.company_dimension(reports, stored).select("name", "ticker", (F.col("company_id") == 1).alias("was_stored"))
+
+
+@query
+def metric_dimension(spark: SparkSession, folder: str) -> DataFrame:
+    """First use of every metric or raw code by a row label."""
+    rows = M.match_labels(D.row_labels(spark, folder), M.base_metrics(spark))
+    code = F.coalesce(M.match_for(F.col("statement_type")), L.raw_metric_code(F.col("label"), F.col("statement_type")))
+    used = rows.select(
+        code.alias("metric_code"), F.col("label").alias("metric_name"), F.col("statement_type").alias("metric_statement"),
+        F.when(F.col("statement_type") == "balance", "stock").otherwise("flow").alias("value_nature"),
+        F.lit("1").alias("unit_default"), F.col("row_id").alias("row_order"),
+    )
+    return H.metric_dimension(used).drop("metric_id")
+
+
+@query
+def page_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages of orders written over pages that hold tables for every fourth customer."""
+    orders = D.table(spark, folder, "orders")
+    key = [F.col("o_custkey").alias("report_id"), F.col("o_orderkey").alias("page")]
+    md = F.when(F.col("o_custkey") % 4 == 0, "<table></table>").when(F.col("o_custkey") % 4 == 1, "plain")
+    stored = orders.filter("o_orderstatus <> 'F'").select(*key, md.alias("text_md"), F.lit("old").alias("text_raw"))
+    incoming = orders.filter("o_orderstatus <> 'O'").select(*key, F.lit("new").alias("text_md"), F.lit("new").alias("text_raw"))
+    return H.upsert_pages(stored, incoming)
+
+
+@query
+def question_items(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as question records: document text, hash id, question and answer."""
+    n = F.col("l_linenumber")
+    blank = F.array().cast("array<string>")
+    items = D.table(spark, folder, "lineitem").select(
+        F.when(n % 2 == 0, F.concat(F.lit("q"), D.line_id().cast("string"))).alias("id"),
+        F.lit(None).cast("string").alias("uid"),
+        F.when(n % 3 == 0, blank).otherwise(F.array(F.lit("Order"), F.lit(""), F.col("l_orderkey").cast("string"))).alias("pre_text"),
+        F.array(F.array(F.lit("qty"), F.col("l_quantity").cast("int").cast("string")), F.array(F.lit("line"), n.cast("string"))).alias("table"),
+        F.array(F.lit(" "), F.col("l_returnflag")).alias("post_text"),
+        F.when(n % 4 == 1, "How many?").alias("question"),
+        F.when(n % 4 == 2, "What line?").alias("query"),
+        F.struct(F.when(n % 4 == 3, "Which flag?").alias("question"), F.col("l_returnflag").alias("answer")).alias("qa"),
+        F.lit(None).cast("string").alias("q"),
+        F.when(n % 2 == 1, "42").alias("answer"),
+        F.lit(None).cast("string").alias("final"),
+        F.lit(None).cast("string").alias("a"),
+        F.lit("lines.json").alias("file_name"),
+        D.line_id().alias("row_id"),
+    )
+    read = I.question_documents(items)
+    return read.select(
+        "row_id", "qa_id", "doc_id", "source_path", "question", "answer", F.md5(F.col("doc_text").cast("binary")).alias("text_md5")
+    )
+
+
+@query
+def layout_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as layout items of their order: text with levels, tables with captions, unknown types."""
+    n = F.col("l_linenumber")
+    none = F.array().cast("array<string>")
+    items = D.table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("report_id"),
+        F.lit("layout").alias("engine"),
+        D.line_id().alias("pos"),
+        (n % 2).cast("string").alias("page_idx"),
+        D.pick(["text", "Table ", "image"], F.col("l_partkey") % 3).alias("type"),
+        F.concat(F.lit(" item "), F.col("l_partkey").cast("string"), F.lit(" ")).alias("text"),
+        (F.col("l_suppkey") % 9).cast("int").alias("text_level"),
+        F.when(n % 3 == 0, none).otherwise(F.array(F.lit("cap"), F.lit(" "))).alias("table_caption"),
+        F.concat(F.lit("<table>"), F.col("l_partkey").cast("string"), F.lit("</table>")).alias("table_body"),
+        F.when(n % 3 == 1, F.array(F.lit("note"))).otherwise(none).alias("table_footnote"),
+    )
+    return I.layout_pages(items, known_types=("text", "table"))
+
+
+# ---------------------------------------------------------------- streams
+
+
+@query
+def stream_unseen(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as a stream: each content is registered once."""
+    registry = incremental.run_registry_stream(spark, f"{folder}/documents*.parquet", D.table(spark, folder, "documents").schema)
+    return registry.select("hash", "doc_id", "source")
+
+
+@query
+def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """The conversations as a stream: activity per session and its last messages."""
+    source = f"{folder}/conversations*.parquet"
+    schema = D.table(spark, folder, "conversations").schema
+    activity, last = sessions.run_session_stream(spark, source, schema, limit=3)
+    recent = last.groupBy("session_id").agg(F.min("ts").alias("first_kept"), F.count("*").alias("n_kept"))
+    return activity.join(recent, "session_id")
