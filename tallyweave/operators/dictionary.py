@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.labels import GENERIC_SHORT, SHORT_MAX, english_name, normalize_label
 from tallyweave.operators.ordered import running
+from tallyweave.operators.quality import side_by_side
 from tallyweave.operators.stage import materialize, stage
 
 BUCKETS = ("patterns", "patterns_exact", "patterns_en", "patterns_en_exact")
@@ -311,7 +312,7 @@ def contents_counts(mapped: DataFrame, metrics: DataFrame) -> DataFrame:
     )
     added = contents_additions(mapped).select("metric_code", "bucket", "label").distinct().join(have, ["metric_code", "bucket", "label"], "left_anti")
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    return per_row.join(one(made, "created"), F.lit(True)).join(one(added, "alias_added"), F.lit(True))
+    return side_by_side([per_row, one(made, "created"), one(added, "alias_added")])
 
 
 # ---------------------------------------------------------------- cleanup and sync

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import labels as L
 from tallyweave.operators import matching as M
-from tallyweave.operators.stage import materialize, stage
-from tallyweave.operators.tables import KEY, best_statement, statement_scores
+from tallyweave.operators.stage import materialize
+from tallyweave.operators.tables import KEY, vote_by_rows
 
 
 # ---------------------------------------------------------------- registry and dimensions
@@ -170,16 +170,10 @@ def build_candidates(
     if not strict_core_gate:
         core = core | F.coalesce(F.col("statement_type").isin(*L.STATEMENTS), F.lit(False))
     wanted = tables.filter(core) if core_only else tables
-    named = M.match_labels(rows, metrics, "label", mapping)
-    points = {f"points_{s}": c for s, c in statement_scores(F.col("label"), patterns).items()}
-    matched = materialize(stage(named, points), "matched-rows")
-    votes = matched.groupBy(*KEY).agg(
-        *[F.count(f"match_{s}").alias(f"hits_{s}") for s in L.STATEMENTS],
-        *[F.sum(f"points_{s}").alias(f"points_{s}") for s in L.STATEMENTS],
-    )
-    preferred = F.coalesce(
-        L.mapped_statement(F.col("statement_type")), best_statement({s: F.col(f"points_{s}") for s in L.STATEMENTS})
-    )
+    matched = materialize(M.match_labels(rows, metrics, "label", mapping), "matched-rows")
+    votes = matched.groupBy(*KEY).agg(*[F.count(f"match_{s}").alias(f"hits_{s}") for s in L.STATEMENTS])
+    mapped = L.mapped_statement(F.col("statement_type"))
+    voted = vote_by_rows(wanted.filter(mapped.isNull()), matched, patterns)
     statement, hits = M.pick_statement({s: F.col(f"hits_{s}") for s in L.STATEMENTS}, F.col("preferred"), min_rows)
     about = meta.select(
         "report_id", "engine", "report_type", F.col("period_end").alias("report_end"),
@@ -187,7 +181,8 @@ def build_candidates(
     )
     picked = (
         wanted.join(votes, KEY)
-        .withColumn("preferred", preferred)
+        .join(voted, KEY, "left")
+        .withColumn("preferred", F.coalesce(mapped, "voted"))
         .filter("preferred IS NOT NULL")
         .withColumns({"statement": statement, "hits": hits})
         .filter(F.col("hits") >= min_rows)

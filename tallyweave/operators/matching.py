@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import labels as L
 from tallyweave.functions.base_metrics import base_metric_rows
-from tallyweave.operators.stage import stage
+from tallyweave.operators.stage import local_table, stage
 
 METRIC_SCHEMA = (
     "def_order int, metric_code string, metric_name_cn string, metric_name_en string, statement_type string, "
@@ -37,7 +37,7 @@ def base_metrics(spark: SparkSession) -> DataFrame:
     """The built-in dictionary, 141 definitions."""
     rows = base_metric_rows()
     names = [part.split()[0] for part in METRIC_SCHEMA.split(", ")]
-    return spark.createDataFrame([tuple(r[n] for n in names) for r in rows], METRIC_SCHEMA)
+    return local_table(spark, [tuple(r[n] for n in names) for r in rows], METRIC_SCHEMA)
 
 
 def base_patterns() -> dict[str, list[str]]:
@@ -153,7 +153,7 @@ def lookup_table(metrics: DataFrame) -> DataFrame:
     """One row per key: for each statement the first metric, and the first ratio metric."""
     keys = match_keys(metrics)
     spark = metrics.sparkSession
-    direct = spark.createDataFrame(DIRECT_LABELS, "statement_type string, label string, metric_code string")
+    direct = local_table(spark, list(DIRECT_LABELS), "statement_type string, label string, metric_code string")
     known = (
         direct.withColumn("norm_key", L.normalize_label(F.col("label")))
         .join(metrics.select("metric_code"), "metric_code", "left_semi")

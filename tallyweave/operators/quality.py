@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.labels import STATEMENTS
+from tallyweave.operators.stage import local_table
 from tallyweave.operators.tables import KEY
 
 # Declared quality indicators with their thresholds and scopes.
@@ -92,8 +95,7 @@ def extraction_quality(reports: DataFrame, tables: DataFrame, matched_rows: Data
         F.count("*").alias("n_meta"), F.count("currency").alias("m_currency"), F.count("units").alias("m_units"),
         F.count("period_end").alias("m_period"),
     )
-    # Four one-row frames side by side.
-    one = docs.join(shape, F.lit(True)).join(rows, F.lit(True)).join(fields, F.lit(True))
+    one = side_by_side([docs, shape, rows, fields])
     r = lambda a, b: ratio(F.coalesce(F.col(a), F.lit(0)), F.col(b))
     return one.select(
         r("n_ok", "n_docs").alias("doc_success_rate"),
@@ -112,36 +114,48 @@ def extraction_quality(reports: DataFrame, tables: DataFrame, matched_rows: Data
     )
 
 
-def nearest_rank(df: DataFrame, value: str, p: float, by: tuple[str, ...] = ()) -> DataFrame:
+def nearest_rank(df: DataFrame, value: str, p: float, by: tuple[str, ...] = (), small: int = 100_000) -> DataFrame:
     """Value at rank round(p/100·(n−1)), halves to the even rank; no interpolation.
 
-    Values are counted per distinct value first.  A group's distinct values are
-    cut into ranges of equal value width, whose counts say in which range the
-    rank lies; only that range is then sorted.
+    Groups of more than ``small`` values are first narrowed to a bracket around
+    the rank by a quantile sketch (its rank error is a tenth of the bracket's
+    margin); values below the bracket are only counted, and the exact rank is
+    taken among the values inside it.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    ends = counts.groupBy(*by).agg(F.sum("c").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
-    rank = F.bround(F.lit(p / 100.0) * (F.col("n") - 1), 0).cast("long")
-    target = ends.withColumn("target", F.greatest(F.lit(0), F.least(F.col("n") - 1, rank)))
-    join = (lambda a, b: a.join(b, list(by))) if by else (lambda a, b: a.join(b, F.lit(True)))
-    slots = 1024
-    slot = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * (slots - 1))).otherwise(0)
-    placed = join(counts, target).withColumn("slot", slot.cast("int"))
-    from pyspark.sql import Window
-
-    ahead = Window.partitionBy(*by).orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    per_slot = placed.groupBy(*by, "slot", "target").agg(F.sum("c").alias("sc")).withColumn(
-        "before", F.coalesce(F.sum("sc").over(ahead), F.lit(0))
+    share, margin = p / 100.0, 0.001
+    around = [max(0.0, share - margin), min(1.0, share + margin)]
+    known = df.filter(F.col(value).isNotNull()).withColumn("_one", F.lit(1))
+    keys = ["_one", *by]
+    ends = known.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"),
+        F.percentile_approx(value, around, 10_000).alias("q"),
+    )
+    rank = F.bround(F.lit(share) * (F.col("n") - 1), 0).cast("long")
+    large = F.col("n") > small
+    target = ends.select(
+        *keys,
+        F.greatest(F.lit(0), F.least(F.col("n") - 1, rank)).alias("target"),
+        F.when(large & F.lit(share > margin), F.get("q", 0)).otherwise(F.col("lo")).alias("lo"),
+        F.when(large & F.lit(share < 1 - margin), F.get("q", 1)).otherwise(F.col("hi")).alias("hi"),
+    )
+    placed = known.select(*keys, value).join(target, keys)
+    below = placed.filter(F.col(value) < F.col("lo")).groupBy(*keys).agg(F.count("*").alias("n_below"))
+    inside = placed.filter(F.col(value).between(F.col("lo"), F.col("hi"))).groupBy(*keys, "target", value).agg(F.count("*").alias("c"))
+    walk = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    ranked = inside.join(below, keys, "left").withColumn(
+        "at", F.coalesce("n_below", F.lit(0)) + F.coalesce(F.sum("c").over(walk), F.lit(0))
     )
-    hit = per_slot.filter("target >= before AND target < before + sc").select(*by, "slot", "before")
-    inside = placed.join(hit, [*by, "slot"])
-    walk = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = inside.withColumn("at", F.col("before") + F.coalesce(F.sum("c").over(walk), F.lit(0)))
     return ranked.filter("target >= at AND target < at + c").select(*by, F.col(value).alias(f"p{p:g}"))
 
 
+def side_by_side(frames: list[DataFrame]) -> DataFrame:
+    """One-row frames with different columns as one row."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+
+
 def kpi_thresholds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KPI_THRESHOLDS, "kpi string, threshold double, scope string")
+    return local_table(spark, list(KPI_THRESHOLDS), "kpi string, threshold double, scope string")
 
 
 def quality_kpis(measured: DataFrame) -> DataFrame:
@@ -170,10 +184,7 @@ def kpi_values(meta: DataFrame, tables: DataFrame, rows: DataFrame, candidates:
         one(meta, "period_detection_rate", F.count("period_end"), F.count("*")),
         one(checks, "integrity_checks_pass_rate", F.count_if(F.col("status") == "pass"), F.count("*")),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def raw_label_share(candidates: DataFrame) -> DataFrame:

@@ -61,10 +61,9 @@ def index_errors(outcome: DataFrame) -> DataFrame:
 
 def registry_health(registry: DataFrame, latest: int = 5) -> DataFrame:
     """The most recent documents with the number of all documents beside each."""
-    total = registry.agg(F.count("*").alias("n_documents"))
     newest = registry.orderBy(F.desc("updated_at"), F.desc("doc_id")).limit(latest)
-    # One row joins at most `latest` rows.
-    return newest.select("doc_id", "path", "status", "num_chunks").join(total, F.lit(True), "left")
+    total = registry.agg(F.count("*")).scalar()
+    return newest.select("doc_id", "path", "status", "num_chunks", total.alias("n_documents"))
 
 
 def session_activity(messages: DataFrame, at: str = "ts") -> DataFrame:

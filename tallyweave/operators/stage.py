@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyweave.session import work_folder
 
@@ -20,10 +22,13 @@ def stage(df: DataFrame, columns: dict[str, Column], keep: list[str] | None = No
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work when the input has fewer splits than cores.
+    """Use all cores for heavy per-row work when a scan has fewer splits than cores.
 
-    Inputs of cluster size have more splits than cores and stay as they are.
+    Scans of cluster size have more splits than cores and stay as they are, and
+    so do inputs that come out of a shuffle.
     """
+    if df.isStreaming or df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -38,3 +43,18 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     path = work_folder(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+ARROW_TYPES = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table whose size the planner knows.
+
+    Rows handed over one by one become an RDD of unknown size and make a join
+    shuffle its other side; an Arrow table becomes a local relation.
+    """
+    fields = T.StructType.fromDDL(schema).fields
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    arrays = [pa.array(list(c), ARROW_TYPES[f.dataType.simpleString()]) for c, f in zip(columns, fields)]
+    return spark.createDataFrame(pa.table(arrays, names=[f.name for f in fields]), schema=T.StructType(fields))

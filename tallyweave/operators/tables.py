@@ -21,7 +21,7 @@ from tallyweave.functions.labels import STATEMENTS, is_row_label, normalize_labe
 from tallyweave.functions.text import lines, strip
 from tallyweave.functions.vectors import let
 from tallyweave.operators.ordered import running
-from tallyweave.operators.stage import materialize, stage
+from tallyweave.operators.stage import materialize, spread, stage
 
 TABLE = r"(?is)<table\b.*?>.*?</table>"
 ROW = r"(?is)<tr\b.*?>.*?</tr>"
@@ -58,6 +58,17 @@ def best_statement(scores: dict[str, Column]) -> Column:
     return F.when(top > 0, F.coalesce(*[F.when(scores[s] == top, F.lit(s)) for s in STATEMENTS]))
 
 
+def vote_by_rows(tables: DataFrame, rows: DataFrame, patterns: dict[str, list[str]]) -> DataFrame:
+    """(key, voted): statement of the given tables by the phrases in their row labels.
+
+    Only rows of these tables are scored.
+    """
+    asked = rows.join(tables.select(*KEY), KEY, "left_semi")
+    scored = stage(asked, {f"points_{s}": c for s, c in statement_scores(F.col("label"), patterns).items()}, KEY)
+    sums = scored.groupBy(*KEY).agg(*[F.sum(f"points_{s}").alias(f"points_{s}") for s in STATEMENTS])
+    return sums.select(*KEY, best_statement({s: F.col(f"points_{s}") for s in STATEMENTS}).alias("voted"))
+
+
 # ---------------------------------------------------------------- HTML tables
 
 
@@ -155,10 +166,12 @@ def merge_header(rows: Column) -> Column:
 def html_tables(pages: DataFrame, patterns: dict[str, list[str]], rule_map: Column | None = None):
     """Tables of pages that carry ``<table>`` markup: ``(tables, rows)``.
 
-    Everything about a table lies in its own page, so no shuffle is needed.
+    Everything about a table lies in its own page, so no shuffle is needed; the
+    parsed tables are written once and read by both results.
     """
     found = (
-        pages.filter(F.contains("text_md", F.lit("<table")))
+        spread(pages)
+        .filter(F.contains("text_md", F.lit("<table")))
         .select(
             "report_id",
             "engine",
@@ -270,6 +283,9 @@ def html_tables(pages: DataFrame, patterns: dict[str, list[str]], rule_map: Colu
         | F.col("statement_type").isNotNull()
         | F.coalesce(F.contains("title", F.lit("表")), F.lit(False))
     )
+    # Tables and rows are two views of the same costly parse.
+    columns = [*KEY, "page", "title", "statement_type", "context", "labels", "context_date", "rows"]
+    kept = materialize(kept.select(*columns), "html-tables")
     tables = kept.select(
         *KEY,
         "title",
@@ -326,29 +342,29 @@ def text_tables(pages: DataFrame, patterns: dict[str, list[str]], rule_map: Colu
     into blocks of pages instead of being walked line by line.
     """
     group = ["report_id", "engine"]
-    raw = pages.select(*group, "page", F.posexplode(lines(F.col("text_raw"))).alias("pos", "raw")).select(
+    raw = spread(pages).select(*group, "page", F.posexplode(lines(F.col("text_raw"))).alias("pos", "raw")).select(
         *group, "page", "pos", strip(F.col("raw")).alias("line")
     )
+    # One number per line that orders the lines of a report; running maxima of it are cheap.
+    place = F.shiftleft(F.col("page").cast("long"), 32) + F.col("pos")
     read = stage(
-        stage(raw, {"cells": R.numbers(F.col("line")), "label": R.strip_numbers(F.col("line"))}),
+        stage(raw, {"n_numbers": F.size(R.number_texts(F.col("line"))), "label": R.strip_numbers(F.col("line"))}),
         {
-            "can_be_row": (F.size("cells") >= 1) & (F.col("label") != ""),
+            "place": place,
+            "can_be_row": (F.col("n_numbers") >= 1) & (F.col("label") != ""),
             "names_statement": R.detect_statement(F.col("line"), rule_map).isNotNull(),
         },
-    )
+    ).drop("pos")
     read = materialize(read, "report-lines")
-    here = F.struct("page", "pos")
+    here = F.col("place")
     states = running(
         read,
         group,
-        ["page", "pos"],
+        ["place"],
         {
             "last_break": ("max", F.when(~F.col("can_be_row"), here)),
-            "last_open": ("max", F.when(F.col("can_be_row") & (F.size("cells") >= 2), here)),
-            "last_statement": (
-                "max",
-                F.when(F.col("names_statement"), F.struct("page", "pos", "line")),
-            ),
+            "last_open": ("max", F.when(F.col("can_be_row") & (F.col("n_numbers") >= 2), here)),
+            "last_statement": ("max", F.when(F.col("names_statement"), here)),
         },
         F.col("page"),
         PAGES_PER_BLOCK,
@@ -362,7 +378,7 @@ def text_tables(pages: DataFrame, patterns: dict[str, list[str]], rule_map: Colu
     counted = running(
         marked,
         group,
-        ["page", "pos"],
+        ["place"],
         {
             "header_no": ("sum", (~F.col("is_row") & (F.col("line") != "")).cast("long")),
             "kept_no": ("sum", (F.col("is_row") & is_row_label(F.col("label"))).cast("long")),
@@ -371,31 +387,20 @@ def text_tables(pages: DataFrame, patterns: dict[str, list[str]], rule_map: Colu
         PAGES_PER_BLOCK,
     )
     counted = materialize(counted, "report-line-states")
-    table_key = F.concat_ws(
-        ":", F.lit("t"), F.coalesce(F.col("last_break.page"), F.lit(0)), F.coalesce(F.col("last_break.pos"), F.lit(-1))
-    )
+    table_key = F.concat_ws(":", F.lit("t"), F.coalesce("last_break", F.lit(-1)))
     kept = F.col("kept")
-    scores = {s: F.col(f"points_{s}") for s in STATEMENTS}
-    body = stage(
-        counted.filter("is_row"),
-        {
-            "table_key": table_key,
-            "kept": is_row_label(F.col("label")),
-            **{f"points_{s}": c for s, c in statement_scores(F.col("label"), patterns).items()},
-        },
-    )
+    body = stage(counted.filter("is_row"), {"table_key": table_key, "kept": is_row_label(F.col("label"))})
     sums = (
         body.groupBy(*KEY)
         .agg(
-            F.min(F.struct("page", "pos", "header_no", "last_statement")).alias("first"),
+            F.min(F.struct("place", "header_no", "last_statement")).alias("first"),
             F.min("page").alias("page_start"),
             F.max("page").alias("page_end"),
             F.min(F.when(kept, F.col("kept_no"))).alias("first_kept"),
-            F.max(F.when(kept, F.size("cells"))).alias("n_cols"),
+            F.max(F.when(kept, F.col("n_numbers"))).alias("n_cols"),
             F.count_if(kept).alias("n_rows"),
-            F.count_if(kept & (F.size("cells") >= 2)).alias("n_two"),
+            F.count_if(kept & (F.col("n_numbers") >= 2)).alias("n_two"),
             F.count_if(kept & (F.length("label") <= 40)).alias("n_short"),
-            *[F.sum(F.when(kept, scores[s])).alias(f"score_{s}") for s in STATEMENTS],
         )
         .filter("n_cols >= 2 AND n_rows >= 2 AND n_two >= 2 AND n_two * 2 >= n_rows AND n_short * 2 >= n_rows")
     )
@@ -410,17 +415,23 @@ def text_tables(pages: DataFrame, patterns: dict[str, list[str]], rule_map: Colu
         .agg(F.array_sort(F.collect_list(F.struct("header_no", "line"))).alias("found"))
         .select(*KEY, F.transform("found", lambda f: f["line"]).alias("found"))
     )
-    near = F.col("first.last_statement")
+    # The last line that names a statement, where it lies at most two pages back.
+    named = counted.filter("names_statement").select(
+        *group, F.col("place").alias("near_place"), F.col("line").alias("near_line")
+    )
+    near_page = F.shiftright(F.col("near_place"), 32)
     found = F.coalesce(F.col("found"), F.array().cast("array<string>"))
     adds = (
         R.detect_statement(F.array_join(found, " "), rule_map).isNull()
-        & near.isNotNull()
-        & (F.col("first.page") - near["page"] <= 2)
-        & ~F.array_contains(found, near["line"])
+        & F.col("near_line").isNotNull()
+        & (F.col("page_start") - near_page <= 2)
+        & ~F.array_contains(found, F.col("near_line"))
     )
     tables = (
         sums.join(headers, KEY, "left")
-        .transform(lambda df: stage(df, {"header": F.when(F.coalesce(adds, F.lit(False)), F.concat(F.array(near["line"]), found)).otherwise(found)}))
+        .withColumn("near_place", F.col("first.last_statement"))
+        .join(named, [*group, "near_place"], "left")
+        .transform(lambda df: stage(df, {"header": F.when(F.coalesce(adds, F.lit(False)), F.concat(F.array(F.col("near_line")), found)).otherwise(found)}))
         .withColumn("header_text", F.array_join("header", " "))
         .transform(lambda df: stage(df, {"by_header": R.detect_statement(F.col("header_text"), rule_map)}))
         .filter(R.has_period(F.col("header_text")) | F.col("by_header").isNotNull() | (F.col("n_rows") >= 5))
@@ -428,9 +439,7 @@ def text_tables(pages: DataFrame, patterns: dict[str, list[str]], rule_map: Colu
             *KEY,
             F.get("header", 0).alias("title"),
             F.try_element_at("header", F.lit(-1)).alias("section_title"),
-            F.coalesce(F.col("by_header"), best_statement({s: F.col(f"score_{s}") for s in STATEMENTS})).alias(
-                "statement_type"
-            ),
+            F.col("by_header").alias("statement_type"),
             "page_start",
             "page_end",
             R.detect_currency(F.col("header_text")).alias("currency"),
@@ -441,6 +450,8 @@ def text_tables(pages: DataFrame, patterns: dict[str, list[str]], rule_map: Colu
             "first_kept",
         )
     )
+    voted = vote_by_rows(tables.filter("statement_type IS NULL"), body.filter(kept), patterns)
+    tables = tables.join(voted, KEY, "left").withColumn("statement_type", F.coalesce("statement_type", "voted")).drop("voted")
     blank = F.struct(F.lit(None).cast(R.DECIMAL).alias("value"), F.lit(None).cast("string").alias("raw_text")).cast(
         R.CELL_TYPE
     )
@@ -452,7 +463,7 @@ def text_tables(pages: DataFrame, patterns: dict[str, list[str]], rule_map: Colu
             (F.col("kept_no") - F.col("first_kept")).cast("int").alias("row_index"),
             "label",
             F.col("page").alias("page_number"),
-            F.concat(F.array_repeat(blank, F.col("n_cols") - F.size("cells")), F.col("cells")).alias("cells"),
+            F.concat(F.array_repeat(blank, F.col("n_cols") - F.col("n_numbers")), R.numbers(F.col("line"))).alias("cells"),
         )
     )
     return tables.drop("n_cols", "first_kept"), rows

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions.base_metrics import base_metric_rows
+from tallyweave.operators.stage import local_table
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,7 +32,7 @@ def named_values(values: list[tuple[str, Column]]) -> Column:
 
 def versions(spark: SparkSession) -> DataFrame:
     """Three extraction runs; the third has no engine name."""
-    return spark.createDataFrame([(1, "text"), (2, "layout"), (3, None)], "version_id bigint, parse_method string")
+    return local_table(spark, [(1, "text"), (2, "layout"), (3, None)], "version_id bigint, parse_method string")
 
 
 def line_id() -> Column:
