@@ -61,10 +61,11 @@ def sentences(text: Column) -> Column:
 def _pack(pieces: Column, joiner: Column, max_tokens: int, counter: TokenCounter) -> Column:
     """Greedily join neighbouring pieces while they fit.
 
-    Counts are taken once per piece and added up, which is exact for counters
-    that never count across a joiner.
+    Counts are taken once per piece and added up.  What the joiner adds (or
+    takes away, where it merges two words) is measured between two letters;
+    that is exact for counters whose tokens end at white space or at a mark.
     """
-    gap = counter(joiner)
+    gap = counter(F.concat(F.lit("x"), joiner, F.lit("x"))) - 2 * counter(F.lit("x"))
     state = "struct<done:array<string>,open:string,size:int>"
     start = F.struct(
         F.array().cast("array<string>").alias("done"), F.lit("").alias("open"), F.lit(0).alias("size")

@@ -450,6 +450,7 @@ def text_tables(pages: DataFrame, patterns: dict[str, list[str]], rule_map: Colu
             "first_kept",
         )
     )
+    tables = materialize(tables, "text-tables")
     voted = vote_by_rows(tables.filter("statement_type IS NULL"), body.filter(kept), patterns)
     tables = tables.join(voted, KEY, "left").withColumn("statement_type", F.coalesce("statement_type", "voted")).drop("voted")
     blank = F.struct(F.lit(None).cast(R.DECIMAL).alias("value"), F.lit(None).cast("string").alias("raw_text")).cast(
