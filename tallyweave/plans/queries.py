@@ -122,7 +122,7 @@ def discrepancies(spark: SparkSession, folder: str) -> DataFrame:
 def resolve_picks(spark: SparkSession, folder: str) -> DataFrame:
     """A reviewer picks the last candidate of the earlier-period column wherever there is one."""
     stock = D.stock_candidates(spark, folder)
-    keyed = C.consensus_facts(stock, D.versions(spark)).withColumn("fact_id", F.col("selected_candidate_id"))
+    keyed = C.consensus_facts(stock, D.versions(spark)).withColumn("fact_id", F.xxhash64(*C.FACT_KEY))
     picks = (
         stock.filter("column_label = '上期'")
         .groupBy(*C.FACT_KEY)

@@ -56,7 +56,7 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 def _json_items(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
     """Items of one JSON document, an object with a list ``field`` or a bare list, with their order."""
-    raw = spark.read.option("wholetext", True).text(path).select(strip(F.col("value")).alias("body"))
+    raw = spark.read.text(path, wholetext=True).select(strip(F.col("value")).alias("body"))
     bare = F.from_json("body", f"array<struct<{_struct_fields(schema)}>>")
     held = F.from_json("body", f"struct<{field}:array<struct<{_struct_fields(schema)}>>>")[field]
     items = raw.select(F.when(F.col("body").startswith("["), bare).otherwise(held).alias("items"))

@@ -24,7 +24,7 @@ def read_items(spark: SparkSession, path: str, schema: str = ITEM_SCHEMA) -> tup
     """
     meta = F.regexp_extract(F.input_file_name(), r"([^/]+)\z", 1).alias("file_name")
     # Whole files are needed to tell an array from lines; a file is one row of one task.
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     texts = raw.select(meta, strip(F.col("value")).alias("body")).filter("body <> ''")
     arrays = texts.filter(F.col("body").startswith("[")).select(
         "file_name", F.from_json("body", "array<variant>").alias("v"), "body"
@@ -95,7 +95,7 @@ def captions(text: Column) -> Column:
 
 def read_layout_items(spark: SparkSession, path: str) -> DataFrame:
     """Layout item lists (one JSON array per report) with their position; adds the report's folder name."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*_content_list.json").text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*_content_list.json").text(path, wholetext=True)
     named = raw.select(F.input_file_name().alias("path"), F.from_json("value", f"array<struct<{_fields(LAYOUT_SCHEMA)}>>").alias("items"))
     rows = named.select("path", F.posexplode("items").alias("pos", "i")).select("path", "pos", "i.*")
     return rows.withColumns(
@@ -157,7 +157,7 @@ def markdown_pages(spark: SparkSession, path: str, engine: str = "layout") -> Da
     """Markdown files of a report folder, sorted by path, as pages 1, 2, …"""
     from pyspark.sql import Window
 
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
     files = raw.select(F.input_file_name().alias("path"), F.col("value").alias("text_md"))
     report = F.regexp_extract("path", r"([^/]+)/[^/]+\z", 1)
     named = files.withColumn("report_id", report)

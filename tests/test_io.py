@@ -86,7 +86,7 @@ def test_file_scan_and_chunk_sink(spark, tmp_path):
 
 def test_item_files_isolate_errors(spark, tmp_path):
     item = {"id": "q1", "pre_text": ["a", ""], "table": [["x", "1"]], "post_text": [], "qa": {"question": "why?", "answer": "so"}}
-    (tmp_path / "list.json").write_text(json.dumps([item, {"uid": "u2", "pre_text": ["b"]}]))
+    (tmp_path / "list.json").write_text(json.dumps([item, {"uid": "u2", "pre_text": ["b"]}], indent=1))
     (tmp_path / "lines.json").write_text(json.dumps({"pre_text": ["c"], "question": "q?"}) + "\nnot json\n")
     (tmp_path / "broken.json").write_text("[{")
     good, bad = items.read_items(spark, str(tmp_path))
@@ -106,7 +106,7 @@ def test_layout_files(spark, tmp_path):
         {"type": "table", "table_caption": ["cap"], "table_body": "<table></table>", "table_footnote": "note", "page_idx": 1},
         {"type": "text", "text": "lost"},
     ]
-    (folder / "x_content_list.json").write_text(json.dumps(content), encoding="utf-8")
+    (folder / "x_content_list.json").write_text(json.dumps(content, indent=1), encoding="utf-8")
     (folder / "page.md").write_text("# md", encoding="utf-8")
     read = items.read_layout_items(spark, str(tmp_path)).withColumns({"report_id": F.lit("r1"), "engine": F.lit("layout")})
     pages = {r["page"]: r for r in items.layout_pages(read).collect()}
@@ -131,7 +131,7 @@ def test_dictionary_overrides_and_cases_files(spark, tmp_path):
     assert row["value"] is None and str(row["as_of_date"]) == "2024-12-31" and row["unit"] is None
     (tmp_path / "o.json").write_text(json.dumps({"rows": [{"report_id": "1", "value": "3"}]}))
     assert files.read_overrides(spark, str(tmp_path / "o.json")).first()["value"] == "3"
-    (tmp_path / "c.json").write_text(json.dumps({"cases": [{"id": "p", "label": "l", "statement_type": "income"}]}))
+    (tmp_path / "c.json").write_text(json.dumps({"cases": [{"id": "p", "label": "l", "statement_type": "income"}]}, indent=2))
     assert files.read_cases(spark, str(tmp_path / "c.json")).first()["required"] is True
 
 
