@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +58,6 @@ def embed_sentences(docs: DataFrame, embed_batch, width: int, text: str = "text"
     ``embed_batch`` maps a list of texts to a list of vectors; it runs inside
     Arrow batches, and a batch that comes back with another length fails.
     """
-    import pandas as pd
 
     @F.pandas_udf("array<array<double>>")
     def vectors(groups: pd.Series) -> pd.Series:

@@ -20,6 +20,9 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.operators.stage import materialize
+from tallyweave.session import path_exists
+
 FACT_KEY = [
     "report_id",
     "fact_type",
@@ -188,6 +191,64 @@ def agreement_stats(facts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def resolution_summary(candidates: DataFrame, facts: DataFrame, checks: DataFrame | None = None) -> DataFrame:
+    """Run summary per report: candidates, facts, agreement of flow and stock, passed and failed identities.
+
+    The checks themselves stay rows of their own; the summary counts them.
+    """
+    flow, stock = F.col("fact_type") == "flow", F.col("fact_type") == "stock"
+    seen = candidates.groupBy("report_id").agg(
+        F.count_if(flow).alias("flow_candidates"), F.count_if(stock).alias("stock_candidates")
+    )
+    sides = {"flow": flow, "stock": stock}
+    made = facts.groupBy("report_id").agg(
+        *[F.count_if(t).alias(f"{n}_facts") for n, t in sides.items()],
+        *[F.count_if(t & F.col("multi_engine")).alias(f"{n}_groups_multi_engine") for n, t in sides.items()],
+        *[F.count_if(t & F.col("agreed")).alias(f"{n}_groups_agreed") for n, t in sides.items()],
+    )
+    out = seen.join(made, "report_id", "left")
+    if checks is not None:
+        done = checks.groupBy("report_id").agg(
+            F.count_if(F.col("status") == "pass").alias("checks_passed"), F.count_if(F.col("status") == "fail").alias("checks_failed")
+        )
+        out = out.join(done, "report_id", "left")
+    counts = [c for c in out.columns if c != "report_id"]
+    out = out.select("report_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts])
+    multi = F.col("flow_groups_multi_engine") + F.col("stock_groups_multi_engine")
+    agreed = F.col("flow_groups_agreed") + F.col("stock_groups_agreed")
+    rated = out.withColumn("multi_engine_agreement_rate", F.coalesce(F.try_divide(agreed, multi), F.lit(0.0)))
+    return rated.withColumn("summary_json", F.to_json(F.struct(*[c for c in rated.columns if c != "report_id"])))
+
+
+def write_facts(facts: DataFrame, path: str, replace: bool = True, buckets: int = 256) -> None:
+    """Write facts by bucket of reports.
+
+    With ``replace`` the facts of every report of the given frame are replaced:
+    facts of other reports in a touched bucket are kept by writing them again
+    next to the new ones, into a new version of the bucket.  Without it facts
+    are appended.
+    """
+    bucket = F.pmod(F.xxhash64("report_id"), F.lit(buckets)).cast("int")
+    placed = facts.withColumn("report_bucket", bucket)
+    if not replace:
+        placed.write.mode("append").partitionBy("report_bucket").parquet(path)
+        return
+    spark = facts.sparkSession
+    if path_exists(spark, path):
+        touched = placed.select("report_bucket").distinct()
+        reports = placed.select("report_id").distinct()
+        stored = spark.read.parquet(path)
+        kept = stored.join(touched, "report_bucket", "left_semi").join(reports, "report_id", "left_anti")
+        # A plan must not overwrite what it reads, so the merged buckets are written aside first.
+        placed = materialize(placed.unionByName(kept.select(*placed.columns)), "facts")
+    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("report_bucket").parquet(path)
+
+
+def unresolved(facts: DataFrame) -> DataFrame:
+    """Facts no reviewer has settled."""
+    return facts.filter(~F.col("resolution_method").eqNullSafe(F.lit("manual")))
+
+
 # ---------------------------------------------------------------- accounting identities
 
 

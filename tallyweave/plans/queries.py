@@ -107,6 +107,13 @@ def manual_override(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def resolution_summary(spark: SparkSession, folder: str) -> DataFrame:
+    candidates = D.all_candidates(spark, folder)
+    out = C.resolution_summary(candidates, C.consensus_facts(candidates, D.versions(spark)))
+    return out.drop("summary_json").withColumn("multi_engine_agreement_rate", F.round("multi_engine_agreement_rate", 9))
+
+
 @query
 def engine_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return C.engine_coverage(D.all_candidates(spark, folder), D.versions(spark), "text", "layout")
@@ -722,6 +729,26 @@ def metric_dimension(spark: SparkSession, folder: str) -> DataFrame:
     return H.metric_dimension(used).drop("metric_id")
 
 
+@query
+def pipeline_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """Report pages of two engines to candidates to facts; the second engine reads the same pages."""
+    pages = D.html_pages(spark, folder)
+    tables, rows = T.html_tables(pages, M.base_patterns())
+    one = H.build_candidates(tables, rows, T.report_metadata(pages), M.base_metrics(spark))
+    versions = D.versions(spark)
+    second = one.withColumn("candidate_id", F.xxhash64("candidate_id")).withColumn("version_id", F.lit(1).cast("long"))
+    both = H.union_engines([one.withColumn("version_id", F.lit(2).cast("long")), second])
+    coded = both.withColumn("metric_id", F.xxhash64("metric_code"))
+    facts = C.consensus_facts(coded, versions, min_agree=2)
+    names = coded.select("metric_id", "metric_code").distinct()
+    return as_double(
+        facts.join(names, "metric_id").select(
+            "report_id", "metric_code", "as_of_date", "value", "agree_count", "value_candidates", "resolution_status", "resolution_method"
+        ),
+        "value",
+    )
+
+
 @query
 def page_upsert(spark: SparkSession, folder: str) -> DataFrame:
     """Pages of orders written over pages that hold tables for every fourth customer."""

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions.recognise import rule_codes
 from tallyweave.functions.text import strip
-from tallyweave.operators.stage import stage
+from tallyweave.session import path_exists
 
 SUPPORTED_EXTENSIONS = (".pdf", ".docx")
 METRIC_JSON = (
@@ -25,11 +25,6 @@ CASE_JSON = "id string, label string, statement_type string, expected_metric_cod
 # ---------------------------------------------------------------- documents
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def scan_files(spark: SparkSession, path: str, extensions=SUPPORTED_EXTENSIONS) -> DataFrame:
     """Files below a folder with a wanted ending: path, hash, doc_id, length, modified_at.
 

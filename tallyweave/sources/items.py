@@ -16,13 +16,19 @@ LAYOUT_SCHEMA = (
 )
 
 
-def read_items(spark: SparkSession, path: str, schema: str = ITEM_SCHEMA) -> tuple[DataFrame, DataFrame]:
+def read_items(
+    spark: SparkSession, path: str, schema: str = ITEM_SCHEMA, layout: str = "auto"
+) -> tuple[DataFrame, DataFrame]:
     """Records of JSON files, arrays or one record per line: ``(items, errors)``.
 
-    Files are split into lines or array elements by Spark; a record that does
-    not parse goes to ``errors`` and spoils no other.
+    A record that does not parse goes to ``errors`` and spoils no other.
+    ``lines`` reads files of one record per line in splits; ``auto`` reads each
+    file whole to tell arrays from lines, for folders of many small files.
     """
     meta = F.regexp_extract(F.input_file_name(), r"([^/]+)\z", 1).alias("file_name")
+    if layout == "lines":
+        plain = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+        return _parse(plain.select(meta, strip(F.col("value")).alias("record")).filter("record <> ''"), schema)
     # Whole files are needed to tell an array from lines; a file is one row of one task.
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
     texts = raw.select(meta, strip(F.col("value")).alias("body")).filter("body <> ''")
@@ -39,12 +45,16 @@ def read_items(spark: SparkSession, path: str, schema: str = ITEM_SCHEMA) -> tup
         .select("file_name", strip(F.col("line")).alias("record"))
         .filter("record <> ''")
     )
-    records = from_arrays.unionByName(from_lines)
+    items, errors = _parse(from_arrays.unionByName(from_lines), schema)
+    return items, errors.unionByName(bad_files)
+
+
+def _parse(records: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     parsed = records.withColumn(
         "p", F.from_json("record", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
     )
     items = parsed.filter("p IS NOT NULL AND p._bad IS NULL").select("file_name", "p.*", F.col("record").alias("raw_json")).drop("_bad")
-    errors = parsed.filter("p IS NULL OR p._bad IS NOT NULL").select("file_name", "record").unionByName(bad_files)
+    errors = parsed.filter("p IS NULL OR p._bad IS NOT NULL").select("file_name", "record")
     return items, errors
 
 

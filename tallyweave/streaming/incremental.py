@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.operators.registry import unseen, with_hash
-from tallyweave.session import work_folder
+from tallyweave.session import path_exists, work_folder
 
 
 def stored_batches(spark: SparkSession, path: str, schema) -> DataFrame:
     """All registered batches; an empty frame before the first one."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
-    return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if path_exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def register_batch(batch: DataFrame, batch_id: int, registry_path: str) -> None:

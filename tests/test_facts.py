@@ -189,3 +189,23 @@ def test_quarantine_and_sync_state(spark):
     assert good.count() == 1 and bad.first()["error_message"] == "no pages"
     state = spark.createDataFrame([(1, "abc")], "state_id int, file_hash string")
     assert not J.needs_sync(state, "abc") and J.needs_sync(state, "abd") and J.needs_sync(state, "abc", force=True)
+
+
+def test_written_facts_replace_only_their_reports(spark, tmp_path):
+    path = str(tmp_path / "facts")
+    frame = lambda rows: spark.createDataFrame(rows, "report_id bigint, value int")
+    C.write_facts(frame([(1, 10), (2, 20), (3, 30)]), path, buckets=2)
+    C.write_facts(frame([(1, 11), (1, 12)]), path, buckets=2)
+    got = sorted((r["report_id"], r["value"]) for r in spark.read.parquet(path).collect())
+    assert got == [(1, 11), (1, 12), (2, 20), (3, 30)]
+    C.write_facts(frame([(2, 21)]), path, replace=False, buckets=2)
+    assert spark.read.parquet(path).count() == 5
+
+
+def test_metrics_of_taxonomy_records(spark):
+    records = spark.createDataFrame([(0, None, "837460", "特别资产", "附注_特别资产")], "record_order int, metric_code string, sub_code string, sub_name string, sub_name_raw string")
+    trace = lambda i, label: ("t", i, 1, label)
+    rows = [(1, "cas2020_837460", "balance", "1", trace(0, "[837460] 特别资产余")), (2, "raw_1", "income", "1", trace(1, "神秘"))]
+    candidates = spark.createDataFrame(rows, "report_id bigint, metric_code string, metric_statement string, unit string, source_trace struct<table_key:string,row_index:int,page:int,raw_label:string>")
+    got = {r["metric_code"]: (r["metric_name"], r["value_nature"]) for r in H.candidate_metrics(candidates, M.base_metrics(spark), records).collect()}
+    assert got == {"cas2020_837460": ("特别资产", "stock"), "raw_1": ("神秘", "flow")}

@@ -187,3 +187,27 @@ def test_session_stream_merges_batches(spark, tmp_path):
     assert [(r["created_at"], r["updated_at"], r["n_messages"]) for r in activity] == [(0, 23, 12), (0, 23, 12)]
     last = sessions.merged_messages(spark, root, 5).filter("session_id = 0").orderBy("position").collect()
     assert [r["ts"] for r in last] == [13, 20, 21, 22, 23]
+
+
+def test_item_lines_in_splits(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"id": "1", "pre_text": ["x"]}\n{broken\n\n{"id": "2"}\n')
+    good, bad = items.read_items(spark, str(tmp_path), layout="lines")
+    assert sorted(r["id"] for r in good.collect()) == ["1", "2"] and bad.count() == 1
+
+
+def test_batch_embedder_is_checked(spark):
+    docs = spark.createDataFrame([("a. b.",), ("",)], "text string")
+    made = K.embed_sentences(docs, lambda texts: [[float(len(t)), 1.0] for t in texts], 2).collect()
+    assert [list(map(list, r["vecs"])) for r in made] == [[[2.0, 1.0], [2.0, 1.0]], []]
+    with pytest.raises(Exception, match="count mismatch"):
+        K.embed_sentences(docs, lambda texts: [], 2).collect()
+
+
+def test_group_limits_and_local_lookups_are_planned(spark):
+    from tallyweave.operators import matching as M
+
+    messages = spark.range(100).select((F.col("id") % 3).alias("session_id"), F.col("id").alias("ts"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan(G.last_messages(messages, 2))
+    lookup = plan(M.match_labels(spark.range(5).select(F.lit("x").alias("label")), base_metrics(spark)))
+    assert "BroadcastHashJoin" in lookup and "SortMergeJoin" not in lookup
