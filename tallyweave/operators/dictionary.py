@@ -209,6 +209,7 @@ def contents(rows: DataFrame, group: str = "doc", order: str = "row_index", bloc
             "sub_name_raw": F.regexp_extract("text", SUB_ROW, 2),
         },
     )
+    read = materialize(read, "contents-rows")
     top = F.when(F.col("top_code").isNotNull(), F.struct(order, "top_code", "top_name"))
     filled = running(read, [group], [order], {"head": ("max", top)}, F.col(order), block_rows)
     is_top = F.col("top_code").isNotNull()
@@ -242,7 +243,7 @@ def map_contents(toc: DataFrame, metrics: DataFrame, create: bool = False) -> Da
         lambda acc, kv: acc.when(F.col("sub_name") == kv[0], F.lit(kv[1])), NAME_OVERRIDES.items(), F.when(F.lit(False), F.lit(""))
     )
     wanted = toc.filter((F.coalesce("sub_code", F.lit("")) != "") & (F.coalesce("sub_name", F.lit("")) != ""))
-    named = stage(wanted, {"norm": normalize_label(F.col("sub_name")), "override": fixed})
+    named = materialize(stage(wanted, {"norm": normalize_label(F.col("sub_name")), "override": fixed}), "contents-names")
     known = metrics.select(F.col("metric_code").alias("override"), F.lit(True).alias("override_known"))
     firsts = named.filter("override IS NOT NULL").groupBy("override").agg(F.min("row_order").alias("first_order"))
     joined = named.join(index, "norm", "left").join(known, "override", "left").join(firsts, "override", "left")

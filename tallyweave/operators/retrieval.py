@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import vectors as V
-from tallyweave.operators.stage import stage
+from tallyweave.operators.stage import materialize
 
 TOP_N, TOP_K = 20, 5
 MAX_QUERY_BLOCK = 2048
@@ -244,6 +244,8 @@ def search(queries: DataFrame, corpus: DataFrame, n: int = TOP_N, k: int = TOP_K
     hits = top_n(queries, corpus, n)
     about = corpus.drop("embedding")
     full = hits.join(about, "id").join(queries.select("query_id", "query"), "query_id")
+    # At most n rows per query, read twice: once for the scores, once for the order.
+    full = materialize(full, "search-hits")
     scores = full.select(
         "query_id", (F.col("rank") - 1).alias("index"), scorer(F.col("query"), F.col("text")).alias("rerank_score")
     )

@@ -20,7 +20,7 @@ from tallyweave.operators import quality as Q
 from tallyweave.operators import registry as G
 from tallyweave.operators import retrieval as S
 from tallyweave.operators import tables as T
-from tallyweave.operators.stage import stage
+from tallyweave.operators.stage import materialize, stage
 from tallyweave.plans import derive as D
 from tallyweave.functions.base_metrics import base_metric_rows
 from tallyweave.sources import items as I
@@ -375,12 +375,13 @@ def hits_at_k(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _reranked(spark: SparkSession, folder: str) -> DataFrame:
-    answers = D.rerank_responses(spark, folder).withColumn("parsed", S.parse_scores(F.col("response")))
+    hits = materialize(D.ranked_passages(spark, folder), "hits")
+    answers = D.rerank_responses(hits).withColumn("parsed", S.parse_scores(F.col("response")))
     failed = answers.filter("parsed IS NULL")
     scores = answers.select("query_id", F.posexplode("parsed").alias("score_pos", "p")).select(
         "query_id", "score_pos", "p.index", F.col("p.score").alias("rerank_score")
     )
-    return S.rerank(D.ranked_passages(spark, folder), scores, 5, failed)
+    return S.rerank(hits, scores, 5, failed)
 
 
 @query
@@ -651,7 +652,7 @@ def quality_kpis(spark: SparkSession, folder: str) -> DataFrame:
     pages = D.html_pages(spark, folder)
     tables, rows = T.html_tables(pages, M.base_patterns())
     meta = T.report_metadata(pages)
-    candidates = H.build_candidates(tables, rows, meta, M.base_metrics(spark))
+    candidates = materialize(H.build_candidates(tables, rows, meta, M.base_metrics(spark)), "candidates")
     values = Q.kpi_values(meta, tables, rows, candidates, C.balance_identity(D.balance_facts(spark, folder)))
     return Q.quality_kpis(values.withColumn("value", F.round("value", 9)))
 
@@ -734,7 +735,7 @@ def pipeline_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Report pages of two engines to candidates to facts; the second engine reads the same pages."""
     pages = D.html_pages(spark, folder)
     tables, rows = T.html_tables(pages, M.base_patterns())
-    one = H.build_candidates(tables, rows, T.report_metadata(pages), M.base_metrics(spark))
+    one = materialize(H.build_candidates(tables, rows, T.report_metadata(pages), M.base_metrics(spark)), "candidates")
     versions = D.versions(spark)
     second = one.withColumn("candidate_id", F.xxhash64("candidate_id")).withColumn("version_id", F.lit(1).cast("long"))
     both = H.union_engines([one.withColumn("version_id", F.lit(2).cast("long")), second])
