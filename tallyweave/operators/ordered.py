@@ -45,6 +45,7 @@ def running(
     position: Column,
     block_rows: int = 4096,
     levels: int = 2,
+    keep_blocks: bool = False,
 ) -> DataFrame:
     """Add one running column per entry of ``values``, the current row included.
 
@@ -52,11 +53,16 @@ def running(
     maximum over ``struct(order, payload)`` is a forward fill.  ``position`` is
     an integer that never falls along ``order``; rows of a block share
     ``position div block_rows``.  Group columns must not be NULL.
+
+    With ``keep_blocks`` the block columns stay for a second call over the same
+    rows, which then finds them partitioned and sorted as it needs them.
     """
     kinds = {name: kind for name, (kind, _) in values.items()}
     blocks = [f"_block_{i}" for i in range(levels)]
     cut = {b: F.floor(position / F.lit(block_rows ** (i + 1))).cast("long") for i, b in enumerate(blocks)}
-    base = df.withColumns({name: expr for name, (_, expr) in values.items()}).withColumns(cut)
+    base = df.withColumns({name: expr for name, (_, expr) in values.items()})
+    if not set(blocks) <= set(df.columns):
+        base = base.withColumns(cut)
     scanned = _exclusive(base, group, order, kinds, blocks)
     done = scanned.withColumns({n: _combine(k, F.col(f"_before_{n}"), F.col(n)) for n, k in kinds.items()})
-    return done.drop(*blocks, *[f"_before_{n}" for n in kinds])
+    return done.drop(*([] if keep_blocks else blocks), *[f"_before_{n}" for n in kinds])

@@ -368,6 +368,7 @@ def text_tables(pages: DataFrame, patterns: dict[str, list[str]], rule_map: Colu
         },
         F.col("page"),
         PAGES_PER_BLOCK,
+        keep_blocks=True,
     )
     is_row = (
         F.col("can_be_row")

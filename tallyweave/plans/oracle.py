@@ -781,3 +781,63 @@ FROM s JOIN m USING (report_id)"""
 SQL["pipeline_facts"] = f"""WITH {HTML}
 SELECT report_id, ['cash_and_cash_equivalents','accounts_receivable','inventory','fixed_assets','short_term_borrowings'][p+1] AS metric_code, d AS as_of_date,
   value, 2 AS agree_count, 2 AS value_candidates, 'auto' AS resolution_status, 'consensus' AS resolution_method FROM grid WHERE value IS NOT NULL"""
+
+# ---------------------------------------------------------------- chunkers with recursion and vectors
+
+from tallyweave.functions.text import SEPARATORS  # noqa: E402
+
+
+def _recursive(limit: int, width: int) -> str:
+    """Level by level: nodes too long are split by their first mark; results are put together from the leaves up."""
+    text = lambda s: "'" + s.replace("\n", "' || chr(10) || '") + "'"
+    words = lambda t: WORDS % t
+    pieces = f"list_filter(list_transform(string_split(t, mark), lambda s: {trimmed('s')}), lambda s: s <> '')"
+    pack = (
+        f"list_reduce(list_transform({pieces}, lambda s: [s]), lambda acc, s: "
+        f"CASE WHEN {words('(acc[-1] || mark || s[1])')} <= {limit} THEN list_append(acc[:-2], acc[-1] || mark || s[1]) "
+        f"ELSE list_append(acc, s[1]) END)"
+    )
+    hard = f"list_transform(range(0, length(t), {max(1, limit - width)}), lambda i: substr(t, i + 1, {limit}))"
+    parts = [f"n0 AS MATERIALIZED (SELECT doc_id, [0] AS path, {trimmed('text')} AS t FROM documents WHERE {trimmed('text')} <> '')"]
+    depth = len(SEPARATORS)
+    for d in range(depth):
+        tests = " ".join(
+            f"WHEN contains(t, {text(m)}) AND {trimmed(f'replace(t, {text(m)}, chr(32))')} <> '' THEN {text(m)}" for m in SEPARATORS[d:]
+        )
+        parts.append(f"o{d} AS MATERIALIZED (SELECT doc_id, path, t, CASE {tests} END AS mark FROM n{d} WHERE {words('t')} > {limit})")
+        parts.append(
+            f"n{d + 1} AS MATERIALIZED (SELECT doc_id, list_append(path, i) AS path, c[i] AS t "
+            f"FROM (SELECT doc_id, path, {pack} AS c FROM o{d} WHERE mark IS NOT NULL) p, range(1, len(c) + 1) r(i))"
+        )
+    parts.append(f"r{depth} AS MATERIALIZED (SELECT doc_id, path, CASE WHEN {words('t')} <= {limit} THEN [t] ELSE {hard} END AS l FROM n{depth})")
+    for d in range(depth - 1, -1, -1):
+        parts.append(
+            f"r{d} AS MATERIALIZED (SELECT doc_id, path, [t] AS l FROM n{d} WHERE {words('t')} <= {limit} "
+            f"UNION ALL SELECT doc_id, path, {hard} FROM o{d} WHERE mark IS NULL "
+            f"UNION ALL SELECT doc_id, path, {overlapped('l', width)} FROM (SELECT doc_id, path[:-2] AS path, flatten(list(l ORDER BY path[-1])) AS l "
+            f"FROM r{d + 1} GROUP BY doc_id, path[:-2]))"
+        )
+    return (
+        "WITH " + ",\n".join(parts) + "\nSELECT doc_id, i - 1 AS chunk_index, length(l[i]) AS n_chars, md5(l[i]) AS text_md5 FROM r0, range(1, len(l) + 1) r(i)"
+    )
+
+
+SQL["recursive_chunks"] = _recursive(80, 20)
+
+# A sentence with its unit vector of 16 hash buckets and its words; chunks are folded as in the sentence chunker.
+_VECTOR = (
+    "list_transform(range(0, 16), lambda b: CAST(len(list_filter(" + TERMS % "s" + ", lambda t: CAST(('0x' || left(md5(t), 8)) AS BIGINT) % 16 = b)) AS DOUBLE))"
+)
+_UNITS = f"list_transform({SENTENCES}, lambda s: [struct_pack(t := s, v := {_VECTOR}, n := {WORDS % 's'})])"
+_SAFE_COSINE = "coalesce(nullif(list_cosine_similarity(acc[-1].v, s[1].v), 'nan'::DOUBLE), 0)"
+_LENGTH = "sqrt(list_sum(list_transform(u[1].v, lambda x: x * x)))"
+_SCALED = f"list_transform(units, lambda u: [struct_pack(t := u[1].t, v := list_transform(u[1].v, lambda x: CASE WHEN {_LENGTH} = 0 THEN x ELSE x / {_LENGTH} END), n := u[1].n)])"
+SQL["semantic_chunks"] = f"""WITH u AS MATERIALIZED (SELECT doc_id, {_UNITS} AS units FROM documents),
+w AS MATERIALIZED (SELECT doc_id, {_SCALED} AS units FROM u WHERE len(units) > 0),
+p AS MATERIALIZED (SELECT doc_id, list_transform(list_reduce(units, lambda acc, s:
+  CASE WHEN acc[-1].n + s[1].n <= 200 AND {_SAFE_COSINE} >= 0.3141592
+  THEN list_append(acc[:-2], struct_pack(t := acc[-1].t || ' ' || s[1].t,
+    v := list_transform(list_zip(acc[-1].v, s[1].v), lambda z: (z[1] + z[2]) / 2.0), n := acc[-1].n + s[1].n))
+  ELSE list_append(acc, s[1]) END), lambda x: x.t) AS packed FROM w)
+SELECT doc_id, i - 1 AS chunk_index, length(c[i]) AS n_chars, md5(c[i]) AS text_md5
+FROM (SELECT doc_id, {overlapped("packed", 20)} AS c FROM p) d, range(1, len(c) + 1) r(i)"""

@@ -316,7 +316,7 @@ def recursive_chunks(spark: SparkSession, folder: str) -> DataFrame:
 def semantic_chunks(spark: SparkSession, folder: str) -> DataFrame:
     embed = lambda c: V.hash_embedding(c, 16)
     unit = lambda s: F.struct(s.alias("sent"), embed(s).alias("vec"), X.count_words(s).cast("int").alias("size"))
-    chunker = lambda c: X.semantic_chunks(F.transform(X.sentences(c), unit), 200, 20, 0.3)
+    chunker = lambda c: X.semantic_chunks(F.transform(X.sentences(c), unit), 200, 20, 0.3141592)
     return _hashed(K.chunk_documents(_docs(spark, folder), chunker), "doc_id", "chunk_index")
 
 
