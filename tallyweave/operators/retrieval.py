@@ -8,16 +8,21 @@ into blocks that meet corpus blocks on a grid.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import vectors as V
 from tallyweave.operators.stage import materialize
 
+# The scoring helpers run in Python workers, which need not have this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 TOP_N, TOP_K = 20, 5
 MAX_QUERY_BLOCK = 2048
 GRID_ROWS = 50_000
