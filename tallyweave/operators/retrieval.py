@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import vectors as V
-from tallyweave.operators.stage import materialize
+from tallyweave.operators.stage import materialize, spread
 
 # The scoring helpers run in Python workers, which need not have this package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -262,7 +262,7 @@ def search(queries: DataFrame, corpus: DataFrame, n: int = TOP_N, k: int = TOP_K
 
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Inverted index rows (term, key, tf, positions); a term's rows stay rows and are never gathered."""
-    words = docs.select(key, F.posexplode(V.terms(F.col(text))).alias("position", "term"))
+    words = spread(docs.select(key, text)).select(key, F.posexplode(V.terms(F.col(text))).alias("position", "term"))
     return words.groupBy("term", key).agg(
         F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions")
     )

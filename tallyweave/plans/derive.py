@@ -10,13 +10,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions.base_metrics import base_metric_rows
-from tallyweave.operators.stage import local_table
+from tallyweave.operators.stage import local_table, spread
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def wide_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for heavy per-row work: a small file of one split is dealt out to all cores."""
+    return spread(table(spark, folder, name))
+
+
 def money(column: Column) -> Column:
     return column.cast("decimal(38,6)")
 
@@ -46,7 +51,7 @@ def stock_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as candidates of balance facts: 300 orders a report, 14 metrics, year ends."""
     year = F.year("l_shipdate")
     number = F.col("l_linenumber")
-    return table(spark, folder, "lineitem").select(
+    return wide_table(spark, folder, "lineitem").select(
         line_id().alias("candidate_id"),
         F.floor(F.col("l_orderkey") / 300).cast("long").alias("report_id"),
         (1 + number % 3).cast("long").alias("version_id"),
@@ -176,7 +181,7 @@ def row_labels(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise(F.concat(F.lit(" "), word, F.lit("（净亏损以“-”号填列）")))
     )
     statement = F.when(F.col("l_suppkey") % 4 == 0, F.lit("income")).otherwise(pick([s for _, s in known], which))
-    return table(spark, folder, "lineitem").select(
+    return wide_table(spark, folder, "lineitem").select(
         line_id().alias("row_id"), label.alias("label"), statement.alias("statement_type"), "l_extendedprice", "l_quantity"
     )
 

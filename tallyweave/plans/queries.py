@@ -766,7 +766,7 @@ def question_items(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as question records: document text, hash id, question and answer."""
     n = F.col("l_linenumber")
     blank = F.array().cast("array<string>")
-    items = D.table(spark, folder, "lineitem").select(
+    items = D.wide_table(spark, folder, "lineitem").select(
         F.when(n % 2 == 0, F.concat(F.lit("q"), D.line_id().cast("string"))).alias("id"),
         F.lit(None).cast("string").alias("uid"),
         F.when(n % 3 == 0, blank).otherwise(F.array(F.lit("Order"), F.lit(""), F.col("l_orderkey").cast("string"))).alias("pre_text"),
@@ -793,7 +793,7 @@ def layout_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Line items as layout items of their order: text with levels, tables with captions, unknown types."""
     n = F.col("l_linenumber")
     none = F.array().cast("array<string>")
-    items = D.table(spark, folder, "lineitem").select(
+    items = D.wide_table(spark, folder, "lineitem").select(
         F.col("l_orderkey").alias("report_id"),
         F.lit("layout").alias("engine"),
         D.line_id().alias("pos"),
