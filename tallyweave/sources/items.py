@@ -87,6 +87,7 @@ def question_documents(items: DataFrame) -> DataFrame:
     hashed = read.withColumn("hash", F.sha2(F.col("doc_text").cast("binary"), 256))
     qa_id = F.coalesce(F.nullif("id", F.lit("")), F.nullif("uid", F.lit("")), F.left("hash", F.lit(12)))
     return hashed.withColumns({"doc_id": F.left("hash", F.lit(32)), "qa_id": qa_id}).withColumn(
+        # Fixed value: the prefix of question sources.
         "source_path", F.concat_ws("::", F.lit("finqa"), "file_name", "qa_id")
     )
 
