@@ -61,16 +61,28 @@ def plain_words(text: str) -> list[str]:
 
 
 def telling_words(words: list[str], percent: int) -> list[str]:
-    """Words that stand in more than the share of a template's shingles that a match may lack; fewest first, long ones preferred."""
+    """Words that stand in more than the share of a template's shingles that a match may lack.
+
+    One word if one is enough, the longest; else those that cover most come first.
+    """
     grams = {tuple(words[i : i + WIDTH]) for i in range(len(words) - WIDTH + 1)}
+    most = (100 - percent) * len(grams) // 100
+    alone = [w for w in sorted({*words}) if sum(w in g for g in grams) > most]
+    if alone:
+        return [max(alone, key=len)]
     lacking, chosen = set(grams), []
-    while 100 * (len(grams) - len(lacking)) <= (100 - percent) * len(grams):
+    while len(grams) - len(lacking) <= most:
         best = max(sorted({w for g in lacking for w in g}), key=lambda w: (len(w) > 3, sum(w in g for g in lacking), len(w)))
         chosen.append(best)
         lacking = {g for g in lacking if best not in g}
     return chosen
 
 
+def once(**columns: Column) -> Column:
+    """Columns behind a one-row generator: computed once, and not copied into later expressions that use them."""
+    return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+
+
 def shingles(words: Column) -> Column:
     """64-bit hashes of all five-word runs, in order."""
     places = F.when(F.size(words) >= WIDTH, F.sequence(F.lit(1), F.size(words) - WIDTH + 1)).otherwise(F.array().cast("array<int>"))
@@ -103,11 +115,10 @@ def scan(docs: DataFrame, notices=NOTICES, percent: int = PERCENT) -> DataFrame:
     if not lists:
         return spark.createDataFrame([], "doc_id bigint, license_id string, n_shingles bigint, n_found bigint, start bigint")
     telling = sorted({w for words in lists.values() for w in telling_words(words, percent)})
-    able = docs.filter(F.lower("text").rlike("|".join(telling))).withColumn("version", F.xxhash64("text"))
-    able = able.select("doc_id", "version", text_words(F.col("text")).alias("words"))
-    able = able.select("doc_id", "version", shingles(F.col("words")).alias("s")).filter(F.size("s") > 0)
-    # Behind one-row generators the deep columns are computed once and not copied into later ones.
-    able = able.select("doc_id", "version", F.inline(F.array(F.struct("s", *[coordinate(F.col("s"), k).alias(f"c{k}") for k in range(COORDINATES)]))))
+    able = docs.filter(F.lower("text").rlike(f"(?<![a-z0-9])(?:{'|'.join(telling)})(?![a-z0-9])"))
+    able = able.select("doc_id", F.xxhash64("text").alias("version"), once(words=text_words(F.col("text"))))
+    able = able.select("doc_id", "version", once(s=shingles(F.col("words")))).filter(F.size("s") > 0)
+    able = able.select("doc_id", "version", once(s=F.col("s"), **{f"c{k}": coordinate(F.col("s"), k) for k in range(COORDINATES)}))
 
     def windows(n: int) -> Column:
         step = max(1, n // 4)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections import defaultdict
 
@@ -40,15 +41,47 @@ def token_source(path: str) -> WordIds:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_padding()
         tokenizer.no_truncation()
+        vocab = tokenizer.get_vocab(with_added_tokens=False)
+        ends = np.zeros(max(vocab.values()) + 1, bool)
+        ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
         kept["tokenizer", path] = WordIds(
-            lambda words: [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)],
+            lambda words: encoded_words(tokenizer, words, ends),
             lambda text: tokenizer.encode(text, add_special_tokens=False).ids,
             special,
         )
     return kept["tokenizer", path]
 
 
+# Latin letters that normal form C leaves alone and whose small letters are letters, then perhaps one mark that is no part of a contraction.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+([!-&(-/:-@\[-`{-~]?)")
+
+
+def encoded_words(tokenizer, words: list[str], ends: np.ndarray, group: int = 1000) -> list[list[int]]:
+    """Ids of each word.
+
+    Words of letters, or letters and a mark, are one or two pieces to the
+    tokenizer, so many of them can share a call and be parted at the tokens
+    that end a piece (``ends``, by id); the others are encoded one by one.
+    """
+    match = [PLAIN.fullmatch(w) for w in words]
+    plain = [i for i, m in enumerate(match) if m]
+    out: list = [None] * len(words)
+    groups = [plain[k : k + group] for k in range(0, len(plain), group)]
+    texts = [" ".join([words[i] for i in g]) for g in groups]
+    for g, e in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        ids = e.ids
+        cuts = np.flatnonzero(ends[ids]) + 1
+        at = 0
+        for i, b in zip(g, cuts[np.cumsum([2 if match[i][1] else 1 for i in g]) - 1].tolist()):
+            out[i] = ids[at:b]
+            at = b
+    rest = [i for i, m in enumerate(match) if not m]
+    for i, e in zip(rest, tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
+        out[i] = e.ids
+    return out
+
+
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, with_ids: bool = True) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if wanted, ids of every piece.
 

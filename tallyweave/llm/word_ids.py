@@ -8,12 +8,13 @@ many occurrences; the table is emptied when it holds ``most`` words.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
 
 class WordIds:
-    def __init__(self, encode_words: Callable, encode_text: Callable, special: tuple[str, ...], most: int = 300_000):
+    def __init__(self, encode_words: Callable, encode_text: Callable, special: tuple[str, ...], most: int = 800_000):
         """``encode_words``: list of words to list of id lists; ``encode_text``: one text that holds a special string, to ids."""
         self.encode_words, self.encode_text, self.most = encode_words, encode_text, most
         # str.split also parts words at these four, which are ordinary characters to the tokenizers
@@ -27,7 +28,7 @@ class WordIds:
     def _add(self, words: list[str]) -> None:
         lists = self.encode_words(words)
         size = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for ids in lists for i in ids), np.int32, int(size.sum()))
+        flat = np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))
         n = len(self.table)
         while n + len(words) > len(self.size):
             self.size, self.first = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.first))
@@ -49,8 +50,7 @@ class WordIds:
             new = set().union(*parts)
         if new:
             self._add(list(new))
-        get = self.table.__getitem__
-        number = np.fromiter((n for p in parts for n in map(get, p)), np.int64, sum(map(len, parts)))
+        number = np.fromiter(map(self.table.__getitem__, chain.from_iterable(parts)), np.int64, sum(map(len, parts)))
         size = self.size[number]
         ends = np.cumsum(size)
         flat = self.ids[np.repeat(self.first[number] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
