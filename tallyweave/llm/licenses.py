@@ -6,9 +6,9 @@ of a template's five-word shingles has a Jaccard similarity of at least one half
 with it; with ``COORDINATES`` bands of one MinHash coordinate such a pair meets in none of them
 once in 2**24.  Pairs that meet are verified by counting the template's shingles in the window.
 
-Only texts that contain one of a few words are cut at all: for each template, words are
-chosen that stand in more than a fifth of its shingles, so a text without any of them
-cannot hold four fifths of the shingles.
+Only windows that contain one of a few words are made: for each template, words are
+chosen that stand in more than a fifth of its shingles, so a window without any of
+them cannot hold four fifths of the shingles.
 """
 
 from __future__ import annotations
@@ -83,18 +83,18 @@ def once(**columns: Column) -> Column:
     return F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
 
 
-def shingles(words: Column) -> Column:
-    """64-bit hashes of all five-word runs, in order."""
-    places = F.when(F.size(words) >= WIDTH, F.sequence(F.lit(1), F.size(words) - WIDTH + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(*[F.element_at(words, i + k) for k in range(WIDTH)]))
+def shingles(words: Column, first: Column, last: Column) -> Column:
+    """64-bit hashes of the five-word runs that begin at the words from first to last (from 0)."""
+    return F.transform(F.sequence(first, last), lambda i: F.xxhash64(*[F.element_at(words, i + (k + 1)) for k in range(WIDTH)]))
 
 
 def text_words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
 
 
-def coordinate(hashes: Column, k: int) -> Column:
-    return F.transform(hashes, lambda x: F.xxhash64(x, F.lit(k)))
+def coordinates(hashes: Column) -> Column:
+    least = lambda k: F.array_min(F.transform(hashes, lambda x: F.xxhash64(x, F.lit(k))))
+    return F.array(*[least(k) for k in range(COORDINATES)])
 
 
 def scan(docs: DataFrame, notices=NOTICES, percent: int = PERCENT) -> DataFrame:
@@ -117,31 +117,31 @@ def scan(docs: DataFrame, notices=NOTICES, percent: int = PERCENT) -> DataFrame:
     telling = sorted({w for words in lists.values() for w in telling_words(words, percent)})
     able = docs.filter(F.lower("text").rlike(f"(?<![a-z0-9])(?:{'|'.join(telling)})(?![a-z0-9])"))
     able = able.select("doc_id", F.xxhash64("text").alias("version"), once(words=text_words(F.col("text"))))
-    able = able.select("doc_id", "version", once(s=shingles(F.col("words")))).filter(F.size("s") > 0)
-    able = able.select("doc_id", "version", once(s=F.col("s"), **{f"c{k}": coordinate(F.col("s"), k) for k in range(COORDINATES)}))
+    able = able.filter(F.size("words") >= WIDTH)
+    told = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.element_at("words", i + 1).isin(telling))
+    able = able.select("doc_id", "version", once(words=F.col("words"), told=told, last=F.size("words") - WIDTH))
 
     def windows(n: int) -> Column:
+        """Windows for templates of n words in which a telling word stands; no other window can hold a match."""
         step = max(1, n // 4)
         size = n + step - WIDTH + 1
-        starts = F.sequence(F.lit(0), F.size("s") - 1, F.lit(step))
+        low = lambda p: F.greatest(F.lit(0), F.floor((p - (size + WIDTH - 2) + (step - 1)) / step)) * step
+        high = lambda p: F.floor(F.least(p, F.col("last")) / step) * step
+        starts = F.flatten(F.transform("told", lambda p: F.sequence(low(p).cast("int"), high(p).cast("int"), F.lit(step))))
         return F.transform(
-            starts,
-            lambda at: F.struct(
-                F.lit(n).alias("n_words"),
-                at.alias("start"),
-                F.slice("s", at + 1, size).alias("window"),
-                F.array(*[F.array_min(F.slice(f"c{k}", at + 1, size)) for k in range(COORDINATES)]).alias("low"),
-            ),
+            F.array_distinct(starts),
+            lambda at: F.struct(F.lit(n).alias("n_words"), at.alias("start"), shingles(F.col("words"), at, F.least(at + (size - 1), F.col("last"))).alias("window")),
         )
 
     sizes = sorted({len(words) for words in lists.values()})
     cut = able.select("doc_id", "version", F.inline(F.concat(*[windows(n) for n in sizes])))
+    cut = cut.select("doc_id", "version", "n_words", "start", "window", once(low=coordinates(F.col("window"))))
     banded = cut.select("doc_id", "version", "n_words", "start", "window", F.posexplode("low").alias("band", "least"))
 
     table = spark.createDataFrame([(name, len(words), " ".join(words)) for name, words in lists.items()], "license_id string, n_words int, text string")
-    table = table.select("license_id", "n_words", F.array_distinct(shingles(F.split("text", " "))).alias("template"))
-    low = F.array(*[F.array_min(coordinate(F.col("template"), k)) for k in range(COORDINATES)])
-    table = table.select("license_id", "n_words", "template", F.posexplode(low).alias("band", "least"))
+    table = table.select("license_id", "n_words", once(words=F.split("text", " ")))
+    table = table.select("license_id", "n_words", once(template=F.array_distinct(shingles(F.col("words"), F.lit(0), F.size("words") - WIDTH))))
+    table = table.select("license_id", "n_words", "template", F.posexplode(coordinates(F.col("template"))).alias("band", "least"))
 
     # the templates are a parameter of the call, so their table has a known size
     met = banded.join(F.broadcast(table), ["n_words", "band", "least"])
