@@ -9,10 +9,10 @@ is taken modulo 2**64.
 Steps, none of which holds a group of copies in one task:
 
 1. One pass over the texts gives each document the number of its distinct
-   shingles, a 128-bit digest of the set, the band keys and a 128-bit sketch (one
-   bit of each coordinate).  Documents with equal digests are one node.
-2. Nodes that meet in a bucket are compared with the bucket's first node only,
-   and the links found are closed to components.
+   shingles, a 128-bit digest of the set, the band keys and a sketch (four
+   bits of each coordinate).  Documents with equal digests are one node.
+2. In a few rounds, nodes are compared with one node of their bucket only (at first the
+   one that they share most buckets with), and the links found are closed to components.
 3. Buckets that still hold several components are gone through in full: each
    node outside the bucket's largest component meets all nodes of other
    components.  Pairs within a component need no test any more, so a large group
@@ -20,8 +20,8 @@ Steps, none of which holds a group of copies in one task:
    that met in any band has been tested.
 
 Pairs are dropped before the exact test only where the sizes of the sets rule a
-link out, or the sketches differ in more bits than a pair at the threshold
-does but once in 10**10.
+link out, or the sketches differ in more coordinates than a pair at the threshold
+does but once in 10**8.
 """
 
 from __future__ import annotations
@@ -37,6 +37,9 @@ from tallyweave.llm.components import components
 from tallyweave.llm.words import BASE, MIX_A, MIX_B, mix, runs_of, signed, words_of
 
 SLICE = 1 << 18
+SKETCH = tuple(f"sketch_{k}" for k in range(8))  # four bits of each of 128 coordinates
+LOWEST = 0x1111111111111111
+STARS = 3  # rounds of star links before the buckets are gone through in full
 ROUND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -76,16 +79,16 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             size = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(size)
             keys = [None] * len(sets)
-            digest, sketch = np.zeros((2, len(sets)), np.uint64), np.zeros((2, len(sets)), np.uint64)
+            digest, sketch = np.zeros((2, len(sets)), np.uint64), np.zeros((len(SKETCH), len(sets)), np.uint64)
             if len(full):
                 flat = np.concatenate([sets[i] for i in full])
                 first = np.concatenate([[0], np.cumsum(size[full])[:-1]])
                 digest[0, full] = mix(np.add.reduceat(mix(flat ^ MIX_B), first) + size[full].astype(np.uint64))
                 digest[1, full] = mix(np.add.reduceat(mix(flat + MIX_A) * ROUND, first))
                 low = circulant_signature(flat, first, bands * rows)
-                bits = (low >> np.uint64(17)) & np.uint64(1)
+                bits = (low >> np.uint64(17)) & np.uint64(15)
                 for k in range(min(128, bands * rows)):
-                    sketch[k // 64, full] |= bits[k] << np.uint64(k % 64)
+                    sketch[k // 16, full] |= bits[k] << np.uint64(4 * (k % 16))
                 joined = np.zeros((bands, len(full)), np.uint64)
                 for r in range(rows):
                     joined = mix(joined + low[r::rows] + BASE)
@@ -97,20 +100,18 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 "n_shingles": size,
                 "set_a": signed(digest[0]),
                 "set_b": signed(digest[1]),
-                "sketch_a": signed(sketch[0]),
-                "sketch_b": signed(sketch[1]),
                 "keys": keys,
-            }
+            } | {name: signed(part) for name, part in zip(SKETCH, sketch)}
 
-    schema = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, sketch_a bigint, sketch_b bigint, keys array<bigint>"
-    return arrow_map(docs, one, schema)
+    parts = "".join(f", {name} bigint" for name in SKETCH)
+    return arrow_map(docs, one, f"doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>{parts}")
 
 
-def most_different(threshold: float, bits: int, odds: float = 1e-10) -> int:
-    """The number of sketch bits in which a pair at the threshold differs more often only at these odds."""
-    p, tail = (1 - threshold) / 2, 0.0
-    for n in range(bits, -1, -1):
-        tail += math.comb(bits, n) * p**n * (1 - p) ** (bits - n)
+def most_different(threshold: float, coordinates: int, odds: float = 1e-8) -> int:
+    """In more coordinates' bits than this, a pair at the threshold differs only at these odds."""
+    p, tail = (1 - threshold) * 15 / 16, 0.0
+    for n in range(coordinates, -1, -1):
+        tail += math.comb(coordinates, n) * p**n * (1 - p) ** (coordinates - n)
         if tail > odds:
             return n
     return 0
@@ -162,24 +163,30 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     met = stored(met, "shared-buckets")  # a stored side lets the planner split a hot bucket's join
     placed = stored(placed.join(met.select("key", "low"), "key"), "buckets")
 
-    facts = nodes.select("node", "n_shingles", "sketch_a", "sketch_b", "doc_id", "set_a", "set_b")
-    involved = placed.select("node").distinct().join(facts, "node").select("node", "doc_id", "set_a", "set_b")
+    facts = nodes.select("node", "n_shingles", *SKETCH)
+    involved = placed.select("node").distinct().join(nodes.select("node", "doc_id", "set_a", "set_b"), "node")
     sets = stored(_sets_of(docs, involved, width), "sets")
-    bits = min(128, bands * rows)
-    apart = most_different(percent / 100, bits)
-
-    stars = placed.filter("node <> low").groupBy(F.col("node").alias("a"), F.col("low").alias("b")).agg(F.count("*").alias("n_bands"))
-    stars = _possible(stars, facts, percent, apart)
-    nearest = stars.groupBy("a").agg(F.max_by("b", F.struct("n_bands", -F.col("b"))).alias("b"))
-    links = stored(confirmed(nearest, sets, percent), "star-links")
-    found = stored(components(links), "components")
-
-    known = placed.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    shares = known.groupBy("key", "component").agg(F.count("*").alias("n"))
-    several = shares.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
-    several = stored(several.filter("parts > 1").select("key", "main"), "mixed-keys")
-    mixed = known.join(several, "key").join(facts.select("node", "n_shingles", "sketch_a", "sketch_b"), "node")
-    mixed = stored(mixed, "mixed-buckets")
+    apart = most_different(percent / 100, min(128, bands * rows))
+
+    links, found, nearest_only = None, None, True
+    for _ in range(STARS):
+        mixed = _mixed(placed, found)
+        # the centre of a bucket is a node of its largest component, another one in each bucket
+        centre = mixed.filter("component = main").groupBy("key").agg(F.min(F.xxhash64("node", "key")).alias("pick"))
+        centres = mixed.filter("component = main").withColumn("pick", F.xxhash64("node", "key")).join(centre, ["key", "pick"])
+        centres = stored(centres.select("key", F.col("node").alias("b")), "centres")
+        stars = mixed.filter("component <> main").select("key", F.col("node").alias("a")).join(centres, "key")
+        stars = _possible(stars.groupBy("a", "b").agg(F.count("*").alias("n_bands")), facts, percent, apart)
+        if nearest_only:
+            stars = stars.groupBy("a").agg(F.max_by("b", F.struct("n_bands", -F.col("b"))).alias("b"))
+        more = stored(confirmed(stars.select("a", "b"), sets, percent), "star-links")
+        if not nearest_only and is_empty(more):
+            break
+        links = more if links is None else links.union(more)
+        found, nearest_only = stored(components(links), "components"), False
+
+    mixed = _mixed(placed, found).join(facts, "node")
+    mixed = stored(mixed, "mixed-facts")
     x, y = mixed.filter("component <> main").alias("x"), mixed.alias("y")
     meeting = (
         (F.col("x.key") == F.col("y.key"))
@@ -191,7 +198,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     others = x.join(y, meeting).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = stored(confirmed(others, sets, percent), "cross-links")
     if not is_empty(more):
-        found = stored(components(links.union(more).union(found.select("node", "component"))), "components")
+        found = stored(components(links.union(more)), "components")
 
     member = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -207,12 +214,31 @@ def _fits(a, b, percent: int):
 
 
 def _differing(x: str, y: str):
-    return sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("sketch_a", "sketch_b"))
+    """Number of coordinates whose four bits differ."""
+    total = F.lit(0)
+    for name in SKETCH:
+        other = F.col(f"{x}.{name}").bitwiseXOR(F.col(f"{y}.{name}"))
+        any_bit = other.bitwiseOR(F.shiftrightunsigned(other, 1)).bitwiseOR(F.shiftrightunsigned(other, 2)).bitwiseOR(F.shiftrightunsigned(other, 3))
+        total = total + F.bit_count(any_bit.bitwiseAND(F.lit(LOWEST)))
+    return total
+
+
+def _mixed(placed: DataFrame, found: DataFrame | None) -> DataFrame:
+    """key, node, component, main (the bucket's largest component) of the buckets that hold several components."""
+    component = "node"
+    known = placed.select("key", "node")
+    if found is not None:
+        known, component = known.join(found, "node", "left"), F.coalesce("component", "node")
+    known = known.select("key", "node", F.col(component).alias("component") if isinstance(component, str) else component.alias("component"))
+    shares = known.groupBy("key", "component").agg(F.count("*").alias("n"))
+    several = shares.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
+    several = stored(several.filter("parts > 1").select("key", "main"), "mixed-keys")
+    return stored(known.join(several, "key"), "mixed-buckets")
 
 
 def _possible(pairs: DataFrame, facts: DataFrame, percent: int, apart: int) -> DataFrame:
-    x = facts.select(F.col("node").alias("a"), F.struct("n_shingles", "sketch_a", "sketch_b").alias("x"))
-    y = facts.select(F.col("node").alias("b"), F.struct("n_shingles", "sketch_a", "sketch_b").alias("y"))
+    x = facts.select(F.col("node").alias("a"), F.struct("n_shingles", *SKETCH).alias("x"))
+    y = facts.select(F.col("node").alias("b"), F.struct("n_shingles", *SKETCH).alias("y"))
     good = _fits(F.col("x.n_shingles"), F.col("y.n_shingles"), percent) & (_differing("x", "y") <= apart)
     return pairs.join(x, "a").join(y, "b").filter(good).drop("x", "y")
 
