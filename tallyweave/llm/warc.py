@@ -21,7 +21,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyweave.llm.common import is_empty, stored, with_types
 
@@ -100,11 +99,11 @@ def write_archives(records: DataFrame, path: str, compression: str = "gzip", mos
     text.write.option("lineSep", BREAK.decode()).option("compression", compression).option("maxRecordsPerFile", most).text(path)
 
 
-CHUNK = T.StructType.fromDDL(
+CHUNK = (
     "file string, part bigint, at bigint, size bigint, bytes bigint, head bigint, length bigint, exit bigint, record_type string, "
     "record_id string, refers string, url string, declared_bytes bigint, declared_digest string, payload_bytes bigint, payload_digest string"
 )
-NAMES = CHUNK.fieldNames()
+KINDS = dict(f.split() for f in CHUNK.split(", "))
 
 
 def parse_head(head: bytes) -> dict[str, str]:
@@ -206,7 +205,7 @@ def _walk(batches):
 
 def _scan(batches):
     """Candidates of each part with their exits, once the part is over."""
-    schema = pa.schema([(n, pa.string() if CHUNK[n].dataType.simpleString() == "string" else pa.int64()) for n in NAMES])
+    schema = pa.schema([(n, pa.string() if k == "string" else pa.int64()) for n, k in KINDS.items()])
     rows, now = [], None
 
     def finished():
@@ -224,7 +223,7 @@ def _scan(batches):
             if rows:
                 yield finished()
             rows, now = [], (file, part)
-        row = dict.fromkeys(NAMES) | {"file": file, "part": part, "at": at, "size": len(value), "bytes": len(value) + len(MAGIC)}
+        row = dict.fromkeys(KINDS) | {"file": file, "part": part, "at": at, "size": len(value), "bytes": len(value) + len(MAGIC)}
         if part or at:  # what stands before the first magic line of a file follows none
             row |= candidate(value)
         rows.append(row)

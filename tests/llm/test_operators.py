@@ -1,0 +1,374 @@
+"""The operators against plain restatements, and on null, empty, long, repeated and missing rows."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tallyweave.llm import bpe, components, licenses, maxscore, near_dups, packing, pii, quality_model, quality_rules, spans, warc
+from tallyweave.llm.common import work_path
+from tallyweave.llm.queries import vocabulary
+
+SPACES = re.compile(r"[\x20\x09-\x0D]+")
+ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+# "row", "node" and "key" are names that the operators use inside
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, node int, key string, length double"
+
+
+def words(text):
+    return [w for w in SPACES.split(text or "") if w]
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(["the", "of", "ther", "and", "in", "was"]) + rng.choice("abcdefgh") * rng.randint(0, 3) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def texts():
+    base = prose(1, 120)
+    near = base.replace(base.split()[60], "changed", 1)
+    passage = " ".join(f"passage{k} word{k}" + ("." if k % 5 == 4 else "") for k in range(40))
+    return [
+        (1, base),
+        (2, base),
+        (3, near),
+        (4, None),
+        (5, ""),
+        (6, " \t\n"),
+        (7, "one two"),
+        (8, prose(2, 90) + ". " + passage + " " + prose(3, 70) + "."),
+        (9, prose(4, 80) + ".\n" + passage + "\n" + prose(5, 60) + "."),
+        (9, prose(4, 80) + ".\n" + passage + "\n" + prose(5, 60) + "."),
+        (None, prose(6, 30) + " Ünïcode İ ΣΑΣ <|endoftext|> it's"),
+        (11, "write to a.b@mail.example.com or +1 (736) 555-2678, 10.0.0.255, 4111 1111 1111 1111. Released under the MIT License."),
+        (12, prose(7, 30_000)),
+        (13, "x" * 300_000),
+        (14, "ha " * 200),
+    ]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", None, "r", 1, "k", 0.5) for i, t in texts], SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (2, 1, 0), (14, 0, 0), (14, 0, 0), (None, 1, 0), (8, None, 0), (7, 5, 0)], "doc_id long, quality int, toxic int")
+
+
+def count(rows):
+    return Counter(tuple(r) for r in rows)
+
+
+def test_packing(docs, texts):
+    tokenizer = Tokenizer.from_file(vocabulary())
+    got = packing.pack(packing.tokenized_pieces(docs, vocabulary())).collect()
+    want = Counter()
+    for doc_id, text in texts:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            cut = ids[at : at + 2048]
+            want[doc_id, k, at, len(cut), zlib.crc32(np.array(cut, "<u4").tobytes()), tuple(cut)] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32, tuple(r.ids)) for r in got) == want
+    filled = defaultdict(list)
+    for r in got:
+        filled[r.sequence_id].append((r.offset, r.length))
+    for own in filled.values():
+        assert [o for o, _ in sorted(own)] == list(np.cumsum([0, *[n for _, n in sorted(own)]])[:-1]) and sum(n for _, n in own) <= 2048
+
+
+def test_plans_fill_every_sequence_without_gaps():
+    rng = random.Random(0)
+    for _ in range(200):
+        capacity = rng.choice([5, 10, 30, 100])
+        counts = {rng.randint(1, capacity): rng.randint(1, 20) for _ in range(rng.randint(0, 12))}
+        plan, filled = packing.Plan(counts, capacity), defaultdict(list)
+        for length, _, pieces, each, sequence, offset in plan.moves:
+            for i in range(pieces):
+                filled[sequence + i // each].append((offset + i % each * length, length))
+        assert Counter(n for own in filled.values() for _, n in own) == counts
+        assert len(filled) == plan.sequences
+        for own in filled.values():
+            at = 0
+            for offset, length in sorted(own):
+                assert offset == at
+                at += length
+            assert at <= capacity
+        large = [n for n, c in counts.items() for _ in range(c) if 3 * n > capacity]
+        assert all(sum(3 * n > capacity for _, n in own) <= 2 for own in filled.values()) or not large
+
+
+PATTERNS = (
+    re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+
+
+def plain_base(text):
+    for kind, pattern in enumerate(PATTERNS):
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m.group())
+            doubled = sum(int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits)))
+            good = (
+                True,
+                kind != 1 or all(int(p) <= 255 for p in m.group().split(".")),
+                13 <= len(digits) <= 19 and doubled % 10 == 0,
+                9 <= len(digits) <= 15,
+            )
+            if good[kind]:
+                yield kind, m.start(), m.end()
+
+
+def test_base_spans_of_random_texts():
+    rng = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(rng.choice("0123456789.+-@ ()ab_%é\n") for _ in range(rng.randint(0, 40)))
+        assert list(plain_base(text)) == pii.base_spans(text)
+
+
+def test_personal_data(docs, texts):
+    found = pii.find(docs, pii.learn(docs)).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        base = [(pii.KINDS[k], a, b) for k, a, b in plain_base(r.text or "")]
+        assert [tuple(s) for s in r.base] == base and {*base} <= {tuple(s) for s in r.spans}
+    kinds = {s.kind for r in found if r.doc_id == 11 for s in r.spans}
+    assert kinds == {*pii.KINDS}
+    masked = {r.doc_id: r.text for r in pii.mask(pii.find(docs, pii.learn(docs))).collect()}
+    assert masked[11].startswith("write to <EMAIL> or <PHONE>, <IP>, <CARD>.") and masked[4] is None
+
+
+def test_skip_links_carry_a_label_to_a_distant_token():
+    nodes = pii.nodes_of("call 5552678 first " + "word " * 50 + "and 5552678 last")
+    assert nodes.skip == [(0, 1)] and not nodes.chain
+    unary = np.zeros((pii.N_FORMS, pii.N_LABELS))
+    unary[0, 0] = 0.5
+    unary[39, 4] = 9.0
+    field = pii.Field(unary, np.zeros((5, 5)), np.full(5, 4.0))
+    alone = pii.beliefs(field, [[0, 39], [0]], [], [])
+    linked = pii.beliefs(field, [[0, 39], [0]], [], [(0, 1)])
+    assert alone[1].argmax() == 0 and linked[1].argmax() == 4
+
+
+def test_near_duplicates(docs, texts):
+    sets = {}
+    for doc_id, text in texts:
+        w = words((text or "").translate(ASCII_LOWER))
+        sets[doc_id, text] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    got = near_dups.near_duplicates(docs).collect()
+    assert sorted(r.n_shingles for r in got) == sorted(len(sets[k]) for k in texts)
+    component = {r.doc_id: r.component_id for r in got}
+    assert component == {i: {2: 1, 3: 1}.get(i, i) for i, _ in texts}
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_group_of_near_copies_is_whole(spark):
+    rng = random.Random(5)
+    base = prose(9, 150).split()
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for _ in range(rng.randint(0, 5)):
+            w[rng.randrange(len(w))] = f"new{rng.randrange(9)}"
+        rows.append((i, " ".join(w)))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in sets}
+
+
+def test_components_of_a_long_path(spark):
+    links = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = {r.node: r.component for r in components.components(links).collect()}
+    assert found == {i: 1 for i in range(1, 201)}
+
+
+def test_quality_rules(docs, labels, texts):
+    got = quality_rules.score_documents(docs, labels, carry={"lang": "string"}).collect()
+    want = Counter()
+    for doc_id, text in texts:
+        text, w = text or "", words(text)
+        seen, lines = set(), 0
+        for line in text.split("\n"):
+            if words(line):
+                lines += line in seen
+                seen.add(line)
+        windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        covered = {k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in (i, i + 1, i + 2)}
+        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+        want[doc_id, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), lines, len(covered), failed] += 1
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
+    assert not any(r.kept and r.base_failed for r in got)
+
+
+def test_isolation_forest_finds_what_lies_outside():
+    rng = np.random.default_rng(0)
+    usual, odd = rng.normal(0, 1, (500, 4)), rng.normal(0, 1, (50, 4)) + [0, 9, 0, 0]
+    rows = np.concatenate([usual, odd])
+    forest = quality_rules.fit_forest(usual, rows.min(0), rows.max(0))
+    score, quality = quality_rules.anomaly(forest, rows), np.repeat([1, 0], [500, 50])
+    least = quality_rules.threshold(score, quality)
+    assert (score[500:] >= least).mean() > 0.9 and (score[:500] >= least).mean() < 0.02
+
+
+def test_substring_dedup(docs, texts):
+    got = spans.remove_repeated_spans(docs).collect()
+    assert len(got) == len(texts)
+    by = defaultdict(list)
+    for r in got:
+        by[r.doc_id].append(r)
+    assert by[8][0].n_removed == 0 and "passage20" in by[8][0].text
+    assert all("passage20" not in r.text and r.n_removed > 0 and r.text.startswith(prose(4, 80)) for r in by[9])
+    assert by[1][0].text == texts[0][1] and by[4][0].text is None and by[5][0].text == "" and by[12][0].n_removed == 0
+    assert by[2][0].n_removed == by[2][0].n_sentences and by[2][0].text == ""
+
+
+def test_max_score(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(0, 0.3, 8).tolist()) for i in range(200)] + [(i, [0.1] * 8) for i in range(200, 230)]
+    rows += [(500, None), (520, [float("nan")] + [0.0] * 7), (540, [None] + [0.0] * 7), (560, [float("inf")] + [0.0] * 7)]
+    table = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, shard string").repartition(4)
+    vectors = maxscore.integer_vectors(table)
+    got = maxscore.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20, shard=37, block=3).collect()
+    good = {i: np.floor(np.array(v) * 64).astype(int) for i, v in rows if i < 500}
+    want = set()
+    for q in (i for i in good if i % 20 == 0):
+        best = sorted((-int(good[q] @ v), i) for i, v in good.items() if i != q)[:20]
+        want |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_quality_classifier(spark, docs, labels, texts):
+    got = quality_model.classify(docs, labels).collect()
+    assert len(got) == len(texts) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
+    for r in got:
+        assert r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.01"
+    table, marks = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality_model.classify(table, marks).join(marks, "doc_id").filter("held_out").select("predicted", "quality").collect()
+    assert np.mean([r.predicted == r.quality for r in got]) > 0.95
+
+
+def test_license_scan(docs, spark):
+    got = licenses.scan(docs).collect()
+    assert [(r.doc_id, r.license_id, r.n_found) for r in got] == [(11, "mit", 1)]
+    notice = dict(licenses.NOTICES)["gpl-3.0-header"]
+    cut = notice.replace("redistribute", "reshare", 1)
+    found = licenses.scan(spark.createDataFrame([(1, prose(1, 300) + " " + cut + " " + prose(2, 40))], "doc_id long, text string")).collect()
+    assert [r.license_id for r in found] == ["gpl-3.0-header"] and found[0].n_found < found[0].n_shingles
+    with pytest.raises(ValueError):
+        licenses.scan(docs, (("short", "too short"),))
+
+
+def test_encoding(docs, texts):
+    tokenizer = Tokenizer.from_file(vocabulary())
+    encoded = bpe.encode(docs, vocabulary())
+    decoded = bpe.decode(encoded, vocabulary()).collect()
+    want, back = Counter(), Counter()
+    for doc_id, text in texts:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        want[doc_id, tuple(ids)] += 1
+        back[doc_id, tokenizer.decode(ids, skip_special_tokens=False)] += 1
+    assert Counter((r.doc_id, tuple(r.ids)) for r in encoded.collect()) == want and count(decoded) == back
+
+
+def test_encoding_of_random_texts():
+    tokenizer = Tokenizer.from_file(vocabulary())
+    own, known = bpe.encoder(vocabulary())
+    rng = random.Random(2)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    made = ["".join(map(chr, rng.choices(points, k=30))) for _ in range(2000)]
+    made += ["".join(rng.choices("aeiou thern'sd0123#.,-éß\x1c\n", k=200)) for _ in range(500)] + ["aaaaaaa <|endoftext|>b<|startoftext|>"]
+    assert [x.tolist() for x in known.of(made)] == [e.ids for e in tokenizer.encode_batch(made, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("compression", ["gzip", "uncompressed"])
+def test_archives(spark, compression):
+    inner = "x\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\nbogus"
+    rows = [(1, None, inner), (2, "u\r\nWARC/1.0\r\nx", None), (3, "a", ""), (None, "a", "zz"), (5, "a", "zz"), (7, "q", "WARC/1.0\r\n" * 50)]
+    rows += [(8, "q", "é\r\n\r\n" * 9), (8, "q", "é\r\n\r\n" * 9)] + [(100 + i, "h", "page " * (i % 40)) for i in range(200)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, part int").repartition(2)
+    path = work_path(spark, "archives")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        warc.write_archives(warc.plan_records(pages), path, compression)
+        got = warc.read_archives(spark, path)
+        got = got.select(warc.page_number(F.col("record_id")), "payload_bytes", "payload_digest", "record_type", warc.page_number(F.col("refers"))).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    first = {}
+    for i, _, html in rows:
+        first[html or ""] = min(first.get(html or "", 1 << 60), 1 << 60 if i is None else i)
+    want = Counter()
+    for i, _, html in rows:
+        data, low = (html or "").encode(), first[html or ""]
+        digest = base64.b32encode(hashlib.sha1(data).digest()).decode()
+        want[(i, len(data), digest, "response", None) if i == low else (i, len(data), digest, "revisit", low)] += 1
+    assert count(got) == want
+
+
+def test_empty_tables(spark, docs, labels):
+    none, pages = docs.filter("false"), spark.createDataFrame([], "page_id long, url string, html string")
+    vectors = maxscore.integer_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>"))
+    path = work_path(spark, "archives")
+    warc.write_archives(warc.plan_records(pages), path)
+    for made in (
+        packing.pack(packing.tokenized_pieces(none, vocabulary())),
+        pii.find(none, pii.learn(none)),
+        near_dups.near_duplicates(none),
+        quality_rules.score_documents(none, labels),
+        spans.remove_repeated_spans(none),
+        maxscore.top_k(vectors, vectors),
+        quality_model.classify(none, labels),
+        licenses.scan(none),
+        bpe.encode(none, vocabulary()),
+        warc.read_archives(spark, path),
+    ):
+        assert made.collect() == []
+    unlabelled = quality_model.classify(docs, labels.filter("false")).collect()
+    assert {r.score for r in unlabelled} == {0.5}
+    assert any(r.kept for r in quality_rules.score_documents(docs, labels.filter("false")).collect())
+
+
+def test_pipeline_stages(spark, docs, texts):
+    folder = "/root/testdata/sf0.001"
+    table = docs.withColumn("lang", F.lit("en"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, folder)
+        assert tuple(out.columns) == corpus_pipeline.COLUMNS, name
+        path = work_path(spark, "stage")
+        out.write.parquet(path)
+        table = spark.read.parquet(path)
+    kept = {r.doc_id for r in table.collect()}
+    assert 4 not in kept and 14 not in kept and not {1, 2, 3} <= kept
+    packed = corpus_pipeline.packed(spark, table, folder)
+    assert packed.select(F.sum("length")).first()[0] > 0
