@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -15,7 +16,10 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     from tallyweave.session import build_session
 
-    return build_session("tests", "*", 8)
+    session = build_session("tests", "*", 8)
+    if not session.sparkContext.getConf().get("spark.checkpoint.dir"):
+        session.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tests-"))
+    return session
 
 
 @pytest.fixture(scope="session")
