@@ -65,9 +65,11 @@ def embed_sentences(docs: DataFrame, embed_batch, width: int, text: str = "text"
         made = list(embed_batch(flat)) if flat else []
         if len(made) != len(flat):
             raise ValueError(f"Embedding count mismatch: {len(made)} vs {len(flat)}")
+        if any(len(v) != width for v in made):
+            raise ValueError(f"Embedding width mismatch: {width} wanted")
         out, at = [], 0
         for g in groups:
-            out.append([list(map(float, v[:width])) for v in made[at : at + len(g)]])
+            out.append([list(map(float, v)) for v in made[at : at + len(g)]])
             at += len(g)
         return pd.Series(out)
 

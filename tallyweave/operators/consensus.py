@@ -403,6 +403,8 @@ def apply_overrides(facts: DataFrame, overrides: DataFrame) -> DataFrame:
     ).drop(*[f"t_{c}" for c in OVERRIDE_KEY])
     joined = facts.join(located, facts["fact_id"] == located["target_id"], "full_outer")
     hit = F.col("k_report_id").isNotNull()
+    # a fact that no override hits keeps its earlier review
+    earlier = lambda c: F.col(c) if c in facts.columns else F.lit(None).cast("string")
     return joined.select(
         "fact_id",
         *[F.when(hit, F.col(f"k_{c}")).otherwise(F.col(c)).alias(c) for c in OVERRIDE_KEY],
@@ -413,8 +415,7 @@ def apply_overrides(facts: DataFrame, overrides: DataFrame) -> DataFrame:
         F.when(~hit, F.col("selected_candidate_id")).alias("selected_candidate_id"),
         F.when(hit, F.lit("verified")).otherwise(F.col("resolution_status")).alias("resolution_status"),
         F.when(hit, F.lit("manual")).otherwise(F.col("resolution_method")).alias("resolution_method"),
-        F.when(hit, F.col("o_reviewed_by")).alias("reviewed_by"),
-        F.when(hit, F.col("o_review_notes")).alias("review_notes"),
+        *[F.when(hit, F.col(f"o_{c}")).otherwise(earlier(c)).alias(c) for c in ("reviewed_by", "review_notes")],
     )
 
 
@@ -423,12 +424,14 @@ def apply_picks(facts: DataFrame, candidates: DataFrame, picks: DataFrame) -> Da
     last = picks.groupBy("fact_id").agg(
         F.max_by(F.struct("candidate_id", "reviewed_by", "review_notes"), "input_order").alias("p")
     )
-    chosen = last.select("fact_id", "p.*").join(
+    named = last.select("fact_id", "p.candidate_id", F.col("p.reviewed_by").alias("p_reviewed_by"), F.col("p.review_notes").alias("p_review_notes"))
+    chosen = named.join(
         candidates.select("candidate_id", F.col("value").alias("p_value"), F.col("unit").alias("p_unit"), F.col("currency").alias("p_currency")),
         "candidate_id",
     )
     joined = facts.join(chosen.withColumnRenamed("candidate_id", "p_candidate"), "fact_id", "left")
     hit = F.col("p_candidate").isNotNull()
+    earlier = lambda c: F.col(c) if c in facts.columns else F.lit(None).cast("string")
     keep = [c for c in facts.columns if c not in ("value", "unit", "currency", "selected_candidate_id", "resolution_status", "resolution_method", "reviewed_by", "review_notes")]
     return joined.select(
         *keep,
@@ -438,8 +441,7 @@ def apply_picks(facts: DataFrame, candidates: DataFrame, picks: DataFrame) -> Da
         F.when(hit, F.col("p_candidate")).otherwise(F.col("selected_candidate_id")).alias("selected_candidate_id"),
         F.when(hit, F.lit("verified")).otherwise(F.col("resolution_status")).alias("resolution_status"),
         F.when(hit, F.lit("manual")).otherwise(F.col("resolution_method")).alias("resolution_method"),
-        "reviewed_by",
-        "review_notes",
+        *[F.when(hit, F.col(f"p_{c}")).otherwise(earlier(c)).alias(c) for c in ("reviewed_by", "review_notes")],
     )
 
 

@@ -394,28 +394,29 @@ def alias_rows(metrics: DataFrame) -> DataFrame:
     )
 
 
-def ancestors(metrics: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(metric_code, ancestor_code, distance) for every step up the parent chain.
+def ancestors(metrics: DataFrame) -> DataFrame:
+    """(metric_code, ancestor_code, distance) for every step up the parent chain, however long.
 
-    One join per level; each level is written to the shared work folder, so the
-    plan of the next does not grow.  A chain longer than ``max_depth`` is a cycle.
+    Steps double in each round: pairs at most 2**k apart meet pairs exactly 2**k
+    apart, so a chain of n levels takes log2(n) rounds; each is written to the
+    shared work folder.  A code that meets itself is a cycle and an error.
     """
     codes = metrics.select("metric_code")
-    edges = materialize(
+    found = materialize(
         metrics.filter("parent_metric_code IS NOT NULL")
-        .select("metric_code", F.col("parent_metric_code").alias("ancestor_code"))
-        .join(codes.withColumnRenamed("metric_code", "ancestor_code"), "ancestor_code", "left_semi"),
+        .select("metric_code", F.col("parent_metric_code").alias("ancestor_code"), F.lit(1).cast("int").alias("distance"))
+        .join(codes.withColumnRenamed("metric_code", "ancestor_code"), "ancestor_code", "left_semi")
+        .select("metric_code", "ancestor_code", "distance"),
         "parent-edges",
     )
-    level = edges.select("metric_code", "ancestor_code", F.lit(1).alias("distance"))
-    found = [level]
-    up = edges.select(F.col("metric_code").alias("ancestor_code"), F.col("ancestor_code").alias("next_code"))
-    for depth in range(2, max_depth + 2):
-        step = level.join(up, "ancestor_code").select("metric_code", F.col("next_code").alias("ancestor_code"), F.lit(depth).alias("distance"))
-        level = materialize(step, "ancestor-level")
-        if not level.take(1):
-            break
-        if depth > max_depth:
-            raise ValueError(f"parent chain longer than {max_depth}")
-        found.append(level)
-    return reduce(DataFrame.unionByName, found)
+    reach = 1
+    while True:
+        if found.filter("metric_code = ancestor_code").take(1):
+            raise ValueError("parent chain has a cycle")
+        far = found.filter(F.col("distance") == reach)
+        above = found.select(F.col("metric_code").alias("ancestor_code"), F.col("ancestor_code").alias("next_code"), F.col("distance").alias("more"))
+        grown = far.join(above, "ancestor_code").select("metric_code", F.col("next_code").alias("ancestor_code"), (F.col("distance") + F.col("more")).alias("distance"))
+        grown = materialize(grown, "ancestor-level")
+        if not grown.take(1):
+            return found
+        found, reach = found.unionByName(grown), 2 * reach

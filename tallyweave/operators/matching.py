@@ -107,9 +107,10 @@ def merge_metrics(base: DataFrame, loaded: DataFrame) -> DataFrame:
     return merged.withColumn("def_order", shifted.cast("int")).drop("rank").select(*base.columns)
 
 
-def metric_dictionary(metrics: DataFrame) -> DataFrame:
-    """Dictionary view with an English name for every metric."""
+def metric_dictionary(metrics: DataFrame, *keep: str) -> DataFrame:
+    """Dictionary view with an English name for every metric, and the columns to keep beside it."""
     return metrics.select(
+        *keep,
         "metric_code",
         "metric_name_cn",
         F.coalesce(F.nullif("metric_name_en", F.lit("")), L.english_name(F.col("metric_code"))).alias("metric_name_en"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.functions.text import strip
+
 
 def with_hash(docs: DataFrame, content: str = "text") -> DataFrame:
     """SHA-256 of the content and the document id made of its first 32 digits."""
@@ -90,7 +92,7 @@ def latest_user_query(messages: DataFrame, at: str = "ts", content: str = "conte
     return (
         messages.filter("role = 'user'")
         .groupBy("session_id")
-        .agg(F.trim(F.max_by(content, at)).alias("query"))
+        .agg(strip(F.max_by(content, at)).alias("query"))
     )
 
 
@@ -118,7 +120,7 @@ def payload_query(payload: Column) -> Column:
         ),
     )
     newest = F.get(F.filter(texts, lambda t: t.isNotNull()), 0)
-    return F.trim(F.coalesce(payload["message"], newest, F.lit("")))
+    return strip(F.coalesce(payload["message"], newest, F.lit("")))
 
 
 def upsert_questions(stored: DataFrame, incoming: DataFrame) -> DataFrame:

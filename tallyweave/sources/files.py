@@ -50,7 +50,14 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 
 def _json_items(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
-    """Items of one JSON document, an object with a list ``field`` or a bare list, with their order."""
+    """Items of one JSON document (an object with a list ``field``, or a bare list) or of JSON lines, with their order.
+
+    A folder is what a sink wrote: JSON lines, ordered by ``def_order`` where they have it.
+    """
+    if _is_folder(spark, path):
+        lines = spark.read.schema(f"{schema}, def_order long").json(path)
+        place = F.coalesce("def_order", F.monotonically_increasing_id()).alias("item_order")
+        return lines.select(place, *[f.split()[0] for f in schema.split(", ")])
     raw = spark.read.text(path, wholetext=True).select(strip(F.col("value")).alias("body"))
     bare = F.from_json("body", f"array<struct<{_struct_fields(schema)}>>")
     held = F.from_json("body", f"struct<{field}:array<struct<{_struct_fields(schema)}>>>")[field]
@@ -58,6 +65,12 @@ def _json_items(spark: SparkSession, path: str, field: str, schema: str) -> Data
     return items.select(F.posexplode("items").alias("item_order", "i")).filter("i IS NOT NULL").select("item_order", "i.*")
 
 
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(target) and system.getFileStatus(target).isDirectory()
+
+
 def _struct_fields(schema: str) -> str:
     return ",".join(part.strip().replace(" ", ":", 1) for part in schema.split(","))
 
@@ -84,10 +97,10 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_metrics(metrics: DataFrame, path: str) -> None:
-    """Dictionary as JSON lines, one metric per line, in the field names of the dictionary view."""
+    """Dictionary as JSON lines, one metric per line, in the field names of the dictionary view, with its order."""
     from tallyweave.operators.matching import metric_dictionary
 
-    metric_dictionary(metrics).write.mode("overwrite").json(path)
+    metric_dictionary(metrics, "def_order").write.mode("overwrite").json(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

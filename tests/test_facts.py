@@ -180,7 +180,7 @@ def test_contents_aliases_complete_the_dictionary(spark):
 def test_ancestors_stop_at_cycles(spark):
     loop = spark.createDataFrame([("a", "b"), ("b", "a")], "metric_code string, parent_metric_code string")
     with pytest.raises(ValueError):
-        J.ancestors(loop, 5)
+        J.ancestors(loop)
 
 
 def test_quarantine_and_sync_state(spark):
