@@ -157,7 +157,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for part in slices(batch, "text", SLICE):
             yield {"doc_id": part.column("doc_id"), "ids": words.of(texts_of(part))}
 
-    return arrow_map(with_types(docs, doc_id="bigint", text="string"), one, "doc_id bigint, ids array<int>")
+    return arrow_map(with_types(docs, doc_id="bigint", text="string"), one, "doc_id bigint, ids array<int>", keep="bpe")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -167,7 +167,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         own, _ = encoder(path)
         yield {"doc_id": batch.column("doc_id"), "text": [own.decode(x or []) for x in batch.column("ids").to_pylist()]}
 
-    return arrow_map(encoded.select("doc_id", "ids"), one, "doc_id bigint, text string")
+    return arrow_map(encoded.select("doc_id", "ids"), one, "doc_id bigint, text string", keep="bpe")
 
 
 def encode_and_decode(docs: DataFrame, path: str, summary: Callable, schema: str) -> DataFrame:
@@ -180,7 +180,7 @@ def encode_and_decode(docs: DataFrame, path: str, summary: Callable, schema: str
             rows = [summary(ids, own.decode(ids)) for ids in (x.tolist() for x in words.of(texts_of(part)))]
             yield {"doc_id": part.column("doc_id")} | {n: list(c) for n, c in zip(names, zip(*rows))}
 
-    return arrow_map(with_types(docs, doc_id="bigint", text="string"), one, f"doc_id bigint, {schema}")
+    return arrow_map(with_types(docs, doc_id="bigint", text="string"), one, f"doc_id bigint, {schema}", keep="bpe")
 
 
 def texts_of(part) -> list[str]:

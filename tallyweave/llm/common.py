@@ -47,18 +47,26 @@ def with_types(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*[(F.col(f"`{n}`") if n.lower() in have else F.lit(None)).cast(k).alias(n) for n, k in kinds.items()])
 
 
-def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with a function from one record batch to any number of dicts of columns."""
+def arrow_map(df: DataFrame, function, schema: str, keep: str | None = None) -> DataFrame:
+    """``mapInArrow`` with a function from one record batch to any number of dicts of columns.
+
+    ``keep``: the kind of entry of the worker's store that the function uses; entries of other kinds are let go.
+    """
     out = T.StructType.fromDDL(schema)
     arrow = pa.schema([(f.name, arrow_type(f.dataType)) for f in out.fields])
 
     def run(batches):
+        store = worker_store()
+        for key in [k for k in store if isinstance(k, tuple) and k[0] != keep]:
+            del store[key]
+        pa.default_memory_pool().release_unused()
         for batch in batches:
             for columns in function(batch):
                 yield pa.RecordBatch.from_arrays(
                     [columns[n] if isinstance(columns[n], pa.Array) else pa.array(columns[n], type=arrow.field(n).type) for n in arrow.names],
                     schema=arrow,
                 )
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, out)
 

@@ -107,7 +107,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end:
             yield columns | ({"ids": ids} if with_ids else {})
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return arrow_map(with_types(docs, doc_id="bigint", text="string"), one, schema)
+    return arrow_map(with_types(docs, doc_id="bigint", text="string"), one, schema, keep="tokenizer")
 
 
 class Plan:
