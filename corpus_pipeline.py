@@ -56,7 +56,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all pieces with their places in sequences of 2048."""
-    return packing.pack(packing.tokenized_pieces(docs, vocabulary()))
+    return packing.pack(packing.tokenized_pieces(docs, vocabulary(), known_words=250_000))
 
 
 STAGES = [

@@ -31,10 +31,10 @@ SLICE = 1 << 19
 CAPACITY = 2048
 
 
-def token_source(path: str) -> WordIds:
+def token_source(path: str, most: int = 800_000) -> WordIds:
     """The tokenizer of a file that drops white space, loaded once in each Python worker."""
     kept = worker_store()
-    if ("tokenizer", path) not in kept:
+    if ("tokenizer", path, most) not in kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
         from tokenizers import Tokenizer
 
@@ -45,12 +45,13 @@ def token_source(path: str) -> WordIds:
         ends = np.zeros(max(vocab.values()) + 1, bool)
         ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
-        kept["tokenizer", path] = WordIds(
+        kept["tokenizer", path, most] = WordIds(
             lambda words: encoded_words(tokenizer, words, ends),
             lambda text: tokenizer.encode(text, add_special_tokens=False).ids,
             special,
+            most,
         )
-    return kept["tokenizer", path]
+    return kept["tokenizer", path, most]
 
 
 # Latin letters that normal form C leaves alone and whose small letters are letters, then perhaps one mark that is no part of a contraction.
@@ -82,15 +83,17 @@ def encoded_words(tokenizer, words: list[str], ends: np.ndarray, group: int = 10
     return out
 
 
-def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, with_ids: bool = True) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, with_ids: bool = True, known_words: int = 800_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 and, if wanted, ids of every piece.
 
     A document's ids are the tokenizer's and then ``end``; a null or empty text
     has ``end`` alone.  Rows that repeat a doc_id are documents of their own.
+    A worker keeps the ids of up to ``known_words`` words: fewer take less
+    memory and more encoding, with the same result.
     """
 
     def one(batch):
-        words = token_source(path)
+        words = token_source(path, known_words)
         for part in slices(batch, "text", SLICE):
             doc, piece, start, length, crc, ids = [], [], [], [], [], []
             for d, own in zip(part.column("doc_id").to_pylist(), words.of([t or "" for t in part.column("text").to_pylist()])):
