@@ -81,6 +81,7 @@ def arrow_type(kind: T.DataType) -> pa.DataType:
         "int": pa.int32(),
         "bigint": pa.int64(),
         "double": pa.float64(),
+        "float": pa.float32(),
         "boolean": pa.bool_(),
         "binary": pa.binary(),
         "smallint": pa.int16(),

@@ -108,13 +108,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int =
                 "doc_id": part.column("doc_id"),
                 "quality": part.column("quality"),
                 "index": [r[0].astype(np.int32) for r in rows],
-                "share": [r[1] for r in rows],
+                "share": [r[1].astype(np.float32) for r in rows],
             }
 
-    table = arrow_map(labelled_sample(docs, labels, sample), one, "doc_id bigint, quality int, index array<int>, share array<double>").toArrow()
-    got = table.to_pydict() if table.num_rows else {"doc_id": [], "quality": [], "index": [], "share": []}
-    order = sorted(range(len(got["doc_id"])), key=lambda i: (int(mix(np.array([got["doc_id"][i]], np.int64).view(np.uint64))[0]), got["index"][i]))
-    rows = [(np.array(got["index"][i], np.int64), np.array(got["share"][i])) for i in order]
+    table = arrow_map(labelled_sample(docs, labels, sample), one, "doc_id bigint, quality int, index array<int>, share array<float>").toArrow()
+    rows, quality, order = [], [], []
+    for batch in table.to_batches():
+        index, share = batch.column("index"), batch.column("share")
+        at, i, x = index.offsets.to_numpy(), index.values.to_numpy(), share.values.to_numpy()
+        rows += [(i[a:b], x[a:b]) for a, b in zip(at[:-1], at[1:])]
+        quality += batch.column("quality").to_pylist()
+        order += mix(batch.column("doc_id").to_numpy().view(np.uint64)).tolist()
+    # repeated rows of one id: by their features
+    order = sorted(range(len(rows)), key=lambda k: (order[k], rows[k][0].tobytes()))
+    rows, got = [rows[k] for k in order], {"quality": quality}
     return follow_the_leader(rows, np.array([got["quality"][i] for i in order], float), bits)
 
 
