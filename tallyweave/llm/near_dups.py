@@ -9,8 +9,9 @@ is taken modulo 2**64.
 Steps, none of which holds a group of copies in one task:
 
 1. One pass over the texts gives each document the number of its distinct
-   shingles, a 128-bit digest of the set, the band keys and a sketch (four
-   bits of each coordinate).  Documents with equal digests are one node.
+   shingles, a 128-bit digest of the set and the band keys.  Documents with
+   equal digests are one node; those that share a bucket get a sketch (one bit of
+   each of 1024 coordinates of the same two permutations).
 2. In a few rounds, nodes are compared with one node of their bucket only (at first the
    one that they share most buckets with), and the links found are closed to components.
 3. Buckets that still hold several components are gone through in full: each
@@ -27,6 +28,7 @@ does but once in 10**8.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,8 +39,7 @@ from tallyweave.llm.components import components
 from tallyweave.llm.words import BASE, MIX_A, MIX_B, mix, runs_of, signed, words_of
 
 SLICE = 1 << 18
-SKETCH = tuple(f"sketch_{k}" for k in range(8))  # four bits of each of 128 coordinates
-LOWEST = 0x1111111111111111
+SKETCH = tuple(f"sketch_{k}" for k in range(16))  # one bit of each of 64 * 16 coordinates
 STARS = 3  # rounds of star links before the buckets are gone through in full
 ROUND = np.uint64(0xD6E8FEB86659FD93)
 
@@ -56,22 +57,28 @@ def shingle_sets(texts, width: int) -> list[np.ndarray]:
     return out
 
 
-def circulant_signature(flat: np.ndarray, first: np.ndarray, coordinates: int) -> np.ndarray:
-    """coordinates x sets: the least rank in each (non-empty) set under each shift of the second permutation."""
+def circulant_signature(flat: np.ndarray, first: np.ndarray, coordinates: int) -> Iterator[np.ndarray]:
+    """For each coordinate, the least rank in each (non-empty) set under its shift of the second permutation."""
     scattered = mix(flat + BASE) * MIX_A  # first permutation; the product starts the second
-    out = np.empty((coordinates, len(first)), np.uint64)
     rank, high = np.empty_like(scattered), np.empty_like(scattered)
     for k in range(coordinates):
         np.subtract(scattered, np.uint64(k * int(MIX_A) & (1 << 64) - 1), out=rank)  # shift by k places, before the product
         np.right_shift(rank, np.uint64(32), out=high)
         np.bitwise_xor(rank, high, out=rank)
         np.multiply(rank, ROUND, out=rank)
-        np.minimum.reduceat(rank, first, out=out[k])
+        yield np.minimum.reduceat(rank, first)
+
+
+def sketches(flat: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One row of 64 coordinates' bits for each name of SKETCH, one column a set."""
+    out = np.zeros((len(SKETCH), len(first)), np.uint64)
+    for k, low in enumerate(circulant_signature(flat, first, 64 * len(SKETCH))):
+        out[k // 64] |= ((low >> np.uint64(17)) & np.uint64(1)) << np.uint64(k % 64)
     return out
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest (two longs), sketch (two longs), keys (one long a band) of each row of ``docs``."""
+    """doc_id, n_shingles, digest (two longs), keys (one long a band) of each row of ``docs``."""
 
     def one(batch):
         for part in slices(batch, "text", SLICE):
@@ -79,16 +86,13 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             size = np.array([len(s) for s in sets], np.int64)
             full = np.flatnonzero(size)
             keys = [None] * len(sets)
-            digest, sketch = np.zeros((2, len(sets)), np.uint64), np.zeros((len(SKETCH), len(sets)), np.uint64)
+            digest = np.zeros((2, len(sets)), np.uint64)
             if len(full):
                 flat = np.concatenate([sets[i] for i in full])
                 first = np.concatenate([[0], np.cumsum(size[full])[:-1]])
                 digest[0, full] = mix(np.add.reduceat(mix(flat ^ MIX_B), first) + size[full].astype(np.uint64))
                 digest[1, full] = mix(np.add.reduceat(mix(flat + MIX_A) * ROUND, first))
-                low = circulant_signature(flat, first, bands * rows)
-                bits = (low >> np.uint64(17)) & np.uint64(15)
-                for k in range(min(128, bands * rows)):
-                    sketch[k // 16, full] |= bits[k] << np.uint64(4 * (k % 16))
+                low = np.stack(list(circulant_signature(flat, first, bands * rows)))
                 joined = np.zeros((bands, len(full)), np.uint64)
                 for r in range(rows):
                     joined = mix(joined + low[r::rows] + BASE)
@@ -101,17 +105,19 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                 "set_a": signed(digest[0]),
                 "set_b": signed(digest[1]),
                 "keys": keys,
-            } | {name: signed(part) for name, part in zip(SKETCH, sketch)}
+            }
 
-    parts = "".join(f", {name} bigint" for name in SKETCH)
-    return arrow_map(docs, one, f"doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>{parts}")
+    return arrow_map(docs, one, "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, keys array<bigint>")
 
 
 def most_different(threshold: float, coordinates: int, odds: float = 1e-8) -> int:
     """In more coordinates' bits than this, a pair at the threshold differs only at these odds."""
-    p, tail = (1 - threshold) * 15 / 16, 0.0
+    p, tail = (1 - threshold) / 2, 0.0
+    if p <= 0:
+        return 0
     for n in range(coordinates, -1, -1):
-        tail += math.comb(coordinates, n) * p**n * (1 - p) ** (coordinates - n)
+        ways = math.lgamma(coordinates + 1) - math.lgamma(n + 1) - math.lgamma(coordinates - n + 1)
+        tail += math.exp(ways + n * math.log(p) + (coordinates - n) * math.log(1 - p))
         if tail > odds:
             return n
     return 0
@@ -163,10 +169,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     met = stored(met, "shared-buckets")  # a stored side lets the planner split a hot bucket's join
     placed = stored(placed.join(met.select("key", "low"), "key"), "buckets")
 
-    facts = nodes.select("node", "n_shingles", *SKETCH)
     involved = placed.select("node").distinct().join(nodes.select("node", "doc_id", "set_a", "set_b"), "node")
     sets = stored(_sets_of(docs, involved, width), "sets")
-    apart = most_different(percent / 100, min(128, bands * rows))
+    if not is_empty(sets.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")):
+        sets = stored(sets.dropDuplicates(["node"]), "sets")  # equal rows that share a doc_id
+    facts = sets.select("node", F.size("shingles").cast("long").alias("n_shingles"), *SKETCH)
+    apart = most_different(percent / 100, 64 * len(SKETCH))
 
     links, found, nearest_only = None, None, True
     for _ in range(STARS):
@@ -214,12 +222,10 @@ def _fits(a, b, percent: int):
 
 
 def _differing(x: str, y: str):
-    """Number of coordinates whose four bits differ."""
+    """Number of coordinates whose bits differ."""
     total = F.lit(0)
     for name in SKETCH:
-        other = F.col(f"{x}.{name}").bitwiseXOR(F.col(f"{y}.{name}"))
-        any_bit = other.bitwiseOR(F.shiftrightunsigned(other, 1)).bitwiseOR(F.shiftrightunsigned(other, 2)).bitwiseOR(F.shiftrightunsigned(other, 3))
-        total = total + F.bit_count(any_bit.bitwiseAND(F.lit(LOWEST)))
+        total = total + F.bit_count(F.col(f"{x}.{name}").bitwiseXOR(F.col(f"{y}.{name}")))
     return total
 
 
@@ -244,7 +250,7 @@ def _possible(pairs: DataFrame, facts: DataFrame, percent: int, apart: int) -> D
 
 
 def _sets_of(docs: DataFrame, involved: DataFrame, width: int) -> DataFrame:
-    """node, shingles of the involved nodes, from the texts of the documents that stand for them (equal rows repeat a node)."""
+    """node, shingles and sketch of the involved nodes, from the texts of the documents that stand for them (equal rows repeat a node)."""
     wanted = involved.withColumnRenamed("doc_id", "id")
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "set_a", "set_b", "text")
 
@@ -259,6 +265,12 @@ def _sets_of(docs: DataFrame, involved: DataFrame, width: int) -> DataFrame:
                     sums[1, i] = mix(np.array([(mix(s + MIX_A) * ROUND).sum(dtype=np.uint64)]))[0]
             # rows that share a doc_id may have other texts: the digest picks the right ones
             right = (signed(sums[0]) == part.column("set_a").to_numpy()) & (signed(sums[1]) == part.column("set_b").to_numpy())
-            yield {"node": part.column("node").filter(right), "shingles": [signed(s) for s, good in zip(sets, right) if good]}
+            own = [s for s, good in zip(sets, right) if good]
+            if not own:
+                continue
+            flat = np.concatenate(own)
+            bits = sketches(flat, np.cumsum([0] + [len(s) for s in own])[:-1])
+            yield {"node": part.column("node").filter(right), "shingles": [signed(s) for s in own]} | {n: signed(b) for n, b in zip(SKETCH, bits)}
 
-    return arrow_map(texts, one, "node bigint, shingles array<bigint>")
+    parts = "".join(f", {name} bigint" for name in SKETCH)
+    return arrow_map(texts, one, f"node bigint, shingles array<bigint>{parts}")
