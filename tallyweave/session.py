@@ -35,11 +35,15 @@ def build_session(app: str = "tallyweave", cores: str | int = "*", shuffle_parti
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the shared checkpoint root.
 
-    A cluster names the root in ``spark.checkpoint.dir``; only where that is
-    unset (tests, a laptop) a temporary folder of this machine is used.
+    A cluster names the root in ``spark.checkpoint.dir`` and fails without it: a
+    temporary folder would hold only what one machine wrote.  A local session
+    (tests, a laptop) has one machine, so there an unset root is a new temporary folder.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tallyweave-")
         spark.conf.set(CHECKPOINT_KEY, root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

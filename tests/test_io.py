@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from tallyweave.operators import chunking as K
 from tallyweave.operators import registry as G
 from tallyweave.operators import retrieval as S
 from tallyweave.operators.matching import base_metrics
+from tallyweave.session import work_folder
 from tallyweave.sources import files, items
 from tallyweave.streaming import incremental, sessions
 
@@ -211,3 +213,18 @@ def test_group_limits_and_local_lookups_are_planned(spark):
     assert "WindowGroupLimit" in plan(G.last_messages(messages, 2))
     lookup = plan(M.match_labels(spark.range(5).select(F.lit("x").alias("label")), base_metrics(spark)))
     assert "BroadcastHashJoin" in lookup and "SortMergeJoin" not in lookup
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_cluster_without_shared_folder_is_an_error(master):
+    named = {}
+    conf = SimpleNamespace(get=lambda key, default=None: named.get(key, default), set=named.__setitem__)
+    context = SimpleNamespace(master=master, getConf=lambda: conf)
+    session = SimpleNamespace(conf=conf, sparkContext=context)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_folder(session, "x")
+    named["spark.checkpoint.dir"] = "hdfs://host/shared/"
+    assert work_folder(session, "x").startswith("hdfs://host/shared/x-")
+    named.clear()
+    context.master = "local[2]"
+    assert "/x-" in work_folder(session, "x") and named["spark.checkpoint.dir"]
