@@ -372,3 +372,25 @@ def test_pipeline_stages(spark, docs, texts):
     assert 4 not in kept and 14 not in kept and not {1, 2, 3} <= kept
     packed = corpus_pipeline.packed(spark, table, folder)
     assert packed.select(F.sum("length")).first()[0] > 0
+
+
+def test_sketch_lets_pairs_at_the_threshold_pass():
+    most = near_dups.most_different(0.8, 1024)
+    assert 102 < most < 200  # a tenth of the coordinates is expected to differ
+    assert near_dups.most_different(1.0, 1024) == 0
+    rng = np.random.default_rng(3)
+    for size in (90, 900):
+        shared, own = rng.integers(1, 2**63, 8 * size // 9, dtype=np.uint64), rng.integers(1, 2**63, (2, size // 9), dtype=np.uint64)
+        flat = np.concatenate([shared, own[0], shared, own[1]])
+        bits = near_dups.sketches(flat, np.array([0, len(flat) // 2]))
+        differ = sum(int(a ^ b).bit_count() for a, b in zip(bits[:, 0], bits[:, 1]))
+        assert 50 < differ <= most
+
+
+def test_equal_rows_that_share_an_id_give_one_set(spark):
+    words = [f"w{i}" for i in range(120)]
+    near = words[:60] + ["other"] + words[61:]
+    rows = [(7, " ".join(words))] * 40 + [(9, " ".join(near)), (11, "nothing like it at all here")]
+    found = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=4)
+    counts = {(r.doc_id, r.component_id, r.kept): r["count"] for r in found.groupBy("doc_id", "component_id", "kept").count().collect()}
+    assert counts == {(7, 7, True): 40, (9, 7, False): 1, (11, 11, True): 1}
