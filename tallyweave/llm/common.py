@@ -52,6 +52,15 @@ def arrow_map(df: DataFrame, function, schema: str, keep: str | None = None) ->
 
     ``keep``: the kind of entry of the worker's store that the function uses; entries of other kinds are let go.
     """
+    def each(batches):
+        for batch in batches:
+            yield from function(batch)
+
+    return arrow_stream(df, each, schema, keep)
+
+
+def arrow_stream(df: DataFrame, function, schema: str, keep: str | None = None) -> DataFrame:
+    """Like :func:`arrow_map` with a function from all record batches of a partition, in their order, to dicts of columns."""
     out = T.StructType.fromDDL(schema)
     arrow = pa.schema([(f.name, arrow_type(f.dataType)) for f in out.fields])
 
@@ -60,12 +69,11 @@ def arrow_map(df: DataFrame, function, schema: str, keep: str | None = None) ->
         for key in [k for k in store if isinstance(k, tuple) and k[0] != keep]:
             del store[key]
         pa.default_memory_pool().release_unused()
-        for batch in batches:
-            for columns in function(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [columns[n] if isinstance(columns[n], pa.Array) else pa.array(columns[n], type=arrow.field(n).type) for n in arrow.names],
-                    schema=arrow,
-                )
+        for columns in function(batches):
+            yield pa.RecordBatch.from_arrays(
+                [columns[n] if isinstance(columns[n], pa.Array) else pa.array(columns[n], type=arrow.field(n).type) for n in arrow.names],
+                schema=arrow,
+            )
         pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, out)

@@ -18,7 +18,9 @@ Steps, none of which holds a group of copies in one task:
    node outside the bucket's largest component meets all nodes of other
    components.  Pairs within a component need no test any more, so a large group
    of copies costs no square of its size, and every pair of different components
-   that met in any band has been tested.
+   that met in any band has been tested.  A bucket's sets are cut into blocks of
+   bounded size; a task holds two blocks at a time, compares each pair in the first
+   band that it shares, and only links that join components leave it.
 
 Pairs are dropped before the exact test only where the sizes of the sets rule a
 link out, or the sketches differ in more coordinates than a pair at the threshold
@@ -34,12 +36,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import arrow_map, is_empty, slices, stored, with_types
+from tallyweave.llm.common import arrow_map, arrow_stream, is_empty, slices, stored, with_types
 from tallyweave.llm.components import components
 from tallyweave.llm.words import BASE, MIX_A, MIX_B, mix, runs_of, signed, words_of
 
 SLICE = 1 << 18
 SKETCH = tuple(f"sketch_{k}" for k in range(16))  # one bit of each of 64 * 16 coordinates
+BLOCK = 1 << 19  # shingles (on average) of each of the two blocks that a task compares
 STARS = 3  # rounds of star links before the buckets are gone through in full
 ROUND = np.uint64(0xD6E8FEB86659FD93)
 
@@ -123,28 +126,31 @@ def most_different(threshold: float, coordinates: int, odds: float = 1e-8) -> in
     return 0
 
 
+def _lists(column) -> list[np.ndarray]:
+    values, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    same = int((both[1:] == both[:-1]).sum())
+    return 100 * same >= percent * (len(both) - same)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
 
     def one(batch):
-        lists = [batch.column(c) for c in ("left", "right")]
-        values = [x.values.to_numpy(zero_copy_only=False) for x in lists]
-        at = [x.offsets.to_numpy() for x in lists]
-        good = np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
-            x, y = (v[o[i] : o[i + 1]] for v, o in zip(values, at))
-            both = np.concatenate([x, y])
-            both.sort()
-            same = int((both[1:] == both[:-1]).sum())
-            good[i] = 100 * same >= percent * (len(both) - same)
+        good = np.array([_linked(x, y, percent) for x, y in zip(*(_lists(batch.column(c)) for c in ("left", "right")))], bool)
         yield {"a": batch.column("a").filter(good), "b": batch.column("b").filter(good)}
 
     return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), one, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text; further columns are not read).
 
     A document's set are its distinct ``width``-word shingles; fewer words are
@@ -156,6 +162,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     anyhow, and then each of the equal rows is kept.
 
     32 bands of 4 coordinates miss a pair at similarity 0.8 once in 2 * 10**7.
+    ``block``, the shingles that a task holds of each of two blocks, has no effect on the rows.
     """
     docs = with_types(docs, doc_id="bigint", text="string")
     marked = signatures(docs, width, bands, rows).withColumn("row", F.monotonically_increasing_id())
@@ -193,18 +200,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         links = more if links is None else links.union(more)
         found, nearest_only = stored(components(links), "components"), False
 
-    mixed = _mixed(placed, found).join(facts, "node")
-    mixed = stored(mixed, "mixed-facts")
-    x, y = mixed.filter("component <> main").alias("x"), mixed.alias("y")
-    meeting = (
-        (F.col("x.key") == F.col("y.key"))
-        & (F.col("x.component") != F.col("y.component"))
-        & ((F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
-        & _fits(F.col("x.n_shingles"), F.col("y.n_shingles"), percent)
-        & (_differing("x", "y") <= apart)
-    )
-    others = x.join(y, meeting).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = stored(confirmed(others, sets, percent), "cross-links")
+    more = stored(_cross_links(_mixed(placed, found), sets, nodes, percent, apart, block), "cross-links")
     if not is_empty(more):
         found = stored(components(links.union(more)), "components")
 
@@ -217,6 +213,72 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _cross_links(mixed: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int, apart: int, block: int) -> DataFrame:
+    """Links (a, b) that join the components of each bucket: all pairs of different components are tested or joined already.
+
+    A bucket's nodes outside its largest component (``outer``) and all its nodes
+    are cut into blocks by their shingles; each pair of blocks is a cell.
+    """
+    outer = F.col("component") != F.col("main")
+    load = mixed.join(sets.select("node", F.size("shingles").cast("long").alias("n")), "node").groupBy("key")
+    load = load.agg(F.sum(F.when(outer, F.col("n"))).alias("outer"), F.sum("n").alias("all"))
+    cut = load.select("key", *[F.ceil(F.col(c) / block).cast("int").alias(f"n_{c}") for c in ("outer", "all")])
+
+    place = lambda blocks: F.pmod(F.xxhash64("node", "key"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    rows = mixed.join(cut, "key")
+    rest = ("node", "component", outer.alias("outer"))
+    held_rows = rows.select("key", every("n_outer").alias("i"), place("n_all").alias("j"), F.lit(0).alias("role"), *rest)
+    asking_rows = rows.filter(outer).select("key", place("n_outer").alias("i"), every("n_all").alias("j"), F.lit(1).alias("role"), *rest)
+    facts = sets.join(nodes.select("node", "keys"), "node").select("node", "keys", F.array(*SKETCH).alias("sketch"), "shingles")
+    cells = held_rows.union(asking_rows).join(facts, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "role")
+
+    def compare(batches):
+        cell, held, top = None, [], {}
+
+        def root(c):
+            while top.get(c, c) != c:
+                top[c] = top.get(top[c], top[c])
+                c = top[c]
+            return c
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, i, j, role, node, component = (batch.column(c).to_numpy() for c in ("key", "i", "j", "role", "node", "component"))
+            shingles, a, b = _lists(batch.column("shingles")), [], []
+            size = np.array([len(s) for s in shingles], np.int64)
+            keys, sketch = (np.array(_lists(batch.column(c))).view(np.uint64) for c in ("keys", "sketch"))
+            outside = batch.column("outer").to_numpy(zero_copy_only=False)
+            place = np.stack([key, i, j, role])
+            starts = np.concatenate([[0], np.flatnonzero((place[:, 1:] != place[:, :-1]).any(axis=0)) + 1, [len(node)]])
+            for low, high in zip(starts[:-1], starts[1:]):
+                if cell != (at := (key[low], i[low], j[low])):
+                    cell, held, top = at, [], {}
+                if role[low] == 0:
+                    held.append((node[low:high], component[low:high], outside[low:high], size[low:high], keys[low:high], sketch[low:high], shingles[low:high]))
+                    continue
+                if len(held) > 1:
+                    held = [tuple(sum(part, []) if isinstance(part[0], list) else np.concatenate(part) for part in zip(*held))]
+                ids, groups, ask_too, sizes, their_keys, their_sketch, their_sets = held[0]
+                band = np.flatnonzero(keys[low].view(np.int64) == cell[0])[0]
+                for x in range(low, high):
+                    fits = 100 * np.minimum(sizes, size[x]) >= percent * np.maximum(sizes, size[x])
+                    fits &= (groups != component[x]) & (~ask_too | (ids > node[x]))
+                    maybe = np.flatnonzero(fits)
+                    maybe = maybe[np.bitwise_count(their_sketch[maybe] ^ sketch[x]).sum(axis=1) <= apart]
+                    maybe = maybe[(their_keys[maybe] == keys[x]).argmax(axis=1) == band]
+                    for y in maybe:
+                        own, other = root(int(component[x])), root(int(groups[y]))
+                        if own != other and _linked(shingles[x], their_sets[y], percent):
+                            top[own] = other
+                            a.append(min(node[x], ids[y]))
+                            b.append(max(node[x], ids[y]))
+            yield {"a": a, "b": b}
+
+    return arrow_stream(cells, compare, "a bigint, b bigint").distinct()
+
+
 def _fits(a, b, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 

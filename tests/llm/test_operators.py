@@ -198,8 +198,10 @@ def test_group_of_near_copies_is_whole(spark):
             if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
-    got = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in sets}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (near_dups.BLOCK, 2000):  # all in one cell, and buckets cut into many
+        got = near_dups.near_duplicates(docs, block=block).collect()
+        assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in sets}
 
 
 def test_components_of_a_long_path(spark):
