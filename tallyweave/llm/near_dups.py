@@ -258,6 +258,8 @@ def _cross_links(mixed: DataFrame, sets: DataFrame, nodes: DataFrame, percent: i
                 if role[low] == 0:
                     held.append((node[low:high], component[low:high], outside[low:high], size[low:high], keys[low:high], sketch[low:high], shingles[low:high]))
                     continue
+                if not held:  # no node's place is in this block of the bucket
+                    continue
                 if len(held) > 1:
                     held = [tuple(sum(part, []) if isinstance(part[0], list) else np.concatenate(part) for part in zip(*held))]
                 ids, groups, ask_too, sizes, their_keys, their_sketch, their_sets = held[0]

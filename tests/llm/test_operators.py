@@ -204,6 +204,16 @@ def test_group_of_near_copies_is_whole(spark):
         assert {r.doc_id: r.component_id for r in got} == {i: top(i) for i in sets}
 
 
+def test_blocks_smaller_than_a_text(spark):
+    base = [f"w{i}" for i in range(400)]
+    rows = [(1, " ".join(base)), (2, " ".join(base[:300] + [f"x{i}" for i in range(100)])), (3, " ".join(base[100:] + [f"y{i}" for i in range(100)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dups.near_duplicates(docs, block=50).collect()  # similarity 0.6: shared bands but no link
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 3}
+    got = near_dups.near_duplicates(docs, percent=59, block=50).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1}
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     found = {r.node: r.component for r in components.components(links).collect()}
