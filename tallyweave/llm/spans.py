@@ -3,10 +3,11 @@
 A sentence ends after a word that ends in a full stop, exclamation or question
 mark, and at a line break.  Where that gives more than ``LONG`` words (tables,
 text without marks), the sentence also ends after words that their hash picks,
-so the same passage is cut alike wherever it stands.  From each sentence, a span is the shortest run of
-two or more consecutive sentences with enough words.  Span hashes meet once over
-all documents; of each span the first place stays, and the sentences of all
-later places go.
+so the same passage is cut alike wherever it stands.  A span is the shortest run of
+two or more consecutive sentences with enough words that begins with a sentence,
+or that ends with it: together they cover each sentence of any longer run that
+repeats.  Span hashes meet once over all documents; of each span the first place
+stays, and the sentences of all later places go.
 """
 
 from __future__ import annotations
@@ -40,16 +41,20 @@ def sentences(texts) -> tuple:
 
 
 def spans(texts, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Text, first sentence in its text, number of sentences and hash of every span."""
+    """Text, first sentence in its text, number of sentences and hash of every span; a run is one span, also if it is shortest from both sides."""
     words, first, at = sentences(texts)
     n = len(first) - 1
     text = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    start = np.arange(n)
-    end = np.maximum(np.searchsorted(first, first[:-1] + least_words), start + 2)  # sentence after the run
-    whole = end <= at[text + 1] if n else np.zeros(0, bool)
-    start, end, text = start[whole], end[whole], text[whole]
-    hashes = range_hash(lambda low, high: words.hash[low:high], first[start], first[end])
-    return text, start - at[text], end - start, hashes
+    each = np.arange(n)
+    end = np.maximum(np.searchsorted(first, first[:-1] + least_words), each + 2)  # sentence after the run from each one
+    start = np.minimum(np.searchsorted(first, first[1:] - least_words, "right") - 1, each - 1)  # of the run up to each one
+    from_it = end <= at[text + 1] if n else np.zeros(0, bool)
+    up_to_it = start >= at[text] if n else np.zeros(0, bool)
+    up_to_it[up_to_it] = end[start[up_to_it]] != each[up_to_it] + 1
+    made = []
+    for a, b in ((each[from_it], end[from_it]), (start[up_to_it], each[up_to_it] + 1)):
+        made.append((text[a], a - at[text[a]], b - a, range_hash(lambda low, high: words.hash[low:high], first[a], first[b])))
+    return tuple(np.concatenate(part) for part in zip(*made))
 
 
 def span_rows(docs: DataFrame, least_words: int) -> DataFrame:

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -260,6 +261,36 @@ def test_substring_dedup(docs, texts):
     assert by[2][0].n_removed == by[2][0].n_sentences and by[2][0].text == ""
 
 
+def test_last_sentences_of_a_repeated_passage_go(spark):
+    line = lambda name, n: " ".join(f"{name}{k}" for k in range(n)) + "."
+    passage = " ".join([line("one", 25), line("two", 6), line("three", 20)])
+    rows = [(1, f"{passage} {line('other', 12)}"), (2, f"{line('begin', 9)} {passage} {line('end', 14)}"), (3, f"{line('start', 40)} {passage}")]
+    got = {r.doc_id: r for r in spans.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].text == rows[0][1] and got[1].words_removed == 0
+    assert words(got[2].text) == words(f"{line('begin', 9)} {line('end', 14)}") and got[2].words_removed == 51
+    assert words(got[3].text) == words(line("start", 40))
+
+
+def test_spans_cover_what_all_runs_cover():
+    rng = random.Random(4)
+    for least in (3, 8):
+        for _ in range(300):
+            texts = ["".join(rng.choice(["a ", "b ", "c ", "d. ", "e.\n"]) for _ in range(rng.randint(0, 40))) for _ in range(4)]
+            given, first, at = spans.sentences(pa.array(texts))
+            text, start, size, hashes = spans.spans(pa.array(texts), least)
+            places = list(zip(text.tolist(), start.tolist(), size.tolist()))
+            assert len(set(places)) == len(places)
+            every = [(t, a, b - a) for t in range(4) for a in range(at[t + 1] - at[t]) for b in range(a + 2, at[t + 1] - at[t] + 1)]
+            run = lambda t, a, n: tuple(given.hash[first[at[t] + a] : first[at[t] + a + n]].tolist())
+            covered = []
+            for own in (places, [p for p in every if len(run(*p)) >= least]):
+                least_place = {}
+                for p in own:
+                    least_place[run(*p)] = min(least_place.get(run(*p), p[:2]), p[:2])
+                covered.append({(t, k) for t, a, n in own if least_place[run(t, a, n)] != (t, a) for k in range(a, a + n)})
+            assert covered[0] == covered[1]
+
+
 def test_max_score(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.3, 8).tolist()) for i in range(200)] + [(i, [0.1] * 8) for i in range(200, 230)]
