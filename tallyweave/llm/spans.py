@@ -1,9 +1,12 @@
 """Substring deduplication on runs of consecutive sentences.
 
 A sentence ends after a word that ends in a full stop, exclamation or question
-mark, and at a line break.  Where that gives more than ``LONG`` words (tables,
-text without marks), the sentence also ends after words that their hash picks,
-so the same passage is cut alike wherever it stands.  A span is the shortest run of
+mark, and at a line break.  It also ends after each word with the least hash
+of some ``WINDOW`` consecutive words of the sentence (winnowing; the last of
+equal ones), so no sentence is longer, and what is cut inside a passage depends on
+the passage alone, but for fewer than ``WINDOW`` words at each of its ends.  So a
+passage of more than 50 words, wherever it begins and ends, holds 30 words or more
+that are cut alike everywhere.  A span is the shortest run of
 two or more consecutive sentences with enough words that begins with a sentence,
 or that ends with it: together they cover each sentence of any longer run that
 repeats.  Span hashes meet once over all documents; of each span the first place
@@ -20,7 +23,7 @@ from tallyweave.llm.common import arrow_map, slices, stored, with_types
 from tallyweave.llm.words import byte_class, range_hash, signed, sums, words_of
 
 SLICE = 1 << 19
-LONG, CUT = 16, np.uint64(8)
+WINDOW = 11  # a passage of n words keeps n + 1 - 2 * WINDOW of them between its first and last common end
 
 
 def sentences(texts) -> tuple:
@@ -33,13 +36,27 @@ def sentences(texts) -> tuple:
         breaks = np.flatnonzero(words.buffer == 10)
         ends[:-1] |= np.searchsorted(breaks, words.start[1:]) > np.searchsorted(breaks, words.end[:-1])
         ends[words.first[1:][np.diff(words.first) > 0] - 1] = True
-        first = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
-        size = np.diff(np.append(first, n))
-        ends |= np.repeat(size > LONG, size) & (words.hash % CUT == 0)
+        ends |= least_of_windows(words.hash, ends)
     first = np.concatenate([[0], np.flatnonzero(ends) + 1])
     return words, first, np.searchsorted(first, words.first)
 
 
+def least_of_windows(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Is the word the last one with the least hash of some ``WINDOW`` consecutive words of its sentence?"""
+    n = len(hashes)
+    sentence = np.cumsum(ends) - ends
+    around = np.ones(n, np.int64)  # length of the longest run of the sentence in which the word is that one
+    for left in (True, False):
+        alive = np.ones(n, bool)
+        for k in range(1, min(WINDOW, n)):
+            here, there = (slice(k, n), slice(0, n - k)) if left else (slice(0, n - k), slice(k, n))
+            alive[here] &= sentence[here] == sentence[there]
+            alive[here] &= hashes[here] <= hashes[there] if left else hashes[here] < hashes[there]
+            alive[slice(0, k) if left else slice(n - k, n)] = False
+            around += alive
+    return around >= WINDOW
+
+
 def spans(texts, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, first sentence in its text, number of sentences and hash of every span; a run is one span, also if it is shortest from both sides."""
     words, first, at = sentences(texts)

@@ -271,6 +271,18 @@ def test_last_sentences_of_a_repeated_passage_go(spark):
     assert words(got[3].text) == words(line("start", 40))
 
 
+def test_cuts_are_the_least_words_of_windows():
+    rng = random.Random(6)
+    for _ in range(300):
+        n = rng.randint(0, 50)
+        hashes, ends = [rng.randrange(rng.choice([3, 1000])) for _ in range(n)], [rng.random() < 0.05 for _ in range(n)]
+        want = [False] * n
+        for a in range(n - spans.WINDOW + 1):
+            if not any(ends[a : a + spans.WINDOW - 1]):
+                want[max(range(a, a + spans.WINDOW), key=lambda i: (-hashes[i], i))] = True
+        assert spans.least_of_windows(np.array(hashes, np.uint64), np.array(ends, bool)).tolist() == want
+
+
 def test_spans_cover_what_all_runs_cover():
     rng = random.Random(4)
     for least in (3, 8):
@@ -291,6 +303,18 @@ def test_spans_cover_what_all_runs_cover():
             assert covered[0] == covered[1]
 
 
+def test_passages_set_into_sentences_are_found():
+    rng = random.Random(8)
+    for trial in range(2000):
+        n = rng.randint(51, 60)
+        marks = rng.choice([0, 0, 0.05, 0.2])
+        passage = [f"p{rng.randrange(10**6)}" + ("." if rng.random() < marks else "") for _ in range(n)]
+        around = lambda: [f"o{rng.randrange(10**6)}" for _ in range(rng.randint(1, 30))]
+        texts = [" ".join(around() + passage + around()) for _ in range(2)]
+        text, *_, hashes = spans.spans(pa.array(texts), 30)
+        assert {*hashes[text == 0].tolist()} & {*hashes[text == 1].tolist()}, texts
+
+
 def test_max_score(spark):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(0, 0.3, 8).tolist()) for i in range(200)] + [(i, [0.1] * 8) for i in range(200, 230)]
