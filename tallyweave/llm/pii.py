@@ -2,8 +2,10 @@
 
 The field's nodes are the tokens of a text that hold a digit or an at sign.  A
 node's own potential comes from its form; neighbours in the text share a chain
-potential, and distant tokens with the same digits or the same address share a skip
-potential (Sutton and McCallum, 2004).  Loopy sum-product messages run over all
+potential, and distant tokens of the same number or the same address share a skip
+potential (Sutton and McCallum, 2004).  A number may be spread over neighbouring
+tokens and a phone number may lack its first digits; all occurrences are linked to the
+first one, so any two are two links apart.  Loopy sum-product messages run over all
 nodes of many texts at once.  Weights come from pseudo-likelihood on a bounded
 sample of documents, with the patterns' own spans as labels; so a number that the
 patterns accept in one place speaks for its other, differently written occurrences.
@@ -22,6 +24,7 @@ from tallyweave.llm.common import arrow_map, slices, with_types
 from tallyweave.llm.words import sums, text_bytes
 
 SLICE = 1 << 20
+BLOCK = 1 << 15  # links whose messages are computed at a time
 SAMPLE = 3000  # documents that the weights are learned from
 ROUNDS, STEPS, RATE, DECAY = 10, 300, 0.5, 1e-3
 KINDS = ("email", "ip", "card", "phone")
@@ -120,8 +123,25 @@ def core(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
+MOST_PARTS = 5  # tokens that one number is spread over
+PART = re.compile(r"[+(]?[0-9][0-9().-]*")
+
+
+def number_keys(parts: list[str]) -> list[str]:
+    """What the number in these tokens, read together, is called elsewhere: its digits, or a phone number's last 10 or 7.
+
+    The last digits count only where each token holds some of them, so that the
+    tokens before them stay with the longer key.
+    """
+    joined = "".join(parts)
+    n, least = len(joined), 4 if len(parts) == 1 else 7
+    keys = [joined] if n >= least and (len(parts) == 1 or n <= 19) else []
+    return keys + [joined[-k:] for k in (10, 7) if k < n <= 15 and n - len(parts[0]) < k]
+
+
 def nodes_of(text: str) -> Nodes:
-    spans, form, chain, skip, last, before = [], [], [], [], {}, -2
+    spans, form, chain, skip, hub, before = [], [], [], {}, {}, -2
+    open_parts: list[str] = []  # digits of the tokens just before that may begin the number that the next one goes on with
     for number, m in enumerate(TOKEN.finditer(text)):
         token = m.group()
         if not ("@" in token or DIGITS.search(token)):
@@ -134,15 +154,35 @@ def nodes_of(text: str) -> Nodes:
         form.append(forms(text[a:b]))
         if number == before + 1:
             chain.append((i - 1, i))
+        else:
+            open_parts = []
         before = number
-        digits = digits_of(text[a:b])
-        key = text[a:b].lower() if "@" in text[a:b] else digits if len(digits) >= 4 else None
-        if key:
-            # occurrences of one key form a chain of their own: as many links as tokens, not their square
-            if key in last:
-                skip.append((last[key], i))
-            last[key] = i
-    return Nodes(spans, form, chain, skip)
+        token = text[a:b]
+        digits = digits_of(token)
+        if "@" in token:
+            keys = [(1, token.lower())]
+            open_parts = []
+        else:
+            part = bool(PART.fullmatch(token))
+            # a plus sign begins a number, and a mark before a token parts it from the one before
+            if not part or token[0] == "+" or a > m.start():
+                open_parts = []
+            open_parts = [*open_parts[1 - MOST_PARTS :], digits]
+            keys = [(n, key) for n in range(1, len(open_parts) + 1) for key in number_keys(open_parts[-n:])]
+            if not part or b < m.end():
+                open_parts = []
+        # each token of an occurrence is linked to the last one of the first occurrence: as many links as tokens, not their square
+        for n, key in keys:
+            if key not in hub:
+                hub[key] = i, n
+                continue
+            centre, size = hub[key]
+            if centre <= i - n and size > 1:
+                skip |= dict.fromkeys((k, centre) for k in range(centre - size + 1, centre))
+                hub[key] = centre, 1
+            if centre <= i - n:
+                skip |= dict.fromkeys((centre, k) for k in range(i - n + 1, i + 1))
+    return Nodes(spans, form, chain, list(skip))
 
 
 def labels_of(nodes: Nodes, base: list[tuple[int, int, int]]) -> list[int]:
@@ -203,18 +243,23 @@ def beliefs(field: Field, form: list[list[int]], chain: list, skip: list) -> np.
     links = np.concatenate([pairs(chain), pairs(skip)])
     if len(links):
         agree = np.diag(field.skip)
-        forward = np.concatenate([np.repeat(field.chain[None], len(chain), 0), np.repeat(agree[None], len(skip), 0)])
         source = np.concatenate([links[:, 0], links[:, 1]])
         target = np.concatenate([links[:, 1], links[:, 0]])
-        potential = np.concatenate([forward, forward.transpose(0, 2, 1)])  # source label x target label
-        back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
+        at = np.cumsum([0, len(chain), len(skip), len(chain), len(skip)])
+        potential = list(zip(at[:-1], at[1:], (field.chain, agree, field.chain.T, agree)))  # source label x target label
         message = np.zeros((len(source), N_LABELS))
         for _ in range(ROUNDS):
             total = unary.copy()
             np.add.at(total, target, message)
-            inner = (total[source] - message[back])[:, :, None] + potential
-            top = inner.max(1)
-            new = top + np.log(np.exp(inner - top[:, None, :]).sum(1))
+            new = np.empty_like(message)
+            for first, last, matrix in potential:
+                for low in range(first, last, BLOCK):
+                    part = slice(low, min(low + BLOCK, last))
+                    back = np.arange(part.start, part.stop)
+                    back += len(links) if first < len(links) else -len(links)
+                    inner = (total[source[part]] - message[back])[:, :, None] + matrix
+                    top = inner.max(1)
+                    new[part] = top + np.log(np.exp(inner - top[:, None, :]).sum(1))
             message = 0.5 * message + 0.5 * (new - new.max(1, keepdims=True))
         np.add.at(unary, target, message)
     p = np.exp(unary - unary.max(1, keepdims=True)) if len(unary) else unary

@@ -165,6 +165,42 @@ def test_skip_links_carry_a_label_to_a_distant_token():
     assert alone[1].argmax() == 0 and linked[1].argmax() == 4
 
 
+def test_skip_links_join_differently_written_numbers():
+    def linked(one, other):
+        gap = " word" * 20 + " "
+        nodes = pii.nodes_of(f"call {one},{gap}or {other}.")
+        cut = len(f"call {one},")
+        first = [i for i, (a, _) in enumerate(nodes.span) if a < cut]
+        group = {i: {i} for i in range(len(nodes.span))}
+        for a, b in nodes.skip:
+            both = group[a] | group[b]
+            group |= dict.fromkeys(both, both)
+        return all(any(g >= {i, j} for g in group.values()) for i in first for j in group if j not in first)
+
+    phone = "+1 (407) 555-7710"
+    for other in (phone, "407-555-7710", "(407) 555-7710", "4075557710"):
+        nodes = pii.nodes_of(f"call {phone}, then {other}.")
+        assert any(i in (1, 2) for link in nodes.skip for i in link), other  # also the tokens before the last one
+    assert linked(phone, "+14075557710") and linked("407-555-7710", "+14075557710") and linked("(407) 555-7710", "407.555.7710")
+    assert linked("4111 1111 1111 1111", "4111111111111111") and linked("4111-1111-1111-1111", "4111 1111 1111 1111")
+    assert not pii.nodes_of("in 2019, 2020 2021 and 5557711 or 5557710 items").skip
+
+
+def test_skip_links_reach_any_occurrence_and_stay_linear():
+    n = 400
+    nodes = pii.nodes_of("call 5552678" + " and word 5552678" * (n - 1))
+    assert len(nodes.skip) == n - 1
+    unary = np.zeros((pii.N_FORMS, pii.N_LABELS))
+    unary[0, 0] = 0.001
+    unary[39, 4] = 9.0
+    field = pii.Field(unary, np.zeros((5, 5)), np.full(5, 9.0))
+    for seen in (0, 200):
+        own = [[0, 39] if i == seen else [0] for i in range(n)]
+        assert (pii.beliefs(field, own, nodes.chain, nodes.skip).argmax(1) == 4).all()
+    rows = pii.nodes_of("1 22 333 4444 55555 666666 " * 500)
+    assert len(rows.skip) < 60 * len(rows.span)
+
+
 def test_near_duplicates(docs, texts):
     sets = {}
     for doc_id, text in texts:
