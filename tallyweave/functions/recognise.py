@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,26 +32,12 @@ UNIT_HINT = r"(?U)单位\s*[:：]?\s*([^\n；;。]{1,24})"
 RULE_CODE = r"(?iU)[\[【]\s*([0-9]{6}[a-z]?)\s*[\]】]"
 CELL_TAG = r"(?is)^<t[dh]\b([^>]*)>"
 HEADER_WORDS = ("项目", "期末", "期初", "本期", "上期")
-# The entities that table cells of the layout engines carry; &amp; is decoded last.
-ENTITIES = (
-    ("&nbsp;", " "),
-    ("&#160;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#39;", "'"),
-    ("&#x27;", "'"),
-    ("&apos;", "'"),
-    ("&yen;", "¥"),
-    ("&mdash;", "—"),
-    ("&ndash;", "–"),
-    ("&middot;", "·"),
-    ("&hellip;", "…"),
-    ("&ldquo;", "“"),
-    ("&rdquo;", "”"),
-    ("&times;", "×"),
-    ("&amp;", "&"),
-)
+# References as HTML reads them: numbers, and names with up to 32 characters; the older names also count without a semicolon.
+ENTITY = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+OLD_NAMES = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+ENTITY_NAMES = "\x01".join(f"{name}\x02{chars}" for name, chars in html5.items())
+# Numbers from 128 to 159 are read as Windows-1252, where that has a character.
+CONTROL_NUMBERS = {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)} | {0: "\ufffd", 0x0D: "\r"}
 
 DECIMAL = "decimal(38,6)"
 CELL_TYPE = f"struct<value:{DECIMAL},raw_text:string>"
@@ -143,10 +131,48 @@ def strip_numbers(line: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(line, NUMBER, " "), r"(?U)[\s\x1c-\x1f]{2,}", " "))
 
 
+def numbered_character(number: Column) -> Column:
+    """The character of a number in a reference; NULL counts as too large, and numbers of no character give an empty text."""
+    bits = lambda n: F.lpad(F.hex(n), 8, "0")
+    control = F.create_map(*[F.lit(v) for pair in CONTROL_NUMBERS.items() for v in pair])
+    none = (
+        number.between(0x01, 0x08) | number.between(0x0E, 0x1F) | (number == 0x0B) | (number == 0x7F)
+        | number.between(0xFDD0, 0xFDEF) | (number.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    )
+    return (
+        F.when(number.isNull() | (number > 0x10FFFF) | number.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+        .when((number == 0) | (number == 0x0D) | number.between(0x80, 0x9F), F.try_element_at(control, number.cast("int")))
+        .when(none, F.lit(""))
+        .when(number == 0xFEFF, F.lit("\ufeff"))  # the decoder would take it for a byte order mark
+        .otherwise(F.decode(F.unhex(bits(number)), "UTF-32"))
+    )
+
+
+def entity_text(entity: Column) -> Column:
+    """What a reference that ``ENTITY`` matches stands for; an unknown name stays, an older one may be only its beginning."""
+    names = F.str_to_map(F.lit(ENTITY_NAMES), F.lit("\x01"), F.lit("\x02"))
+    digits = F.ltrim(F.regexp_extract(entity, r"^&#[xX]?([0-9a-fA-F]+)", 1), F.lit("0"))
+    hexadecimal = F.rlike(entity, F.lit(r"^&#[xX]"))
+    short = lambda most: F.when(F.length(digits) <= most, F.concat(F.lit("0"), digits))
+    number = F.when(hexadecimal, F.conv(short(6), 16, 10)).otherwise(short(7)).cast("long")
+    name = F.substring(entity, 2, 40)
+    begin = F.regexp_extract(name, f"^(?:{OLD_NAMES})", 0)
+    begun = F.concat(F.try_element_at(names, begin), F.substr(name, F.length(begin) + 1))
+    return F.when(F.startswith(entity, F.lit("&#")), let(number, numbered_character)).otherwise(
+        F.coalesce(F.try_element_at(names, name), begun, entity)
+    )
+
+
+def unescape(text: Column) -> Column:
+    """The text with its HTML character references decoded, each once."""
+    between = F.split(text, ENTITY, -1)
+    decoded = F.transform(F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0)), entity_text)
+    pieces = F.zip_with(between, decoded, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(pieces, "")).otherwise(text)
+
+
 def cell_text(cell_html: Column) -> Column:
-    plain = F.regexp_replace(cell_html, r"<[^>]+>", " ")
-    for entity, char in ENTITIES:
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    plain = let(F.regexp_replace(cell_html, r"<[^>]+>", " "), unescape)
     return strip(F.replace(plain, F.lit("\u00a0"), F.lit(" ")))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import html
+import html.entities
 import math
 import random
 import re
 
 from pyspark.sql import functions as F
 
+from tallyweave.functions import recognise as R
 from tallyweave.functions import text as X
 from tallyweave.functions import vectors as V
 
@@ -122,3 +125,17 @@ def test_cosine_of_empty_and_zero(spark):
         V.cosine(F.col("v"), F.col("v")).alias("c"),
     ).first()
     assert (row["a"], row["b"], round(row["c"], 12)) == (0.0, 0.0, 1.0)
+
+
+def test_cell_text_decodes_all_references(spark):
+    rng = random.Random(11)
+    names = sorted(html.entities.html5)
+    numbers = [*range(0x110), 0xD7FF, 0xD800, 0xDFFF, 0xFDD0, 0xFEFF, 0xFFFE, 0x1F600, 0x1FFFF, 0x10FFFD, 0x10FFFF, 0x110000, 10**9, 10**30]
+    texts = ["&#65; &ensp;1&#12288;&frac12;&amp;lt;", "&", "&;", "&&amp;&", "a & b", "&notit; &nosuch; &ampx &copy2", "&#; &#x; &#xZ;", None, ""]
+    texts += [f"a&{n}b" for n in names] + [f"a&{n.rstrip(';')} b" for n in names]
+    texts += [f"a&#{n};b&#{n}z" for n in numbers] + [f"a&#{x}{n:{x}};b&#X000{n:X}z" for n in numbers for x in "x"]
+    texts += ["".join(rng.choice(["&", "#", "x", "amp", "lt;", ";", "not", "in", "12", "é", " ", "\n"]) for _ in range(12)) for _ in range(2000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", R.unescape(F.col("t")).alias("got")).collect()
+    assert {r.i: r.got for r in rows} == {i: t if t is None else html.unescape(t) for i, t in enumerate(texts)}
+    cell = spark.createDataFrame([("<td>&#65;&ensp;&#12288;&frac12;&nbsp;</td>",)], "t string").select(R.cell_text(F.col("t"))).first()[0]
+    assert cell == "A\u2002\u3000½"
