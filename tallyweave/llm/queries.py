@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import bpe, licenses, maxscore, near_dups, packing, pii, quality_model, quality_rules, spans, warc
+from tallyweave.llm import bpe, licenses, maxscore, near_dups, packing, pii, quality_model, quality_rules, reversed_search, secrets, spans, warc, whitening
 from tallyweave.llm.common import read, work_path
 
 
@@ -84,6 +84,24 @@ def op10_warc_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 best documents of every benchmark item, documents streamed through an index of the items."""
+    return reversed_search.search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings on the 16 leading components, by Jacobi-Davidson."""
+    return whitening.whiten(read(spark, folder, "embeddings"))
+
+
+def op13_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Fixed patterns, and strings judged by the owners that hold them."""
+    found = secrets.find(read(spark, folder, "documents"))
+    counts = [secrets.number(i).alias(f"n_{kind}") for i, kind in enumerate(secrets.KINDS)]
+    digest = F.sha2(secrets.listed("base"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, secrets.listed("spans").alias("spans"), F.size("spans").cast("long").alias("n_spans"), "n_live", "n_examples")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,5 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_license_scan,
         op9_bpe_round_trip,
         op10_warc_round_trip,
+        op11_ranked_search,
+        op12_embedding_whitening,
+        op13_secret_scan,
     )
 }
