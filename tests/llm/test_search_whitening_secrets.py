@@ -193,7 +193,7 @@ def test_ownership_tells_examples_from_live_strings(spark):
         (6, f"as in {EXAMPLE}.", "d"),  # four owners: an example
         (7, f"é {LIVE} here", "a"),  # no name, random, one owner
         (8, "123e4567-e89b-12d3-a456-426614174000 and https://a.example.com/2024/01/02/x9-y8", "a"),
-        (9, "token = aaaaaaaaaaaaaaa1", "a"),  # a placeholder
+        (9, "token = zzzzzzzzzzzzzzz1", "a"),  # a placeholder
         (10, None, "a"),
         (11, "", None),
         (None, f"x {LIVE}", None),
