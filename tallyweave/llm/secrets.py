@@ -140,14 +140,14 @@ def find(docs: DataFrame, repository: str = "doc_id", owner: str = "source", mos
     carry = carry or {}
     have = {n.lower(): f"`{n}`" for n in docs.columns}
     side = [F.col(have[n.lower()]).cast("string").alias(a) if n.lower() in have else F.lit(None).cast("string").alias(a) for a, n in (("_repository", repository), ("_owner", owner))]
-    typed = with_types(docs.select("*", *side), doc_id="bigint", text="string", _repository="string", _owner="string", **carry)
+    typed = with_types(docs.select("*", *side), **({"doc_id": "bigint", "text": "string", "_repository": "string", "_owner": "string"} | carry))
     keep = ["doc_id", "_repository", "_owner", *carry]
     scanned = stored(scan(typed, keep).withColumn("_row", F.monotonically_increasing_id()), "secret-candidates")
 
     found = scanned.filter(F.size("candidates") > 0).select("_row", F.col("_owner").alias("owner"), F.col("_repository").alias("repository"), F.inline("candidates"))
     known = stored(ownership(found), "secret-owners")
-    hot = known.agg(F.sum("n").alias("total"))
-    hot = known.join(hot, F.col("n") * HOT > F.col("total"), "left_semi").select("hash", "n_owners", "named")
+    total = known.agg(F.sum("n")).first()[0] or 0
+    hot = known.filter(F.col("n") * HOT > total).select("hash", "n_owners", "named")
     hot = F.broadcast(hot)  # fewer than HOT rows, as each has more than that part of the total
     occurrence = found.select("_row", "kind", "start", "end", "hash", "live")
     rest = occurrence.join(hot, "hash", "left_anti").join(known.select("hash", "n_owners", "named"), "hash")
