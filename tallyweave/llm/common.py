@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 import uuid
@@ -68,17 +69,27 @@ def arrow_stream(df: DataFrame, function, schema: str, keep: str | None = None)
         store = worker_store()
         for key in [k for k in store if isinstance(k, tuple) and k[0] != keep]:
             del store[key]
-        pa.default_memory_pool().release_unused()
+        give_back()
+        columns = None
         for columns in function(batches):
             yield pa.RecordBatch.from_arrays(
                 [columns[n] if isinstance(columns[n], pa.Array) else pa.array(columns[n], type=arrow.field(n).type) for n in arrow.names],
                 schema=arrow,
             )
-        pa.default_memory_pool().release_unused()
+        del columns
+        give_back()
 
     return df.mapInArrow(run, out)
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, as a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
+
+
 def arrow_type(kind: T.DataType) -> pa.DataType:
     if isinstance(kind, T.ArrayType):
         return pa.list_(arrow_type(kind.elementType))

@@ -12,8 +12,8 @@ Steps, none of which holds a group of copies in one task:
    shingles, a 128-bit digest of the set and the band keys.  Documents with
    equal digests are one node; those that share a bucket get a sketch (one bit of
    each of 1024 coordinates of the same two permutations).
-2. In a few rounds, nodes are compared with one node of their bucket only (at first the
-   one that they share most buckets with), and the links found are closed to components.
+2. Each node is compared with one node only, the centre that it shares most
+   buckets with, and the links found are closed to components.
 3. Buckets that still hold several components are gone through in full: each
    node outside the bucket's largest component meets all nodes of other
    components.  Pairs within a component need no test any more, so a large group
@@ -43,7 +43,7 @@ from tallyweave.llm.words import BASE, MIX_A, MIX_B, mix, runs_of, signed, words
 SLICE = 1 << 18
 SKETCH = tuple(f"sketch_{k}" for k in range(16))  # one bit of each of 64 * 16 coordinates
 BLOCK = 1 << 19  # shingles (on average) of each of the two blocks that a task compares
-STARS = 3  # rounds of star links before the buckets are gone through in full
+ROWS = 1 << 10  # sets (on average) of each of them
 ROUND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -150,7 +150,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right"), one, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, block: int = BLOCK, most_rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text; further columns are not read).
 
     A document's set are its distinct ``width``-word shingles; fewer words are
@@ -162,7 +162,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     anyhow, and then each of the equal rows is kept.
 
     32 bands of 4 coordinates miss a pair at similarity 0.8 once in 2 * 10**7.
-    ``block``, the shingles that a task holds of each of two blocks, has no effect on the rows.
+    ``block`` and ``most_rows``, the shingles and sets of each of the two blocks that a cell compares, have no effect on the rows.
     """
     docs = with_types(docs, doc_id="bigint", text="string")
     marked = signatures(docs, width, bands, rows).withColumn("row", F.monotonically_increasing_id())
@@ -172,9 +172,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     nodes = stored(marked.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node"), "nodes")
 
     placed = nodes.select("node", F.explode("keys").alias("key"))
-    met = placed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    met = stored(met, "shared-buckets")  # a stored side lets the planner split a hot bucket's join
-    placed = stored(placed.join(met.select("key", "low"), "key"), "buckets")
+    # a bucket's centre is one of its nodes, another one in each bucket
+    centre = F.min_by("node", F.xxhash64("node", "key")).alias("centre")
+    met = placed.groupBy("key").agg(F.count("*").alias("n"), centre).filter("n > 1")
+    met = stored(met.select("key", "centre"), "shared-buckets")  # a stored side lets the planner split a hot bucket's join
+    placed = stored(placed.join(met, "key"), "buckets")
 
     involved = placed.select("node").distinct().join(nodes.select("node", "doc_id", "set_a", "set_b"), "node")
     sets = stored(_sets_of(docs, involved, width), "sets")
@@ -183,26 +185,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     facts = sets.select("node", F.size("shingles").cast("long").alias("n_shingles"), *SKETCH)
     apart = most_different(percent / 100, 64 * len(SKETCH))
 
-    links, found, nearest_only = None, None, True
-    for _ in range(STARS):
-        mixed = _mixed(placed, found)
-        # the centre of a bucket is a node of its largest component, another one in each bucket
-        centre = mixed.filter("component = main").groupBy("key").agg(F.min(F.xxhash64("node", "key")).alias("pick"))
-        centres = mixed.filter("component = main").withColumn("pick", F.xxhash64("node", "key")).join(centre, ["key", "pick"])
-        centres = stored(centres.select("key", F.col("node").alias("b")), "centres")
-        stars = mixed.filter("component <> main").select("key", F.col("node").alias("a")).join(centres, "key")
-        stars = _possible(stars.groupBy("a", "b").agg(F.count("*").alias("n_bands")), facts, percent, apart)
-        if nearest_only:
-            stars = stars.groupBy("a").agg(F.max_by("b", F.struct("n_bands", -F.col("b"))).alias("b"))
-        more = stored(confirmed(stars.select("a", "b"), sets, percent), "star-links")
-        if not nearest_only and is_empty(more):
-            break
-        links = more if links is None else links.union(more)
-        found, nearest_only = stored(components(links), "components"), False
-
-    more = stored(_cross_links(_mixed(placed, found), sets, nodes, percent, apart, block), "cross-links")
+    # each node meets the possible centre that it shares most buckets with
+    stars = placed.filter("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    stars = _possible(stars.groupBy("a", "b").agg(F.count("*").alias("n_bands")), facts, percent, apart)
+    stars = stars.groupBy("a").agg(F.max_by("b", F.struct("n_bands", -F.col("b"))).alias("b"))
+    links = stored(confirmed(stars, sets, percent), "star-links")
+    found = stored(components(links), "components")
+
+    more = stored(_cross_links(_mixed(placed, found), sets, nodes, percent, apart, block, most_rows), "cross-links")
     if not is_empty(more):
-        found = stored(components(links.union(more)), "components")
+        found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)), "components")
 
     member = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = member.groupBy("component").agg(F.min("first_id").alias("component_id"))
@@ -213,16 +205,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     return joined.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _cross_links(mixed: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int, apart: int, block: int) -> DataFrame:
+def _cross_links(mixed: DataFrame, sets: DataFrame, nodes: DataFrame, percent: int, apart: int, block: int, most_rows: int) -> DataFrame:
     """Links (a, b) that join the components of each bucket: all pairs of different components are tested or joined already.
 
     A bucket's nodes outside its largest component (``outer``) and all its nodes
-    are cut into blocks by their shingles; each pair of blocks is a cell.
+    are cut into blocks by their shingles and rows; each pair of blocks is a cell.
+    A cell joins the components that it finds linked, so it tests no pair of a component that it has joined.
     """
     outer = F.col("component") != F.col("main")
     load = mixed.join(sets.select("node", F.size("shingles").cast("long").alias("n")), "node").groupBy("key")
-    load = load.agg(F.sum(F.when(outer, F.col("n"))).alias("outer"), F.sum("n").alias("all"))
-    cut = load.select("key", *[F.ceil(F.col(c) / block).cast("int").alias(f"n_{c}") for c in ("outer", "all")])
+    load = load.agg(
+        F.sum(F.when(outer, F.col("n"))).alias("outer"), F.sum("n").alias("all"), F.sum(outer.cast("long")).alias("outer_rows"), F.count("*").alias("all_rows")
+    )
+    parts = lambda c: F.ceil(F.greatest(F.col(c) / block, F.col(f"{c}_rows") / most_rows)).cast("int")
+    cut = load.select("key", *[parts(c).alias(f"n_{c}") for c in ("outer", "all")])
 
     place = lambda blocks: F.pmod(F.xxhash64("node", "key"), F.col(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
@@ -264,16 +260,20 @@ def _cross_links(mixed: DataFrame, sets: DataFrame, nodes: DataFrame, percent: i
                     held = [tuple(sum(part, []) if isinstance(part[0], list) else np.concatenate(part) for part in zip(*held))]
                 ids, groups, ask_too, sizes, their_keys, their_sketch, their_sets = held[0]
                 band = np.flatnonzero(keys[low].view(np.int64) == cell[0])[0]
+                joined = np.fromiter((root(int(g)) for g in groups), np.int64, len(groups))
                 for x in range(low, high):
+                    own = root(int(component[x]))
                     fits = 100 * np.minimum(sizes, size[x]) >= percent * np.maximum(sizes, size[x])
-                    fits &= (groups != component[x]) & (~ask_too | (ids > node[x]))
+                    fits &= (joined != own) & (~ask_too | (ids > node[x]))
                     maybe = np.flatnonzero(fits)
                     maybe = maybe[np.bitwise_count(their_sketch[maybe] ^ sketch[x]).sum(axis=1) <= apart]
                     maybe = maybe[(their_keys[maybe] == keys[x]).argmax(axis=1) == band]
-                    for y in maybe:
-                        own, other = root(int(component[x])), root(int(groups[y]))
-                        if own != other and _linked(shingles[x], their_sets[y], percent):
-                            top[own] = other
+                    while len(maybe):
+                        y, maybe = maybe[0], maybe[1:]
+                        if _linked(shingles[x], their_sets[y], percent):
+                            top[int(joined[y])] = own
+                            joined[joined == joined[y]] = own
+                            maybe = maybe[joined[maybe] != own]
                             a.append(min(node[x], ids[y]))
                             b.append(max(node[x], ids[y]))
             yield {"a": a, "b": b}
@@ -293,13 +293,9 @@ def _differing(x: str, y: str):
     return total
 
 
-def _mixed(placed: DataFrame, found: DataFrame | None) -> DataFrame:
+def _mixed(placed: DataFrame, found: DataFrame) -> DataFrame:
     """key, node, component, main (the bucket's largest component) of the buckets that hold several components."""
-    component = "node"
-    known = placed.select("key", "node")
-    if found is not None:
-        known, component = known.join(found, "node", "left"), F.coalesce("component", "node")
-    known = known.select("key", "node", F.col(component).alias("component") if isinstance(component, str) else component.alias("component"))
+    known = placed.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     shares = known.groupBy("key", "component").agg(F.count("*").alias("n"))
     several = shares.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
     several = stored(several.filter("parts > 1").select("key", "main"), "mixed-keys")

@@ -251,6 +251,30 @@ def test_blocks_smaller_than_a_text(spark):
     assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1}
 
 
+def test_least_reachable_nodes_of_random_links():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 40))
+        a, b = rng.integers(-20, 20, (2, n))
+        got = dict(zip(*(x.tolist() for x in components.least_reachable(a, b))))
+        group = {int(x): {int(x)} for x in np.concatenate([a, b])}
+        for x, y in zip(a.tolist(), b.tolist()):
+            joined = group[x] | group[y]
+            for z in joined:
+                group[z] = joined
+        assert got == {x: min(own) for x, own in group.items() if x != min(own)}
+
+
+def test_components_of_random_links_nulls_and_loops(spark):
+    rng = random.Random(8)
+    links = [(rng.randrange(900), rng.randrange(900)) for _ in range(700)] + [(None, 3), (5, None), (7, 7), (1, 2), (1, 2)] + [(5000, 1000 + i) for i in range(500)]
+    found = components.components(spark.createDataFrame(links, "a long, b long").repartition(6)).collect()
+    a, b = (np.array(c) for c in zip(*[p for p in links if None not in p and p[0] != p[1]]))
+    low = dict(zip(*(x.tolist() for x in components.least_reachable(a, b))))
+    assert sorted(map(tuple, found)) == sorted((x, low.get(x, x)) for x in {*a.tolist(), *b.tolist()})
+    assert not components.components(spark.createDataFrame([], "a long, b long")).count()
+
+
 def test_components_of_a_long_path(spark):
     links = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     found = {r.node: r.component for r in components.components(links).collect()}
