@@ -17,14 +17,15 @@ import bisect
 import os
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyweave.llm.common import arrow_map, slices, stored, with_types, worker_store
+from tallyweave.llm.common import arrow_map, arrow_stream, slices, stored, with_types, worker_store
 from tallyweave.llm.word_ids import WordIds
 
 SLICE = 1 << 19
@@ -84,7 +85,9 @@ def encoded_words(tokenizer, words: list[str], ends: np.ndarray, group: int = 10
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, with_ids: bool = True, known_words: int = 800_000) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if wanted, ids of every piece.
+    """doc_id, piece, start, length, ids_crc32, task, nth and, if wanted, ids of every piece.
+
+    ``nth`` numbers the pieces of a length that a task makes, from 0.
 
     A document's ids are the tokenizer's and then ``end``; a null or empty text
     has ``end`` alone.  Rows that repeat a doc_id are documents of their own.
@@ -92,10 +95,10 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end:
     memory and more encoding, with the same result.
     """
 
-    def one(batch):
-        words = token_source(path, known_words)
-        for part in slices(batch, "text", SLICE):
-            doc, piece, start, length, crc, ids = [], [], [], [], [], []
+    def one(batches):
+        words, made, task = token_source(path, known_words), Counter(), TaskContext.get().partitionId()
+        for part in (part for batch in batches for part in slices(batch, "text", SLICE)):
+            doc, piece, start, length, crc, ids, nth = [], [], [], [], [], [], []
             for d, own in zip(part.column("doc_id").to_pylist(), words.of([t or "" for t in part.column("text").to_pylist()])):
                 whole = np.append(own, np.int32(end)).astype("<u4")
                 for k, at in enumerate(range(0, len(whole), capacity)):
@@ -104,13 +107,15 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end:
                     piece.append(k)
                     start.append(at)
                     length.append(len(cut))
+                    nth.append(made[len(cut)])
+                    made[len(cut)] += 1
                     crc.append(zlib.crc32(cut.tobytes()))
                     ids.append(cut.astype(np.int32) if with_ids else None)
-            columns = {"doc_id": doc, "piece": piece, "start": start, "length": length, "ids_crc32": crc}
+            columns = {"doc_id": doc, "piece": piece, "start": start, "length": length, "ids_crc32": crc, "task": [task] * len(doc), "nth": nth}
             yield columns | ({"ids": ids} if with_ids else {})
 
-    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return arrow_map(with_types(docs, doc_id="bigint", text="string"), one, schema, keep="tokenizer")
+    schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, nth bigint" + ", ids array<int>" * with_ids
+    return arrow_stream(with_types(docs, doc_id="bigint", text="string"), one, schema, keep="tokenizer")
 
 
 class Plan:
@@ -199,27 +204,24 @@ class Plan:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """``pieces`` (with ``length`` from 1 to ``capacity``) with sequence_id and offset.
+    """``pieces`` (with ``length`` from 1 to ``capacity``, and ``task`` and ``nth`` as :func:`tokenized_pieces` numbers them) with sequence_id and offset.
 
     Sequences are numbered from 0 and filled without gaps from offset 0.  An
     empty table stays empty.
     """
-    marked = pieces.withColumn("pack_task", F.spark_partition_id()).withColumn("pack_row", F.monotonically_increasing_id())
-    marked = stored(marked, "pieces")
-    # ranks: rows of a task and length in the task's order, after those of earlier tasks
-    shares = marked.groupBy("pack_task", "length").agg(F.count("*").alias("n"))
-    before = W.partitionBy("length").orderBy("pack_task").rowsBetween(W.unboundedPreceding, -1)
+    marked = stored(pieces, "pieces")
+    # ranks: pieces of a task and length in the task's order, after those of earlier tasks
+    shares = marked.groupBy("task", "length").agg(F.count("*").alias("n"))
+    before = W.partitionBy("length").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     shares = stored(shares.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-counts")
     counts = {r.length: r.n for r in shares.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = Plan(counts, capacity)
     moves = sorted(plan.moves)
     table = np.array(moves, np.int64).reshape(-1, 6)
     first_of = np.searchsorted(table[:, 0], np.arange(capacity + 2))
-    within = W.partitionBy("pack_task", "length").orderBy("pack_row")
-    ranked = marked.withColumn("own", F.row_number().over(within) - 1)
-    ranked = ranked.join(shares.select("pack_task", "length", "before"), ["pack_task", "length"])
-    ranked = ranked.withColumn("rank", F.col("own") + F.col("before"))
-    columns = pieces.columns
+    ranked = marked.join(shares.select("task", "length", "before"), ["task", "length"])
+    ranked = ranked.withColumn("rank", F.col("nth") + F.col("before"))
+    columns = [c for c in pieces.columns if c not in ("task", "nth")]
 
     def place(batch):
         length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
@@ -230,6 +232,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         inner = rank - low
         yield {n: batch.column(n) for n in columns} | {"sequence_id": sequence + inner // each, "offset": offset + inner % each * length}
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema if f.name in columns)
     assert first_of[-1] == len(table)
     return arrow_map(ranked.select(*columns, "rank"), place, f"{kinds}, sequence_id bigint, offset bigint")
