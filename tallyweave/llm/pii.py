@@ -3,31 +3,39 @@
 The field's nodes are the tokens of a text that hold a digit or an at sign.  A
 node's own potential comes from its form; neighbours in the text share a chain
 potential, and distant tokens of the same number or the same address share a skip
-potential (Sutton and McCallum, 2004).  A number may be spread over neighbouring
+potential (Sutton and McCallum, 2004).  Credentials are a label of their own, seeded by the patterns
+of the secret scan where the value looks random.  A number may be spread over neighbouring
 tokens and a phone number may lack its first digits; all occurrences are linked to the
 first one, so any two are two links apart.  Loopy sum-product messages run over all
-nodes of many texts at once.  Weights come from pseudo-likelihood on a bounded
-sample of documents, with the patterns' own spans as labels; so a number that the
-patterns accept in one place speaks for its other, differently written occurrences.
+nodes of many texts at once.  Weights come from pseudo-likelihood over all documents, with the patterns' own
+spans as labels: Spark counts how often each form stands beside each neighbours' labels, and
+the fit reads the counts.  So a number that the patterns accept in one place
+speaks for its other, differently written occurrences.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import arrow_map, slices, with_types
+from tallyweave.llm.common import arrow_map, arrow_stream, slices, with_types
+from tallyweave.llm.secrets import live_looking, named_values
 from tallyweave.llm.words import sums, text_bytes
 
 SLICE = 1 << 20
 BLOCK = 1 << 15  # links whose messages are computed at a time
-SAMPLE = 3000  # documents that the weights are learned from
+CONFIGURATIONS = 1 << 16  # kinds of token and surroundings, the most frequent ones, whose counts the weights are fitted to
 ROUNDS, STEPS, RATE, DECAY = 10, 300, 0.5, 1e-3
 KINDS = ("email", "ip", "card", "phone")
+LABELS = (*KINDS, "secret")  # the last one is found by the method only
+SECRET = len(KINDS)
 
 # Fixed patterns.  The guards before digits and the possessive repeats change no match; they keep long digit runs linear.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -79,6 +87,37 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def disjoint(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the places that the spans cover together."""
+    starts, ends = [], []
+    for _, a, b in sorted(spans, key=lambda s: s[1:]):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def touched(places: tuple[list[int], list[int]], a: int, b: int) -> bool:
+    k = bisect_left(places[0], b) - 1
+    return k >= 0 and places[1][k] > a
+
+
+def seeds(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Values of credentials that look random, apart from the base spans and from each other."""
+    out, covered, done = [], None, 0
+    for kind, _, end, value in named_values(text):
+        start = end - len(value)
+        if start < done or not (kind == 1 or live_looking(value)):
+            continue
+        covered = covered or disjoint(base)
+        if not touched(covered, start, end):
+            out.append((SECRET, start, end))
+            done = end
+    return out
+
+
 class Nodes(NamedTuple):
     span: list[tuple[int, int]]  # core of each token
     form: list[list[int]]  # feature numbers
@@ -86,7 +125,7 @@ class Nodes(NamedTuple):
     skip: list[tuple[int, int]]
 
 
-N_FORMS = 40
+N_FORMS = 43
 
 
 def forms(token: str) -> list[int]:
@@ -110,6 +149,9 @@ def forms(token: str) -> list[int]:
         bool(re.fullmatch(r"\(?[0-9]{2,4}\)?", token)),
         bool(re.fullmatch(r"[0-9]{3,4}-[0-9]{3,4}", token)),
         "=" in token or '"' in token,
+        len(token) >= 16 and n >= 2 and len(rest) >= 4 and rest.isalnum(),
+        len(token) >= 16 and set(token.lower()) <= set("0123456789abcdef") and rest != "",
+        token[:4] == "AKIA",
     )
     return out + [22 + k for k, m in enumerate(marks) if m]
 
@@ -186,12 +228,16 @@ def nodes_of(text: str) -> Nodes:
 
 
 def labels_of(nodes: Nodes, base: list[tuple[int, int, int]]) -> list[int]:
-    """0 for none, else 1 + kind, of tokens whose core lies in a base span."""
-    out = [0] * len(nodes.span)
+    """0 for none, else 1 + kind, of tokens whose core lies in a span, or holds a credential."""
+    out, starts = [0] * len(nodes.span), [a for a, _ in nodes.span]
     for kind, start, end in base:
-        for i, (a, b) in enumerate(nodes.span):
-            if start <= a and b <= end:
+        i = bisect_left(starts, start)
+        if kind == SECRET and i and nodes.span[i - 1][1] > start:
+            i -= 1
+        while i < len(starts) and starts[i] < end:
+            if nodes.span[i][1] <= end or kind == SECRET:
                 out[i] = 1 + kind
+            i += 1
     return out
 
 
@@ -201,7 +247,7 @@ class Field(NamedTuple):
     skip: np.ndarray  # labels: weight of agreeing on each
 
 
-N_LABELS = 1 + len(KINDS)
+N_LABELS = 1 + len(LABELS)
 
 
 def form_matrix(form: list[list[int]]) -> np.ndarray:
@@ -215,25 +261,37 @@ def pairs(links: list) -> np.ndarray:
     return np.array(links, np.int64).reshape(-1, 2)
 
 
-def fit(form: list[list[int]], label: list[int], chain: list, skip: list) -> Field:
-    """Weights by gradient steps on the pseudo-likelihood: each label given its neighbours' true ones."""
-    x, y, n = form_matrix(form), np.array(label, np.int64), len(label)
-    truth = np.eye(N_LABELS)[y] if n else np.zeros((0, N_LABELS))
-    left, right = pairs(chain).T
-    one, two = pairs(skip).T
-    before, after, friends = (np.zeros((n, N_LABELS)) for _ in range(3))
-    np.add.at(before, right, truth[left])
-    np.add.at(after, left, truth[right])
-    np.add.at(friends, one, truth[two])
-    np.add.at(friends, two, truth[one])
+def surroundings(nodes: Nodes, label: list[int]) -> list[bytes]:
+    """For each node its label, the labels before and after it (0 for none, else 1 + label), the links to each label (at most 255) and its forms, as bytes."""
+    before, after = [0] * len(label), [0] * len(label)
+    for x, y in nodes.chain:
+        before[y], after[x] = 1 + label[x], 1 + label[y]
+    friends = [bytearray(N_LABELS) for _ in label]
+    for x, y in nodes.skip:
+        friends[x][label[y]] = min(255, friends[x][label[y]] + 1)
+        friends[y][label[x]] = min(255, friends[y][label[x]] + 1)
+    return [bytes((own, b, a)) + f + bytes(form) for own, b, a, f, form in zip(label, before, after, friends, nodes.form)]
+
+
+def fit(configurations: list[bytes], counts: list[int]) -> Field:
+    """Weights by gradient steps on the pseudo-likelihood: each label given its neighbours' true ones, configurations weighed by their counts."""
+    n = len(configurations)
+    x, one = np.zeros((n, N_FORMS)), np.eye(N_LABELS)
+    head = np.array([list(c[: 3 + N_LABELS]) for c in configurations], np.int64).reshape(n, 3 + N_LABELS)
+    for i, c in enumerate(configurations):
+        x[i, list(c[3 + N_LABELS :])] = 1
+    beside = np.concatenate([np.zeros((1, N_LABELS)), one])
+    truth, before, after, friends = one[head[:, 0]], beside[head[:, 1]], beside[head[:, 2]], head[:, 3:].astype(float)
+    share = np.array(counts, float).reshape(n, 1)
+    share /= max(share.sum(), 1)
     w, c, s = np.zeros((N_FORMS, N_LABELS)), np.zeros((N_LABELS, N_LABELS)), np.zeros(N_LABELS)
     for _ in range(STEPS if n else 0):
         score = x @ w + before @ c + after @ c.T + friends * s
         p = np.exp(score - score.max(1, keepdims=True))
-        error = truth - p / p.sum(1, keepdims=True)
-        w += RATE * (x.T @ error / n * 4 - DECAY * w)
-        c += RATE * ((before.T @ error + error.T @ after) / n - DECAY * c)
-        s = np.maximum(0, s + RATE * ((friends * error).sum(0) / n * 4 - DECAY * s))
+        error = (truth - p / p.sum(1, keepdims=True)) * share
+        w += RATE * (x.T @ error * 4 - DECAY * w)
+        c += RATE * (before.T @ error + error.T @ after - DECAY * c)
+        s = np.maximum(0, s + RATE * ((friends * error).sum(0) * 4 - DECAY * s))
     return Field(w, c, s)
 
 
@@ -269,10 +327,10 @@ def beliefs(field: Field, form: list[list[int]], chain: list, skip: list) -> np.
 def added_spans(text: str, nodes: Nodes, belief: np.ndarray, base: list[tuple[int, int, int]], least: float = 0.5) -> list[tuple[int, int, int]]:
     """Spans of tokens that the field labels and no base span touches, if they can be of that kind at all."""
     label = np.where(belief.max(1) >= least, belief.argmax(1), 0)
-    joined = {b: a for a, b in nodes.chain}
+    joined, covered = {b: a for a, b in nodes.chain}, disjoint(base)
     runs: list[list] = []
     for i, (a, b) in enumerate(nodes.span):
-        if not label[i] or any(s < b and a < e for _, s, e in base):
+        if not label[i] or touched(covered, a, b):
             continue
         # the parts of a phone number may be tokens of their own
         if label[i] == 4 and runs and runs[-1][0] == 3 and runs[-1][3] == joined.get(i):
@@ -287,6 +345,7 @@ def added_spans(text: str, nodes: Nodes, belief: np.ndarray, base: list[tuple[in
             len(token.split(".")) == 4 and len(digits) >= 4,
             13 <= len(digits) <= 19,
             7 <= len(digits) <= 15,
+            len(token) >= 16 and live_looking(token),
         )
         if right[kind]:
             out.append((int(kind), a, b))
@@ -294,46 +353,41 @@ def added_spans(text: str, nodes: Nodes, belief: np.ndarray, base: list[tuple[in
 
 
 def _texts(part) -> list[tuple[int, str]]:
-    """Rows whose text has a digit or an at sign; no other text can hold a span."""
+    """Rows whose text has a digit, an at sign or the start of an access key; no other text can hold a span."""
     buffer, at = text_bytes(part.column("text"))
-    hits = sums(((buffer >= 48) & (buffer <= 57)) | (buffer == 64), at)
+    hits = sums(((buffer >= 48) & (buffer <= 57)) | (buffer == 64), at) > 0
+    hits |= pc.fill_null(pc.match_substring(part.column("text"), "AKIA"), False).to_numpy(zero_copy_only=False)
     return [(int(i), part.column("text")[int(i)].as_py()) for i in np.flatnonzero(hits)]
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Field:
-    """A field from at most ``sample`` documents with a digit or an at sign, chosen by a hash of the id."""
-    chosen = docs.filter(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    own = docs.join(F.broadcast(chosen), "doc_id")  # bounded by the parameter
+def learn(docs: DataFrame, configurations: int = CONFIGURATIONS) -> Field:
+    """A field fitted to all documents: to the counts of its tokens' forms and neighbours' labels.
 
-    def one(batch):
-        for part in slices(batch, "text", SLICE):
-            doc, form, label, chain, skip = [], [], [], [], []
-            for i, text in _texts(part):
-                nodes = nodes_of(text)
-                doc.append(part.column("doc_id")[i].as_py())
-                form.append(nodes.form)
-                label.append(labels_of(nodes, base_spans(text)))
-                chain.append([list(x) for x in nodes.chain])
-                skip.append([list(x) for x in nodes.skip])
-            yield {"doc_id": doc, "form": form, "label": label, "chain": chain, "skip": skip}
-
-    schema = "doc_id bigint, form array<array<int>>, label array<int>, chain array<array<int>>, skip array<array<int>>"
-    rows = sorted(arrow_map(own, one, schema).toArrow().to_pylist(), key=lambda r: (r["doc_id"], r["form"]))
-    form, label, chain, skip = [], [], [], []
-    for r in rows:
-        n = len(form)
-        form += r["form"]
-        label += r["label"]
-        chain += [(n + a, n + b) for a, b in r["chain"]]
-        skip += [(n + a, n + b) for a, b in r["skip"]]
-    return fit(form, label, chain, skip)
+    The driver receives one row for each of the ``configurations`` most frequent
+    combinations, however many documents there are.
+    """
+
+    def one(batches):
+        counts: Counter = Counter()
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                for _, text in _texts(part):
+                    nodes, base = nodes_of(text), base_spans(text)
+                    counts.update(surroundings(nodes, labels_of(nodes, base + seeds(text, base))))
+                if len(counts) > 4 * CONFIGURATIONS:
+                    yield {"configuration": list(counts.keys()), "n": list(counts.values())}
+                    counts.clear()
+        yield {"configuration": list(counts.keys()), "n": list(counts.values())}
+
+    rows = arrow_stream(with_types(docs, text="string"), one, "configuration binary, n bigint").groupBy("configuration").agg(F.sum("n").alias("n"))
+    rows = rows.orderBy(F.desc("n"), "configuration").limit(configurations).toArrow()
+    return fit(rows.column("configuration").to_pylist(), rows.column("n").to_pylist())
 
 
 def find(docs: DataFrame, field: Field, carry: dict[str, str] | None = None) -> DataFrame:
     """doc_id, text and the columns of ``carry`` of every row of ``docs``, with base and spans (kind, start, end; by kind and start).
 
-    Null and empty texts have no spans; repeated rows have the same ones.
+    Null and empty texts have no spans; repeated rows have the same ones; a text of any length takes time in proportion to it.
     """
     carry = carry or {}
     docs = with_types(docs, doc_id="bigint", text="string", **carry)
@@ -352,10 +406,11 @@ def find(docs: DataFrame, field: Field, carry: dict[str, str] | None = None) ->
                 form += nodes.form
             belief = beliefs(field, form, chain, skip)
             for i, text, nodes, first in kept:
-                more = added_spans(text, nodes, belief[first : first + len(nodes.span)], base[i])
-                every[i] = sorted(base[i] + more)
+                known = base[i] + seeds(text, base[i])
+                more = added_spans(text, nodes, belief[first : first + len(nodes.span)], known)
+                every[i] = sorted(known + more)
             passed = {n: part.column(n) for n in ("doc_id", "text", *carry)}
-            as_rows = lambda spans: [[{"kind": KINDS[k], "start": a, "end": b} for k, a, b in own] for own in spans]
+            as_rows = lambda spans: [[{"kind": LABELS[k], "start": a, "end": b} for k, a, b in own] for own in spans]
             yield passed | {"base": as_rows(base), "spans": as_rows(every)}
 
     kept = "".join(f", {n} {k}" for n, k in carry.items())

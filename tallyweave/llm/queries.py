@@ -28,7 +28,9 @@ def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(docs, pii.learn(docs))
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
     counts = [number(kind).alias(f"n_{kind}") for kind in pii.KINDS]
-    return found.select("doc_id", *counts, F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+    secret = F.size(F.filter("spans", lambda s: s["kind"] == "secret")).cast("long").alias("n_secret")
+    digest = F.sha2(pii.listed("base"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.listed("spans").alias("spans"), secret, F.size("spans").cast("long").alias("n_spans"))
 
 
 def op3_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
