@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyweave.functions.labels import STATEMENTS
-from tallyweave.operators.stage import local_table
+from tallyweave.operators.stage import local_table, materialize
 from tallyweave.operators.tables import KEY
 
 # Declared quality indicators with their thresholds and scopes.
@@ -114,38 +117,58 @@ def extraction_quality(reports: DataFrame, tables: DataFrame, matched_rows: Data
     )
 
 
-def nearest_rank(df: DataFrame, value: str, p: float, by: tuple[str, ...] = (), small: int = 100_000) -> DataFrame:
-    """Value at rank round(p/100·(n−1)), halves to the even rank; no interpolation.
+DIGIT = 16  # bits of a key that one round of nearest_rank decides
 
-    Groups of more than ``small`` values are first narrowed to a bracket around
-    the rank by a quantile sketch (its rank error is a tenth of the bracket's
-    margin); values below the bracket are only counted, and the exact rank is
-    taken among the values inside it.
+
+def ordered_key(df: DataFrame, value: str) -> Column:
+    """A long that orders as the column does: its own value, or the bits of a double with those of negative ones turned round."""
+    kind = df.schema[value].dataType
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.col(value).cast("long")
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("long")
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(value)
+    if isinstance(kind, T.DecimalType):
+        if kind.precision > 18:
+            raise TypeError(f"{value}: a decimal of {kind.precision} digits has no key of 64 bits")
+        return (F.col(value) * F.lit(10**kind.scale).cast("decimal(19,0)")).cast("long")
+
+    @F.pandas_udf("long")
+    def bits(values: pd.Series) -> pd.Series:
+        whole = (values.to_numpy(np.float64) + 0.0).view(np.int64)
+        return pd.Series(np.where(whole < 0, whole ^ np.int64(0x7FFFFFFFFFFFFFFF), whole))
+
+    return bits(F.col(value).cast("double"))
+
+
+def nearest_rank(df: DataFrame, value: str, p: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Value at rank round(p/100·(n−1)), halves to the even rank; no interpolation.  Nulls are left out.
+
+    Values become 64-bit keys of the same order.  Each of four rounds counts the
+    keys of a group by their next 16 bits, with partial sums, and goes on with the
+    keys in the one bucket that holds the rank.  A task never sees a group's
+    values in order, only its at most 65,536 counts, so one group may hold all rows
+    and there may be any number of groups.
     """
-    share, margin = p / 100.0, 0.001
-    around = [max(0.0, share - margin), min(1.0, share + margin)]
-    known = df.filter(F.col(value).isNotNull()).withColumn("_one", F.lit(1))
+    known = df.filter(F.col(value).isNotNull())
     keys = ["_one", *by]
-    ends = known.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"),
-        F.percentile_approx(value, around, 10_000).alias("q"),
-    )
-    rank = F.bround(F.lit(share) * (F.col("n") - 1), 0).cast("long")
-    large = F.col("n") > small
-    target = ends.select(
-        *keys,
-        F.greatest(F.lit(0), F.least(F.col("n") - 1, rank)).alias("target"),
-        F.when(large & F.lit(share > margin), F.get("q", 0)).otherwise(F.col("lo")).alias("lo"),
-        F.when(large & F.lit(share < 1 - margin), F.get("q", 1)).otherwise(F.col("hi")).alias("hi"),
-    )
-    placed = known.select(*keys, value).join(target, keys)
-    below = placed.filter(F.col(value) < F.col("lo")).groupBy(*keys).agg(F.count("*").alias("n_below"))
-    inside = placed.filter(F.col(value).between(F.col("lo"), F.col("hi"))).groupBy(*keys, "target", value).agg(F.count("*").alias("c"))
-    walk = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = inside.join(below, keys, "left").withColumn(
-        "at", F.coalesce("n_below", F.lit(0)) + F.coalesce(F.sum("c").over(walk), F.lit(0))
-    )
-    return ranked.filter("target >= at AND target < at + c").select(*by, F.col(value).alias(f"p{p:g}"))
+    rows = known.select(F.lit(1).alias("_one"), *by, F.col(value).alias("_value"), ordered_key(known, value).alias("_key"))
+    rows = materialize(rows, "ranked-values").alias("x")
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    rank = F.bround(F.lit(p / 100.0) * (F.col("_n") - 1), 0).cast("long")
+    chosen = sizes.select(*keys, F.greatest(F.lit(0), F.least(F.col("_n") - 1, rank)).alias("_rank"), F.lit(None).cast("long").alias("_prefix"))
+    walk = Window.partitionBy(*keys).orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
+    for shift in range(64 - DIGIT, -1, -DIGIT):
+        same = reduce(lambda a, b: a & b, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in keys])
+        inside = F.col("_prefix").isNull() | (F.shiftright("_key", min(63, shift + DIGIT)) == F.col("_prefix"))
+        left = rows.join(chosen.alias("y"), same).filter(inside)
+        left = left.select(*[F.col(f"x.{c}").alias(c) for c in keys], "_rank", F.col("x._value").alias("_value"), F.shiftright("_key", shift).alias("_digit"))
+        counts = left.groupBy(*keys, "_rank", "_digit").agg(F.count("*").alias("_c"), F.min("_value").alias("_low"))
+        placed = counts.withColumn("_below", F.coalesce(F.sum("_c").over(walk), F.lit(0)))
+        hit = placed.filter("_rank >= _below and _rank < _below + _c")
+        chosen = hit.select(*keys, (F.col("_rank") - F.col("_below")).alias("_rank"), F.col("_digit").alias("_prefix"), "_low")
+    return chosen.select(*by, F.col("_low").alias(f"p{p:g}"))
 
 
 def side_by_side(frames: list[DataFrame]) -> DataFrame:

@@ -8,6 +8,7 @@ into blocks that meet corpus blocks on a grid.
 
 from __future__ import annotations
 
+import hashlib
 import sys
 from collections.abc import Iterator
 
@@ -111,42 +112,83 @@ def _grid_top_n(queries: DataFrame, corpus: DataFrame, n: int, max_block: int, g
 # ---------------------------------------------------------------- hashed search
 
 
-def hyperplanes(width: int, tables: int, bits: int, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).standard_normal((tables, bits, width))
+TABLES, FLIPS, BUCKET, MIN_BITS = 12, 2, 32, 4
+UNIT = 1 << 20  # components are read in steps of its inverse, so that projections are whole numbers and exact anywhere
 
 
-def signatures(df: DataFrame, planes: np.ndarray, vector: str = "embedding") -> DataFrame:
-    """Add ``signature``: one bucket per table from the signs of random projections."""
-    tables, bits, _ = planes.shape
+def plane_sign(table: int, bit: int, dimension: int) -> int:
+    """1 or -1, by the first hex digit of the MD5 of the three numbers: the same planes in any language."""
+    return 1 - 2 * (int(hashlib.md5(f"{table}:{bit}:{dimension}".encode()).hexdigest()[0], 16) & 1)
+
+
+def hyperplanes(width: int, tables: int, bits: int) -> np.ndarray:
+    return np.array([[[plane_sign(t, b, i) for i in range(width)] for b in range(bits)] for t in range(tables)], np.int64).reshape(tables, bits, width)
+
+
+def bits_for(rows: int, bucket: int = BUCKET) -> int:
+    """Fewest bits, at least MIN_BITS, that leave at most ``bucket`` rows a bucket if all are equally full."""
+    return max(MIN_BITS, (max(1, -(-rows // bucket)) - 1).bit_length())
+
+
+def signatures(df: DataFrame, tables: int, bits: int, flips: int = 0, vector: str = "embedding") -> DataFrame:
+    """Add ``signature``: the buckets of each row, table number and signs of the projections in one number.
+
+    With ``flips``, also the buckets on the other side of any of the ``flips``
+    planes nearest to the vector, ties to the lower bit.  Vectors may differ in
+    width; a null one has no bucket.
+    """
+    flips = min(flips, bits)
     weights = (1 << np.arange(bits)).astype(np.int64)
+    chosen = np.array([[m >> k & 1 for k in range(flips)] for m in range(1 << flips)], np.int64).reshape(1 << flips, flips)
 
     @F.pandas_udf("array<long>")
     def sign(vectors: pd.Series) -> pd.Series:
-        matrix = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
-        positive = np.einsum("tbw,nw->ntb", planes, matrix) > 0
-        codes = (positive * weights).sum(axis=2) * tables + np.arange(tables)
-        return pd.Series(list(codes))
+        out: list = [None] * len(vectors)
+        size = vectors.map(lambda v: -1 if v is None else len(v)).to_numpy()
+        for width in set(size.tolist()) - {-1}:
+            rows = np.flatnonzero(size == width)
+            whole = np.floor(np.stack(vectors.iloc[rows].to_list()).astype(np.float64) * UNIT).astype(np.int64)
+            side = np.einsum("tbw,nw->ntb", hyperplanes(width, tables, bits), whole)
+            code = ((side > 0) * weights).sum(axis=2)[:, :, None]
+            nearest = np.argsort(np.abs(side), axis=2, kind="stable")[:, :, :flips]
+            code = code ^ (weights[nearest] @ chosen.T)
+            code = code * tables + np.arange(tables)[:, None]
+            for i, own in zip(rows.tolist(), code.reshape(len(rows), -1)):
+                out[i] = own
+        return pd.Series(out)
 
     return df.withColumn("signature", sign(vector))
 
 
-def hashed_top_n(queries: DataFrame, corpus: DataFrame, n: int, planes: np.ndarray) -> DataFrame:
-    """Approximate top-N: candidates share a bucket with the query and are scored exactly.
+def hashed_top_n(
+    queries: DataFrame, corpus: DataFrame, n: int, tables: int = TABLES, bits: int | None = None, flips: int = FLIPS, bucket: int = BUCKET
+) -> DataFrame:
+    """Approximate top-N: candidates share a bucket with a query, or one across its nearest planes, and are scored exactly.
 
-    Copies of a vector share all buckets.  Only the first ``n`` ids of a vector
-    can be among the best n of any query, so copies beyond that are dropped
-    before the join and a bucket full of copies stays small.
+    The number of bits follows the size of the corpus, so buckets stay about as
+    full at any size.  Only ids meet in the buckets; vectors are fetched once for
+    each pair that met.  Copies of a vector share all buckets: only the first
+    ``n`` ids of a vector can be among the best n of any query, so copies beyond
+    that are dropped before the join and a bucket full of copies stays small.
     """
+    if bits is None:
+        bits = bits_for(corpus.count(), bucket)
     copies = Window.partitionBy("embedding").orderBy("id")
-    distinct = corpus.withColumn("_c", F.row_number().over(copies)).filter(F.col("_c") <= n).drop("_c")
-    buckets = lambda df, key: signatures(df, planes).select(key, F.col("embedding"), F.explode("signature").alias("bucket"))
-    pairs = (
-        buckets(queries, "query_id")
-        .withColumnRenamed("embedding", "q_vec")
-        .join(buckets(distinct, "id").withColumnRenamed("embedding", "c_vec"), "bucket")
-    )
-    scored = pairs.groupBy("query_id", "id").agg(F.first("q_vec").alias("q"), F.first("c_vec").alias("c"))
-    return _rank(scored.select("query_id", "id", V.cosine(F.col("q"), F.col("c")).alias("score")), n)
+    distinct = corpus.select("id", "embedding").withColumn("_c", F.row_number().over(copies)).filter(F.col("_c") <= n).drop("_c")
+    distinct = materialize(distinct, "hashed-corpus")
+    buckets = lambda df, key, flips: signatures(df, tables, bits, flips).select(key, F.explode("signature").alias("bucket"))
+    met = buckets(queries, "query_id", flips).join(buckets(distinct, "id", 0), "bucket").select("query_id", "id").distinct()
+    pairs = met.join(distinct.withColumnRenamed("embedding", "c_vec"), "id")
+    pairs = pairs.join(queries.select("query_id", F.col("embedding").alias("q_vec")), "query_id")
+    return _rank(pairs.select("query_id", "id", V.cosine(F.col("q_vec"), F.col("c_vec")).alias("score")), n)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row: n_exact, n_found, recall of (query_id, id) pairs of a search against the exact one."""
+    keys = ["query_id", "id"]
+    met = exact.select(*keys).join(found.select(*keys, F.lit(1).alias("hit")), keys, "left")
+    counted = met.agg(F.count("*").alias("n_exact"), F.count("hit").alias("n_found"))
+    return counted.withColumn("recall", F.coalesce(F.try_divide("n_found", "n_exact"), F.lit(0.0)))
 
 
 # ---------------------------------------------------------------- rerank and contexts

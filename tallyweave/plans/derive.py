@@ -6,11 +6,13 @@ rule in SQL.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions.base_metrics import base_metric_rows
 from tallyweave.operators.stage import local_table, spread
+from tallyweave.session import work_folder
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -435,3 +437,23 @@ def contents_rows(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "orders").join(parts, "o_custkey", "left").select(
         F.lit(0).alias("doc"), key.alias("row_index"), text.alias("text")
     )
+
+
+def json_arrays(spark: SparkSession, folder: str) -> str:
+    """A folder of text files, each one array of documents on lines of its own; their texts hold braces, brackets and escapes."""
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    record = F.to_json(F.struct("doc_id", "source", "text"), {"ignoreNullFields": "false"})
+
+    def framed(batches):
+        lead = "["
+        for batch in batches:
+            lines = []
+            for value in batch.column("value").to_pylist():
+                lines.append(lead + value)
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]"], pa.string())], names=["value"])
+
+    path = work_folder(spark, "json-arrays")
+    docs.select(record.alias("value")).mapInArrow(framed, "value string").write.text(path)
+    return path

@@ -396,6 +396,27 @@ pairs AS (SELECT query_id, id, list_cosine_similarity(v, q) AS score FROM query
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM pairs QUALIFY rank <= 20)"""
 
 SQL["vector_topk"] = f"WITH {HITS} SELECT query_id, id, round(score, 6) AS score, rank FROM hits"
+HASHED = f"""{HITS},
+width AS (SELECT min(b) AS bits FROM range(4, 50) r(b) WHERE 32 * (1::BIGINT << b) >= (SELECT count(*) FROM corpus)),
+plane AS (
+  SELECT t, b, i, 1 - 2 * (('0x' || substr(md5(t || ':' || b || ':' || (i - 1)), 1, 1))::INT & 1) AS s
+  FROM range(0, 12) x(t), range(0, 50) y(b), range(1, 65) z(i) WHERE b < (SELECT bits FROM width)),
+side AS (
+  SELECT 'c' AS kind, id AS k, t, b, sum(floor(v[i] * 1048576)::BIGINT * s) AS p FROM corpus CROSS JOIN plane GROUP BY ALL
+  UNION ALL SELECT 'q', query_id, t, b, sum(floor(q[i] * 1048576)::BIGINT * s) FROM query CROSS JOIN plane GROUP BY ALL),
+code AS (SELECT kind, k, t, sum(CASE WHEN p > 0 THEN 1::BIGINT << b ELSE 0 END)::BIGINT AS c FROM side GROUP BY ALL),
+near AS (SELECT k, t, b, row_number() OVER (PARTITION BY k, t ORDER BY abs(p), b) AS r FROM side WHERE kind = 'q' QUALIFY r <= 2),
+flip AS (SELECT k, t, max(CASE WHEN r = 1 THEN 1::BIGINT << b END) AS one, max(CASE WHEN r = 2 THEN 1::BIGINT << b END) AS two FROM near GROUP BY ALL),
+probe AS (SELECT k, t, xor(c, xor(CASE WHEN m & 1 = 1 THEN one ELSE 0 END, CASE WHEN m & 2 = 2 THEN two ELSE 0 END)) AS c
+  FROM code JOIN flip USING (k, t), range(0, 4) x(m) WHERE kind = 'q'),
+met AS (SELECT DISTINCT probe.k AS query_id, code.k AS id FROM probe JOIN code ON code.kind = 'c' AND code.t = probe.t AND code.c = probe.c),
+approx AS (
+  SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank
+  FROM pairs JOIN met USING (query_id, id) QUALIFY rank <= 20)"""
+SQL["hashed_topk"] = f"WITH {HASHED} SELECT query_id, id, round(score, 6) AS score, rank FROM approx"
+SQL["hashed_recall"] = f"""WITH {HASHED},
+n AS (SELECT count(*) AS n_exact, count(a.id) AS n_found FROM hits h LEFT JOIN approx a USING (query_id, id))
+SELECT n_exact, n_found, n_found / n_exact AS recall, n_found / n_exact >= 0.9 AS enough FROM n"""
 SQL["hits_at_k"] = f"""WITH {HITS},
 j AS (SELECT query_id, bool_or(rank <= 5 AND label = query_id) AS hit FROM hits JOIN corpus USING (id) GROUP BY 1)
 SELECT count(*) AS n_queries, count(*) FILTER (WHERE hit) AS n_hit, count(*) FILTER (WHERE hit) / count(*) AS hits_at_k FROM j"""
@@ -682,6 +703,11 @@ d AS (SELECT *, exact_match / total AS x, tp / (tp + fp) AS pr, tp / (tp + fn) A
 SELECT split, total, exact_match, tp, fp, fn, tn, round(x, 9) AS exact_match_rate, round(pr, 9) AS positive_precision, round(re, 9) AS positive_recall,
   round(2*pr*re/(pr+re), 9) AS positive_f1, round(fr, 9) AS false_positive_rate_on_negatives, x >= 0.9 AND fr <= 0.1 AS passed FROM d"""
 
+SQL["percentile_all_lines"] = """
+WITH v AS (SELECT l_orderkey, l_extendedprice::DOUBLE AS price FROM lineitem),
+g AS (SELECT NULL::BIGINT AS l_orderkey, list(price ORDER BY price) AS p FROM v UNION ALL SELECT l_orderkey, list(price ORDER BY price) FROM v GROUP BY l_orderkey)
+SELECT l_orderkey, p[1 + round_even(0.75 * (len(p) - 1), 0)::BIGINT] AS p75 FROM g"""
+SQL["json_array_items"] = "SELECT doc_id, source, md5(text) AS text_md5, length(text)::INTEGER AS n_chars FROM documents"
 SQL["nearest_rank_percentile"] = """
 SELECT event_type, list_sort(list(value))[CAST(round_even(0.95 * (count(*) - 1), 0) AS INT) + 1] AS p95 FROM events GROUP BY event_type"""
 

@@ -359,12 +359,19 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def hashed_topk(spark: SparkSession, folder: str) -> DataFrame:
-    planes = S.hyperplanes(64, 12, 6)
+    """Approximate top 20 for the mean of each label."""
     corpus = D.vector_corpus(spark, folder).select("id", "embedding")
-    hits = S.hashed_top_n(D.centroid_queries(spark, folder), corpus, 20, planes)
+    hits = S.hashed_top_n(D.centroid_queries(spark, folder), corpus, 20)
     return hits.withColumn("score", F.round("score", 6))
 
 
+@query
+def hashed_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """Share of the exact top 20 that the approximate search finds, and whether it is nine tenths."""
+    corpus, queries = D.vector_corpus(spark, folder).select("id", "embedding"), D.centroid_queries(spark, folder)
+    return S.recall(S.hashed_top_n(queries, corpus, 20), S.top_n(queries, corpus, 20)).withColumn("enough", F.col("recall") >= 0.9)
+
+
 @query
 def hits_at_k(spark: SparkSession, folder: str) -> DataFrame:
     """Share of label queries with a vector of their own label among the first five."""
@@ -637,6 +644,14 @@ def nearest_rank_percentile(spark: SparkSession, folder: str) -> DataFrame:
     return Q.nearest_rank(D.table(spark, folder, "events"), "value", 95, ("event_type",))
 
 
+@query
+def percentile_all_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """One group of all line items, and one group an order."""
+    lines = D.table(spark, folder, "lineitem").select("l_orderkey", F.col("l_extendedprice").cast("double").alias("price"))
+    whole = Q.nearest_rank(lines, "price", 75).select(F.lit(None).cast("long").alias("l_orderkey"), "p75")
+    return whole.unionByName(Q.nearest_rank(lines, "price", 75, ("l_orderkey",)))
+
+
 @query
 def extraction_quality(spark: SparkSession, folder: str) -> DataFrame:
     pages = D.html_pages(spark, folder)
@@ -808,6 +823,14 @@ def layout_pages(spark: SparkSession, folder: str) -> DataFrame:
     return I.layout_pages(items, known_types=("text", "table"))
 
 
+@query
+def json_array_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents written as arrays of JSON and read back in splits."""
+    path = D.json_arrays(spark, folder)
+    items, _ = I.read_items(spark, path, "doc_id long, source string, text string", pattern="*.txt")
+    return items.select("doc_id", "source", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").alias("n_chars"))
+
+
 # ---------------------------------------------------------------- streams
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.recognise import rule_codes
 from tallyweave.functions.text import strip
 from tallyweave.session import path_exists
+from tallyweave.sources.json_arrays import read_records
 
 SUPPORTED_EXTENSIONS = (".pdf", ".docx")
 METRIC_JSON = (
@@ -50,7 +51,7 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
 
 
 def _json_items(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
-    """Items of one JSON document (an object with a list ``field``, or a bare list) or of JSON lines, with their order.
+    """Items of one JSON document (an object with a list ``field``, or a bare list), read in splits, or of JSON lines, with their order.
 
     A folder is what a sink wrote: JSON lines, ordered by ``def_order`` where they have it.
     """
@@ -58,11 +59,9 @@ def _json_items(spark: SparkSession, path: str, field: str, schema: str) -> Data
         lines = spark.read.schema(f"{schema}, def_order long").json(path)
         place = F.coalesce("def_order", F.monotonically_increasing_id()).alias("item_order")
         return lines.select(place, *[f.split()[0] for f in schema.split(", ")])
-    raw = spark.read.text(path, wholetext=True).select(strip(F.col("value")).alias("body"))
-    bare = F.from_json("body", f"array<struct<{_struct_fields(schema)}>>")
-    held = F.from_json("body", f"struct<{field}:array<struct<{_struct_fields(schema)}>>>")[field]
-    items = raw.select(F.when(F.col("body").startswith("["), bare).otherwise(held).alias("items"))
-    return items.select(F.posexplode("items").alias("item_order", "i")).filter("i IS NOT NULL").select("item_order", "i.*")
+    records = read_records(spark, path, pattern="*", field=field)
+    parsed = records.select(F.col("offset").alias("item_order"), F.from_json("record", f"struct<{_struct_fields(schema)}>").alias("i"))
+    return parsed.filter("i IS NOT NULL").select("item_order", "i.*")
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:

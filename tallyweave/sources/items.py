@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.functions.text import strip
+from tallyweave.sources.json_arrays import read_records
 
 ITEM_SCHEMA = (
     "id string, uid string, pre_text array<string>, table array<array<string>>, post_text array<string>, "
@@ -17,36 +18,21 @@ LAYOUT_SCHEMA = (
 
 
 def read_items(
-    spark: SparkSession, path: str, schema: str = ITEM_SCHEMA, layout: str = "auto"
+    spark: SparkSession, path: str, schema: str = ITEM_SCHEMA, layout: str = "auto", pattern: str = "*.json"
 ) -> tuple[DataFrame, DataFrame]:
     """Records of JSON files, arrays or one record per line: ``(items, errors)``.
 
-    A record that does not parse goes to ``errors`` and spoils no other.
-    ``lines`` reads files of one record per line in splits; ``auto`` reads each
-    file whole to tell arrays from lines, for folders of many small files.
+    A record that does not parse goes to ``errors`` (file_name, offset in bytes,
+    the whole record) and spoils no other.  ``auto`` tells arrays from lines by a
+    file's first character and reads both in splits; ``lines`` takes every
+    file for lines and saves the pass that finds the items (its errors have no offset).
     """
-    meta = F.regexp_extract(F.input_file_name(), r"([^/]+)\z", 1).alias("file_name")
+    name = lambda c: F.regexp_extract(c, r"([^/]+)\z", 1).alias("file_name")
     if layout == "lines":
-        plain = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
-        return _parse(plain.select(meta, strip(F.col("value")).alias("record")).filter("record <> ''"), schema)
-    # Whole files are needed to tell an array from lines; a file is one row of one task.
-    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    texts = raw.select(meta, strip(F.col("value")).alias("body")).filter("body <> ''")
-    arrays = texts.filter(F.col("body").startswith("[")).select(
-        "file_name", F.from_json("body", "array<variant>").alias("v"), "body"
-    )
-    from_arrays = arrays.filter("v IS NOT NULL").select("file_name", F.explode("v").alias("x")).select(
-        "file_name", F.to_json("x").alias("record")
-    )
-    bad_files = arrays.filter("v IS NULL").select("file_name", F.left("body", F.lit(200)).alias("record"))
-    from_lines = (
-        texts.filter(~F.col("body").startswith("["))
-        .select("file_name", F.explode(F.split("body", r"\r\n|\n|\r", -1)).alias("line"))
-        .select("file_name", strip(F.col("line")).alias("record"))
-        .filter("record <> ''")
-    )
-    items, errors = _parse(from_arrays.unionByName(from_lines), schema)
-    return items, errors.unionByName(bad_files)
+        plain = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
+        records = plain.select(name(F.input_file_name()), F.lit(None).cast("long").alias("offset"), strip(F.col("value")).alias("record"))
+        return _parse(records.filter("record <> ''"), schema)
+    return _parse(read_records(spark, path, pattern).select(name(F.col("file_path")), "offset", "record"), schema)
 
 
 def _parse(records: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
@@ -54,7 +40,7 @@ def _parse(records: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
         "p", F.from_json("record", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
     )
     items = parsed.filter("p IS NOT NULL AND p._bad IS NULL").select("file_name", "p.*", F.col("record").alias("raw_json")).drop("_bad")
-    errors = parsed.filter("p IS NULL OR p._bad IS NOT NULL").select("file_name", "record")
+    errors = parsed.filter("p IS NULL OR p._bad IS NOT NULL").select("file_name", "offset", "record")
     return items, errors
 
 

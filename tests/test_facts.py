@@ -138,20 +138,35 @@ def test_running_values_over_blocks(spark):
     assert {(r["g"], r["i"]): (r["total"], r["last_zero"]["i"] if r["last_zero"] else None) for r in out} == want
 
 
-@pytest.mark.parametrize("small", [100_000, 10])
-def test_nearest_rank(spark, small):
+def test_nearest_rank(spark):
     values = [((i * 7919) % 1000) ** 3 / 7 for i in range(2500)]
     df = spark.createDataFrame([(v, i % 3) for i, v in enumerate(values)], "v double, g int")
     for p in (0, 5, 50, 95, 100):
-        got = Q.nearest_rank(df, "v", p, small=small).collect()
+        got = Q.nearest_rank(df, "v", p).collect()
         ordered = sorted(values)
         assert [r[0] for r in got] == [ordered[round(p / 100 * (len(values) - 1))]]
-    by_group = {r["g"]: r["p95"] for r in Q.nearest_rank(df, "v", 95, ("g",), small=small).collect()}
+    by_group = {r["g"]: r["p95"] for r in Q.nearest_rank(df, "v", 95, ("g",)).collect()}
     for g in range(3):
         ordered = sorted(v for i, v in enumerate(values) if i % 3 == g)
         assert by_group[g] == ordered[round(0.95 * (len(ordered) - 1))]
 
 
+def test_nearest_rank_of_odd_values(spark):
+    values = [-0.0, 0.0, -1.5, -1e-310, 1e308, float("inf"), float("-inf"), None, 3.0, 3.0, -7.25]
+    df = spark.createDataFrame([(v, None if i % 2 else "a", i - 5, 1) for i, v in enumerate(values)], "v double, g string, w long, _rank int")
+    ordered = sorted(v for v in values if v is not None)
+    for p in (0, 10, 33, 50, 90, 100):
+        assert [r[0] for r in Q.nearest_rank(df, "v", p).collect()] == [ordered[round(p / 100 * (len(ordered) - 1))]]
+        assert [r[0] for r in Q.nearest_rank(df, "w", p).collect()] == [list(range(-5, 6))[round(p / 100 * 10)]]
+    by_group = {r["g"]: r["p50"] for r in Q.nearest_rank(df, "w", 50, ("g",)).collect()}
+    assert by_group == {"a": -1, None: 0}  # a null group is a group
+    dated = df.selectExpr("date_add(date'1970-01-01', int(w)) d", "cast(w / 3 as decimal(18,4)) m", "timestamp_micros(w * 1000000000000) t")
+    for name in ("d", "m", "t"):
+        want = sorted(r[0] for r in dated.select(name).collect())[round(0.3 * 10)]
+        assert Q.nearest_rank(dated, name, 30).first()[0] == want
+    assert not Q.nearest_rank(df.filter("v is null and w > 100"), "v", 50).count()
+
+
 def test_match_quality_counts(spark):
     rows = [("a", "a", True), ("a", "b", True), ("a", None, True), (None, None, True), (None, "x", False)]
     got = {r["split"]: r for r in Q.match_quality(spark.createDataFrame(rows, "expected string, predicted string, required boolean")).collect()}

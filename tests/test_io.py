@@ -40,10 +40,19 @@ def test_grid_search_equals_block_search(spark):
 def test_hashed_search_finds_most_neighbours(spark):
     queries, corpus = vectors(spark, 20, 3, "query_id"), vectors(spark, 800, 4, "id")
     exact = {(r["query_id"], r["id"]) for r in S.top_n(queries, corpus, 10).collect()}
-    found = {(r["query_id"], r["id"]) for r in S.hashed_top_n(queries, corpus, 10, S.hyperplanes(8, 16, 4)).collect()}
+    found = {(r["query_id"], r["id"]) for r in S.hashed_top_n(queries, corpus, 10, tables=16).collect()}
     assert len(exact & found) / len(exact) > 0.9
 
 
+def test_hashed_search_of_copies_nulls_and_widths(spark):
+    rows = [(i, [1.0, 0.5, -0.25]) for i in range(500)] + [(1000, None), (1001, [1.0, 0.5]), (1002, [-1.0, -0.5, 0.25])]
+    corpus = spark.createDataFrame(rows, "id long, embedding array<double>")
+    queries = spark.createDataFrame([(1, [1.0, 0.5, -0.25]), (2, None)], "query_id long, embedding array<double>")
+    got = S.hashed_top_n(queries, corpus, 5, tables=4, bits=3)
+    assert [(r["query_id"], r["rank"], r["id"]) for r in got.orderBy("rank").collect()] == [(1, i + 1, i) for i in range(5)]
+    assert [S.bits_for(n) for n in (0, 1, 512, 513, 32 * 2**20, 32 * 2**20 + 1)] == [4, 4, 4, 5, 20, 21]
+
+
 def test_search_pipeline_and_scores(spark):
     corpus = spark.createDataFrame(
         [(0, "cash and bank", "a.pdf", 1, [1.0, 0.0]), (1, "inventory of goods", "b.pdf", 2, [0.9, 0.1]), (2, "other", None, None, [0.0, 1.0])],
