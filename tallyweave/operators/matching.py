@@ -9,6 +9,7 @@ data, and the planner broadcasts it while it is below its size threshold.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -43,14 +44,19 @@ def base_metrics(spark: SparkSession) -> DataFrame:
 def base_patterns() -> dict[str, list[str]]:
     """Normalised loose phrases per statement, for the row vote on a table's statement.
 
-    The phrases of the built-in dictionary need no normalising.
+    Of the steps of label normalising, the built-in phrases need only the removal of marks and lower case.
     """
     found: dict[str, list[str]] = {s: [] for s in L.STATEMENTS}
     for row in base_metric_rows():
-        found[row["statement_type"]] += [p.lower() for p in row["patterns"]]
+        found[row["statement_type"]] += [re.sub(L.PUNCTUATION, "", p).lower() for p in row["patterns"]]
     return found
 
 
+def loose_phrases(metrics: DataFrame) -> DataFrame:
+    """(statement_type, phrase) of all loose phrases of a dictionary, for the row vote: one row a metric and phrase."""
+    return metrics.select("statement_type", F.explode("patterns").alias("phrase"))
+
+
 def bucket_patterns(metrics: DataFrame) -> DataFrame:
     """Drop generic Chinese words, move labels of up to two characters to the exact bucket."""
     norm_len = lambda p: F.length(L.normalize_label(p))

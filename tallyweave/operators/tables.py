@@ -20,6 +20,7 @@ from tallyweave.functions import recognise as R
 from tallyweave.functions.labels import STATEMENTS, is_row_label, normalize_label
 from tallyweave.functions.text import lines, strip
 from tallyweave.functions.vectors import let
+from tallyweave.operators.containment import contained
 from tallyweave.operators.ordered import running
 from tallyweave.operators.stage import materialize, spread, stage
 
@@ -58,12 +59,31 @@ def best_statement(scores: dict[str, Column]) -> Column:
     return F.when(top > 0, F.coalesce(*[F.when(scores[s] == top, F.lit(s)) for s in STATEMENTS]))
 
 
-def vote_by_rows(tables: DataFrame, rows: DataFrame, patterns: dict[str, list[str]]) -> DataFrame:
+def phrase_scores(rows: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(key, points of each statement) of tables by a dictionary of any size: rows(key, label), phrases(statement_type, phrase).
+
+    A phrase that several metrics list counts once for each.  Tables without a hit are left out.
+    """
+    named = phrases.select("statement_type", normalize_label(F.col("phrase")).alias("phrase")).filter("phrase <> ''")
+    points = [F.count_if(F.col("statement_type") == s).alias(f"points_{s}") for s in STATEMENTS]
+    weights = named.groupBy("phrase").agg(*points)
+    labels = rows.select(*KEY, normalize_label(F.col("label")).alias("text"))
+    total = lambda c: F.sum(c).alias(c)
+    each = [f"points_{s}" for s in STATEMENTS]
+    by_text = contained(labels, named).join(weights, "phrase").groupBy("text").agg(*map(total, each))
+    return labels.join(by_text, "text").groupBy(*KEY).agg(*map(total, each))
+
+
+def vote_by_rows(tables: DataFrame, rows: DataFrame, patterns: dict[str, list[str]] | DataFrame) -> DataFrame:
     """(key, voted): statement of the given tables by the phrases in their row labels.
 
-    Only rows of these tables are scored.
+    Only rows of these tables are scored.  ``patterns`` are a few phrases per
+    statement, or a table (statement_type, phrase) such as ``matching.loose_phrases`` of a loaded dictionary.
     """
     asked = rows.join(tables.select(*KEY), KEY, "left_semi")
+    if isinstance(patterns, DataFrame):
+        sums = phrase_scores(asked, patterns)
+        return sums.select(*KEY, best_statement({s: F.col(f"points_{s}") for s in STATEMENTS}).alias("voted"))
     scored = stage(asked, {f"points_{s}": c for s, c in statement_scores(F.col("label"), patterns).items()}, KEY)
     sums = scored.groupBy(*KEY).agg(*[F.sum(f"points_{s}").alias(f"points_{s}") for s in STATEMENTS])
     return sums.select(*KEY, best_statement({s: F.col(f"points_{s}") for s in STATEMENTS}).alias("voted"))
@@ -274,7 +294,14 @@ def html_tables(pages: DataFrame, patterns: dict[str, list[str]], rule_map: Colu
         points = F.transform("rows", lambda r: statement_scores(r["label"], patterns)[statement])
         return F.when(F.col("by_context").isNull(), F.aggregate(points, F.lit(0), lambda acc, v: acc + v))
 
-    typed = stage(scored, {f"score_{s}": table_score(s) for s in STATEMENTS}).withColumn(
+    if isinstance(patterns, DataFrame):
+        scored = materialize(scored, "html-scored")
+        labels = scored.filter("by_context IS NULL").select(*KEY, F.explode("rows").alias("row")).select(*KEY, F.col("row.label").alias("label"))
+        points = phrase_scores(labels, patterns).withColumnsRenamed({f"points_{s}": f"score_{s}" for s in STATEMENTS})
+        with_scores = scored.join(points, KEY, "left").fillna(0, [f"score_{s}" for s in STATEMENTS])
+    else:
+        with_scores = stage(scored, {f"score_{s}": table_score(s) for s in STATEMENTS})
+    typed = with_scores.withColumn(
         "statement_type",
         F.coalesce(F.col("by_context"), best_statement({s: F.col(f"score_{s}") for s in STATEMENTS})),
     )

@@ -457,3 +457,16 @@ def json_arrays(spark: SparkSession, folder: str) -> str:
     path = work_folder(spark, "json-arrays")
     docs.select(record.alias("value")).mapInArrow(framed, "value string").write.text(path)
     return path
+
+
+def part_dictionary(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as tables, their lines as rows that name a part, and a dictionary with a phrase for each part (every seventh of two metrics)."""
+    part = table(spark, folder, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_partkey").alias("name"))
+    key = (F.lit("text").alias("engine"), F.lit("t").alias("table_key"))
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("report_id"), *key)
+    label = F.concat(F.lit("Row "), "name", F.lit(" of "), "l_suppkey")
+    rows = table(spark, folder, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    statement = lambda n: F.element_at(F.array(*[F.lit(s) for s in ("income", "balance", "cashflow")]), (n % 3 + 1).cast("int"))
+    one = part.select(statement(F.col("p_partkey")).alias("statement_type"), F.array("name").alias("patterns"))
+    two = part.filter("p_partkey % 7 = 0").select(statement(F.col("p_partkey") + 1).alias("statement_type"), F.array("name").alias("patterns"))
+    return orders, rows.select(F.col("l_orderkey").alias("report_id"), *key, label.alias("label")), one.unionByName(two)

@@ -417,6 +417,15 @@ SQL["hashed_topk"] = f"WITH {HASHED} SELECT query_id, id, round(score, 6) AS sco
 SQL["hashed_recall"] = f"""WITH {HASHED},
 n AS (SELECT count(*) AS n_exact, count(a.id) AS n_found FROM hits h LEFT JOIN approx a USING (query_id, id))
 SELECT n_exact, n_found, n_found / n_exact AS recall, n_found / n_exact >= 0.9 AS enough FROM n"""
+SQL["row_vote_dictionary"] = """
+WITH phrase AS (
+  SELECT lower(replace(p_name || p_partkey, ' ', '')) AS phrase, p_partkey % 3 AS s FROM part
+  UNION ALL SELECT lower(replace(p_name || p_partkey, ' ', '')), (p_partkey + 1) % 3 FROM part WHERE p_partkey % 7 = 0),
+line AS (SELECT l_orderkey, lower(replace('row' || p_name || p_partkey || 'of' || l_suppkey, ' ', '')) AS label FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey IN (SELECT o_orderkey FROM orders)),
+label AS (SELECT DISTINCT label FROM line),
+hit AS (SELECT label, count(*) FILTER (s = 0) AS i, count(*) FILTER (s = 1) AS b, count(*) FILTER (s = 2) AS c FROM label JOIN phrase ON contains(label, phrase) GROUP BY label),
+score AS (SELECT l_orderkey AS report_id, sum(i) AS i, sum(b) AS b, sum(c) AS c FROM line JOIN hit USING (label) GROUP BY 1)
+SELECT report_id, CASE WHEN i >= b AND i >= c THEN 'income' WHEN b >= c THEN 'balance' ELSE 'cashflow' END AS voted FROM score"""
 SQL["hits_at_k"] = f"""WITH {HITS},
 j AS (SELECT query_id, bool_or(rank <= 5 AND label = query_id) AS hit FROM hits JOIN corpus USING (id) GROUP BY 1)
 SELECT count(*) AS n_queries, count(*) FILTER (WHERE hit) AS n_hit, count(*) FILTER (WHERE hit) / count(*) AS hits_at_k FROM j"""

@@ -337,6 +337,13 @@ def token_count(spark: SparkSession, folder: str) -> DataFrame:
     return _docs(spark, folder).select("doc_id", X.count_words(F.col("text")).alias("n_words"))
 
 
+@query
+def row_vote_dictionary(spark: SparkSession, folder: str) -> DataFrame:
+    """Statement of each order by the phrases of a loaded dictionary (one a part) in the labels of its lines."""
+    tables, rows, metrics = D.part_dictionary(spark, folder)
+    return T.vote_by_rows(tables, rows, M.loose_phrases(metrics)).select("report_id", "voted")
+
+
 # ---------------------------------------------------------------- retrieval
 
 

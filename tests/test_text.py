@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from tallyweave.functions import recognise as R
 from tallyweave.functions import text as X
 from tallyweave.functions import vectors as V
+from tallyweave.operators import tables as T
+from tallyweave.operators.containment import contained
+from tallyweave.operators.matching import base_metrics, base_patterns, loose_phrases
 
 MARKS = list(X.SEPARATORS)
 
@@ -139,3 +142,29 @@ def test_cell_text_decodes_all_references(spark):
     assert {r.i: r.got for r in rows} == {i: t if t is None else html.unescape(t) for i, t in enumerate(texts)}
     cell = spark.createDataFrame([("<td>&#65;&ensp;&#12288;&frac12;&nbsp;</td>",)], "t string").select(R.cell_text(F.col("t"))).first()[0]
     assert cell == "A\u2002\u3000½"
+
+
+def test_contained_phrases_against_all_pairs(spark):
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abé资产") for _ in range(n))
+    texts = [word(rng.randint(0, 25)) for _ in range(300)] + [None, ""]
+    phrases = [word(rng.randint(1, 7)) for _ in range(200)] + [None, "", "zz", "资产"]
+    made = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    want = {(t, p) for t in texts if t for p in phrases if p and p in t}
+    for q in (1, 3, 4):
+        got = contained(*made, q).collect()
+        assert len(got) == len(want) and {tuple(r) for r in got} == want
+    assert not contained(made[0], made[1].limit(0)).count() and not contained(made[0].limit(0), made[1]).count()
+
+
+def test_row_votes_of_a_table_of_phrases_and_of_literals_agree(spark):
+    rng = random.Random(7)
+    known = base_patterns()
+    every = [p for own in known.values() for p in own]
+    rows = [(i // 5, "text", "t", rng.choice(["其中：", "", "1. "]) + rng.choice(every) + rng.choice(["", "合计", " (续)"])) for i in range(400)]
+    rows = spark.createDataFrame(rows, "report_id long, engine string, table_key string, label string")
+    tables = rows.select("report_id", "engine", "table_key").distinct()
+    by_table = T.vote_by_rows(tables, rows, loose_phrases(base_metrics(spark)))
+    assert every[0] not in by_table._jdf.queryExecution().optimizedPlan().toString()  # no phrase is a literal
+    want = {r["report_id"]: r["voted"] for r in T.vote_by_rows(tables, rows, known).collect() if r["voted"]}
+    assert {r["report_id"]: r["voted"] for r in by_table.collect()} == want and len(want) == 80
