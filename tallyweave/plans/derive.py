@@ -9,6 +9,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyweave.functions.base_metrics import base_metric_rows
 from tallyweave.operators.stage import local_table, spread
@@ -470,3 +471,16 @@ def part_dictionary(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
     one = part.select(statement(F.col("p_partkey")).alias("statement_type"), F.array("name").alias("patterns"))
     two = part.filter("p_partkey % 7 = 0").select(statement(F.col("p_partkey") + 1).alias("statement_type"), F.array("name").alias("patterns"))
     return orders, rows.select(F.col("l_orderkey").alias("report_id"), *key, label.alias("label")), one.unionByName(two)
+
+
+MESSAGES_FROM = 1_700_000_000
+
+
+def message_files(spark: SparkSession, folder: str) -> tuple[str, T.StructType]:
+    """Conversation turns as timed messages, a second a turn after MESSAGES_FROM, dealt to eight files by a hash, so that later files hold earlier turns."""
+    turns = table(spark, folder, "conversations")
+    ts = F.timestamp_seconds(F.col("turn") + MESSAGES_FROM).alias("ts")
+    messages = turns.select(F.col("conv_id").alias("session_id"), ts, "role", F.col("text").alias("content"))
+    path = work_folder(spark, "message-files")
+    messages.repartition(8, F.xxhash64("session_id", "ts")).write.parquet(path)
+    return path, messages.schema

@@ -876,3 +876,7 @@ p AS MATERIALIZED (SELECT doc_id, list_transform(list_reduce(units, lambda acc,
   ELSE list_append(acc, s[1]) END), lambda x: x.t) AS packed FROM w)
 SELECT doc_id, i - 1 AS chunk_index, length(c[i]) AS n_chars, md5(c[i]) AS text_md5
 FROM (SELECT doc_id, {overlapped("packed", 20)} AS c FROM p) d, range(1, len(c) + 1) r(i)"""
+SQL["stream_live_sessions"] = """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM conversations)
+SELECT conv_id AS session_id, min(turn) AS created_at, max(turn) AS updated_at, count(*) AS n_messages,
+       string_agg(turn || ':' || role, ',' ORDER BY turn, role, text) FILTER (back <= 3) AS kept FROM r GROUP BY conv_id"""

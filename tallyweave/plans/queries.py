@@ -856,3 +856,14 @@ def stream_sessions(spark: SparkSession, folder: str) -> DataFrame:
     activity, last = sessions.run_session_stream(spark, source, schema, limit=3)
     recent = last.groupBy("session_id").agg(F.min("ts").alias("first_kept"), F.count("*").alias("n_kept"))
     return activity.join(recent, "session_id")
+
+
+@query
+def stream_live_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """The conversations, dealt to several files out of order, as a stateful stream of several micro-batches."""
+    source, schema = D.message_files(spark, folder)
+    live = sessions.run_live_sessions(spark, source, schema, files_per_batch=2, limit=3)
+    turn = lambda c: F.unix_timestamp(c) - D.MESSAGES_FROM
+    kept = F.transform("last_messages", lambda m: F.concat_ws(":", turn(m["ts"]), m["role"]))
+    ends = [turn(c).alias(c) for c in ("created_at", "updated_at")]
+    return live.select("session_id", *ends, "n_messages", F.array_join(kept, ",").alias("kept"))

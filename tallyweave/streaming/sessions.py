@@ -7,12 +7,20 @@ a third of all messages costs each task a few rows.
 
 from __future__ import annotations
 
+import sys
+
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tallyweave.operators.registry import last_messages, session_activity
 from tallyweave.session import work_folder
 
+# The state function runs in Python workers, which need not have this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def reduce_batch(batch: DataFrame, batch_id: int, root: str, limit: int) -> None:
     session_activity(batch).write.mode("overwrite").parquet(f"{root}/activity/batch={batch_id}")
@@ -45,10 +53,92 @@ def activity_updates(messages: DataFrame, lateness: str = "1 hour") -> DataFrame
     return session_activity(messages.withWatermark("ts", lateness))
 
 
-def run_session_stream(spark: SparkSession, source: str, schema, limit: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Run over all conversation files there are: ``(activity, last messages)``."""
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+def run_session_stream(spark: SparkSession, source: str, schema, limit: int = 20, files_per_batch: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run over all conversation files there are, in batches of ``files_per_batch`` (all at once if unset): ``(activity, last messages)``."""
+    reader = spark.readStream.schema(schema)
+    raw = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(source)
     messages = raw.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("ts"), "role", F.col("text").alias("content"))
     root = work_folder(spark, "sessions")
     session_stream(messages, root, work_folder(spark, "sessions-progress"), limit).awaitTermination()
     return merged_activity(spark, root), merged_messages(spark, root, limit)
+
+
+# ---------------------------------------------------------------- state kept by the engine
+
+MESSAGE = "struct<ts:timestamp,role:string,content:string>"
+STATE = "n_messages bigint, created_at timestamp, updated_at timestamp, ts array<timestamp>, role array<string>, content array<string>"
+SESSION = f"session_id {{key}}, created_at timestamp, updated_at timestamp, n_messages bigint, last_messages array<{MESSAGE}>, closed boolean"
+
+
+def live_sessions(messages: DataFrame, limit: int = 20, lateness: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
+    """Sessions as a stateful stream: activity, the last ``limit`` messages, and the end of sessions.
+
+    ``messages``: session_id, ts (timestamp), role, content.  The state of a session
+    is its counts and its last messages, so it stays small however long the
+    session is.  Each micro-batch emits the sessions that it touched; a session that
+    the watermark leaves behind by ``idle_ms`` is emitted once more as closed and its
+    state is dropped.  Messages may come in any order within ``lateness``; later ones are left out.
+    """
+    key = messages.schema["session_id"].dataType.simpleString()
+
+    def advance(session, batches, state):
+        if state.hasTimedOut:
+            n, first, last, *kept = state.get
+            state.remove()
+            yield _session_row(session[0], n, first, last, list(zip(*kept)), True)
+            return
+        n, first, last, kept = 0, None, None, []
+        if state.exists:
+            n, first, last, *columns = state.get
+            kept = list(zip(*columns))
+        reached = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        for batch in batches:
+            batch = batch[batch["ts"] >= reached]  # the engine's own filter lags a batch behind and would open closed sessions again
+            if not len(batch):
+                continue
+            n += len(batch)
+            # the last of a batch are all that can be among the last of the session
+            rows = list(zip(*(batch[c].tolist() for c in ("ts", "role", "content"))))
+            kept = sorted(kept + rows, key=lambda r: (r[0], str(r[1]), str(r[2])))[-limit:]
+            low, high = batch["ts"].min(), batch["ts"].max()
+            first, last = low if first is None else min(first, low), high if last is None else max(last, high)
+        if not n:
+            return
+        as_time = lambda t: pd.Timestamp(t).to_pydatetime()
+        columns = [list(c) for c in zip(*kept)] or [[], [], []]
+        state.update((n, as_time(first), as_time(last), [as_time(t) for t in columns[0]], columns[1], columns[2]))
+        state.setTimeoutTimestamp(max(int(pd.Timestamp(last).timestamp() * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
+        yield _session_row(session[0], n, first, last, kept, False)
+
+    stream = messages.select("session_id", "ts", "role", "content").withWatermark("ts", lateness)
+    return stream.groupBy("session_id").applyInPandasWithState(advance, SESSION.format(key=key), STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def _session_row(session, n, first, last, kept, closed: bool) -> pd.DataFrame:
+    messages = [{"ts": pd.Timestamp(t), "role": r, "content": c} for t, r, c in kept]
+    values = {"session_id": [session], "created_at": [first], "updated_at": [last], "n_messages": [n], "last_messages": [messages], "closed": [closed]}
+    return pd.DataFrame(values)
+
+
+def live_session_stream(messages: DataFrame, root: str, checkpoint: str, **options):
+    """Start :func:`live_sessions`; each micro-batch writes the sessions that it touched as a folder of its own."""
+    write = lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{root}/batch={batch_id}")
+    stream = live_sessions(messages, **options).writeStream.outputMode("update").foreachBatch(write)
+    return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def newest_sessions(spark: SparkSession, root: str) -> DataFrame:
+    """The last row of every session over all micro-batches."""
+    rows = spark.read.parquet(root)
+    fields = [c for c in rows.columns if c not in ("session_id", "batch")]
+    # a batch holds a session once more when it closes
+    return rows.groupBy("session_id").agg(F.max_by(F.struct(*fields), F.struct("batch", "closed")).alias("s")).select("session_id", "s.*")
+
+
+def run_live_sessions(spark: SparkSession, source: str, schema, files_per_batch: int | None = None, **options) -> DataFrame:
+    """Run over all message files there are, in batches of ``files_per_batch`` (all at once if unset)."""
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(source)
+    root = work_folder(spark, "live-sessions")
+    live_session_stream(stream, root, work_folder(spark, "live-progress"), **options).awaitTermination()
+    return newest_sessions(spark, root)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
 import json
+import os
 from types import SimpleNamespace
 
 import numpy as np
@@ -200,6 +202,50 @@ def test_session_stream_merges_batches(spark, tmp_path):
     assert [r["ts"] for r in last] == [13, 20, 21, 22, 23]
 
 
+def test_registry_reads_only_the_prefixes_of_a_batch(spark, tmp_path):
+    schema, registry = "doc_id bigint, text string, source string", str(tmp_path / "registry")
+    batches = [[(1, "a", "s"), (2, "a", "t"), (3, "b", "s")], [(4, "b", "s"), (5, "c", "s"), (6, None, "s")], [(7, "a", "s"), (8, "c", "s"), (9, "d", "s"), (10, None, "s")]]
+    for number, rows in enumerate(batches):
+        incremental.register_batch(spark.createDataFrame(rows, schema), number, registry)
+    stored = spark.read.parquet(registry)
+    assert sorted((r["doc_no"], r["batch"]) for r in stored.filter("hash is not null").collect()) == [(1, 0), (3, 0), (5, 1), (9, 2)]
+    one = spark.createDataFrame([(11, "b", "s")], schema).withColumnRenamed("doc_id", "doc_no")
+    asked = incremental.with_hash(one).withColumn("prefix", F.left("hash", F.lit(incremental.PREFIX_DIGITS)))
+    earlier = incremental.earlier_hashes(spark, asked, 3, registry, stored.schema)
+    assert earlier.count() == 1
+    files_read = earlier._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in files_read and "prefix" in files_read.split("PartitionFilters", 1)[1].split("]")[0]
+    assert {f.split("prefix=")[1].split("/")[0] for f in earlier.inputFiles()} >= {asked.first()["prefix"]}
+    assert earlier.select(F.input_file_name().alias("f")).distinct().count() == 1
+
+
+def test_live_sessions_over_micro_batches_with_late_messages(spark, tmp_path):
+    schema, base = "session_id string, ts timestamp, role string, content string", datetime.datetime(2024, 1, 1)
+    at = lambda s: base + datetime.timedelta(seconds=s)
+    files_of = [
+        [("a", 5, "user", "x"), ("a", 1, "user", "y"), ("b", 2, "user", "z"), ("idle", 1, "user", "old")],
+        [("a", 3, "bot", "late but in time"), ("b", 4, None, None), ("b", 4, "user", "tie")],
+        [("a", 7200, "user", "much later")],  # the watermark leaves the other sessions behind
+        [("b", 5, "user", "too late"), ("c", 7300, "user", "new")],
+        [("c", 7301, "user", "more")],
+    ]
+    for i, rows in enumerate(files_of):
+        folder = tmp_path / f"in{i}"
+        spark.createDataFrame([(s, at(t), r, c) for s, t, r, c in rows], schema).coalesce(1).write.parquet(str(folder))
+        for f in folder.glob("*.parquet"):
+            os.utime(f, (1_000_000_000 + i, 1_000_000_000 + i))  # the source takes files by age
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in*"))
+    root = str(tmp_path / "live")
+    made = sessions.live_session_stream(stream, root, str(tmp_path / "progress"), limit=2, lateness="10 minutes", idle_ms=60_000)
+    made.awaitTermination()
+    got = {r["session_id"]: r for r in sessions.newest_sessions(spark, root).collect()}
+    seconds = lambda t: int((t - base).total_seconds())
+    state = {k: (r["n_messages"], seconds(r["created_at"]), seconds(r["updated_at"]), [m["content"] for m in r["last_messages"]], r["closed"]) for k, r in got.items()}
+    assert state["a"] == (4, 1, 7200, ["x", "much later"], False)
+    assert state["b"] == (3, 2, 4, [None, "tie"], True) and state["idle"] == (1, 1, 1, ["old"], True)
+    assert state["c"] == (2, 7300, 7301, ["new", "more"], False)
+
+
 def test_item_lines_in_splits(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"id": "1", "pre_text": ["x"]}\n{broken\n\n{"id": "2"}\n')
     good, bad = items.read_items(spark, str(tmp_path), layout="lines")
