@@ -80,6 +80,7 @@ def live_sessions(messages: DataFrame, limit: int = 20, lateness: str = "1 hour"
     state is dropped.  Messages may come in any order within ``lateness``; later ones are left out.
     """
     key = messages.schema["session_id"].dataType.simpleString()
+    zone = messages.sparkSession.conf.get("spark.sql.session.timeZone")  # times reach the function without a zone, in this one
 
     def advance(session, batches, state):
         if state.hasTimedOut:
@@ -91,7 +92,7 @@ def live_sessions(messages: DataFrame, limit: int = 20, lateness: str = "1 hour"
         if state.exists:
             n, first, last, *columns = state.get
             kept = list(zip(*columns))
-        reached = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        reached = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms", tz="UTC").tz_convert(zone).tz_localize(None)
         for batch in batches:
             batch = batch[batch["ts"] >= reached]  # the engine's own filter lags a batch behind and would open closed sessions again
             if not len(batch):
@@ -107,7 +108,7 @@ def live_sessions(messages: DataFrame, limit: int = 20, lateness: str = "1 hour"
         as_time = lambda t: pd.Timestamp(t).to_pydatetime()
         columns = [list(c) for c in zip(*kept)] or [[], [], []]
         state.update((n, as_time(first), as_time(last), [as_time(t) for t in columns[0]], columns[1], columns[2]))
-        state.setTimeoutTimestamp(max(int(pd.Timestamp(last).timestamp() * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int(pd.Timestamp(last).tz_localize(zone).timestamp() * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
         yield _session_row(session[0], n, first, last, kept, False)
 
     stream = messages.select("session_id", "ts", "role", "content").withWatermark("ts", lateness)
