@@ -192,7 +192,7 @@ def read_records(spark: SparkSession, path: str, pattern: str = "*.json", field:
     Blank items and files without any give no row.
     """
     chunks = read_chunks(spark, path, pattern, chunk_bytes)
-    placed = _placed(chunks)
+    placed = materialize(_placed(chunks), "json-places")  # of known size, a row a chunk: the planner need not shuffle the chunks' bytes
     chunks = chunks.select(*KEY, "data").join(placed, KEY)
     with_field = field is not None
 
