@@ -11,14 +11,17 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tallyweave.llm.common import arrow_map, slices, with_types
-from tallyweave.llm.labelled import labelled_sample
+from tallyweave.llm.common import arrow_map, slices, stored, with_types
+from tallyweave.llm.labelled import labelled
 from tallyweave.llm.words import BASE, byte_class, byte_hash, mix, owner, repeats, runs_of, sums, words_of
 
 SLICE = 1 << 19
 SYMBOLS = b"#*$%&|<>"
-SAMPLE = 8000  # labelled rows that are read for the forest and its threshold
+SAMPLE = 8000  # labelled rows that the forest is grown from
+BINS = 1 << 16  # equal bins of scores in which labelled rows are counted for the threshold
+NOTHING = 2.0  # a threshold above all scores
 TREES, TREE_ROWS, SEED = 100, 256, 7
 GOOD_COST = 3.0  # a rejected row labelled good weighs as much as so many kept rows labelled bad
 
@@ -155,41 +158,69 @@ def anomaly(forest: list[dict], rows: np.ndarray, tree_rows: int = TREE_ROWS) ->
     return 2.0 ** (-total / len(forest) / max(path_normal(tree_rows), 1))
 
 
-def threshold(scores: np.ndarray, quality: np.ndarray, good_cost: float = GOOD_COST) -> float:
+def cut(bad: np.ndarray, good: np.ndarray, good_cost: float = GOOD_COST) -> float:
     """The score from which to reject: the middle of the gap where the labels speak least against it.
 
-    A row labelled good that is rejected costs ``good_cost`` rows labelled bad that are kept.
+    ``bad`` and ``good``: how many rows of each label have a score in each of
+    equal bins from 0 to 1.  A row labelled good that is rejected costs
+    ``good_cost`` rows labelled bad that are kept.  Without rows of both labels
+    nothing is rejected.
     """
-    if not len(scores) or not (quality == 0).any() or not (quality == 1).any():
-        return 1.0
-    order = np.argsort(scores, kind="stable")
-    score, bad = scores[order], quality[order] == 0
-    cuts = np.concatenate([[True], score[1:] > score[:-1], [True]])  # between k rows kept and the rest
-    cost = np.concatenate([[0], np.cumsum(bad)]) + good_cost * ((~bad).sum() - np.concatenate([[0], np.cumsum(~bad)]))
-    k = int(np.argmin(np.where(cuts, cost, np.inf)))
-    low, high = score[k - 1] if k else 0.0, score[k] if k < len(score) else 1.0
-    return float((low + high) / 2)
+    if not bad.sum() or not good.sum():
+        return NOTHING
+    bins = len(bad)
+    used = np.flatnonzero(bad + good)
+    cost = np.concatenate([[0], np.cumsum(bad[used])]) + good_cost * (good.sum() - np.concatenate([[0], np.cumsum(good[used])]))
+    k = int(np.argmin(cost))  # bins of which all rows stay
+    if k == len(used):
+        return NOTHING if used[-1] == bins - 1 else float((used[-1] + 1 + bins) / 2 / bins)
+    return float(((used[k - 1] + 1 if k else 0) + used[k]) / 2 / bins)
 
 
-def model_of(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[dict], float]:
-    """Forest and threshold from at most ``sample`` labelled rows (their counts, not their texts, reach the driver)."""
+def bin_of(scores: np.ndarray, bins: int = BINS) -> np.ndarray:
+    return np.minimum((scores * bins).astype(np.int64), bins - 1)
 
-    def one(batch):
-        for part in slices(batch, "text", SLICE):
-            yield {"doc_id": part.column("doc_id"), "quality": part.column("quality")} | statistics(part.column("text"))
 
-    schema = "doc_id bigint, quality int, " + ", ".join(f"{c} bigint" for c in COUNTS)
-    table = arrow_map(labelled_sample(docs, labels, sample), one, schema).toPandas().sort_values(["doc_id", *COUNTS])
-    counts = {c: table[c].to_numpy() for c in COUNTS}
+def threshold(scores: np.ndarray, quality: np.ndarray, good_cost: float = GOOD_COST) -> float:
+    """:func:`cut` of rows in memory."""
+    place = bin_of(scores)
+    return cut(*[np.bincount(place[quality == q], minlength=BINS) for q in (0, 1)], good_cost)
+
+
+def model_of(counted: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[list[dict], float]:
+    """Forest from at most ``sample`` labelled rows, threshold from all labelled rows that are not held out.
+
+    ``counted``: doc_id and the counts.  Labels meet counts, never texts; to the
+    driver come the sample's counts and the rows of each label in each of a
+    fixed number of bins.  Of rows that share an id one, the least, is taken.
+    """
+    one_each = labelled(labels).join(counted.select("doc_id", F.struct(*COUNTS).alias("c")), "doc_id")
+    rows = one_each.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("c").alias("c"))
+    judged = stored(rows.select("doc_id", "quality", "c.*"), "quality-labels")
+    table = judged.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas().sort_values("doc_id")
     if not len(table):
-        return [], 1.0
-    quality = table["quality"].to_numpy()
-    rows = features(counts)
-    failed = base_rules(counts)
+        return [], NOTHING
+    counts = {c: table[c].to_numpy() for c in COUNTS}
+    seen = features(counts)
     # What the fixed rules reject anyhow says nothing about the threshold of the rest.
-    usual = rows[~failed & (quality == 1)]
-    forest = fit_forest(usual, rows.min(0), rows.max(0))
-    return forest, threshold(anomaly(forest, rows)[~failed], quality[~failed])
+    usual = seen[~base_rules(counts) & (table["quality"].to_numpy() == 1)]
+    forest = fit_forest(usual, seen.min(0), seen.max(0))
+    if not forest:
+        return [], NOTHING
+
+    def one(batch):
+        counts = {c: batch.column(c).to_numpy() for c in COUNTS}
+        passed = ~base_rules(counts)
+        place = bin_of(anomaly(forest, features(counts))[passed])
+        marks, n = np.unique(place * 2 + batch.column("quality").to_numpy()[passed], return_counts=True)
+        yield {"bin": marks // 2, "quality": marks % 2, "n": n}
+
+    found = arrow_map(judged, one, "bin bigint, quality bigint, n bigint").groupBy("bin", "quality").agg(F.sum("n").alias("n")).toPandas()
+    bad, good = np.zeros(BINS, np.int64), np.zeros(BINS, np.int64)
+    for label, count in ((0, bad), (1, good)):
+        own = found[found["quality"] == label]
+        count[own["bin"].to_numpy(np.int64)] = own["n"].to_numpy(np.int64)
+    return forest, cut(bad, good)
 
 
 def base_rules(s: dict[str, np.ndarray]) -> np.ndarray:
@@ -200,20 +231,26 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ca
     """The counts, base_failed, anomaly and kept of every row of ``docs`` (doc_id, text and the columns of ``carry``).
 
     Null and empty texts have zero words and fail; without labels only the fixed
-    rules reject.  Repeated rows are judged alike.
+    rules reject.  Repeated rows are judged alike.  Texts are read once: their
+    counts are stored and the model is made of these.
     """
     carry = carry or {}
     docs = with_types(docs, **({"doc_id": "bigint", "text": "string"} | carry))
-    forest, least = model_of(docs.select("doc_id", "text"), labels, sample)
 
-    def one(batch):
+    def count(batch):
         for part in slices(batch, "text", SLICE):
-            counts = statistics(part.column("text"))
-            failed = base_rules(counts)
-            score = anomaly(forest, features(counts))
-            passed = {n: part.column(n) for n in ("doc_id", *carry)}
-            yield passed | counts | {"base_failed": failed, "anomaly": score, "kept": ~failed & (score < least)}
+            yield {n: part.column(n) for n in ("doc_id", *carry)} | statistics(part.column("text"))
 
     kept = "".join(f", {n} {k}" for n, k in carry.items())
-    schema = f"doc_id bigint{kept}, " + ", ".join(f"{c} bigint" for c in COUNTS) + ", base_failed boolean, anomaly double, kept boolean"
-    return arrow_map(docs, one, schema)
+    schema = f"doc_id bigint{kept}, " + ", ".join(f"{c} bigint" for c in COUNTS)
+    counted = stored(arrow_map(docs, count, schema), "quality-counts")
+    forest, least = model_of(counted, labels, sample)
+
+    def judge(batch):
+        counts = {c: batch.column(c).to_numpy() for c in COUNTS}
+        failed = base_rules(counts)
+        score = anomaly(forest, features(counts))
+        passed = {n: batch.column(n) for n in ("doc_id", *carry, *COUNTS)}
+        yield passed | {"base_failed": failed, "anomaly": score, "kept": ~failed & (score < least)}
+
+    return arrow_map(counted, judge, f"{schema}, base_failed boolean, anomaly double, kept boolean")

@@ -353,6 +353,44 @@ def test_isolation_forest_finds_what_lies_outside():
     assert (score[500:] >= least).mean() > 0.9 and (score[:500] >= least).mean() < 0.02
 
 
+def test_path_lengths_and_threshold_against_plain_walks():
+    rng = np.random.default_rng(5)
+    rows = rng.normal(0, 1, (300, 3))
+    forest = quality_rules.fit_forest(rows[:200], rows.min(0), rows.max(0), trees=9, tree_rows=32)
+
+    def walk(tree, row):
+        at = 0
+        while tree["feature"][at] >= 0:
+            at = tree["left" if row[tree["feature"][at]] < tree["split"][at] else "right"][at]
+        return tree["length"][at]
+
+    harmonic = sum(1 / k for k in range(1, 32))  # 2 H(n-1) - 2 (n-1) / n, but for the error of the logarithm
+    want = [2 ** (-sum(walk(t, r) for t in forest) / 9 / (2 * harmonic - 2 * 31 / 32)) for r in rows]
+    score = quality_rules.anomaly(forest, rows, 32)
+    assert np.allclose(score, want, atol=0.01)
+    for spread in (0.0, 0.5, 2.0):
+        quality = (score + rng.normal(0, 0.02 + spread / 20, 300) < np.quantile(score, 0.8)).astype(int)
+        least = quality_rules.threshold(score, quality)
+        cost = lambda t: (quality[score < t] == 0).sum() + 3 * (quality[score >= t] == 1).sum()
+        assert cost(least) == min(cost(t / 65536) for t in range(65538))
+    assert quality_rules.threshold(score, np.ones(300, int)) > 1
+
+
+def test_threshold_counts_all_labels_and_the_sample_bounds_the_forest(spark):
+    """A kind of junk that only labels outside the forest's sample show is rejected all the same."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    good = [" ".join(word() for _ in range(rng.randint(80, 160))) + "." for _ in range(300)]
+    junk = [" ".join(word().upper() + "!!" for _ in range(rng.randint(80, 160))) for _ in range(40)]
+    rows = [(i, t) for i, t in enumerate(good + junk)]
+    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 300), "x") for i, _ in rows], "doc_id long, quality int, text string")
+    got = quality_rules.score_documents(docs, labels, sample=60).collect()
+    assert len(got) == 343
+    assert not any(r.kept for r in got if r.doc_id >= 300)
+    assert np.mean([r.kept for r in got if r.doc_id < 300]) > 0.95
+
+
 def test_substring_dedup(docs, texts):
     got = spans.remove_repeated_spans(docs).collect()
     assert len(got) == len(texts)
