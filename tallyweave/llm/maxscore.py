@@ -8,10 +8,16 @@ no essential posting list cannot enter; for the others the essential terms are
 summed, then the non-essential ones are probed, largest bound first, while the row can
 still enter.  Each pair of a shard and a block of queries is one row of a join;
 shards give their k best for each query, which are merged.
+
+Where a shard's and a query's components are so large that a score could leave 62
+bits, the same search runs on Python's integers; a score travels as two numbers,
+its high and its low 62 bits, so that shards merge in the right order.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,6 +28,7 @@ from tallyweave.llm.common import arrow_map, stored
 
 SHARD, QUERIES, BLOCK = 8192, 1024, 4096  # rows of a shard, queries of a block, rows between two looks at the threshold
 SCALE = 64
+LOW_BITS = 62
 
 
 def integer_vectors(rows: DataFrame) -> DataFrame:
@@ -45,8 +52,19 @@ class Shard:
             for part in [self.x[a : a + BLOCK]]
         ]
 
+    def wide(self) -> Shard:
+        """The same postings with components of any size."""
+        other = Shard.__new__(Shard)
+        other.ids, other.blocks = self.ids, self.blocks
+        other.x, other.high, other.low = (a.astype(object) for a in (self.x, self.high, self.low))
+        return other
+
     def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows other than the query's own, ties to smaller ids."""
+        if self.x.dtype != object:
+            reach = np.abs(q.astype(float)) @ np.maximum(np.abs(self.high.astype(float)), np.abs(self.low.astype(float)))
+            if reach >= 2.0**61:
+                return self.wide().search(query_id, q.astype(object), k)
         bound = np.maximum(np.maximum(q * self.high, q * self.low), 0)
         terms = np.argsort(bound, kind="stable")
         below = np.cumsum(bound[terms])
@@ -82,20 +100,34 @@ class Shard:
                 rows, total = rows[total >= least], total[total >= least]
             best, score = np.concatenate([best, self.ids[rows]]), np.concatenate([score, total])
             if len(best) > k:
-                order = np.lexsort((best, -score))[:k]
+                order = _best_first(best, score)[:k]
                 best, score = best[order], score[order]
                 least = int(score[-1])
             elif len(best) == k:
                 least = int(score.min())
-        order = np.lexsort((best, -score))
+        order = _best_first(best, score)
         return best[order], score[order]
 
 
+def _best_first(ids: np.ndarray, score: np.ndarray) -> np.ndarray:
+    order = np.argsort(ids, kind="stable")
+    return order[np.argsort(-score[order], kind="stable")]
+
+
+def limbs(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """High and low bits of each score; a high part beyond 64 bits stops at the end of its range."""
+    high, low = score >> LOW_BITS, score & ((1 << LOW_BITS) - 1)
+    if score.dtype == object:
+        high = np.array([min(max(h, -(2**63)), 2**63 - 1) for h in high], np.int64)
+    return high.astype(np.int64), low.astype(np.int64)
+
+
 def packed(rows: DataFrame, most: int, number: str) -> DataFrame:
     """Rows of at most ``most`` ids and their vectors of one width, numbered within each width from 0."""
 
+    schema = pa.schema([("width", pa.int32()), ("ids", pa.list_(pa.int64())), ("values", pa.list_(pa.int64())), ("place", pa.string())])
+
     def one(batches):
-        schema = pa.schema([("width", pa.int32()), ("ids", pa.list_(pa.int64())), ("values", pa.list_(pa.int64()))])
         waiting: dict[int, list] = {}
         for batch in batches:
             for i, v in zip(batch.column("vec_id").to_pylist(), batch.column("v").to_pylist()):
@@ -106,25 +138,28 @@ def packed(rows: DataFrame, most: int, number: str) -> DataFrame:
         for width, own in waiting.items():
             yield _packed_row(width, own, schema)
 
-    made = stored(rows.mapInArrow(one, "width int, ids array<bigint>, values array<bigint>"), number)
-    # few rows, one for each shard or block: numbered in one pass over their ids' first
-    order = W.partitionBy("width").orderBy(F.col("ids")[0], F.size("ids"), "place")
-    marks = made.select("width", "ids", F.xxhash64("ids", "values").alias("place"))
-    marks = marks.select("width", "place", (F.row_number().over(order) - 1).alias(number))
-    keyed = made.withColumn("place", F.xxhash64("ids", "values"))
-    return stored(keyed.join(marks.dropDuplicates(["width", "place"]), ["width", "place"]).drop("place"), number)
+    # each row gets a name of its own before it is stored, so equal rows stay apart
+    made = stored(rows.mapInArrow(one, "width int, ids array<bigint>, values array<bigint>, place string"), number)
+    order = W.partitionBy("width").orderBy("place")
+    marks = made.select("place", (F.row_number().over(order) - 1).alias(number))
+    return stored(made.join(marks, "place").drop("place"), number)
 
 
 def _packed_row(width: int, own: list, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{"width": width, "ids": [i for i, _ in own], "values": [x for _, v in own for x in v]}], schema=schema)
+    row = {"width": width, "ids": [i for i, _ in own], "values": [x for _, v in own for x in v], "place": uuid.uuid4().hex}
+    return pa.RecordBatch.from_pylist([row], schema=schema)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the ``k`` highest inner products of each query with other rows.
 
     ``vectors`` and ``queries``: vec_id long, v array of long.  A query's own id
-    is no candidate; vectors of other widths are none either.  Ties go to the
-    smaller vec_id.  With fewer candidates, all are returned.
+    is no candidate, whichever row holds it; vectors of other widths are none
+    either.  Ties go to the smaller vec_id.  With fewer candidates, all are
+    returned.  Each row of ``queries`` is a query: an id that occurs twice among
+    them has two rankings.  Scores are exact; one that a long cannot hold is
+    ranked by its true size and returned as the nearest long.  (Beyond 2^125, in
+    vectors with components of 2^59 and more, scores count as equal.)
     """
     shards = packed(vectors, shard, "shard")
     blocks = packed(queries, block, "block")
@@ -134,26 +169,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHAR
     spread = spread.select("width", "shard", "block", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
     met = shards.withColumn("shard", F.col("shard").cast("int")).join(spread, ["width", "shard"])
 
+    schema = pa.schema([(n, pa.int64()) for n in ("query_id", "width", "query_row", "vec_id", "high", "low")])
+
     def one(batches):
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
         last, index = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                width, number = batch.column("width")[i].as_py(), batch.column("shard")[i].as_py()
+                width, number, part = (batch.column(c)[i].as_py() for c in ("width", "shard", "block"))
                 arrays = [batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ids", "values", "q_ids", "q_values")]
                 if (width, number) != last:
                     last, index = (width, number), Shard(arrays[0], arrays[1].reshape(len(arrays[0]), width))
                 found = [index.search(int(q), v, k) for q, v in zip(arrays[2], arrays[3].reshape(len(arrays[2]), width))]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(arrays[2], [len(f[0]) for f in found]), pa.int64()),
-                        pa.array(np.concatenate([f[0] for f in found]), pa.int64()),
-                        pa.array(np.concatenate([f[1] for f in found]), pa.int64()),
-                    ],
-                    schema=schema,
-                )
-
-    found = met.mapInArrow(one, "query_id bigint, vec_id bigint, score bigint")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+                sizes = [len(f[0]) for f in found]
+                high, low = zip(*(limbs(f[1]) for f in found))
+                columns = [np.repeat(arrays[2], sizes), np.full(sum(sizes), width), np.repeat(part * block + np.arange(len(found)), sizes)]
+                columns += [np.concatenate(c) for c in ([f[0] for f in found], high, low)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=schema)
+
+    found = met.mapInArrow(one, "query_id bigint, width bigint, query_row bigint, vec_id bigint, high bigint, low bigint")
+    # a query row is its width and its place among the blocks of that width
+    order = W.partitionBy("width", "query_row").orderBy(F.desc("high"), F.desc("low"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    fits = F.col("high").isin(-2, -1, 0, 1)
+    whole = F.shiftleft("high", LOW_BITS).bitwiseOR(F.col("low"))
+    most = F.when(F.col("high") > 0, F.lit(2**63 - 1)).otherwise(F.lit(-(2**63)))
+    return ranked.select("query_id", "rank", "vec_id", F.when(fits, whole).otherwise(most).alias("score"))

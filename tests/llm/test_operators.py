@@ -472,6 +472,24 @@ def test_max_score(spark):
     assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
+def test_max_score_with_repeated_ids_and_scores_beyond_a_long(spark):
+    rng = np.random.default_rng(2)
+    rows = [(20, [1.0, 2.0]), (20, [1.0, 2.0]), (20, [-1.0, 0.5]), (1, [3.0, 1.0]), (2, [0.0, 2.0]), (3, [-1.0, 1.0]), (40, [1.0, 1.0, 1.0]), (41, [2.0, 0.0, 1.0])]
+    rows += [(1000 + i, (rng.normal(0, 1, 4) * 10.0 ** rng.integers(0, 14)).tolist()) for i in range(60)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    vectors = maxscore.integer_vectors(table)
+    got = maxscore.top_k(vectors, vectors.filter("vec_id % 20 = 0"), 20, shard=7, block=2).collect()
+    whole = [(i, [int(np.floor(x * 64)) for x in v]) for i, v in rows]
+    want = Counter()
+    for q, v in whole:
+        if q % 20 == 0:
+            scores = [(sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q and len(w) == len(v)]
+            best = sorted((-s, i) for s, i in scores)[:20]
+            want.update((q, n + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, i) in enumerate(best))
+    assert Counter(map(tuple, got)) == want
+    assert any(r.score == 2**63 - 1 for r in got)
+
+
 def test_quality_classifier(spark, docs, labels, texts):
     got = quality_model.classify(docs, labels).collect()
     assert len(got) == len(texts) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got)
