@@ -52,23 +52,34 @@ class Shard:
             for part in [self.x[a : a + BLOCK]]
         ]
 
-    def wide(self) -> Shard:
-        """The same postings with components of any size."""
-        other = Shard.__new__(Shard)
-        other.ids, other.blocks = self.ids, self.blocks
-        other.x, other.high, other.low = (a.astype(object) for a in (self.x, self.high, self.low))
-        return other
+        self.kinds = {self.x.dtype: self}
+        self.reach = np.maximum(np.abs(self.high.astype(float)), np.abs(self.low.astype(float)))
+
+    def of_kind(self, kind: type) -> Shard:
+        """The same postings with components as floats, 64-bit or unbounded integers."""
+        kind = np.dtype(kind)
+        if kind not in self.kinds:
+            other = Shard.__new__(Shard)
+            other.ids, other.blocks = self.ids, self.blocks
+            other.x, other.high, other.low = (a.astype(kind) for a in (self.x, self.high, self.low))
+            self.kinds[kind] = other
+        return self.kinds[kind]
 
     def search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows other than the query's own, ties to smaller ids."""
-        if self.x.dtype != object:
-            reach = np.abs(q.astype(float)) @ np.maximum(np.abs(self.high.astype(float)), np.abs(self.low.astype(float)))
-            if reach >= 2.0**61:
-                return self.wide().search(query_id, q.astype(object), k)
+        """Ids and scores of the k best rows other than the query's own, ties to smaller ids.
+
+        As long as no sum can reach 2^52, floats are exact and fastest.
+        """
+        reach = np.abs(q.astype(float)) @ self.reach
+        kind = np.float64 if reach < 2.0**52 else np.int64 if reach < 2.0**61 else object
+        best, score = self.of_kind(kind)._search(query_id, q.astype(kind), k)
+        return best, score if kind is object else score.astype(np.int64)
+
+    def _search(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         bound = np.maximum(np.maximum(q * self.high, q * self.low), 0)
         terms = np.argsort(bound, kind="stable")
         below = np.cumsum(bound[terms])
-        best, score, least = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        best, score, least = np.zeros(0, np.int64), np.zeros(0, q.dtype), None
         for a, postings in self.blocks:
             part = self.x[a : a + BLOCK]
             split = 0 if least is None else int(np.searchsorted(below, least, "left"))  # bounds that sum to less are non-essential
@@ -83,7 +94,12 @@ class Shard:
                 rows = np.flatnonzero(hit)
             else:
                 rows = np.arange(len(part))
-            total = part[np.ix_(rows, strong)] @ q[strong] if len(strong) < len(q) else part[rows] @ q
+            if len(rows) == len(part):
+                essential = np.zeros_like(q)
+                essential[strong] = q[strong]
+                total = part @ essential
+            else:
+                total = part[np.ix_(rows, strong)] @ q[strong]
             for place in range(split - 1, -1, -1):
                 can = total + below[place] >= least
                 if not can.all():
@@ -167,7 +183,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHAR
     # each block meets each shard of its width once; the smaller side, the queries, is what is copied
     spread = blocks.join(count, "width").withColumn("shard", F.explode(F.sequence(F.lit(0), (F.col("shards") - 1).cast("int"))))
     spread = spread.select("width", "shard", "block", F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
-    met = shards.withColumn("shard", F.col("shard").cast("int")).join(spread, ["width", "shard"])
+    # shards are few rows of much work: dealt over tasks by number, not by bytes
+    n = shards.count()
+    dealt = shards.withColumn("shard", F.col("shard").cast("int")).repartition(max(n, min(4 * n, 1024), 1), "width", "shard")
+    met = dealt.join(spread, ["width", "shard"])
 
     schema = pa.schema([(n, pa.int64()) for n in ("query_id", "width", "query_row", "vec_id", "high", "low")])
 
