@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyweave.functions import text as X
 from tallyweave.functions.vectors import hash_embedding
@@ -52,26 +57,58 @@ def chunk_documents(docs: DataFrame, chunker: Callable[[Column], Column], text:
     return made.select(*keep, F.posexplode("_chunks").alias("chunk_index", "text"))
 
 
-def embed_sentences(docs: DataFrame, embed_batch, width: int, text: str = "text") -> DataFrame:
-    """Sentences with vectors of a batch embedder, as input of the semantic chunker.
+def embed_sentences(docs: DataFrame, embed_batch, width: int, text: str = "text", batch: int = 32, concurrency: int = 1) -> DataFrame:
+    """Sentences with vectors of a batch embedder, as input of the semantic chunker: ``sents`` and ``vecs`` beside the other columns.
 
-    ``embed_batch`` maps a list of texts to a list of vectors; it runs inside
-    Arrow batches, and a batch that comes back with another length fails.
+    ``embed_batch`` maps a list of texts to a list of vectors.  The sentences of
+    a partition are one stream: each call has exactly ``batch`` of them, across
+    the borders of rows and Arrow batches, but for the partition's last call.
+    ``concurrency`` calls of a task are made at once.  A call that comes back
+    with another number of vectors or another width fails.  Rows without a
+    sentence have no vectors.  Rows leave in the order they came in.
     """
+    split = stage(docs, {"sents": F.coalesce(X.sentences(F.col(text)), F.array().cast("array<string>"))})
+    schema = T.StructType([*split.schema.fields, T.StructField("vecs", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
-    @F.pandas_udf("array<array<double>>")
-    def vectors(groups: pd.Series) -> pd.Series:
-        flat = [s for g in groups for s in g]
-        made = list(embed_batch(flat)) if flat else []
-        if len(made) != len(flat):
-            raise ValueError(f"Embedding count mismatch: {len(made)} vs {len(flat)}")
+    def call(texts: list[str]) -> np.ndarray:
+        made = list(embed_batch(texts))
+        if len(made) != len(texts):
+            raise ValueError(f"Embedding count mismatch: {len(made)} vs {len(texts)}")
         if any(len(v) != width for v in made):
             raise ValueError(f"Embedding width mismatch: {width} wanted")
-        out, at = [], 0
-        for g in groups:
-            out.append([list(map(float, v)) for v in made[at : at + len(g)]])
-            at += len(g)
-        return pd.Series(out)
-
-    split = stage(docs, {"sents": X.sentences(F.col(text))})
-    return split.withColumn("vecs", vectors("sents"))
+        return np.asarray(made, np.float64).reshape(len(made), width)
+
+    def run(batches):
+        waiting: deque[pa.RecordBatch] = deque()  # rows whose vectors are not all there
+        texts: list[str] = []  # sentences without a vector
+        done = np.zeros((0, width))  # vectors that no row has taken
+
+        with ThreadPoolExecutor(concurrency) as pool:
+
+            def embed(whole: bool) -> None:
+                nonlocal done
+                end = len(texts) if whole else len(texts) - len(texts) % batch
+                calls = [texts[i : i + batch] for i in range(0, end, batch)]
+                del texts[:end]
+                for start in range(0, len(calls), concurrency):
+                    done = np.concatenate([done, *pool.map(call, calls[start : start + concurrency])])
+
+            def ready():
+                nonlocal done
+                while waiting and len(done) >= (n := len(waiting[0].column("sents").flatten())):
+                    rows = waiting.popleft()
+                    inner = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(done[:n].ravel()))
+                    sizes = pc.fill_null(pc.list_value_length(rows.column("sents")), 0).to_numpy()
+                    vecs = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), inner)
+                    done = done[n:]
+                    yield pa.RecordBatch.from_arrays([*rows.columns, vecs], [*rows.schema.names, "vecs"])
+
+            for rows in batches:
+                waiting.append(rows)
+                texts += rows.column("sents").flatten().to_pylist()
+                embed(False)
+                yield from ready()
+            embed(True)
+            yield from ready()
+
+    return split.mapInArrow(run, schema)

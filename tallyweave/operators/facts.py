@@ -14,13 +14,23 @@ from tallyweave.operators.tables import KEY, vote_by_rows
 # ---------------------------------------------------------------- registry and dimensions
 
 
-def ingest_mode(reports: DataFrame, registry: DataFrame, recompute: bool = False, allow_existing: bool = False) -> DataFrame:
-    """Add ``mode``: new, skip, append_candidates or recompute, by content hash."""
+def ingest_mode(
+    reports: DataFrame, registry: DataFrame, recompute: bool = False, allow_existing: bool = False, order: str | None = None
+) -> DataFrame:
+    """Add ``mode``: new, skip, append_candidates or recompute, by content hash.
+
+    With ``order`` reports come in one by one: of those with one unknown hash the
+    first is new and known to the others.
+    """
     known = registry.select("source_hash", F.col("report_id").alias("known_report_id")).dropDuplicates(["source_hash"])
     again = "recompute" if recompute else "append_candidates" if allow_existing else "skip"
-    return reports.join(known, "source_hash", "left").withColumn(
-        "mode", F.when(F.col("known_report_id").isNull(), F.lit("new")).otherwise(F.lit(again))
-    )
+    found = reports.join(known, "source_hash", "left")
+    if order is not None:
+        place = F.struct(F.col(order).alias("at"), F.col("report_id").alias("id"))
+        firsts = reports.groupBy("source_hash").agg(F.min(place).alias("_first"))
+        earlier = F.when(place > F.col("_first"), F.col("_first.id"))
+        found = found.join(firsts, "source_hash", "left").withColumn("known_report_id", F.coalesce("known_report_id", earlier)).drop("_first")
+    return found.withColumn("mode", F.when(F.col("known_report_id").isNull(), F.lit("new")).otherwise(F.lit(again)))
 
 
 def version_log(reports: DataFrame) -> DataFrame:

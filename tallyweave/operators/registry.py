@@ -47,6 +47,34 @@ def index_status(num_chunks: Column, error: Column) -> Column:
     return F.when(error.isNotNull(), F.lit("failed")).when(num_chunks == 0, F.lit("empty")).otherwise(F.lit("indexed"))
 
 
+def first_success(tried: DataFrame, order: str, key: str = "hash") -> DataFrame:
+    """(key, first_order) of the first row of each content that was indexed.
+
+    One partial aggregation: a content with many copies leaves each task as one row.
+    """
+    won = tried.filter("status = 'indexed'")
+    return won.groupBy(key).agg(F.min(order).alias("first_order"))
+
+
+def skip_copies(tried: DataFrame, order: str, key: str = "hash") -> DataFrame:
+    """What a run that takes documents one by one, by ``order``, does with copies.
+
+    ``tried`` holds for each document the status it has if it is processed.
+    After the first copy that was indexed the rest are skipped; after a failed
+    or empty one the next copy is tried.  Needs the columns status, num_chunks
+    and error; a row without ``key`` has no copies.
+    """
+    late = F.col("first_order") < F.col(order)
+    done = tried.join(first_success(tried, order, key), key, "left").withColumns(
+        {
+            "num_chunks": F.when(late, F.lit(0)).otherwise(F.col("num_chunks")),
+            "error": F.when(~F.coalesce(late, F.lit(False)), F.col("error")),
+            "status": F.when(late, F.lit("skipped")).otherwise(F.col("status")),
+        }
+    )
+    return done.select(*tried.columns)
+
+
 def index_summary(outcome: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Counts of indexed, skipped, empty and failed documents; failures are listed by :func:`index_errors`."""
     return outcome.groupBy(*(by or [])).agg(

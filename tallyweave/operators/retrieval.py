@@ -310,9 +310,66 @@ def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     )
 
 
-def term_search(index: DataFrame, queries: DataFrame, key: str) -> DataFrame:
-    """Keys that hold every term of a query: queries(query_id, query), index(term, key, tf)."""
+def key_range(key: str, ranges: int) -> Column:
+    """Which of ``ranges`` equal ranges of hashes a key falls into; the same for every term."""
+    return F.pmod(F.xxhash64(key), F.lit(ranges)).cast("int")
+
+
+def posting_blocks(index: DataFrame, key: str, ranges: int) -> DataFrame:
+    """Postings in blocks (term, block, df, entries): a term's keys of one range of keys, in key order.
+
+    ``ranges`` should grow with the corpus (documents by the wanted size of a
+    block): a block has at most the documents of one range, however frequent its
+    term.  ``df``: how many entries it has.
+    """
+    entry = F.struct(F.col(key).alias("key"), "tf")
+    blocks = index.groupBy("term", key_range(key, ranges).alias("block"))
+    return blocks.agg(F.count("*").alias("df"), F.array_sort(F.collect_list(entry)).alias("entries"))
+
+
+def probe_plan(blocks: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first, others): the rarest term of each query and its further terms; a query with an unknown term is in neither."""
     wanted = queries.select("query_id", F.explode(F.array_distinct(V.terms(F.col("query")))).alias("term"))
-    sizes = wanted.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    found = wanted.join(index, "term").groupBy("query_id", key).agg(F.count("*").alias("n_hit"), F.sum("tf").alias("tf_sum"))
-    return found.join(sizes, "query_id").filter("n_hit = n_terms").select("query_id", key, "tf_sum")
+    sizes = blocks.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    ranked = wanted.join(sizes, "term", "left")
+    rarest = ranked.groupBy("query_id").agg(
+        F.min(F.struct("df", "term")).alias("r"), F.count_if(F.col("df").isNull()).alias("unknown"), F.count("*").alias("n_terms")
+    )
+    first = rarest.filter("unknown = 0").select("query_id", F.col("r.term").alias("term"), "n_terms")
+    others = wanted.join(first.select("query_id", F.col("term").alias("rare")), "query_id").filter("term <> rare")
+    return first, others.select("query_id", "term")
+
+
+def candidates(blocks: DataFrame, first: DataFrame, key: str) -> DataFrame:
+    """(query_id, n_terms, block, key, tf): postings of each query's rarest term."""
+    return blocks.select("term", "block", "entries").join(first, "term").select("query_id", "n_terms", "block", F.inline("entries")).withColumnRenamed(
+        "key", key
+    )
+
+
+def needed_blocks(blocks: DataFrame, found: DataFrame, others: DataFrame) -> DataFrame:
+    """Blocks of further terms in ranges where their query has candidates; all others are skipped unread."""
+    asked = found.select("query_id", "block").distinct().join(others, "query_id").select("term", "block").distinct()
+    return blocks.join(asked, ["term", "block"], "left_semi")
+
+
+def term_search(index: DataFrame, queries: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
+    """Keys that hold every term of a query: queries(query_id, query), index(term, key, tf).
+
+    The rarest term of a query gives its candidates; of its other terms only the
+    blocks are read in which a candidate can lie, and candidates meet postings
+    by term and key.  So a frequent term beside a rare one costs as many rows as
+    the rare one's ranges hold.  Without ``ranges`` they are made to hold some
+    1024 documents each.
+    """
+    if ranges is None:
+        ranges = max(1, index.select(F.approx_count_distinct(key)).first()[0] // 1024)
+    blocks = materialize(posting_blocks(index, key, ranges), "posting-blocks")
+    first, others = probe_plan(blocks, queries)
+    found = materialize(candidates(blocks, first, key), "term-candidates")
+    read = needed_blocks(blocks, found, others).select("term", F.inline("entries")).withColumnRenamed("key", key)
+    probes = found.select("query_id", key).join(others, "query_id")
+    hits = probes.join(read, ["term", key]).select("query_id", key, "tf")
+    terms = found.select("query_id", key, "tf").unionByName(hits)
+    counted = terms.groupBy("query_id", key).agg(F.count("*").alias("n_hit"), F.sum("tf").alias("tf_sum"))
+    return counted.join(first.select("query_id", "n_terms"), "query_id").filter("n_hit = n_terms").select("query_id", key, "tf_sum")

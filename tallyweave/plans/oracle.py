@@ -378,6 +378,10 @@ SQL["sentence_chunks"] = f"""WITH p AS (SELECT doc_id, {_PACKED} AS packed FROM
 SELECT doc_id, i - 1 AS chunk_index, length(c[i]) AS n_chars, md5(c[i]) AS text_md5
 FROM (SELECT doc_id, {overlapped("packed", 20)} AS c FROM p) d, range(1, len(c) + 1) r(i)"""
 
+SQL["batch_embedding"] = f"""WITH s AS (SELECT doc_id, {SENTENCES} AS sents FROM documents)
+SELECT doc_id, len(sents)::BIGINT AS n_vectors, coalesce(list_sum(list_transform(sents, lambda x: length(x))), 0)::BIGINT AS n_chars,
+  coalesce(list_sum(list_transform(sents, lambda x: length(x) - length(replace(x, ' ', '')))), 0)::BIGINT AS n_spaces, len(sents)::BIGINT AS in_calls FROM s"""
+
 # ---------------------------------------------------------------- retrieval
 
 TERMS = r"list_filter(regexp_split_to_array(lower(%s), '[^\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}]+'), lambda t: t <> '')"
@@ -470,11 +474,13 @@ prior AS (
   SELECT left(hash, 32) AS doc_id, arg_min(path, doc_no) AS path, hash,
          ['indexed','empty','failed','indexed'][min(doc_no) % 4 + 1] AS status, 1 AS num_chunks, 0 AS updated_at
   FROM docs WHERE regexp_matches(path, '^src[0-9]*[02468]/') GROUP BY hash),
-outcome AS (
-  SELECT d.*, CASE WHEN k.hash IS NOT NULL THEN 0 ELSE {WORDS % 'd.text'} // 50 END AS num_chunks,
-         CASE WHEN k.hash IS NOT NULL THEN 'skipped' WHEN contains(d.text, '@') THEN 'failed'
-              WHEN {WORDS % 'd.text'} < 50 THEN 'empty' ELSE 'indexed' END AS status
-  FROM docs d LEFT JOIN (SELECT hash FROM prior WHERE status = 'indexed') k ON k.hash = d.hash)"""
+tried AS (
+  SELECT d.*, {WORDS % 'd.text'} // 50 AS n, k.hash IS NOT NULL AS known,
+         CASE WHEN contains(d.text, '@') OR d.doc_no % 3 = 0 THEN 'failed' WHEN {WORDS % 'd.text'} < 50 THEN 'empty' ELSE 'indexed' END AS alone
+  FROM docs d LEFT JOIN (SELECT hash FROM prior WHERE status = 'indexed') k ON k.hash = d.hash),
+turns AS (SELECT *, known OR coalesce(bool_or(alone = 'indexed') OVER (
+  PARTITION BY hash ORDER BY doc_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS skip FROM tried),
+outcome AS (SELECT * EXCLUDE (n, known, alone, skip), CASE WHEN skip THEN 0 ELSE n END AS num_chunks, CASE WHEN skip THEN 'skipped' ELSE alone END AS status FROM turns)"""
 
 SQL["index_summary"] = f"""WITH {REGISTRY}
 SELECT lang, count(*) FILTER (WHERE status='indexed') AS indexed, count(*) FILTER (WHERE status='skipped') AS skipped,
@@ -641,26 +647,29 @@ rows_ AS (
     WHERE length(n) BETWEEN 1 AND 2 AND NOT (b = 'patterns' AND (list_contains(p.pat_exact, l) OR n IN ('资产','负债','权益','现金','成本','费用'))))
 SELECT code AS metric_code, bucket, count(*) AS n_labels, string_agg(l, '|' ORDER BY a, i) AS labels FROM rows_ GROUP BY ALL"""
 
-SQL["dictionary_merge"] = f"""WITH {PARTS}, side AS (
-  SELECT code, k, en, pat, pat_exact, pat_en, st <> 'income' AS loaded, k % 2 = 0 AS base FROM parts WHERE st <> 'income' OR k % 2 = 0),
+SQL["dictionary_merge"] = f"""WITH {PARTS},
+side AS (
+  SELECT CASE WHEN st = 'income' THEN 'new_' || code ELSE code END AS code, k, NULL AS en, ['loaded ' || code] || list_reverse(pat) AS pat, pat_exact, pat_en, 0 AS turn FROM parts
+  UNION ALL SELECT code, k, en, pat, pat_exact, pat_en, 1 FROM parts),
 rows_ AS (
-  SELECT code, 'patterns' AS bucket, unnest(CASE WHEN loaded AND NOT base THEN pat[1:1] ELSE pat END) AS l, generate_subscripts(CASE WHEN loaded AND NOT base THEN pat[1:1] ELSE pat END, 1) AS i FROM side
-  UNION ALL SELECT code, 'patterns_exact', unnest(pat_exact), 1 FROM side
-  UNION ALL SELECT code, 'patterns_en', unnest(pat_en), generate_subscripts(pat_en,1) FROM side)
-SELECT r.code AS metric_code, bucket, count(*) AS n_labels, string_agg(l, '|' ORDER BY i) AS labels,
-  any_value(CASE WHEN s.base THEN s.en END) AS metric_name_en, any_value(CASE WHEN s.loaded THEN s.k ELSE 1000000 + s.k END) AS def_order
-FROM rows_ r JOIN side s USING (code) GROUP BY r.code, bucket"""
+  SELECT code, turn, 'patterns' AS bucket, unnest(pat) AS l, generate_subscripts(pat, 1) AS i FROM side
+  UNION ALL SELECT code, turn, 'patterns_exact', unnest(pat_exact), 1 FROM side
+  UNION ALL SELECT code, turn, 'patterns_en', unnest(pat_en), generate_subscripts(pat_en, 1) FROM side),
+firsts AS (SELECT code, bucket, l, min(turn * 100 + i) AS place FROM rows_ GROUP BY ALL),
+about AS (SELECT code, max(en) AS metric_name_en, arg_min(CASE turn WHEN 0 THEN k ELSE 1000000 + k END, turn) AS def_order FROM side GROUP BY code)
+SELECT f.code AS metric_code, bucket, count(*) AS n_labels, string_agg(l, '|' ORDER BY place) AS labels,
+  any_value(metric_name_en) AS metric_name_en, any_value(def_order) AS def_order
+FROM firsts f JOIN about USING (code) GROUP BY f.code, bucket"""
 
 SQL["dictionary_prune"] = f"""WITH {PARTS}
 SELECT count(*) AS before, count(*) FILTER (WHERE NOT starts_with(code, 'm1')) AS after, count(*) FILTER (WHERE starts_with(code, 'm1')) AS removed FROM parts"""
 
 SQL["metric_upsert"] = f"""WITH {PARTS}
-SELECT code AS metric_code, CASE WHEN k % 2 = 0 THEN cn ELSE 'old' END AS metric_name_cn,
-  CASE WHEN k % 2 = 1 THEN 'old' ELSE coalesce(en, upper(code)) END AS metric_name_en, st AS statement_type, nature AS value_nature, st <> 'income' AS is_new
-FROM parts WHERE k % 2 = 0 OR st = 'income'"""
+SELECT code AS metric_code, cn AS metric_name_cn, coalesce(en, upper(code)) AS metric_name_en, st AS statement_type, nature AS value_nature, st <> 'income' AS is_new FROM parts
+UNION ALL SELECT 'old_' || code, 'old', 'old', st, nature, false FROM parts WHERE st <> 'income'"""
 
 SQL["metric_parents"] = f"""WITH {PARTS}
-SELECT c.code AS metric_code, p.k AS parent_metric_id FROM parts c LEFT JOIN parts p ON p.code = c.parent AND p.st <> 'cashflow' WHERE c.st <> 'cashflow'"""
+SELECT c.code AS metric_code, p.k AS parent_metric_id FROM parts c LEFT JOIN parts p ON p.code = c.parent"""
 
 SQL["dictionary_aliases"] = f"""WITH {PARTS}
 SELECT code AS metric_code, unnest(pat) AS alias_text, 'cn' AS language, 'phrase' AS match_mode FROM parts
@@ -760,9 +769,11 @@ a AS (SELECT DISTINCT o_custkey AS report_id, 2 AS pages FROM orders),
 j AS (SELECT a.report_id, pages, coalesce(tables,0) AS tables, coalesce(rows,0) AS rows, coalesce(cells,0) AS cells, 0 AS flow_facts, coalesce(stock_facts,0) AS stock_facts FROM a LEFT JOIN s USING (report_id))
 SELECT *, '{{"pages":' || pages || ',"tables":' || tables || ',"rows":' || rows || ',"cells":' || cells || ',"flow_facts":' || flow_facts || ',"stock_facts":' || stock_facts || '}}' AS summary_json FROM j"""
 
-SQL["ingest_modes"] = f"""WITH {REGISTRY}
-SELECT CASE WHEN p.hash IS NULL THEN 'running' ELSE 'skipped' END AS status, CASE WHEN p.hash IS NOT NULL THEN '{{"reason":"duplicate"}}' END AS summary_json, count(*) AS n
-FROM docs d LEFT JOIN prior p USING (hash) GROUP BY ALL"""
+SQL["ingest_modes"] = f"""WITH {REGISTRY},
+one AS (SELECT d.doc_no, coalesce(CASE WHEN p.hash IS NOT NULL THEN 1 END, CASE WHEN d.doc_no > min(d.doc_no) OVER (PARTITION BY d.hash) THEN min(d.doc_no) OVER (PARTITION BY d.hash) END) AS known
+  FROM docs d LEFT JOIN prior p USING (hash))
+SELECT CASE WHEN known IS NULL THEN 'running' ELSE 'skipped' END AS status, CASE WHEN known IS NOT NULL THEN '{{"reason":"duplicate"}}' END AS summary_json,
+  count(*) AS n, sum(coalesce(known, doc_no))::BIGINT AS report_ids FROM one GROUP BY ALL"""
 
 SQL["company_dimension"] = """
 SELECT DISTINCT c_mktsegment || ' ' || (c_nationkey % 5) AS name, CASE WHEN c_nationkey % 3 <> 0 THEN CAST(c_nationkey % 4 AS VARCHAR) END AS ticker,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import json
 import os
+import random
 from types import SimpleNamespace
 
 import numpy as np
@@ -260,6 +261,74 @@ def test_batch_embedder_is_checked(spark):
         K.embed_sentences(docs, lambda texts: [], 2).collect()
 
 
+@pytest.mark.parametrize("concurrency", [1, 3])
+def test_embedder_is_called_with_full_batches_across_rows(spark, concurrency):
+    from tallyweave.functions import text as X
+
+    rows = [(i, None if i % 17 == 0 else " ".join(f"word{i} x{k}." for k in range(i % 7)), f"v{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "id long, text string, note string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "23")
+    try:
+        made = K.embed_sentences(docs, lambda texts: [[float(len(t)), float(len(texts))] for t in texts], 2, concurrency=concurrency).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [(r["id"], r["note"]) for r in made] == [(i, n) for i, _, n in rows]
+    alone = {r["id"]: r["s"] or [] for r in docs.select("id", X.sentences(F.col("text")).alias("s")).collect()}
+    assert all(r["sents"] == alone[r["id"]] and [v[0] for v in r["vecs"]] == list(map(len, r["sents"])) for r in made)
+    calls = [int(v[1]) for r in made for v in r["vecs"]]
+    rest = len(calls) % 32
+    assert len(calls) > 300 and calls == [32] * (len(calls) - rest) + [rest] * rest
+
+
+def test_term_search_reads_only_blocks_that_a_candidate_can_be_in(spark):
+    rng = random.Random(4)
+    kinds = [f"t{k}" for k in range(30)]
+    docs = {i: {"common"} | {t for n, t in enumerate(kinds) if rng.random() < 0.5 / (n + 1)} | ({"rare"} if i in (7, 900, 4003) else set()) for i in range(5000)}
+    table = spark.createDataFrame([(i, " ".join(sorted(d)) + " common") for i, d in docs.items()], "doc long, text string")
+    index = S.postings(table, "doc").drop("positions")
+    asked = ["common rare", "rare common t0", "t3 t1 common", "common", "common nowhere", "", None, "t29 t28 rare"]
+    asked += [" ".join(rng.sample(kinds, rng.randint(1, 4))) for _ in range(40)]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    got = sorted(map(tuple, S.term_search(index, queries, "doc", ranges=64).collect()))
+    want = []
+    for n, q in enumerate(asked):
+        terms = set((q or "").split())
+        want += [(n, i, len(terms) + ("common" in terms)) for i, d in docs.items() if terms and terms <= d]
+    assert got == sorted(want)
+
+    blocks = S.posting_blocks(index, "doc", 64)
+    first, others = S.probe_plan(blocks, queries.filter("query_id = 0"))
+    assert [r["term"] for r in first.collect()] == ["rare"]
+    read = S.needed_blocks(blocks, S.candidates(blocks, first, "doc"), others).collect()
+    assert {r["term"] for r in read} == {"common"} and len(read) <= 3 and sum(r["df"] for r in read) < 400
+    assert sum(r["df"] for r in blocks.filter("term = 'common'").collect()) == 5000
+
+
+def test_copies_inside_a_batch_follow_the_sequential_rule(spark):
+    from tallyweave.operators import facts as H
+
+    rng = random.Random(6)
+    rows = [(i, f"h{rng.randrange(60)}", rng.choice(["indexed", "empty", "failed"])) for i in range(400)]
+    made = [(i, h, s, 5 if s == "indexed" else 0, "bad" if s == "failed" else None) for i, h, s in rows]
+    tried = spark.createDataFrame(made, "no long, hash string, status string, num_chunks int, error string").repartition(6)
+    known, want = set(), []
+    for i, h, s, n, e in made:
+        want.append((i, h, "skipped", 0, None) if h in known else (i, h, s, n, e))
+        if s == "indexed":
+            known.add(h)
+    got = G.skip_copies(tried, "no").select("no", "hash", "status", "num_chunks", "error").collect()
+    assert sorted(map(tuple, got)) == want
+
+    reports = tried.select(F.col("no").alias("report_id"), F.col("hash").alias("source_hash"))
+    registry = spark.createDataFrame([("h1", 9000), ("h2", 9001)], "source_hash string, report_id long")
+    seen, want = {"h1": 9000, "h2": 9001}, []
+    for i, h, _ in rows:
+        want.append((i, "append_candidates" if h in seen else "new", seen.get(h)))
+        seen.setdefault(h, i)
+    got = H.ingest_mode(reports, registry, allow_existing=True, order="report_id").select("report_id", "mode", "known_report_id").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_group_limits_and_local_lookups_are_planned(spark):
     from tallyweave.operators import matching as M
 
