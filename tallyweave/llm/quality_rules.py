@@ -234,26 +234,35 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ca
     """The counts, base_failed, anomaly and kept of every row of ``docs`` (doc_id, text and the columns of ``carry``).
 
     Null and empty texts have zero words and fail; without labels only the fixed
-    rules reject.  Repeated rows are judged alike.  Texts are read once: their
-    counts are stored and the model is made of these.
+    rules reject.  Repeated rows are judged alike.  The counts of all texts are
+    stored, the model is made of these, and the rows are judged by them; where
+    columns are carried, texts are counted again as they pass, so that they are
+    neither stored nor sent through Python a second time.
     """
     carry = carry or {}
     docs = with_types(docs, **({"doc_id": "bigint", "text": "string"} | carry))
 
     def count(batch):
         for part in slices(batch, "text", SLICE):
-            yield {n: part.column(n) for n in ("doc_id", *carry)} | statistics(part.column("text"))
+            yield {"doc_id": part.column("doc_id")} | statistics(part.column("text"))
 
-    kept = "".join(f", {n} {k}" for n, k in carry.items())
-    schema = f"doc_id bigint{kept}, " + ", ".join(f"{c} bigint" for c in COUNTS)
-    counted = stored(arrow_map(docs, count, schema), "quality-counts")
+    schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS)
+    counted = stored(arrow_map(docs.select("doc_id", "text"), count, schema), "quality-counts")
     forest, least = model_of(counted, labels, sample)
 
-    def judge(batch):
-        counts = {c: batch.column(c).to_numpy() for c in COUNTS}
+    def verdict(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
         failed = base_rules(counts)
         score = anomaly(forest, features(counts))
-        passed = {n: batch.column(n) for n in ("doc_id", *carry, *COUNTS)}
-        yield passed | {"base_failed": failed, "anomaly": score, "kept": ~failed & (score < least)}
+        return counts | {"base_failed": failed, "anomaly": score, "kept": ~failed & (score < least)}
+
+    def judge(batch):
+        yield {"doc_id": batch.column("doc_id")} | verdict({c: batch.column(c).to_numpy() for c in COUNTS})
+
+    def count_and_judge(batch):
+        for part in slices(batch, "text", SLICE):
+            yield {n: part.column(n) for n in ("doc_id", *carry)} | verdict(statistics(part.column("text")))
 
-    return arrow_map(counted, judge, f"{schema}, base_failed boolean, anomaly double, kept boolean")
+    marks = ", base_failed boolean, anomaly double, kept boolean"
+    if not carry:
+        return arrow_map(counted, judge, schema + marks)
+    return arrow_map(docs, count_and_judge, schema + "".join(f", {n} {k}" for n, k in carry.items()) + marks)
