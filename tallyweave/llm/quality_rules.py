@@ -236,8 +236,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ca
     Null and empty texts have zero words and fail; without labels only the fixed
     rules reject.  Repeated rows are judged alike.  The counts of all texts are
     stored, the model is made of these, and the rows are judged by them; where
-    columns are carried, texts are counted again as they pass, so that they are
-    neither stored nor sent through Python a second time.
+    columns are carried, only those of labelled texts are, and all texts are
+    counted and judged as they pass.
     """
     carry = carry or {}
     docs = with_types(docs, **({"doc_id": "bigint", "text": "string"} | carry))
@@ -247,7 +247,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, ca
             yield {"doc_id": part.column("doc_id")} | statistics(part.column("text"))
 
     schema = "doc_id bigint, " + ", ".join(f"{c} bigint" for c in COUNTS)
-    counted = stored(arrow_map(docs.select("doc_id", "text"), count, schema), "quality-counts")
+    texts = docs.select("doc_id", "text")
+    if carry:
+        texts = texts.join(labelled(labels).select("doc_id"), "doc_id", "left_semi")
+    counted = stored(arrow_map(texts, count, schema), "quality-counts")
     forest, least = model_of(counted, labels, sample)
 
     def verdict(counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
