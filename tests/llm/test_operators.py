@@ -152,6 +152,9 @@ def test_personal_data(docs, texts):
     assert kinds == {*pii.KINDS}  # no credential there
     masked = {r.doc_id: r.text for r in pii.mask(pii.find(docs, pii.learn(docs))).collect()}
     assert masked[11].startswith("write to <EMAIL> or <PHONE>, <IP>, <CARD>.") and masked[4] is None
+    field, carry = pii.learn(docs), {"lang": "string"}
+    rows = lambda df: sorted(map(tuple, df.select("doc_id", "lang", "text").collect()), key=repr)
+    assert rows(pii.find_and_mask(docs, field, carry)) == rows(pii.mask(pii.find(docs, field, carry), carry))
 
 
 def test_skip_links_carry_a_label_to_a_distant_token():
