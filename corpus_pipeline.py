@@ -50,13 +50,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with their personal data replaced by its kind."""
     carry = {"lang": "string", "source": "string"}
-    found = pii.find(docs, pii.learn(docs.select("doc_id", "text")), carry)
-    return pii.mask(found, carry).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    cleaned = pii.find_and_mask(docs, pii.learn(docs.select("doc_id", "text")), carry)
+    return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all pieces with their places in sequences of 2048."""
-    return packing.pack(packing.tokenized_pieces(docs, vocabulary(), known_words=250_000))
+    return packing.pack(packing.tokenized_pieces(docs, vocabulary(), known_words=100_000))
 
 
 STAGES = [
