@@ -14,10 +14,11 @@ nine mixed columns.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyweave.operators.stage import materialize
@@ -220,28 +221,44 @@ def resolution_summary(candidates: DataFrame, facts: DataFrame, checks: DataFram
     return rated.withColumn("summary_json", F.to_json(F.struct(*[c for c in rated.columns if c != "report_id"])))
 
 
-def write_facts(facts: DataFrame, path: str, replace: bool = True, buckets: int = 256) -> None:
-    """Write facts by bucket of reports.
+def write_facts(facts: DataFrame, path: str, replace: bool = True) -> None:
+    """Write facts as a new version below ``path``, of the size of ``facts`` whatever is stored.
 
-    With ``replace`` the facts of every report of the given frame are replaced:
-    facts of other reports in a touched bucket are kept by writing them again
-    next to the new ones, into a new version of the bucket.  Without it facts
-    are appended.
+    The facts go to a folder of their own.  Then a small log, one row a report,
+    makes them count: with ``replace`` from here on they are the report's only
+    ones, else they are added to those before.  A write that is lost before the
+    log is written leaves the earlier facts in force.  One writer at a time; a
+    report without any row in ``facts`` stays as it is, a null report is one too.
     """
-    bucket = F.pmod(F.xxhash64("report_id"), F.lit(buckets)).cast("int")
-    placed = facts.withColumn("report_bucket", bucket)
-    if not replace:
-        placed.write.mode("append").partitionBy("report_bucket").parquet(path)
-        return
-    spark = facts.sparkSession
-    if path_exists(spark, path):
-        touched = placed.select("report_bucket").distinct()
-        reports = placed.select("report_id").distinct()
-        stored = spark.read.parquet(path)
-        kept = stored.join(touched, "report_bucket", "left_semi").join(reports, "report_id", "left_anti")
-        # A plan must not overwrite what it reads, so the merged buckets are written aside first.
-        placed = materialize(placed.unionByName(kept.select(*placed.columns)), "facts")
-    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("report_bucket").parquet(path)
+    spark, version, log = facts.sparkSession, f"v{uuid.uuid4().hex}", f"{path}/log"
+    facts.write.parquet(f"{path}/facts/fact_version={version}")
+    done = spark.read.parquet(log).agg(F.max("seq")).first()[0] if path_exists(spark, log) else 0
+    reports = spark.read.parquet(f"{path}/facts/fact_version={version}").select("report_id").distinct()
+    reports.select("report_id", F.lit(version).alias("fact_version"), F.lit((done or 0) + 1).alias("seq"), F.lit(replace).alias("replaces")).write.mode(
+        "append"
+    ).parquet(log)
+
+
+def _versions_in_force(spark: SparkSession, path: str) -> DataFrame:
+    """(report, fact_version) of every write since a report's last replacement."""
+    log = spark.read.parquet(f"{path}/log")
+    since = log.groupBy(F.col("report_id").alias("report")).agg(F.max(F.when(F.col("replaces"), F.col("seq"))).alias("since"))
+    joined = log.join(since, F.col("report_id").eqNullSafe(F.col("report")))
+    return joined.filter("since IS NULL OR seq >= since").select("report", "fact_version")
+
+
+def read_facts(spark: SparkSession, path: str) -> DataFrame:
+    """The facts in force of what :func:`write_facts` wrote; columns that a version lacks are null."""
+    stored = spark.read.option("mergeSchema", True).parquet(f"{path}/facts")
+    current = _versions_in_force(spark, path).withColumnRenamed("fact_version", "version")
+    in_force = stored.join(current, F.col("report_id").eqNullSafe(F.col("report")) & (F.col("fact_version") == F.col("version")), "left_semi")
+    return in_force.drop("fact_version")
+
+
+def superseded_versions(spark: SparkSession, path: str) -> DataFrame:
+    """Logged versions of which no report uses anything any more: their folders can be deleted when no reader is left."""
+    logged = spark.read.parquet(f"{path}/log").select("fact_version").distinct()
+    return logged.join(_versions_in_force(spark, path), "fact_version", "left_anti")
 
 
 def unresolved(facts: DataFrame) -> DataFrame:
@@ -377,12 +394,25 @@ def prepare_overrides(
     return usable.drop("reason"), checked.filter("reason IS NOT NULL")
 
 
+REVIEWED = [
+    "value", "unit", "currency", "audit_flag", "selected_candidate_id", "resolution_status", "resolution_method",
+    "reviewed_by", "review_notes", "reviewed_at",
+]
+
+
+def _review_time(facts: DataFrame, hit: Column) -> Column:
+    """The time of this review where it hits a fact, else that of an earlier one."""
+    earlier = F.col("reviewed_at") if "reviewed_at" in facts.columns else F.lit(None).cast("timestamp")
+    return F.when(hit, F.current_timestamp()).otherwise(earlier).alias("reviewed_at")
+
+
 def apply_overrides(facts: DataFrame, overrides: DataFrame) -> DataFrame:
     """Replace or add facts by hand-checked values.
 
     Keys compare NULL-safe.  Of several facts of a key the one with the lowest
     id is replaced.  Of several overrides of a key the last value, reviewer and
-    notes count; unit, currency and flag take the last one given.
+    notes count; unit, currency and flag take the last one given.  All other
+    columns of a fact stay, and are null in an added one.
     """
     last = lambda c: F.max_by(c, "input_order").alias(f"o_{c}")
     last_given = lambda c: F.max_by(
@@ -405,8 +435,10 @@ def apply_overrides(facts: DataFrame, overrides: DataFrame) -> DataFrame:
     hit = F.col("k_report_id").isNotNull()
     # a fact that no override hits keeps its earlier review
     earlier = lambda c: F.col(c) if c in facts.columns else F.lit(None).cast("string")
+    others = [c for c in facts.columns if c not in ("fact_id", *OVERRIDE_KEY, *REVIEWED)]
     return joined.select(
         "fact_id",
+        *others,
         *[F.when(hit, F.col(f"k_{c}")).otherwise(F.col(c)).alias(c) for c in OVERRIDE_KEY],
         F.when(hit, F.col("o_value")).otherwise(F.col("value")).alias("value"),
         F.when(hit, F.coalesce("o_unit", "unit")).otherwise(F.col("unit")).alias("unit"),
@@ -416,6 +448,7 @@ def apply_overrides(facts: DataFrame, overrides: DataFrame) -> DataFrame:
         F.when(hit, F.lit("verified")).otherwise(F.col("resolution_status")).alias("resolution_status"),
         F.when(hit, F.lit("manual")).otherwise(F.col("resolution_method")).alias("resolution_method"),
         *[F.when(hit, F.col(f"o_{c}")).otherwise(earlier(c)).alias(c) for c in ("reviewed_by", "review_notes")],
+        _review_time(facts, hit),
     )
 
 
@@ -432,7 +465,7 @@ def apply_picks(facts: DataFrame, candidates: DataFrame, picks: DataFrame) -> Da
     joined = facts.join(chosen.withColumnRenamed("candidate_id", "p_candidate"), "fact_id", "left")
     hit = F.col("p_candidate").isNotNull()
     earlier = lambda c: F.col(c) if c in facts.columns else F.lit(None).cast("string")
-    keep = [c for c in facts.columns if c not in ("value", "unit", "currency", "selected_candidate_id", "resolution_status", "resolution_method", "reviewed_by", "review_notes")]
+    keep = [c for c in facts.columns if c == "audit_flag" or c not in REVIEWED]
     return joined.select(
         *keep,
         F.when(hit, F.col("p_value")).otherwise(F.col("value")).alias("value"),
@@ -442,6 +475,7 @@ def apply_picks(facts: DataFrame, candidates: DataFrame, picks: DataFrame) -> Da
         F.when(hit, F.lit("verified")).otherwise(F.col("resolution_status")).alias("resolution_status"),
         F.when(hit, F.lit("manual")).otherwise(F.col("resolution_method")).alias("resolution_method"),
         *[F.when(hit, F.col(f"p_{c}")).otherwise(earlier(c)).alias(c) for c in ("reviewed_by", "review_notes")],
+        _review_time(facts, hit),
     )
 
 

@@ -137,13 +137,19 @@ def append_labels(metrics: DataFrame, additions: DataFrame) -> DataFrame:
 
 
 def new_metrics(found: DataFrame, metrics: DataFrame, order: str) -> DataFrame:
-    """Metric rows of codes the dictionary does not have; the first row of a code describes it."""
+    """Metric rows of codes the dictionary does not have, after all it has; the first row of a code describes it.
+
+    ``order`` may be of any type that sorts: the rows are sorted over the
+    cluster and numbered in that order, with gaps.
+    """
     fields = ["metric_name_cn", "statement_type", "value_nature"]
     fresh = found.join(metrics.select("metric_code"), "metric_code", "left_anti")
-    first = fresh.groupBy("metric_code").agg(F.min_by(F.struct(order, *fields), order).alias("d"))
+    first = fresh.groupBy("metric_code").agg(F.min(F.struct(F.col(order).alias("at"), *fields)).alias("d"))
+    after = F.coalesce(metrics.agg(F.max("def_order").cast("long")).scalar(), F.lit(-1)) + 1
+    first = first.orderBy("d.at", "metric_code").withColumn("place", F.monotonically_increasing_id())
     empty = F.array().cast("array<string>")
     values = {
-        "def_order": (F.lit(1_000_000) + F.col(f"d.{order}")).cast("int"),
+        "def_order": after + F.col("place"),
         "metric_name_cn": F.col("d.metric_name_cn"),
         "metric_name_en": F.lit(None).cast("string"),
         "statement_type": F.col("d.statement_type"),

@@ -109,8 +109,9 @@ def merge_metrics(base: DataFrame, loaded: DataFrame) -> DataFrame:
         *[union(a).alias(a) for a in arrays],
     )
     # Loaded codes keep their order; base-only codes follow in theirs.
-    shifted = F.when(F.col("rank.col1"), F.lit(1_000_000)).otherwise(0) + F.col("rank")["col2"]
-    return merged.withColumn("def_order", shifted.cast("int")).drop("rank").select(*base.columns)
+    after = F.greatest(F.lit(1_000_000).cast("long"), loaded.agg(F.max("def_order").cast("long") + 1).scalar())
+    shifted = F.when(F.col("rank.col1"), after).otherwise(0) + F.col("rank")["col2"]
+    return merged.withColumn("def_order", shifted).drop("rank").select(*base.columns)
 
 
 def metric_dictionary(metrics: DataFrame, *keep: str) -> DataFrame:

@@ -151,12 +151,19 @@ def payload_query(payload: Column) -> Column:
     return strip(F.coalesce(payload["message"], newest, F.lit("")))
 
 
-def upsert_questions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Question store after writing ``incoming``: last write wins, the first creation time stays."""
-    both = stored.unionByName(incoming)
+def upsert_questions(stored: DataFrame, incoming: DataFrame, order: str = "created_at") -> DataFrame:
+    """Question store after writing ``incoming``: last write wins, the first creation time stays.
+
+    Any incoming row is a later write than the stored one, whatever their times.
+    Incoming rows are written by ``order``, equal ones by their texts.
+    """
     rest = ["doc_id", "question", "answer", "raw_json"]
+    columns = ["qa_id", "created_at", *rest]
+    written = incoming.select(*columns, F.lit(1).alias("_write"), F.col(order).alias("_at"))
+    kept = stored.select(*columns, F.lit(0).alias("_write"), F.lit(None).cast(written.schema["_at"].dataType).alias("_at"))
+    both = kept.unionByName(written)
     return (
         both.groupBy("qa_id")
-        .agg(F.max_by(F.struct(*rest), "created_at").alias("r"), F.min("created_at").alias("created_at"))
-        .select("qa_id", "r.*", "created_at")
+        .agg(F.max(F.struct("_write", "_at", *rest)).alias("r"), F.min("created_at").alias("created_at"))
+        .select("qa_id", *[f"r.{c}" for c in rest], "created_at")
     )

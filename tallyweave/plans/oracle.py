@@ -149,6 +149,19 @@ SELECT f.fact_id, coalesce(o.report_id, f.report_id) AS report_id, coalesce(o.me
        CASE WHEN o.report_id IS NULL THEN f.fact_id END AS selected_candidate_id
 FROM facts f FULL OUTER JOIN targets o ON f.fact_id = o.target_id"""
 
+SQL["facts_in_force"] = """
+WITH opened AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O')
+SELECT o_custkey AS report_id, o_orderkey AS fact_id, 'first' AS written, CAST(o_totalprice AS DOUBLE) AS value
+FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM opened)
+UNION ALL SELECT o_custkey, o_orderkey, 'replaced', CAST(o_totalprice AS DOUBLE) FROM orders WHERE o_orderstatus = 'O'
+UNION ALL SELECT o_custkey, o_orderkey, 'added', CAST(o_totalprice AS DOUBLE) FROM orders WHERE o_orderstatus = 'P'"""
+
+SQL["question_upsert"] = """
+WITH last AS (SELECT conv_id::VARCHAR AS qa_id, 'c' AS doc_id, role AS question, md5(text) AS answer FROM conversations c
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, md5(text) DESC) = 1)
+SELECT qa_id, doc_id, question, answer, 1::BIGINT AS created_day FROM last
+UNION ALL SELECT doc_id::VARCHAR, 'd', lang, source, 2::BIGINT FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT qa_id FROM last)"""
+
 SQL["engine_coverage"] = f"""WITH {CANDIDATES},
 v AS (SELECT DISTINCT {KEY}, engine, value_key FROM scored WHERE engine IN ('text', 'layout')),
 k AS (SELECT {KEY}, list_sort(list(value_key) FILTER (WHERE engine='text')) AS l,

@@ -22,6 +22,7 @@ from tallyweave.operators import retrieval as S
 from tallyweave.operators import tables as T
 from tallyweave.operators.stage import materialize, stage
 from tallyweave.plans import derive as D
+from tallyweave.session import work_folder
 from tallyweave.functions.base_metrics import base_metric_rows
 from tallyweave.sources import items as I
 from tallyweave.streaming import incremental, sessions
@@ -107,6 +108,38 @@ def manual_override(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def facts_in_force(spark: SparkSession, folder: str) -> DataFrame:
+    """Orders as facts of their customers: all written, those with open orders replaced, part-shipped ones added once more."""
+    orders = D.wide_table(spark, folder, "orders")
+    facts = orders.select(
+        F.col("o_custkey").alias("report_id"), F.col("o_orderkey").alias("fact_id"), F.lit("first").alias("written"), F.col("o_totalprice").cast("double").alias("value")
+    )
+    of = lambda status, name: facts.join(orders.filter(F.col("o_orderstatus") == status).select(F.col("o_orderkey").alias("fact_id")), "fact_id", "left_semi").withColumn("written", F.lit(name))
+    path = work_folder(spark, "facts")
+    C.write_facts(facts, path)
+    C.write_facts(of("O", "replaced"), path)
+    C.write_facts(of("P", "added"), path, replace=False)
+    return C.read_facts(spark, path)
+
+
+@query
+def question_upsert(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as stored questions, conversation turns written over them by turn with one time for all."""
+    at = F.lit("2024-01-01").cast("timestamp")
+    none = F.lit(None).cast("string")
+    docs = D.wide_table(spark, folder, "documents").select(
+        F.col("doc_id").cast("string").alias("qa_id"), F.lit("d").alias("doc_id"), F.col("lang").alias("question"), F.col("source").alias("answer"),
+        none.alias("raw_json"), (at + F.expr("INTERVAL 1 DAY")).alias("created_at"),
+    )
+    turns = D.wide_table(spark, folder, "conversations").select(
+        F.col("conv_id").cast("string").alias("qa_id"), F.lit("c").alias("doc_id"), F.col("role").alias("question"), F.md5("text").alias("answer"),
+        none.alias("raw_json"), at.alias("created_at"), "turn",
+    )
+    done = G.upsert_questions(docs, turns, "turn")
+    return done.select("qa_id", "doc_id", "question", "answer", F.dayofmonth("created_at").cast("long").alias("created_day"))
+
+
 @query
 def resolution_summary(spark: SparkSession, folder: str) -> DataFrame:
     candidates = D.all_candidates(spark, folder)

@@ -222,7 +222,8 @@ def read_taxonomy_labels(spark: SparkSession, path: str, source: str) -> DataFra
         return raw.withColumn("file", F.input_file_name()).filter(is_label_file(F.col("file")))
 
     locs = rows("loc", "`_xlink:label` string, `_xlink:href` string").select(
-        "file", F.col("`_xlink:label`").alias("loc_key"), concept_from_href(F.col("`_xlink:href`")).alias("concept")
+        "file", F.col("`_xlink:label`").alias("loc_key"), concept_from_href(F.col("`_xlink:href`")).alias("concept"),
+        F.monotonically_increasing_id().alias("loc_no"),
     ).filter("loc_key <> '' AND concept IS NOT NULL")
     arcs = rows("labelArc", "`_xlink:from` string, `_xlink:to` string").select(
         "file", F.col("`_xlink:from`").alias("loc_key"), F.col("`_xlink:to`").alias("label_key"), F.monotonically_increasing_id().alias("arc_no")
@@ -232,7 +233,7 @@ def read_taxonomy_labels(spark: SparkSession, path: str, source: str) -> DataFra
         F.col("`_xlink:role`").alias("role"), F.col("`_xml:lang`").alias("lang"), F.monotonically_increasing_id().alias("label_no"),
     ).filter("label_key <> '' AND label <> ''")
     # Of several locators with one key the last is used.
-    last_loc = locs.groupBy("file", "loc_key").agg(F.last("concept").alias("concept"))
+    last_loc = locs.groupBy("file", "loc_key").agg(F.max_by("concept", "loc_no").alias("concept"))
     found = arcs.join(last_loc, ["file", "loc_key"]).join(labels, ["file", "label_key"])
     return last_labels(
         found.select(

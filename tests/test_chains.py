@@ -51,3 +51,29 @@ def test_reviews_follow_each_other(spark):
 def test_queries_are_trimmed_of_all_white_space(spark):
     rows = spark.createDataFrame([("s", "user", "\t\n hello \n", 1)], "session_id string, role string, content string, ts long")
     assert registry.latest_user_query(rows).first()["query"] == "hello"
+
+
+def test_taxonomy_creates_metrics_from_the_readers_output(spark):
+    metrics = matching.base_metrics(spark)
+    entry = lambda n: ("f.xml", n, n)
+    rows = [("NewBalance", "资产负债表特别项目", "zh", "cas", entry(90_000_000_000)), ("NewFlow", "现金流量表特别项目", "zh", "cas", entry(5))]
+    labels = spark.createDataFrame(rows, "concept string, label string, lang string, source string, entry_order struct<file:string,arc_no:bigint,label_no:bigint>")
+    merged = dictionary.merge_labels(metrics, labels, create=True)
+    known = metrics.agg(F.max("def_order")).first()[0]
+    made = merged.filter(F.col("def_order") > known).orderBy("def_order").collect()
+    assert [r.metric_name_cn for r in made] == ["现金流量表特别项目", "资产负债表特别项目"] and merged.count() == metrics.count() + 2
+
+
+def test_base_codes_follow_loaded_ones_of_any_order(spark):
+    base = matching.base_metrics(spark)
+    loaded = base.limit(1).withColumns({"metric_code": F.lit("own"), "def_order": F.lit(90_000_000_000)})
+    merged = matching.merge_metrics(base, loaded)
+    assert merged.orderBy("def_order").first()["metric_code"] == "own" and merged.count() == base.count() + 1
+
+
+def test_questions_take_the_last_write(spark):
+    schema = "qa_id string, doc_id string, question string, answer string, raw_json string, created_at int"
+    stored = spark.createDataFrame([("a", "d", "q", "old", None, 9), ("b", "d", "q", "kept", None, 9)], schema)
+    incoming = spark.createDataFrame([("a", "d", "q", "one", None, 5, 1), ("a", "d", "q", "two", None, 5, 2)], schema + ", n int")
+    got = {r.qa_id: (r.answer, r.created_at) for r in registry.upsert_questions(stored, incoming, "n").collect()}
+    assert got == {"a": ("two", 5), "b": ("kept", 9)}

@@ -112,6 +112,8 @@ def test_overrides_validate_update_and_insert(spark):
         "resolution_status string, resolution_method string",
     )
     got = {r["fact_id"]: r for r in C.apply_overrides(facts, usable).collect()}
+    wider = C.apply_overrides(facts.withColumn("quality_score", F.lit(0.5)), usable)
+    assert {r["fact_id"]: (r["quality_score"], r["reviewed_at"] is not None) for r in wider.collect()} == {10: (0.5, True), 11: (0.5, False), None: (None, True)}
     assert len(got) == 3
     assert (got[10]["value"], got[10]["unit"], got[10]["currency"], got[10]["reviewed_by"], got[10]["review_notes"]) == (6, "u", "CNY", "eve", "n2")
     assert got[10]["selected_candidate_id"] is None and got[10]["resolution_method"] == "manual"
@@ -208,13 +210,23 @@ def test_quarantine_and_sync_state(spark):
 
 def test_written_facts_replace_only_their_reports(spark, tmp_path):
     path = str(tmp_path / "facts")
-    frame = lambda rows: spark.createDataFrame(rows, "report_id bigint, value int")
-    C.write_facts(frame([(1, 10), (2, 20), (3, 30)]), path, buckets=2)
-    C.write_facts(frame([(1, 11), (1, 12)]), path, buckets=2)
-    got = sorted((r["report_id"], r["value"]) for r in spark.read.parquet(path).collect())
-    assert got == [(1, 11), (1, 12), (2, 20), (3, 30)]
-    C.write_facts(frame([(2, 21)]), path, replace=False, buckets=2)
-    assert spark.read.parquet(path).count() == 5
+    frame = lambda rows: spark.createDataFrame(rows, "report_id bigint, value int")
+    now = lambda: sorted(((r["report_id"], r["value"]) for r in C.read_facts(spark, path).collect()), key=repr)
+    C.write_facts(frame([(1, 10), (2, 20), (3, 30), (None, 0)]), path)
+    first = {p.name for p in (tmp_path / "facts" / "facts").iterdir()}
+    C.write_facts(frame([(1, 11), (1, 12)]), path)
+    assert now() == [(1, 11), (1, 12), (2, 20), (3, 30), (None, 0)]
+    second = {p for p in (tmp_path / "facts" / "facts").iterdir() if p.name not in first}
+    assert spark.read.parquet(*map(str, second)).count() == 2  # only the report's rows were written
+    C.write_facts(frame([(2, 21)]), path, replace=False)
+    C.write_facts(frame([]), path)
+    assert now() == [(1, 11), (1, 12), (2, 20), (2, 21), (3, 30), (None, 0)]
+    # a write that ends before its log counts for nothing
+    frame([(3, 99)]).write.parquet(f"{path}/facts/fact_version=vlost")
+    assert (3, 99) not in now() and (3, 30) in now()
+    assert C.superseded_versions(spark, path).count() == 0
+    C.write_facts(frame([(1, 1)]), path)
+    assert C.superseded_versions(spark, path).count() == 1
 
 
 def test_metrics_of_taxonomy_records(spark):
