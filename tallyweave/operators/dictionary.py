@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.labels import GENERIC_SHORT, SHORT_MAX, english_name, normalize_label
 from tallyweave.operators.ordered import running
 from tallyweave.operators.quality import side_by_side
-from tallyweave.operators.stage import materialize, stage
+from tallyweave.operators.stage import materialize, shuffled, stage
 
 BUCKETS = ("patterns", "patterns_exact", "patterns_en", "patterns_en_exact")
 # Labels too general to name a metric; the short list is the one of contents mapping.
@@ -250,9 +250,10 @@ def map_contents(toc: DataFrame, metrics: DataFrame, create: bool = False) -> Da
     )
     wanted = toc.filter((F.coalesce("sub_code", F.lit("")) != "") & (F.coalesce("sub_name", F.lit("")) != ""))
     named = materialize(stage(wanted, {"norm": normalize_label(F.col("sub_name")), "override": fixed}), "contents-names")
-    known = metrics.select(F.col("metric_code").alias("override"), F.lit(True).alias("override_known"))
+    fixed_codes = metrics.filter(F.col("metric_code").isin(*NAME_OVERRIDES.values()))
+    known = fixed_codes.select(F.col("metric_code").alias("override"), F.lit(True).alias("override_known"))
     firsts = named.filter("override IS NOT NULL").groupBy("override").agg(F.min("row_order").alias("first_order"))
-    joined = named.join(index, "norm", "left").join(known, "override", "left").join(firsts, "override", "left")
+    joined = named.join(shuffled(index), "norm", "left").join(known, "override", "left").join(firsts, "override", "left")
     overridden = F.col("override").isNotNull() & (F.col("override_known").isNotNull() | F.lit(create))
     makes = overridden & F.col("override_known").isNull() & (F.col("row_order") == F.col("first_order"))
     unique = ~overridden & F.col("unique_code").isNotNull()
@@ -313,11 +314,11 @@ def contents_counts(mapped: DataFrame, metrics: DataFrame) -> DataFrame:
         F.count_if(F.col("mapping_method") == "unique_name").alias("matched"),
         F.count_if(F.col("mapping_method") == "unmapped").alias("skipped"),
     )
-    made = mapped.filter("metric_code IS NOT NULL").select("metric_code").distinct().join(metrics, "metric_code", "left_anti")
+    made = mapped.filter("metric_code IS NOT NULL").select("metric_code").distinct().join(shuffled(metrics), "metric_code", "left_anti")
     have = metrics.select("metric_code", F.explode(F.array(*[F.struct(F.lit(b).alias("bucket"), F.col(b).alias("labels")) for b in BUCKETS])).alias("x")).select(
         "metric_code", "x.bucket", F.explode("x.labels").alias("label")
     )
-    added = contents_additions(mapped).select("metric_code", "bucket", "label").distinct().join(have, ["metric_code", "bucket", "label"], "left_anti")
+    added = contents_additions(mapped).select("metric_code", "bucket", "label").distinct().join(shuffled(have), ["metric_code", "bucket", "label"], "left_anti")
     one = lambda df, name: df.agg(F.count("*").alias(name))
     return side_by_side([per_row, one(made, "created"), one(added, "alias_added")])
 

@@ -33,6 +33,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """The side of a join that is never broadcast.
+
+    The planner judges a table by the bytes of its files.  Rows that are exploded
+    from well packed files, or built from them, are many times that size, and a
+    broadcast of them goes through the driver.
+    """
+    return df.hint("merge")
+
+
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared work folder and read it back.
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweave.functions.base_metrics import base_metric_rows
-from tallyweave.operators.stage import local_table, spread
+from tallyweave.operators.stage import local_table, shuffled, spread
 from tallyweave.session import work_folder
 
 
@@ -435,7 +435,7 @@ def contents_rows(spark: SparkSession, folder: str) -> DataFrame:
             F.when(key % 4 == 1, F.lit(" 比率")).otherwise(F.lit("")),
         )
     )
-    return table(spark, folder, "orders").join(parts, "o_custkey", "left").select(
+    return table(spark, folder, "orders").join(shuffled(parts), "o_custkey", "left").select(
         F.lit(0).alias("doc"), key.alias("row_index"), text.alias("text")
     )
 
