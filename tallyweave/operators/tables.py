@@ -539,6 +539,9 @@ def report_metadata(pages: DataFrame) -> DataFrame:
     first_value = lambda test: F.get(
         F.filter(F.transform(F.filter("head_lines", test), after_colon), lambda v: v != ""), 0
     )
+    # Digits of a company's name or code are no year; they count only where no other line shows one.
+    names_company = lambda l: R.contains_any(l, ("公司名称", "股票代码", "证券代码"))
+    other_lines = F.array_join(F.filter("head_lines", lambda l: ~names_company(l)), "\n")
     read = heads.select(
         "report_id",
         "engine",
@@ -546,7 +549,7 @@ def report_metadata(pages: DataFrame) -> DataFrame:
         first_value(lambda l: F.contains(l, F.lit("公司名称"))).alias("company_name"),
         first_value(lambda l: F.contains(l, F.lit("股票代码")) | F.contains(l, F.lit("证券代码"))).alias("ticker"),
         F.when(F.exists("head_lines", is_annual), F.lit("annual")).alias("report_type"),
-        R.first_year(F.col("head")).alias("fiscal_year"),
+        F.coalesce(R.first_year(other_lines), R.first_year(F.col("head"))).alias("fiscal_year"),
         R.first_date(F.col("head")).alias("head_date"),
         R.detect_currency(F.col("head")).alias("currency"),
         R.detect_units(F.col("head")).alias("units"),

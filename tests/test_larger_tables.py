@@ -7,6 +7,7 @@ import re
 from conftest import SMALL
 
 import __spark_entry__ as entry
+from tallyweave.operators import tables as T
 
 
 def plan_of(frame) -> str:
@@ -17,3 +18,12 @@ def test_labels_of_all_parts_are_not_broadcast(spark):
     plan = plan_of(entry.queries()["contents_counts"](spark, SMALL))
     keys = re.findall(r"BroadcastHashJoin \[(\w+)#", plan)
     assert not {"norm", "metric_code", "o_custkey"} & set(keys), keys
+
+
+def test_years_are_not_read_from_names_and_codes(spark):
+    year = lambda text: T.report_metadata(
+        spark.createDataFrame([(1, "text", 1, text, text)], "report_id int, engine string, page int, text_raw string, text_md string")
+    ).first()["fiscal_year"]
+    assert year("公司名称：C72047\n2024年年度报告\n截至2024年12月31日") == 2024
+    assert year("证券代码：002024\nFY2023") == 2023
+    assert year("公司名称：甲 2022年年度报告") == 2022
