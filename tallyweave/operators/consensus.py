@@ -5,20 +5,22 @@ metric_id, period_start_date, period_end_date, as_of_date, value, unit,
 currency, consolidation_scope, audit_flag, column_label, quality_score.
 
 Groups are formed by aggregation in three steps (value and engine, value,
-fact), each with partial aggregation before its shuffle: a fact key that holds
-a large share of all candidates leaves every map task as one row.  A 64-bit
-hash of the key leads the grouping columns: the best candidate is a struct, so
-Spark groups by sorting, and sorting on one number first is far cheaper than on
-nine mixed columns.
+fact).  Candidates are dealt by a 64-bit hash of their key once, and all steps
+use that order (:func:`by_key`); a key that holds very many candidates is kept
+out of it and aggregated before each shuffle, so that it leaves every map task
+as few rows.  The hash leads the grouping columns: the best candidate is a
+struct, so Spark groups by sorting, and sorting on one number first is far
+cheaper than on nine mixed columns.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyweave.operators.stage import materialize
@@ -48,6 +50,8 @@ CASHFLOW_CODES = (
     "cash_begin",
     "cash_end",
 )
+# Keys with more candidates are aggregated before they are shuffled; the sketch that finds them keeps this many keys at most.
+HOT_ROWS, SKETCH_KEYS = 100_000, 8192
 FX_NAME = "汇率变动对现金及现金等价物的影响"
 
 
@@ -98,8 +102,33 @@ def with_engines(candidates: DataFrame, versions: DataFrame) -> DataFrame:
     ).drop("parse_method")
 
 
+def hot_keys(keyed: DataFrame) -> list[int]:
+    """Hashes of the keys with more than HOT_ROWS candidates, and of others that a sketch of bounded size can't tell from them.
+
+    The list says only which way a key's rows go, never what counts.
+    """
+    found = keyed.agg(F.expr(f"approx_top_k(key_hash, {SKETCH_KEYS // 2}, {SKETCH_KEYS})").alias("top")).first()["top"]
+    return [item["item"] for item in found or [] if item["count"] > HOT_ROWS]
+
+
+Steps = Callable[[DataFrame], DataFrame]
+
+
+def by_key(rows: DataFrame, steps: Steps, hot_steps: Steps | None = None) -> DataFrame:
+    """``steps`` over rows dealt by ``key_hash`` once; rows of hot keys go undealt through ``hot_steps``, or the same steps.
+
+    Steps must group by ``key_hash`` and further columns only, so that both parts are whole.
+    """
+    keyed = rows.withColumn("key_hash", F.xxhash64(*FACT_KEY))
+    hot = hot_keys(keyed)
+    if not hot:
+        return steps(keyed.repartition("key_hash"))
+    is_hot = F.col("key_hash").isin(*hot)
+    return steps(keyed.filter(~is_hot).repartition("key_hash")).unionByName((hot_steps or steps)(keyed.filter(is_hot)))
+
+
 def value_groups(candidates: DataFrame, decimals: int | None = 2) -> DataFrame:
-    """Per fact key and value key: engines, candidates, mean quality, best column, best candidate."""
+    """Per fact key and value key: engines, candidates, mean quality, best column, best candidate; needs ``key_hash``."""
     payload = [c for c in ("value", "audit_flag", "source_trace_id", "column_label") if c in candidates.columns]
     quality = F.col("quality_score").cast("double")
     score = column_score(F.col("column_label"))
@@ -113,7 +142,7 @@ def value_groups(candidates: DataFrame, decimals: int | None = 2) -> DataFrame:
     )
     by_engine = (
         candidates.withColumns(
-            {"value_key": value_key(F.col("value"), decimals), "score": score, "key_hash": F.xxhash64(*FACT_KEY)}
+            {"value_key": value_key(F.col("value"), decimals), "score": score}
         )
         .groupBy("key_hash", *FACT_KEY, "value_key", "engine")
         .agg(
@@ -144,16 +173,18 @@ def consensus_facts(
     larger value text.  The mean is rounded to 9 digits before it is compared,
     as sums of doubles depend on their order.
     """
-    groups = value_groups(with_engines(candidates, versions), decimals)
     rank = F.struct(
         "engines", "candidates", F.round("avg_quality", 9).alias("avg_quality"), "best_score", "value_key", "best"
     )
-    chosen = groups.groupBy("key_hash", *FACT_KEY).agg(
-        F.max(rank).alias("top"),
-        F.max("engines").alias("max_agree"),
-        (F.min("engine_min") != F.max("engine_max")).alias("multi_engine"),
+    chosen = by_key(
+        with_engines(candidates, versions),
+        lambda rows: value_groups(rows, decimals).groupBy("key_hash", *FACT_KEY).agg(
+            F.max(rank).alias("top"),
+            F.max("engines").alias("max_agree"),
+            (F.min("engine_min") != F.max("engine_max")).alias("multi_engine"),
+        ),
     )
-    agree = F.col("top.engines")
+    agree = F.col("max_agree")  # the most engines come first in the rank
     enough = agree >= min_agree
     return chosen.select(
         *FACT_KEY,
@@ -537,13 +568,24 @@ def discrepancies(
         rows = rows.filter(F.col("fact_type") == fact_type)
     if fiscal_year is not None or period:
         rows = rows.filter(in_period(F.coalesce("period_end_date", "as_of_date"), fiscal_year, period))
-    values = (
-        rows.withColumn("value_key", value_key(F.col("value")))
-        .groupBy(*FACT_KEY, "engine", "value_key")
-        .agg(F.count("*").alias("n_candidates"), F.min("candidate_id").alias("first_candidate_id"))
-    )
-    differing = values.groupBy(*FACT_KEY).agg(F.min("value_key").alias("lo"), F.max("value_key").alias("hi")).filter("lo <> hi")
-    out = values.join(_prefixed(differing, "d_"), _same_key("d_"), "left_semi")
+    def said(rows: DataFrame) -> DataFrame:
+        return (
+            rows.withColumn("value_key", value_key(F.col("value")))
+            .groupBy("key_hash", *FACT_KEY, "engine", "value_key")
+            .agg(F.count("*").alias("n_candidates"), F.min("candidate_id").alias("first_candidate_id"))
+        )
+
+    def differing(rows: DataFrame) -> DataFrame:
+        whole = Window.partitionBy("key_hash", *FACT_KEY)
+        ends = said(rows).withColumns({"lo": F.min("value_key").over(whole), "hi": F.max("value_key").over(whole)})
+        return ends.filter("lo <> hi").drop("lo", "hi", "key_hash")
+
+    def differing_hot(rows: DataFrame) -> DataFrame:
+        values = said(rows)
+        keys = values.groupBy("key_hash", *FACT_KEY).agg(F.min("value_key").alias("lo"), F.max("value_key").alias("hi")).filter("lo <> hi")
+        return values.drop("key_hash").join(_prefixed(keys, "d_"), _same_key("d_"), "left_semi")
+
+    out = by_key(rows, differing, differing_hot)
     if facts is not None:
         status = _prefixed(facts, "f_", "resolution_status", "resolution_method")
         out = out.join(status, _same_key("f_"), "left").drop(*[f"f_{c}" for c in FACT_KEY])

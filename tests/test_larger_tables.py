@@ -8,8 +8,10 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tallyweave.operators import consensus as C
 from tallyweave.operators import matching as M
 from tallyweave.operators import tables as T
+from tallyweave.plans import derive as D
 
 
 def plan_of(frame) -> str:
@@ -50,3 +52,21 @@ def test_a_shared_code_makes_a_metric_only_for_its_free_record(spark):
     income = lambda *own: {r["row_id"]: r["match_income"] for r in M.match_labels(rows, M.base_metrics(spark), "label", records, *own).collect()}
     assert income("row_id") == {1: None, 1_000_001: "cas2020_000001"}
     assert income() == {1: "cas2020_000001", 1_000_001: "cas2020_000001"}
+
+
+def test_candidates_are_dealt_by_key_once(spark):
+    facts = plan_of(C.consensus_facts(D.all_candidates(spark, SMALL), D.versions(spark)))
+    assert facts.count("Exchange hashpartitioning") == 1, facts
+
+
+def test_hot_keys_give_the_same_facts(spark, monkeypatch):
+    candidates, versions = D.all_candidates(spark, SMALL), D.versions(spark)
+    results = lambda: [
+        sorted(map(str, f.collect()))
+        for f in (C.consensus_facts(candidates, versions), C.discrepancies(candidates, versions, C.consensus_facts(candidates, versions)))
+    ]
+    cold = results()
+    monkeypatch.setattr(C, "HOT_ROWS", 3)
+    keyed = C.with_engines(candidates, versions).withColumn("key_hash", F.xxhash64(*C.FACT_KEY))
+    assert 0 < len(C.hot_keys(keyed)) < keyed.select("key_hash").distinct().count()
+    assert results() == cold
