@@ -67,10 +67,10 @@ def phrase_scores(rows: DataFrame, phrases: DataFrame) -> DataFrame:
     named = phrases.select("statement_type", normalize_label(F.col("phrase")).alias("phrase")).filter("phrase <> ''")
     points = [F.count_if(F.col("statement_type") == s).alias(f"points_{s}") for s in STATEMENTS]
     weights = named.groupBy("phrase").agg(*points)
-    labels = rows.select(*KEY, normalize_label(F.col("label")).alias("text"))
+    labels = materialize(rows.select(*KEY, normalize_label(F.col("label")).alias("text")), "vote-labels")
     total = lambda c: F.sum(c).alias(c)
     each = [f"points_{s}" for s in STATEMENTS]
-    by_text = contained(labels, named).join(weights, "phrase").groupBy("text").agg(*map(total, each))
+    by_text = contained(labels, weights).groupBy("text").agg(*map(total, each))
     return labels.join(by_text, "text").groupBy(*KEY).agg(*map(total, each))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tallyweave.operators import consensus as C
+from tallyweave.operators import containment as O
 from tallyweave.operators import matching as M
 from tallyweave.operators import tables as T
 from tallyweave.plans import derive as D
@@ -70,3 +71,12 @@ def test_hot_keys_give_the_same_facts(spark, monkeypatch):
     keyed = C.with_engines(candidates, versions).withColumn("key_hash", F.xxhash64(*C.FACT_KEY))
     assert 0 < len(C.hot_keys(keyed)) < keyed.select("key_hash").distinct().count()
     assert results() == cold
+
+
+def test_phrases_of_one_name_and_a_number_meet_few_texts(spark, monkeypatch):
+    phrases = spark.range(3000).selectExpr("concat('largering', lpad(bin(id), 12, '0')) AS phrase")
+    texts = spark.range(3000).selectExpr("concat('rowlargering', lpad(bin(id), 12, '0'), 'of', id % 7) AS text")
+    found = O.contained(texts, phrases)
+    assert found.columns == ["text", "phrase"] and found.count() == found.distinct().count() == 3000
+    monkeypatch.setattr(O.F, "contains", lambda text, phrase: F.lit(True))
+    assert 3000 <= O.contained(texts, phrases).count() <= 6000
