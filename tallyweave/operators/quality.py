@@ -162,7 +162,9 @@ def nearest_rank(df: DataFrame, value: str, p: float, by: tuple[str, ...] = ())
     for shift in range(64 - DIGIT, -1, -DIGIT):
         same = reduce(lambda a, b: a & b, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in keys])
         inside = F.col("_prefix").isNull() | (F.shiftright("_key", min(63, shift + DIGIT)) == F.col("_prefix"))
-        left = rows.join(chosen.alias("y"), same).filter(inside)
+        # a single group is one row of chosen, which goes to the rows; joined by key, all rows would go to one task
+        met = rows.join(chosen.alias("y"), same) if by else rows.crossJoin(F.broadcast(chosen.alias("y")))
+        left = met.filter(inside)
         left = left.select(*[F.col(f"x.{c}").alias(c) for c in keys], "_rank", F.col("x._value").alias("_value"), F.shiftright("_key", shift).alias("_digit"))
         counts = left.groupBy(*keys, "_rank", "_digit").agg(F.count("*").alias("_c"), F.min("_value").alias("_low"))
         placed = counts.withColumn("_below", F.coalesce(F.sum("_c").over(walk), F.lit(0)))

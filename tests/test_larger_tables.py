@@ -11,6 +11,7 @@ import __spark_entry__ as entry
 from tallyweave.operators import consensus as C
 from tallyweave.operators import containment as O
 from tallyweave.operators import matching as M
+from tallyweave.operators import quality as Q
 from tallyweave.operators import tables as T
 from tallyweave.plans import derive as D
 
@@ -80,3 +81,10 @@ def test_phrases_of_one_name_and_a_number_meet_few_texts(spark, monkeypatch):
     assert found.columns == ["text", "phrase"] and found.count() == found.distinct().count() == 3000
     monkeypatch.setattr(O.F, "contains", lambda text, phrase: F.lit(True))
     assert 3000 <= O.contained(texts, phrases).count() <= 6000
+
+
+def test_rows_of_a_single_group_stay_where_they_are(spark):
+    found = Q.nearest_rank(spark.range(1001).selectExpr("id * 37 % 1001 AS v"), "v", 75)
+    plan = plan_of(found)
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastNestedLoopJoin") == 4, plan
+    assert found.collect() == [(750,)] and not Q.nearest_rank(spark.range(0), "id", 75).collect()
