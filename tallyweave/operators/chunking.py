@@ -90,8 +90,11 @@ def embed_sentences(docs: DataFrame, embed_batch, width: int, text: str = "text"
                 end = len(texts) if whole else len(texts) - len(texts) % batch
                 calls = [texts[i : i + batch] for i in range(0, end, batch)]
                 del texts[:end]
+                # put together once: appended call by call, the vectors of a batch would be copied for each call
+                made = [done]
                 for start in range(0, len(calls), concurrency):
-                    done = np.concatenate([done, *pool.map(call, calls[start : start + concurrency])])
+                    made += pool.map(call, calls[start : start + concurrency])
+                done = np.concatenate(made)
 
             def ready():
                 nonlocal done

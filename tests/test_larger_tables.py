@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+import time
 
 from conftest import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tallyweave.operators import chunking as K
 from tallyweave.operators import consensus as C
 from tallyweave.operators import containment as O
 from tallyweave.operators import matching as M
@@ -88,3 +90,17 @@ def test_rows_of_a_single_group_stay_where_they_are(spark):
     plan = plan_of(found)
     assert "SortMergeJoin" not in plan and plan.count("BroadcastNestedLoopJoin") == 4, plan
     assert found.collect() == [(750,)] and not Q.nearest_rank(spark.range(0), "id", 75).collect()
+
+
+def test_vectors_of_a_batch_are_put_together_once(spark):
+    docs = spark.range(0, 10000, 1, 1).selectExpr("id", "'One is. Two is. Three is. Four is.' AS text")
+
+    def took(n: int) -> float:
+        start = time.time()
+        made = K.embed_sentences(docs.limit(n), lambda texts: [[1.0] * 64 for _ in texts], 64, batch=1)
+        vecs, sents = made.select(F.sum(F.size("vecs")), F.sum(F.size("sents"))).first()
+        assert vecs == sents >= n
+        return time.time() - start
+
+    took(10)
+    assert took(10000) < 30
