@@ -108,11 +108,15 @@ def number_texts(line: Column) -> Column:
 
 def number_value(raw: Column) -> Column:
     """Value of one number text: ``(…)`` is negative, a single bracket gives NULL."""
-    plain = F.replace(raw, F.lit(","), F.lit(""))
-    bracketed = plain.startswith("(") & plain.endswith(")")
-    inner = F.substring(plain, 2, 1000)
-    value = F.when(bracketed, F.left(inner, F.length(inner) - 1)).otherwise(plain).try_cast(DECIMAL)
-    return F.when(bracketed, -value).otherwise(value)
+
+    def read(plain: Column) -> Column:
+        opens, closes = plain.startswith("("), plain.endswith(")")
+        inner = F.substring(plain, 2, 1000)
+        inside = F.left(inner, F.length(inner) - 1).try_cast(DECIMAL)
+        # texts without a number never reach the cast: each cast that fails costs an exception
+        return F.when((plain != "") & (opens == closes), F.when(opens, -inside).otherwise(plain.try_cast(DECIMAL)))
+
+    return let(F.replace(raw, F.lit(","), F.lit("")), read)
 
 
 def numbers(line: Column) -> Column:
@@ -180,7 +184,8 @@ def cell_span(cell_html: Column, name: str) -> Column:
     """``rowspan`` or ``colspan`` of the opening tag, 1 at least."""
     attrs = F.regexp_extract(strip(cell_html), CELL_TAG, 1)
     found = F.regexp_extract_all(attrs, F.lit(rf"""(?i)\b{name}\s*=\s*['"]?(\d+)"""), F.lit(1))
-    return F.greatest(F.lit(1), F.coalesce(F.try_element_at(found, F.lit(-1)).try_cast("int"), F.lit(1)))
+    span = F.greatest(F.lit(1), F.coalesce(F.try_element_at(found, F.lit(-1)).try_cast("int"), F.lit(1)))
+    return F.when(F.contains(F.lower(cell_html), F.lit(name)), span).otherwise(1)
 
 
 def last_heading(context: Column) -> Column:

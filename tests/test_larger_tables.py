@@ -9,6 +9,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tallyweave.functions import recognise as R
 from tallyweave.operators import chunking as K
 from tallyweave.operators import consensus as C
 from tallyweave.operators import containment as O
@@ -104,3 +105,12 @@ def test_vectors_of_a_batch_are_put_together_once(spark):
 
     took(10)
     assert took(10000) < 30
+
+
+def test_a_cell_is_searched_for_its_number_once(spark):
+    texts = ["", "a", "1,234.50", "(7)", "(-7)", "(7", "7)", "( 7 )", "2024年", "-3.25", "12.5%", None, "9" * 3 + ",999" * 12]
+    cells = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = cells.select(R.first_number(F.col("t")).alias("v"))
+    shown = [None if r.v is None else float(r.v) for r in found.collect()]
+    assert shown == [None, None, 1234.5, -7.0, 7.0, None, None, 7.0, None, -3.25, None, None, None]
+    assert plan_of(found).count("regexp_extract") == 1
