@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -61,7 +62,11 @@ def arrow_map(df: DataFrame, function, schema: str, keep: str | None = None) ->
 
 
 def arrow_stream(df: DataFrame, function, schema: str, keep: str | None = None) -> DataFrame:
-    """Like :func:`arrow_map` with a function from all record batches of a partition, in their order, to dicts of columns."""
+    """Like :func:`arrow_map` with a function from all record batches of a partition, in their order, to dicts of columns.
+
+    Batches of long texts end at ``BATCH_BYTES``: a batch lies in the executor, outside its heap, and in the worker at once.
+    """
+    df.sparkSession.conf.set(BATCH_KEY, BATCH_BYTES)
     out = T.StructType.fromDDL(schema)
     arrow = pa.schema([(f.name, arrow_type(f.dataType)) for f in out.fields])
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tallyweave.llm import bpe, components, licenses, maxscore, near_dups, packing, pii, quality_model, quality_rules, spans, warc
+from tallyweave.llm import bpe, common, components, licenses, maxscore, near_dups, packing, pii, quality_model, quality_rules, spans, warc
 from tallyweave.llm.common import work_path
 from tallyweave.llm.queries import vocabulary
 
@@ -624,3 +624,9 @@ def test_equal_rows_that_share_an_id_give_one_set(spark):
     found = near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), width=4)
     counts = {(r.doc_id, r.component_id, r.kept): r["count"] for r in found.groupBy("doc_id", "component_id", "kept").count().collect()}
     assert counts == {(7, 7, True): 40, (9, 7, False): 1, (11, 11, True): 1}
+
+
+def test_batches_of_long_texts_end_at_a_number_of_bytes(spark):
+    texts = spark.range(0, 300, 1, 1).select(F.rpad(F.col("id").cast("string"), 100_000, "x").alias("text"))
+    sizes = common.arrow_map(texts, lambda batch: [{"size": [batch.nbytes]}], "size bigint").collect()
+    assert sum(r["size"] for r in sizes) >= 300 * 100_000 and max(r["size"] for r in sizes) <= common.BATCH_BYTES + 2 * 100_000
