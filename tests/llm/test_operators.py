@@ -630,3 +630,13 @@ def test_batches_of_long_texts_end_at_a_number_of_bytes(spark):
     texts = spark.range(0, 300, 1, 1).select(F.rpad(F.col("id").cast("string"), 100_000, "x").alias("text"))
     sizes = common.arrow_map(texts, lambda batch: [{"size": [batch.nbytes]}], "size bigint").collect()
     assert sum(r["size"] for r in sizes) >= 300 * 100_000 and max(r["size"] for r in sizes) <= common.BATCH_BYTES + 2 * 100_000
+
+
+def test_quality_rules_never_shuffle_a_text(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(quality_rules, "stored", lambda df, purpose: made.append(df._jdf.queryExecution().executedPlan().toString()) or common.stored(df, purpose))
+    docs = spark.range(0, 60).select(F.col("id").alias("doc_id"), F.rpad(F.lit("a b c d e "), 400, "f g ").alias("text"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    judged = quality_rules.score_documents(docs, labels, carry={"text": "string"})
+    assert judged.count() == 60 and judged.select("text").distinct().count() == 1
+    assert not [p for p in made if "Join" in p and "text#" in p]
