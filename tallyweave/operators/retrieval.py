@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions import vectors as V
-from tallyweave.operators.stage import materialize, spread
+from tallyweave.operators.stage import materialize, spread, stage
 
 # The scoring helpers run in Python workers, which need not have this package on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -302,12 +302,36 @@ def search(queries: DataFrame, corpus: DataFrame, n: int = TOP_N, k: int = TOP_K
 # ---------------------------------------------------------------- term search
 
 
+def _text_postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Postings of each row of ``docs`` on its own: its sorted words are cut where the term changes, so no word is shuffled."""
+    words = F.transform(V.terms(F.col(text)), lambda t, i: F.struct(t.alias("term"), i.alias("position")))
+    ordered = stage(docs.select(key, text), {"words": F.sort_array(words)}, [key]).filter(F.size("words") > 0)
+    at = F.sequence(F.lit(0), F.size("words") - 1)
+    first = F.filter(at, lambda i: (i == 0) | (F.get("words", i)["term"] != F.get("words", i - 1)["term"]))
+    cut = stage(ordered, {"first": first}, [key, "words"])
+
+    def posting(a: Column, k: Column) -> Column:
+        end = F.coalesce(F.get("first", k + 1), F.size("words"))
+        positions = F.transform(F.slice("words", a + 1, end - a), lambda w: w["position"])
+        return F.struct(F.get("words", a)["term"].alias("term"), (end - a).cast("long").alias("tf"), positions.alias("positions"))
+
+    return cut.select(key, F.inline(F.transform("first", posting))).select("term", key, "tf", "positions")
+
+
 def postings(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Inverted index rows (term, key, tf, positions); a term's rows stay rows and are never gathered."""
-    words = spread(docs.select(key, text)).select(key, F.posexplode(V.terms(F.col(text))).alias("position", "term"))
-    return words.groupBy("term", key).agg(
-        F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions")
-    )
+    """Inverted index rows (term, key, tf, positions); a term's rows stay rows and are never gathered.
+
+    A key's postings are made within its row.  Only rows that share a key, found
+    by a count of the keys when the plan is built, meet in a shuffle of their words.
+    """
+    docs = spread(docs.select(key, text))
+    repeated = docs.groupBy(key).count().filter("count > 1").select(F.col(key).alias("repeated"))
+    if not repeated.take(1):
+        return _text_postings(docs, key, text)
+    same = F.col(key).eqNullSafe(F.col("repeated"))
+    words = docs.join(repeated, same, "left_semi").select(key, F.posexplode(V.terms(F.col(text))).alias("position", "term"))
+    shared = words.groupBy("term", key).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
+    return _text_postings(docs.join(repeated, same, "left_anti"), key, text).unionByName(shared)
 
 
 def key_range(key: str, ranges: int) -> Column:

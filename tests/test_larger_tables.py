@@ -15,6 +15,7 @@ from tallyweave.operators import consensus as C
 from tallyweave.operators import containment as O
 from tallyweave.operators import matching as M
 from tallyweave.operators import quality as Q
+from tallyweave.operators import retrieval as S
 from tallyweave.operators import tables as T
 from tallyweave.plans import derive as D
 
@@ -114,3 +115,15 @@ def test_a_cell_is_searched_for_its_number_once(spark):
     shown = [None if r.v is None else float(r.v) for r in found.collect()]
     assert shown == [None, None, 1234.5, -7.0, 7.0, None, None, 7.0, None, -3.25, None, None, None]
     assert plan_of(found).count("regexp_extract") == 1
+
+
+def test_postings_of_single_keys_shuffle_no_word(spark):
+    rows = [(1, "b a b"), (2, None), (3, ""), (None, "a"), (4, "A-c")]
+    docs = spark.createDataFrame(rows, "doc long, text string")
+    index = S.postings(docs, "doc")
+    assert "hashpartitioning" not in plan_of(index)
+    want = {("a", 1, 1, (1,)), ("b", 1, 2, (0, 2)), ("a", None, 1, (0,)), ("a", 4, 1, (0,)), ("c", 4, 1, (1,))}
+    read = lambda frame: {(r["term"], r["doc"], r["tf"], tuple(r["positions"])) for r in frame.collect()}
+    assert read(index) == want and index.count() == len(want)
+    twice = S.postings(docs.union(spark.createDataFrame([(1, "c a"), (None, "d")], docs.schema)), "doc")
+    assert read(twice) == want - {("a", 1, 1, (1,)), ("a", None, 1, (0,))} | {("a", 1, 2, (1, 1)), ("c", 1, 1, (0,)), ("a", None, 1, (0,)), ("d", None, 1, (0,))}
