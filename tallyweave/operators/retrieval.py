@@ -380,12 +380,15 @@ def needed_blocks(blocks: DataFrame, found: DataFrame, others: DataFrame) -> Dat
 def term_search(index: DataFrame, queries: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
     """Keys that hold every term of a query: queries(query_id, query), index(term, key, tf).
 
+    Only postings of terms that some query has are kept; the index is read once.
     The rarest term of a query gives its candidates; of its other terms only the
     blocks are read in which a candidate can lie, and candidates meet postings
     by term and key.  So a frequent term beside a rare one costs as many rows as
     the rare one's ranges hold.  Without ``ranges`` they are made to hold some
     1024 documents each.
     """
+    wanted = queries.select(F.explode(V.terms(F.col("query"))).alias("term")).distinct()
+    index = materialize(index.select("term", key, "tf").join(wanted, "term", "left_semi"), "wanted-postings")
     if ranges is None:
         ranges = max(1, index.select(F.approx_count_distinct(key)).first()[0] // 1024)
     blocks = materialize(posting_blocks(index, key, ranges), "posting-blocks")

@@ -127,3 +127,18 @@ def test_postings_of_single_keys_shuffle_no_word(spark):
     assert read(index) == want and index.count() == len(want)
     twice = S.postings(docs.union(spark.createDataFrame([(1, "c a"), (None, "d")], docs.schema)), "doc")
     assert read(twice) == want - {("a", 1, 1, (1,)), ("a", None, 1, (0,))} | {("a", 1, 2, (1, 1)), ("c", 1, 1, (0,)), ("a", None, 1, (0,)), ("d", None, 1, (0,))}
+
+
+def test_a_term_search_keeps_only_postings_of_asked_terms(spark, monkeypatch):
+    kept = {}
+    real = S.materialize
+
+    def noted(frame, purpose):
+        kept[purpose] = real(frame, purpose)
+        return kept[purpose]
+
+    monkeypatch.setattr(S, "materialize", noted)
+    docs = spark.createDataFrame([(i, f"word{i} common") for i in range(50)], "doc long, text string")
+    found = S.term_search(S.postings(docs, "doc"), spark.createDataFrame([(1, "Word7 common")], "query_id long, query string"), "doc")
+    assert [tuple(r) for r in found.collect()] == [(1, 7, 2)]
+    assert {r["term"] for r in kept["posting-blocks"].collect()} == {"word7", "common"}
