@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.labels import GENERIC_SHORT, SHORT_MAX, english_name, normalize_label
 from tallyweave.operators.ordered import running
 from tallyweave.operators.quality import side_by_side
-from tallyweave.operators.stage import materialize, shuffled, stage
+from tallyweave.operators.stage import dealt, materialize, shuffled, stage
 
 BUCKETS = ("patterns", "patterns_exact", "patterns_en", "patterns_en_exact")
 # Labels too general to name a metric; the short list is the one of contents mapping.
@@ -50,7 +50,8 @@ def _norm_in(norm: Column, labels) -> Column:
 def metric_labels(metrics: DataFrame, names: tuple[str, ...], buckets: tuple[str, ...] = BUCKETS) -> DataFrame:
     """All labels of all metrics as rows (metric_code, def_order, label_no, label, norm)."""
     labels = F.concat(F.array(*names), *buckets)
-    rows = metrics.select("metric_code", "def_order", F.posexplode(labels).alias("label_no", "label"))
+    packed = dealt(metrics.select("metric_code", "def_order", labels.alias("labels")))
+    rows = packed.select("metric_code", "def_order", F.posexplode("labels").alias("label_no", "label"))
     known = rows.filter(F.coalesce("label", F.lit("")) != "")
     return stage(known, {"norm": normalize_label(F.col("label"))}).filter("norm <> ''")
 

@@ -33,6 +33,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows that each become many, dealt to tasks of bounded size.
+
+    Well packed files have one split for what is exploded to many times its
+    bytes; the engine sets the number of tasks by the bytes of the unpacked rows.
+    """
+    return df.hint("rebalance")
+
+
 def shuffled(df: DataFrame) -> DataFrame:
     """The side of a join that is never broadcast.
 

@@ -13,6 +13,7 @@ from tallyweave.functions import recognise as R
 from tallyweave.operators import chunking as K
 from tallyweave.operators import consensus as C
 from tallyweave.operators import containment as O
+from tallyweave.operators import dictionary as J
 from tallyweave.operators import matching as M
 from tallyweave.operators import quality as Q
 from tallyweave.operators import retrieval as S
@@ -142,3 +143,9 @@ def test_a_term_search_keeps_only_postings_of_asked_terms(spark, monkeypatch):
     found = S.term_search(S.postings(docs, "doc"), spark.createDataFrame([(1, "Word7 common")], "query_id long, query string"), "doc")
     assert [tuple(r) for r in found.collect()] == [(1, 7, 2)]
     assert {r["term"] for r in kept["posting-blocks"].collect()} == {"word7", "common"}
+
+
+def test_label_rows_come_from_dealt_metrics(spark):
+    rows = J.metric_labels(D.part_metrics(spark, SMALL), ("metric_name_cn", "metric_name_en"))
+    plan = plan_of(rows)
+    assert "REBALANCE" in plan and plan.index("Generate posexplode") < plan.index("REBALANCE")
