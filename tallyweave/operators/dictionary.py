@@ -180,8 +180,11 @@ def label_additions(labels: DataFrame, concepts: DataFrame) -> DataFrame:
 
 
 def merge_labels(metrics: DataFrame, labels: DataFrame, create: bool = False) -> DataFrame:
-    """Dictionary with the labels of a taxonomy added."""
-    concepts = map_concepts(labels, metrics, create)
+    """Dictionary with the labels of a taxonomy added.
+
+    New metrics and additions both need the mapped concepts, and these need all labels, so they are mapped once.
+    """
+    concepts = materialize(map_concepts(labels, metrics, create), "mapped-concepts")
     full = metrics
     if create:
         full = metrics.unionByName(new_metrics(concepts.filter("is_new"), metrics, "concept_order"))

@@ -149,3 +149,8 @@ def test_label_rows_come_from_dealt_metrics(spark):
     rows = J.metric_labels(D.part_metrics(spark, SMALL), ("metric_name_cn", "metric_name_en"))
     plan = plan_of(rows)
     assert "REBALANCE" in plan and plan.index("Generate posexplode") < plan.index("REBALANCE")
+
+
+def test_a_taxonomy_is_mapped_once(spark):
+    merged = J.merge_labels(D.part_metrics(spark, SMALL), D.taxonomy_labels(spark, SMALL), create=True)
+    assert plan_of(merged).count("FileScan parquet [l_orderkey") == 1
