@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from tallyweave.llm.common import arrow_map, slices, with_types, worker_store
-from tallyweave.llm.word_ids import WordIds
+from tallyweave.llm.word_ids import WordIds, side_by_side
 
 SLICE = 1 << 19
 NONE = np.int64(1 << 40)
@@ -142,7 +142,7 @@ def encoder(path: str) -> tuple[Encoder, WordIds]:
     if ("bpe", path) not in kept:
         with open(path, encoding="utf-8") as file:
             own = Encoder(json.load(file))
-        kept["bpe", path] = own, WordIds(own.encode_words, own.encode_text, tuple(own.special))
+        kept["bpe", path] = own, WordIds(lambda words: side_by_side(own.encode_words(words)), own.encode_text, tuple(own.special))
     return kept["bpe", path]
 
 

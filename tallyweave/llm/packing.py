@@ -18,6 +18,7 @@ import os
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import compress
 
 import numpy as np
 from pyspark import TaskContext
@@ -25,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallyweave.llm.bpe import byte_letters
 from tallyweave.llm.common import arrow_map, arrow_stream, slices, stored, with_types, worker_store
-from tallyweave.llm.word_ids import WordIds
+from tallyweave.llm.word_ids import WordIds, side_by_side
 
 SLICE = 1 << 19
 CAPACITY = 2048
@@ -37,17 +39,17 @@ def token_source(path: str, most: int = 800_000) -> WordIds:
     kept = worker_store()
     if ("tokenizer", path, most) not in kept:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the cores are Spark's
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_padding()
-        tokenizer.no_truncation()
-        vocab = tokenizer.get_vocab(with_added_tokens=False)
-        ends = np.zeros(max(vocab.values()) + 1, bool)
-        ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        tokenizer, bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for own in (tokenizer, bare):
+            own.no_padding()
+            own.no_truncation()
+        bare.normalizer, bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        stop = tokenizer.token_to_id(BYTES[0] + "</w>")
         special = tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
         kept["tokenizer", path, most] = WordIds(
-            lambda words: encoded_words(tokenizer, words, ends),
+            lambda words: encoded_words(tokenizer, bare, words, stop),
             lambda text: tokenizer.encode(text, add_special_tokens=False).ids,
             special,
             most,
@@ -55,33 +57,33 @@ def token_source(path: str, most: int = 800_000) -> WordIds:
     return kept["tokenizer", path, most]
 
 
-# Latin letters that normal form C leaves alone and whose small letters are letters, then perhaps one mark that is no part of a contraction.
-PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-įı-ɏ]+([!-&(-/:-@\[-`{-~]?)")
+# Latin letters that normal form C leaves alone and whose small letters are letters, digits, and marks that are no part of a contraction.
+MARKS = r"!-&(-/:-@\[-`{-~"
+PLAIN = re.compile(f"[A-Za-zÀ-ÖØ-öø-įı-ɏ0-9{MARKS}]+")
+NO_LETTERS = re.compile(f"[{MARKS}]+|[0-9]")
+BYTES = {b: letter for b, letter in enumerate(byte_letters()) if b != 32}
 
 
-def encoded_words(tokenizer, words: list[str], ends: np.ndarray, group: int = 1000) -> list[list[int]]:
-    """Ids of each word.
+def encoded_words(tokenizer, bare, words: list[str], stop: int, group: int = 1000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the words, as :func:`side_by_side` lays them out.
 
-    Words of letters, or letters and a mark, are one or two pieces to the
-    tokenizer, so many of them can share a call and be parted at the tokens
-    that end a piece (``ends``, by id); the others are encoded one by one.
+    Words of letters, digits and marks are made small, cut into runs and written
+    in the letters of their bytes here, as the tokenizer does it.  ``bare``, which
+    has the merges alone, encodes many of them in a call, each before a zero byte,
+    of which ``stop`` is the id.  The others are encoded one by one.
     """
-    match = [PLAIN.fullmatch(w) for w in words]
-    plain = [i for i, m in enumerate(match) if m]
-    out: list = [None] * len(words)
-    groups = [plain[k : k + group] for k in range(0, len(plain), group)]
-    texts = [" ".join([words[i] for i in g]) for g in groups]
-    for g, e in zip(groups, tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-        ids = e.ids
-        cuts = np.flatnonzero(ends[ids]) + 1
-        at = 0
-        for i, b in zip(g, cuts[np.cumsum([2 if match[i][1] else 1 for i in g]) - 1].tolist()):
-            out[i] = ids[at:b]
-            at = b
-    rest = [i for i, m in enumerate(match) if not m]
-    for i, e in zip(rest, tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)):
-        out[i] = e.ids
-    return out
+    is_plain = [PLAIN.fullmatch(w) is not None for w in words]
+    plain, rest = list(compress(words, is_plain)), [w for w, p in zip(words, is_plain) if not p]
+    texts = [NO_LETTERS.sub(r" \g<0> ", " \0 ".join([*plain[k : k + group], ""]).lower()) for k in range(0, len(plain), group)]
+    texts = [t.encode().decode("latin-1").translate(BYTES) for t in texts]
+    flat = np.array([i for e in bare.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.int32)
+    others = side_by_side([e.ids for e in tokenizer.encode_batch_fast(rest, add_special_tokens=False)])
+    order = np.argsort(~np.array(is_plain, bool), kind="stable")
+    ends = np.flatnonzero(flat == stop)
+    first, size = np.empty((2, len(words)), np.int64)
+    first[order] = np.concatenate([[0] * (len(ends) > 0), ends[:-1] + 1, len(flat) + others[0]])
+    size[order] = np.concatenate([np.diff(ends, prepend=-1) - 1, others[1]])
+    return first, size, np.concatenate([flat, others[2]])
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = 0, with_ids: bool = True, known_words: int = 800_000) -> DataFrame:

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 import corpus_pipeline
 from tallyweave.llm import bpe, common, components, licenses, maxscore, near_dups, packing, pii, quality_model, quality_rules, spans, warc
@@ -91,6 +91,23 @@ def test_packing(docs, texts):
         assert [o for o, _ in sorted(own)] == list(np.cumsum([0, *[n for _, n in sorted(own)]])[:-1]) and sum(n for _, n in own) <= 2048
 
 
+def test_words_with_marks_and_digits_share_a_call():
+    whole = Tokenizer.from_file(vocabulary())
+    rng = random.Random(0)
+    signs = [chr(c) for c in range(33, 0x250)] + list("abcdefgh" * 20 + "!.,#*-3")
+    made = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 8))) for _ in range(20_000)] + ["it's", "İ", "中文", "ﬁ", "e\u0301"]
+    known = packing.token_source(vocabulary())
+    assert [x.tolist() for x in known.of([w for w in made])] == [e.ids for e in whole.encode_batch_fast(made, add_special_tokens=False)]
+    alone = []
+    source = type("Noted", (), {"encode_batch_fast": lambda self, texts, **_: alone.extend(texts) or whole.encode_batch_fast(texts, **_)})()
+    bare = Tokenizer.from_str(whole.to_str())
+    bare.normalizer, bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+    words = ["Ende***", "x2y", "a!!", "Größe,", "it's", "中"]
+    first, size, flat = packing.encoded_words(source, bare, words, whole.token_to_id("Ā</w>"))
+    assert alone == ["it's", "中"]
+    assert [flat[a : a + n].tolist() for a, n in zip(first, size)] == [whole.encode(w, add_special_tokens=False).ids for w in words]
+
+
 def test_plans_fill_every_sequence_without_gaps():
     rng = random.Random(0)
     for _ in range(200):
