@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -65,9 +66,10 @@ def run_session_stream(spark: SparkSession, source: str, schema, limit: int = 20
 
 # ---------------------------------------------------------------- state kept by the engine
 
-MESSAGE = "struct<ts:timestamp,role:string,content:string>"
-STATE = "n_messages bigint, created_at timestamp, updated_at timestamp, ts array<timestamp>, role array<string>, content array<string>"
-SESSION = f"session_id {{key}}, created_at timestamp, updated_at timestamp, n_messages bigint, last_messages array<{MESSAGE}>, closed boolean"
+# Times are microseconds in the state and in what the function gives back; the engine makes timestamps of them.
+STATE = "n_messages bigint, created_at bigint, updated_at bigint, ts array<bigint>, role array<string>, content array<string>"
+SESSION = f"session_id {{key}}, {STATE}, closed boolean"
+COLUMNS = pd.Index([f.split()[0] for f in SESSION.split(", ")])
 
 
 def live_sessions(messages: DataFrame, limit: int = 20, lateness: str = "1 hour", idle_ms: int = 3_600_000) -> DataFrame:
@@ -80,45 +82,53 @@ def live_sessions(messages: DataFrame, limit: int = 20, lateness: str = "1 hour"
     state is dropped.  Messages may come in any order within ``lateness``; later ones are left out.
     """
     key = messages.schema["session_id"].dataType.simpleString()
-    zone = messages.sparkSession.conf.get("spark.sql.session.timeZone")  # times reach the function without a zone, in this one
 
     def advance(session, batches, state):
         if state.hasTimedOut:
-            n, first, last, *kept = state.get
+            kept = state.get
             state.remove()
-            yield _session_row(session[0], n, first, last, list(zip(*kept)), True)
+            yield _session_row(session[0], kept, True, key)
             return
         n, first, last, kept = 0, None, None, []
         if state.exists:
             n, first, last, *columns = state.get
             kept = list(zip(*columns))
-        reached = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms", tz="UTC").tz_convert(zone).tz_localize(None)
+        reached = state.getCurrentWatermarkMs() * 1000
         for batch in batches:
-            batch = batch[batch["ts"] >= reached]  # the engine's own filter lags a batch behind and would open closed sessions again
-            if not len(batch):
+            # the engine's own filter lags a batch behind and would open closed sessions again
+            rows = [(m["us"], m["role"], m["content"]) for m in batch["message"].tolist() if m["us"] >= reached]
+            if not rows:
                 continue
-            n += len(batch)
+            n += len(rows)
             # the last of a batch are all that can be among the last of the session
-            rows = list(zip(*(batch[c].tolist() for c in ("ts", "role", "content"))))
             kept = sorted(kept + rows, key=lambda r: (r[0], str(r[1]), str(r[2])))[-limit:]
-            low, high = batch["ts"].min(), batch["ts"].max()
+            times = [r[0] for r in rows]
+            low, high = min(times), max(times)
             first, last = low if first is None else min(first, low), high if last is None else max(last, high)
         if not n:
             return
-        as_time = lambda t: pd.Timestamp(t).to_pydatetime()
-        columns = [list(c) for c in zip(*kept)] or [[], [], []]
-        state.update((n, as_time(first), as_time(last), [as_time(t) for t in columns[0]], columns[1], columns[2]))
-        state.setTimeoutTimestamp(max(int(pd.Timestamp(last).tz_localize(zone).timestamp() * 1000) + idle_ms, state.getCurrentWatermarkMs() + 1))
-        yield _session_row(session[0], n, first, last, kept, False)
-
-    stream = messages.select("session_id", "ts", "role", "content").withWatermark("ts", lateness)
-    return stream.groupBy("session_id").applyInPandasWithState(advance, SESSION.format(key=key), STATE, "update", GroupStateTimeout.EventTimeTimeout)
-
-
-def _session_row(session, n, first, last, kept, closed: bool) -> pd.DataFrame:
-    messages = [{"ts": pd.Timestamp(t), "role": r, "content": c} for t, r, c in kept]
-    values = {"session_id": [session], "created_at": [first], "updated_at": [last], "n_messages": [n], "last_messages": [messages], "closed": [closed]}
-    return pd.DataFrame(values)
+        done = (n, first, last, *([list(c) for c in zip(*kept)] or [[], [], []]))
+        state.update(done)
+        state.setTimeoutTimestamp(max(last // 1000 + idle_ms, state.getCurrentWatermarkMs() + 1))
+        yield _session_row(session[0], done, False, key)
+
+    # one column for the function, as the engine converts each one for each session; ts stays for the engine, which finds the watermark in it
+    whole = F.struct(F.unix_micros("ts").alias("us"), "role", "content").alias("message")
+    stream = messages.filter("ts IS NOT NULL").select("session_id", "ts", whole).withWatermark("ts", lateness)
+    made = stream.groupBy("session_id").applyInPandasWithState(advance, SESSION.format(key=key), STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    message = lambda m: F.struct(F.timestamp_micros(m["ts"]).alias("ts"), m["role"].alias("role"), m["content"].alias("content"))
+    times = [F.timestamp_micros(c).alias(c) for c in ("created_at", "updated_at")]
+    last_messages = F.transform(F.arrays_zip("ts", "role", "content"), message).alias("last_messages")
+    return made.select("session_id", *times, "n_messages", last_messages, "closed")
+
+
+def _session_row(session, kept, closed: bool, key: str) -> pd.DataFrame:
+    """One row; of plain objects, as a frame that looks for the kind of each column takes several times as long."""
+    values = np.empty((1, len(COLUMNS)), object)
+    for i, value in enumerate((session, *kept, closed)):
+        values[0, i] = value
+    row = pd.DataFrame(values, columns=COLUMNS)
+    return row.infer_objects() if key.startswith("timestamp") else row
 
 
 def live_session_stream(messages: DataFrame, root: str, checkpoint: str, **options):

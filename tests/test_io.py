@@ -247,6 +247,23 @@ def test_live_sessions_over_micro_batches_with_late_messages(spark, tmp_path):
     assert state["c"] == (2, 7300, 7301, ["new", "more"], False)
 
 
+def test_live_sessions_keep_times_as_numbers(spark, tmp_path):
+    # 01:30 comes twice in this night; times of the local clock would be one
+    stamps = [1_699_162_200, 1_699_165_800, None]
+    rows = spark.createDataFrame([(t, s) for s, t in enumerate(stamps)], "s long, n int").selectExpr("timestamp_seconds(s) AS ts", "n")
+    rows.selectExpr("1 AS session_id", "ts", "'user' AS role", "string(n) AS content").write.parquet(str(tmp_path / "in"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        stream = spark.readStream.schema("session_id int, ts timestamp, role string, content string").parquet(str(tmp_path / "in"))
+        sessions.live_session_stream(stream, str(tmp_path / "live"), str(tmp_path / "progress")).awaitTermination()
+        seconds = "unix_seconds(created_at)", "unix_seconds(updated_at)", "transform(last_messages, m -> unix_seconds(m.ts))", "n_messages"
+        got = [tuple(r) for r in sessions.newest_sessions(spark, str(tmp_path / "live")).selectExpr(*seconds).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [(*stamps[:2], stamps[:2], 2)]
+
+
 def test_item_lines_in_splits(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"id": "1", "pre_text": ["x"]}\n{broken\n\n{"id": "2"}\n')
     good, bad = items.read_items(spark, str(tmp_path), layout="lines")
