@@ -52,6 +52,8 @@ CASHFLOW_CODES = (
 )
 # Keys with more candidates are aggregated before they are shuffled; the sketch that finds them keeps this many keys at most.
 HOT_ROWS, SKETCH_KEYS = 100_000, 8192
+# A task sorts about so many dealt candidates at most, so that none has to be spilled (some 250 MB with both steps' rows).
+TASK_ROWS = 200_000
 FX_NAME = "汇率变动对现金及现金等价物的影响"
 
 
@@ -102,13 +104,24 @@ def with_engines(candidates: DataFrame, versions: DataFrame) -> DataFrame:
     ).drop("parse_method")
 
 
-def hot_keys(keyed: DataFrame) -> list[int]:
-    """Hashes of the keys with more than HOT_ROWS candidates, and of others that a sketch of bounded size can't tell from them.
+def key_sizes(keyed: DataFrame) -> tuple[int, list[int]]:
+    """How many candidates there are, and the hashes of the keys with more than HOT_ROWS of them (and of others that a sketch of bounded size can't tell from them).
 
-    The list says only which way a key's rows go, never what counts.
+    They say only how a key's rows are dealt, never what counts.
     """
-    found = keyed.agg(F.expr(f"approx_top_k(key_hash, {SKETCH_KEYS // 2}, {SKETCH_KEYS})").alias("top")).first()["top"]
-    return [item["item"] for item in found or [] if item["count"] > HOT_ROWS]
+    found = keyed.agg(F.count("*").alias("n"), F.expr(f"approx_top_k(key_hash, {SKETCH_KEYS // 2}, {SKETCH_KEYS})").alias("top")).first()
+    return found["n"], [item["item"] for item in found["top"] or [] if item["count"] > HOT_ROWS]
+
+
+def hot_keys(keyed: DataFrame) -> list[int]:
+    return key_sizes(keyed)[1]
+
+
+def dealt_by_key(keyed: DataFrame, rows: int) -> DataFrame:
+    """Rows by ``key_hash``, to as many tasks as bound the rows of each; a small table to as many as the session says."""
+    tasks = -(-rows // TASK_ROWS)
+    few = tasks <= int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return keyed.repartition("key_hash") if few else keyed.repartition(tasks, "key_hash")
 
 
 Steps = Callable[[DataFrame], DataFrame]
@@ -120,11 +133,11 @@ def by_key(rows: DataFrame, steps: Steps, hot_steps: Steps | None = None) -> Dat
     Steps must group by ``key_hash`` and further columns only, so that both parts are whole.
     """
     keyed = rows.withColumn("key_hash", F.xxhash64(*FACT_KEY))
-    hot = hot_keys(keyed)
+    size, hot = key_sizes(keyed)
     if not hot:
-        return steps(keyed.repartition("key_hash"))
+        return steps(dealt_by_key(keyed, size))
     is_hot = F.col("key_hash").isin(*hot)
-    return steps(keyed.filter(~is_hot).repartition("key_hash")).unionByName((hot_steps or steps)(keyed.filter(is_hot)))
+    return steps(dealt_by_key(keyed.filter(~is_hot), size)).unionByName((hot_steps or steps)(keyed.filter(is_hot)))
 
 
 def value_groups(candidates: DataFrame, decimals: int | None = 2) -> DataFrame:

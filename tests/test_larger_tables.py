@@ -159,3 +159,13 @@ def test_a_taxonomy_is_mapped_once(spark):
 def test_picks_name_their_facts_without_a_join(spark):
     plan = plan_of(entry.queries()["resolve_picks"](spark, SMALL))
     assert plan.count("REPARTITION_BY_COL") == 1 and "f_metric_id" not in plan
+
+
+def test_dealt_tasks_hold_a_bounded_number_of_candidates(spark, monkeypatch):
+    candidates, versions = D.all_candidates(spark, SMALL), D.versions(spark)
+    n, facts = candidates.count(), lambda: C.consensus_facts(candidates, versions)
+    few = sorted(map(str, facts().collect()))
+    monkeypatch.setattr(C, "TASK_ROWS", 500)
+    made = facts()
+    assert re.findall(r"hashpartitioning\(key_hash#\d+L, (\d+)\)", plan_of(made)) == [str(-(-n // 500))]
+    assert sorted(map(str, made.collect())) == few
