@@ -52,7 +52,7 @@ CASHFLOW_CODES = (
 )
 # Keys with more candidates are aggregated before they are shuffled; the sketch that finds them keeps this many keys at most.
 HOT_ROWS, SKETCH_KEYS = 100_000, 8192
-# A task sorts about so many dealt candidates at most, so that none has to be spilled (some 250 MB with both steps' rows).
+# A task sorts about so many dealt candidates at most, so that none has to be spilled (134 to 329 MB of a task's memory were measured).
 TASK_ROWS = 200_000
 FX_NAME = "汇率变动对现金及现金等价物的影响"
 
