@@ -31,6 +31,10 @@ BEFORE_CHARS, AFTER_CHARS = 1200, 800
 KEY = ["report_id", "engine", "table_key"]
 COLUMN_TYPE = "struct<label:string,period_start:date,period_end:date,fiscal_year:int,fiscal_period:string>"
 PAGES_PER_BLOCK = 64
+# A task reads the lines of about so many pages or characters at most, so that none has to be spilled.
+TASK_PAGES, TASK_CHARS = 25_000, 8_000_000
+# Reports with more pages are cut into blocks; the sketch that finds them keeps this many reports at most.
+HOT_PAGES, SKETCH_REPORTS = 5_000, 8192
 
 
 # ---------------------------------------------------------------- row statement vote
@@ -359,30 +363,236 @@ def guess_columns(header_text: Column, n_cols: Column) -> Column:
     )
 
 
-def text_tables(pages: DataFrame, patterns: dict[str, list[str]], rule_map: Column | None = None):
+def text_tables(pages: DataFrame, patterns: dict[str, list[str]] | DataFrame, rule_map: Column | None = None, with_table: bool = False):
     """Tables from runs of number lines: ``(tables, rows)``.
 
     A table opens at a line with a label and two numbers, goes on over lines
     with a label and one number, and ends at any other line.  Whether a line
     belongs to a table follows from two running maxima, the last line that
-    cannot be a row and the last that can open a table; so a long report is cut
-    into blocks of pages instead of being walked line by line.
+    cannot be a row and the last that can open a table.  The pages of a report
+    meet in one task and nothing else is shuffled; very long reports (and pages
+    without a report or engine) are cut into blocks of pages instead of being
+    walked line by line.
+
+    With ``with_table`` each row also has its table's columns as the struct
+    ``table``, as the join of rows and tables by their key would give them.
     """
+    by_blocks = lambda some: _with_tables(*_block_tables(some, patterns, rule_map), with_table)
+    if isinstance(patterns, DataFrame) or pages.isStreaming:
+        return by_blocks(pages)
     group = ["report_id", "engine"]
-    raw = spread(pages).select(*group, "page", F.posexplode(lines(F.col("text_raw"))).alias("pos", "raw")).select(
+    # A constant engine would be taken out of the windows' keys but not out of those that pages are dealt by.
+    raw = stage(pages, {c: F.col(c) for c in group}, ["page", "text_raw"])
+    named = F.col("report_id").isNotNull() & F.col("engine").isNotNull()
+    report = F.xxhash64(*group)
+    size = raw.agg(
+        F.count_if(named).alias("pages"),
+        F.count_if(~named).alias("others"),
+        F.coalesce(F.sum(F.length("text_raw")), F.lit(0)).alias("chars"),
+        F.expr(f"approx_top_k(xxhash64(report_id, engine), {SKETCH_REPORTS // 2}, {SKETCH_REPORTS})").alias("top"),
+    ).first()
+    hot = [item["item"] for item in size["top"] or [] if item["count"] > HOT_PAGES]
+    usual = named & ~report.isin(*hot) if hot else named
+    few = min(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), pages.sparkSession.sparkContext.defaultParallelism)
+    tasks = max(few, -(-size["pages"] // TASK_PAGES), -(-size["chars"] // TASK_CHARS))
+    wide = _dealt_rows(raw.filter(usual).repartition(tasks, *group), patterns, rule_map)
+    if with_table:  # each row meets each copy of its table
+        rows = wide.withColumn("_copy", F.explode(F.sequence(F.lit(1), "n_copies"))).drop("_copy", "n_copies")
+    else:
+        wide = materialize(wide.drop("n_copies"), "text-tables")
+        rows = wide.drop("table")
+    tables = wide.filter("row_index = 0").select(*KEY, "table.*")
+    if not (hot or size["others"]):
+        return tables, rows
+    more, more_rows = by_blocks(raw.filter(~usual))
+    return tables.unionByName(more), rows.unionByName(more_rows)
+
+
+def _with_tables(tables: DataFrame, rows: DataFrame, with_table: bool) -> tuple[DataFrame, DataFrame]:
+    if not with_table:
+        return tables, rows
+    table = F.struct(*[c for c in tables.columns if c not in KEY]).alias("table")
+    return tables, rows.join(tables.select(*KEY, table), KEY)
+
+
+def _read_lines(pages: DataFrame, rule_map: Column | None) -> DataFrame:
+    """Lines of pages with what decides whether they belong to a table; ``label`` counts only where there is a number."""
+    group = ["report_id", "engine"]
+    raw = pages.select(*group, "page", F.posexplode(lines(F.col("text_raw"))).alias("pos", "raw")).select(
         *group, "page", "pos", strip(F.col("raw")).alias("line")
     )
     # One number per line that orders the lines of a report; running maxima of it are cheap.
     place = F.shiftleft(F.col("page").cast("long"), 32) + F.col("pos")
-    read = stage(
-        stage(raw, {"n_numbers": F.size(R.number_texts(F.col("line"))), "label": R.strip_numbers(F.col("line"))}),
+    with_digit = F.rlike("line", F.lit(r"(?U)\d"))
+    return stage(
+        stage(
+            raw,
+            {
+                "n_numbers": F.when(with_digit, F.size(R.number_texts(F.col("line")))).otherwise(0),
+                "label": F.when(with_digit, R.strip_numbers(F.col("line"))).otherwise(""),
+            },
+        ),
         {
             "place": place,
             "can_be_row": (F.col("n_numbers") >= 1) & (F.col("label") != ""),
             "names_statement": R.detect_statement(F.col("line"), rule_map).isNotNull(),
         },
     ).drop("pos")
-    read = materialize(read, "report-lines")
+
+
+def _is_row() -> Column:
+    return (
+        F.col("can_be_row")
+        & F.col("last_open").isNotNull()
+        & (F.col("last_break").isNull() | (F.col("last_open") > F.col("last_break")))
+    )
+
+
+def _table_sums(kept: Column) -> list[Column]:
+    return [
+        F.min("page").alias("page_start"),
+        F.max("page").alias("page_end"),
+        F.min(F.when(kept, F.col("kept_no"))).alias("first_kept"),
+        F.max(F.when(kept, F.col("n_numbers"))).alias("n_cols"),
+        F.count_if(kept).alias("n_rows"),
+        F.count_if(kept & (F.col("n_numbers") >= 2)).alias("n_two"),
+        F.count_if(kept & (F.length("label") <= 40)).alias("n_short"),
+    ]
+
+
+IS_TABLE = "n_cols >= 2 AND n_rows >= 2 AND n_two >= 2 AND n_two * 2 >= n_rows AND n_short * 2 >= n_rows"
+
+
+def _full_header(found: Column, near_line: Column, near_place: Column, rule_map: Column | None) -> Column:
+    """The lines above a table, led by the last line that names a statement where that lies at most two pages back."""
+    adds = (
+        R.detect_statement(F.array_join(found, " "), rule_map).isNull()
+        & near_line.isNotNull()
+        & (F.col("page_start") - F.shiftright(near_place, 32) <= 2)
+        & ~F.array_contains(found, near_line)
+    )
+    return F.when(F.coalesce(adds, F.lit(False)), F.concat(F.array(near_line), found)).otherwise(found)
+
+
+def _names_table(header_text: Column, by_header: Column) -> Column:
+    return R.has_period(header_text) | by_header.isNotNull() | (F.col("n_rows") >= 5)
+
+
+def _table_columns() -> dict[str, Column]:
+    """Columns of a text table from its header."""
+    return {
+        "title": F.get("header", 0),
+        "section_title": F.try_element_at("header", F.lit(-1)),
+        "statement_type": F.col("by_header"),
+        "page_start": F.col("page_start"),
+        "page_end": F.col("page_end"),
+        "currency": R.detect_currency(F.col("header_text")),
+        "units": R.detect_units(F.col("header_text")),
+        "is_consolidated": F.when(F.col("header_text") != "", F.contains("header_text", F.lit("合并"))),
+        "columns": guess_columns(F.col("header_text"), F.col("n_cols")),
+    }
+
+
+def _cells(line: Column, n_cols: Column, n_numbers: Column) -> Column:
+    blank = F.struct(F.lit(None).cast(R.DECIMAL).alias("value"), F.lit(None).cast("string").alias("raw_text")).cast(
+        R.CELL_TYPE
+    )
+    return F.concat(F.array_repeat(blank, n_cols - n_numbers), R.numbers(line))
+
+
+def _dealt_rows(dealt: DataFrame, patterns: dict[str, list[str]], rule_map: Column | None) -> DataFrame:
+    """Rows of text tables, each with its ``table`` and ``n_copies`` of that; pages are dealt by report and engine, which are not NULL.
+
+    All windows and groups stay in the tasks that hold the pages, so no line is
+    shuffled or written.  Where a statement line comes more than once at the same
+    place (a page that is there twice), each makes a copy of the table.
+    """
+    group = ["report_id", "engine"]
+    read = _read_lines(dealt, rule_map)
+    ordered = Window.partitionBy(*group).orderBy("place")
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = F.col("place")
+    states = read.withColumns(
+        {
+            "last_break": F.max(F.when(~F.col("can_be_row"), here)).over(upto),
+            "last_open": F.max(F.when(F.col("can_be_row") & (F.col("n_numbers") >= 2), here)).over(upto),
+            "last_statement": F.max(F.when(F.col("names_statement"), here)).over(upto),
+            "near_here": F.collect_list(F.when(F.col("names_statement"), F.col("line"))).over(
+                ordered.rangeBetween(Window.currentRow, Window.currentRow)
+            ),
+        }
+    ).withColumn("is_row", _is_row())
+    in_header = ~F.col("is_row") & (F.col("line") != "")
+    kept = is_row_label(F.col("label"))
+    counted = (
+        states.withColumns({"in_header": in_header, "kept": F.col("is_row") & kept})
+        .withColumns(
+            {
+                "header_no": F.sum(F.col("in_header").cast("long")).over(upto),
+                "kept_no": F.sum(F.col("kept").cast("long")).over(upto),
+                "near": F.last(F.when(F.col("names_statement") & here.isNotNull(), F.col("near_here")), ignorenulls=True).over(upto),
+            }
+        )
+        .drop("near_here", "can_be_row", "names_statement", "last_open")
+    )
+    # The last three lines that are no rows are the last ones of each remainder of their running number.
+    third = lambda r: F.last(F.when(F.col("in_header") & (F.col("header_no") % 3 == r), F.col("line")), ignorenulls=True)
+    body = counted.withColumns({f"header_{r}": third(r).over(upto) for r in range(3)}).filter("is_row")
+    row = F.struct("kept_no", "label", "page", "n_numbers", "line")
+    sums = (
+        body.groupBy(*group, "last_break")
+        .agg(
+            F.min(F.struct("place", "header_no", "header_0", "header_1", "header_2", "last_statement", "near")).alias("first"),
+            *_table_sums(F.col("kept")),
+            F.collect_list(F.when(F.col("kept"), row)).alias("rows"),
+        )
+        .filter(IS_TABLE)
+    )
+    ahead = F.array(*[F.col(f"first.header_{r}") for r in range(3)])
+    last = F.col("first.header_no")
+    found = F.filter(F.transform(F.sequence(last - 2, last), lambda i: F.get(ahead, F.pmod(i, F.lit(3)).cast("int"))), lambda l: l.isNotNull())
+    table_key = F.concat_ws(":", F.lit("t"), F.coalesce("last_break", F.lit(-1)))
+    headed = stage(
+        sums.withColumns({"near": F.col("first.near"), "near_place": F.col("first.last_statement")}),
+        {"table_key": table_key, "found": found},
+    )
+
+    def counts(near_line: Column) -> Column:
+        text = F.array_join(_full_header(F.col("found"), near_line, F.col("near_place"), rule_map), " ")
+        return F.coalesce(_names_table(text, R.detect_statement(text, rule_map)), F.lit(False))
+
+    n_copies = F.when(F.size("near") > 1, F.size(F.filter("near", counts))).otherwise(1)
+    copies = headed.withColumn("n_copies", n_copies).select("*", F.explode_outer("near").alias("near_line"))
+    texts = stage(copies, {"header": _full_header(F.col("found"), F.col("near_line"), F.col("near_place"), rule_map)}).withColumn(
+        "header_text", F.array_join("header", " ")
+    )
+    named = stage(texts, {"by_header": R.detect_statement(F.col("header_text"), rule_map)}).filter(
+        _names_table(F.col("header_text"), F.col("by_header"))
+    )
+
+    def points(statement: str) -> Column:
+        each = F.transform("rows", lambda r: statement_scores(r["label"], patterns)[statement])
+        return F.when(F.col("by_header").isNull(), F.aggregate(each, F.lit(0), lambda acc, v: acc + v))
+
+    voted = stage(named, {f"score_{s}": points(s) for s in STATEMENTS})
+    statement = F.coalesce("by_header", best_statement({s: F.col(f"score_{s}") for s in STATEMENTS}))
+    columns = _table_columns() | {"statement_type": statement}
+    tables = stage(voted, {"table": F.struct(*[c.alias(n) for n, c in columns.items()])}, [*KEY, "n_copies", "n_cols", "first_kept", "rows"])
+    return tables.select(*KEY, "n_copies", "n_cols", "first_kept", "table", F.explode("rows").alias("row")).select(
+        *KEY,
+        (F.col("row.kept_no") - F.col("first_kept")).cast("int").alias("row_index"),
+        "row.label",
+        F.col("row.page").alias("page_number"),
+        _cells(F.col("row.line"), F.col("n_cols"), F.col("row.n_numbers")).alias("cells"),
+        "table",
+        "n_copies",
+    )
+
+
+def _block_tables(pages: DataFrame, patterns: dict[str, list[str]] | DataFrame, rule_map: Column | None):
+    """``(tables, rows)`` of text tables; reports of any length are cut into blocks of pages."""
+    group = ["report_id", "engine"]
+    read = materialize(_read_lines(spread(pages), rule_map), "report-lines")
     here = F.col("place")
     states = running(
         read,
@@ -397,12 +607,7 @@ def text_tables(pages: DataFrame, patterns: dict[str, list[str]], rule_map: Colu
         PAGES_PER_BLOCK,
         keep_blocks=True,
     )
-    is_row = (
-        F.col("can_be_row")
-        & F.col("last_open").isNotNull()
-        & (F.col("last_break").isNull() | (F.col("last_open") > F.col("last_break")))
-    )
-    marked = states.withColumn("is_row", is_row)
+    marked = states.withColumn("is_row", _is_row())
     counted = running(
         marked,
         group,
@@ -422,15 +627,9 @@ def text_tables(pages: DataFrame, patterns: dict[str, list[str]], rule_map: Colu
         body.groupBy(*KEY)
         .agg(
             F.min(F.struct("place", "header_no", "last_statement")).alias("first"),
-            F.min("page").alias("page_start"),
-            F.max("page").alias("page_end"),
-            F.min(F.when(kept, F.col("kept_no"))).alias("first_kept"),
-            F.max(F.when(kept, F.col("n_numbers"))).alias("n_cols"),
-            F.count_if(kept).alias("n_rows"),
-            F.count_if(kept & (F.col("n_numbers") >= 2)).alias("n_two"),
-            F.count_if(kept & (F.length("label") <= 40)).alias("n_short"),
+            *_table_sums(kept),
         )
-        .filter("n_cols >= 2 AND n_rows >= 2 AND n_two >= 2 AND n_two * 2 >= n_rows AND n_short * 2 >= n_rows")
+        .filter(IS_TABLE)
     )
     # The header is the last three lines that are no rows, found by their running number.
     wanted = sums.select(*KEY, F.col("first.header_no").alias("upto")).select(
@@ -447,43 +646,21 @@ def text_tables(pages: DataFrame, patterns: dict[str, list[str]], rule_map: Colu
     named = counted.filter("names_statement").select(
         *group, F.col("place").alias("near_place"), F.col("line").alias("near_line")
     )
-    near_page = F.shiftright(F.col("near_place"), 32)
     found = F.coalesce(F.col("found"), F.array().cast("array<string>"))
-    adds = (
-        R.detect_statement(F.array_join(found, " "), rule_map).isNull()
-        & F.col("near_line").isNotNull()
-        & (F.col("page_start") - near_page <= 2)
-        & ~F.array_contains(found, F.col("near_line"))
-    )
+    header = _full_header(found, F.col("near_line"), F.col("near_place"), rule_map)
     tables = (
         sums.join(headers, KEY, "left")
         .withColumn("near_place", F.col("first.last_statement"))
         .join(named, [*group, "near_place"], "left")
-        .transform(lambda df: stage(df, {"header": F.when(F.coalesce(adds, F.lit(False)), F.concat(F.array(F.col("near_line")), found)).otherwise(found)}))
+        .transform(lambda df: stage(df, {"header": header}))
         .withColumn("header_text", F.array_join("header", " "))
         .transform(lambda df: stage(df, {"by_header": R.detect_statement(F.col("header_text"), rule_map)}))
-        .filter(R.has_period(F.col("header_text")) | F.col("by_header").isNotNull() | (F.col("n_rows") >= 5))
-        .select(
-            *KEY,
-            F.get("header", 0).alias("title"),
-            F.try_element_at("header", F.lit(-1)).alias("section_title"),
-            F.col("by_header").alias("statement_type"),
-            "page_start",
-            "page_end",
-            R.detect_currency(F.col("header_text")).alias("currency"),
-            R.detect_units(F.col("header_text")).alias("units"),
-            F.when(F.col("header_text") != "", F.contains("header_text", F.lit("合并"))).alias("is_consolidated"),
-            guess_columns(F.col("header_text"), F.col("n_cols")).alias("columns"),
-            "n_cols",
-            "first_kept",
-        )
+        .filter(_names_table(F.col("header_text"), F.col("by_header")))
+        .select(*KEY, *[c.alias(n) for n, c in _table_columns().items()], "n_cols", "first_kept")
     )
-    tables = materialize(tables, "text-tables")
+    tables = materialize(tables, "block-tables")
     voted = vote_by_rows(tables.filter("statement_type IS NULL"), body.filter(kept), patterns)
     tables = tables.join(voted, KEY, "left").withColumn("statement_type", F.coalesce("statement_type", "voted")).drop("voted")
-    blank = F.struct(F.lit(None).cast(R.DECIMAL).alias("value"), F.lit(None).cast("string").alias("raw_text")).cast(
-        R.CELL_TYPE
-    )
     rows = (
         body.filter(kept)
         .join(tables.select(*KEY, "n_cols", "first_kept"), KEY)
@@ -492,7 +669,7 @@ def text_tables(pages: DataFrame, patterns: dict[str, list[str]], rule_map: Colu
             (F.col("kept_no") - F.col("first_kept")).cast("int").alias("row_index"),
             "label",
             F.col("page").alias("page_number"),
-            F.concat(F.array_repeat(blank, F.col("n_cols") - F.col("n_numbers")), R.numbers(F.col("line"))).alias("cells"),
+            _cells(F.col("line"), F.col("n_cols"), F.col("n_numbers")).alias("cells"),
         )
     )
     return tables.drop("n_cols", "first_kept"), rows

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import random
 import re
 import time
+from collections import Counter
 
 from conftest import SMALL
 from pyspark.sql import functions as F
@@ -169,3 +171,31 @@ def test_dealt_tasks_hold_a_bounded_number_of_candidates(spark, monkeypatch):
     made = facts()
     assert re.findall(r"hashpartitioning\(key_hash#\d+L, (\d+)\)", plan_of(made)) == [str(-(-n // 500))]
     assert sorted(map(str, made.collect())) == few
+
+
+def test_lines_of_text_tables_are_neither_shuffled_nor_written(spark, monkeypatch):
+    monkeypatch.setattr(T, "materialize", lambda frame, purpose: 1 / 0)
+    plan = plan_of(entry.queries()["text_table_rows"](spark, SMALL))
+    assert plan.count("Exchange") == 1 and "Join" not in plan, plan
+
+
+def test_text_tables_of_whole_reports_equal_those_of_blocks(spark, monkeypatch):
+    rnd = random.Random(7)
+    kinds = ["", "标题文字", "资产负债表", "利润表 8 9", "货币资金 1 2", "存货 3", "利润 4 5 (6)", "2024年度", "100 200", "营业收入 7.5 8%"]
+    rows = [
+        (r if r < 7 else None, e, p, "\n".join(rnd.choice(kinds) for _ in range(rnd.randint(1, 9))))
+        for r in range(8) for e in ("text", None if r == 3 else "layout") for p in range(1, 150, 1 + r % 4)
+    ]
+    rows += [x for x in rows if x[0] in (1, 2) and x[2] % 3 == 0] + [(4, "text", None, "标题 2024年"), (5, "text", 1000, None)]
+    pages = spark.createDataFrame([(*x, x[3]) for x in rows], "report_id int, engine string, page int, text_raw string, text_md string")
+    read = lambda frame: Counter(map(str, frame.collect()))
+    tables, body = T._block_tables(pages, M.base_patterns(), None)
+    joined = body.join(tables, T.KEY).select(*T.KEY, "row_index", "label", "cells", "title", "columns", "statement_type", "page_end")
+    want = [read(tables), read(body), read(joined)]
+    assert len(want[0]) > 50 and max(want[0].values()) > 1 and max(want[2].values()) > max(want[1].values())
+    for hot in (T.HOT_PAGES, 60):
+        monkeypatch.setattr(T, "HOT_PAGES", hot)
+        tables, body = T.text_tables(pages, M.base_patterns())
+        wide = T.text_tables(pages, M.base_patterns(), with_table=True)[1]
+        wide = wide.select(*T.KEY, "row_index", "label", "cells", "table.title", "table.columns", "table.statement_type", "table.page_end")
+        assert [read(tables), read(body), read(wide)] == want
