@@ -18,12 +18,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from functools import reduce
-from operator import and_, or_
+from operator import add, and_, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyweave.operators.stage import materialize
+from tallyweave.operators.stage import materialize, stage
 from tallyweave.session import path_exists
 
 FACT_KEY = [
@@ -140,6 +140,47 @@ def by_key(rows: DataFrame, steps: Steps, hot_steps: Steps | None = None) -> Dat
     return steps(dealt_by_key(keyed.filter(~is_hot), size)).unionByName((hot_steps or steps)(keyed.filter(is_hot)))
 
 
+def dealing(candidates: DataFrame) -> tuple[int, list[int]]:
+    """How the keys of candidates are dealt, for operators that read the same candidates and so can share one shuffle."""
+    return key_sizes(candidates.withColumn("key_hash", F.xxhash64(*FACT_KEY)))
+
+
+def alike(columns: list[str]) -> Column:
+    """A number that is near for rows that are alike in the leading columns: a few bits of the hash of each."""
+    width = 63 // len(columns)
+    bits = [F.xxhash64(c).bitwiseAND(F.lit((1 << width) - 1)) for c in columns]
+    return reduce(add, [F.shiftleft(b, width * i) for i, b in enumerate(reversed(bits))])
+
+
+def narrow_parts(rows: DataFrame, sizes: tuple[int, list[int]], decimals: int | None = 2) -> tuple[DataFrame, DataFrame | None, Column | None]:
+    """Candidates with ``value_key`` and ``key_hash``, dealt by the latter: usual rows, rows of hot keys undealt, the test of a hot ``key_hash``.
+
+    Operators that need no more than keys, engines, values as text and candidate
+    ids shuffle the same columns here, so Spark runs one shuffle for all of them.
+    Before it a task sorts its rows so that those which have most in common
+    follow each other, where the shuffle's compression finds it.  The hash is not
+    shuffled but made again.
+    """
+    size, hot = sizes
+    words, days = ["fact_type", "currency", "unit", "consolidation_scope", "engine"], ["period_start_date", "period_end_date", "as_of_date", "metric_id"]
+    needed = [*words, "value_key", *days, "report_id", "candidate_id"]
+    made = rows.withColumn("value_key", value_key(F.col("value"), decimals))
+    made = made.select(*needed, *[c for c in made.columns if c not in needed])
+    key_hash = F.xxhash64(*FACT_KEY)
+    few = min(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.sparkSession.sparkContext.defaultParallelism)
+    tasks = max(few, -(-size // TASK_ROWS))
+
+    def dealt(part: DataFrame) -> DataFrame:
+        moved = part.sortWithinPartitions(alike([*words, *days, "value_key"])).repartition(tasks, key_hash)
+        told = {c: F.col(c) for c in ("engine", "value_key", "candidate_id")}  # so that no reader takes one of them out of the shuffle
+        return stage(moved, told, [c for c in moved.columns if c not in told]).withColumn("key_hash", key_hash)
+
+    if not hot:
+        return dealt(made), None, None
+    is_hot = key_hash.isin(*hot)
+    return dealt(made.filter(~is_hot)), made.filter(is_hot).withColumn("key_hash", key_hash), F.col("key_hash").isin(*hot)
+
+
 def value_groups(candidates: DataFrame, decimals: int | None = 2) -> DataFrame:
     """Per fact key and value key: engines, candidates, mean quality, best column, best candidate; needs ``key_hash``."""
     payload = [c for c in ("value", "audit_flag", "source_trace_id", "column_label") if c in candidates.columns]
@@ -153,9 +194,10 @@ def value_groups(candidates: DataFrame, decimals: int | None = 2) -> DataFrame:
         F.col("quality_score"),
         *payload,
     )
+    known = "value_key" in candidates.columns
     by_engine = (
         candidates.withColumns(
-            {"value_key": value_key(F.col("value"), decimals), "score": score}
+            {"value_key": F.col("value_key") if known else value_key(F.col("value"), decimals), "score": score}
         )
         .groupBy("key_hash", *FACT_KEY, "value_key", "engine")
         .agg(
@@ -178,25 +220,34 @@ def value_groups(candidates: DataFrame, decimals: int | None = 2) -> DataFrame:
 
 
 def consensus_facts(
-    candidates: DataFrame, versions: DataFrame, min_agree: int = 1, decimals: int | None = 2
+    candidates: DataFrame,
+    versions: DataFrame,
+    min_agree: int = 1,
+    decimals: int | None = 2,
+    sizes: tuple[int, list[int]] | None = None,
 ) -> DataFrame:
     """One fact per key: the value most engines agree on.
 
     Ties go to more candidates, higher mean quality, the better column, the
     larger value text.  The mean is rounded to 9 digits before it is compared,
-    as sums of doubles depend on their order.
+    as sums of doubles depend on their order.  With ``sizes`` (see
+    :func:`dealing`) the facts keep their ``key_hash`` and lie where
+    :func:`discrepancies` of the same candidates and sizes deals them.
     """
     rank = F.struct(
         "engines", "candidates", F.round("avg_quality", 9).alias("avg_quality"), "best_score", "value_key", "best"
     )
-    chosen = by_key(
-        with_engines(candidates, versions),
-        lambda rows: value_groups(rows, decimals).groupBy("key_hash", *FACT_KEY).agg(
-            F.max(rank).alias("top"),
-            F.max("engines").alias("max_agree"),
-            (F.min("engine_min") != F.max("engine_max")).alias("multi_engine"),
-        ),
+    steps = lambda rows: value_groups(rows, decimals).groupBy("key_hash", *FACT_KEY).agg(
+        F.max(rank).alias("top"),
+        F.max("engines").alias("max_agree"),
+        (F.min("engine_min") != F.max("engine_max")).alias("multi_engine"),
     )
+    rows = with_engines(candidates, versions)
+    if sizes is None:
+        chosen = by_key(rows, steps)
+    else:
+        usual, hot, _ = narrow_parts(rows, sizes, decimals)
+        chosen = steps(usual) if hot is None else steps(usual).unionByName(steps(hot))
     agree = F.col("max_agree")  # the most engines come first in the rank
     enough = agree >= min_agree
     return chosen.select(
@@ -214,6 +265,7 @@ def consensus_facts(
         .alias("resolution_method"),
         "multi_engine",
         (F.col("max_agree") >= 2).alias("agreed"),
+        *(["key_hash"] if sizes else []),
     )
 
 
@@ -569,39 +621,54 @@ def discrepancies(
     fiscal_year: int | None = None,
     period: str | None = None,
     limit: int | None = None,
+    sizes: tuple[int, list[int]] | None = None,
 ) -> DataFrame:
     """What each engine said about the fact keys whose candidates differ in value.
 
     One row per key, engine and value, with the number of candidates behind it
     and the first of them; copies of a candidate do not pile up and no key is
     gathered into one row.  A review screen passes ``limit`` (200 by default there).
+    Rows meet their facts where they were dealt; facts of :func:`consensus_facts`
+    with the same ``sizes`` lie there already and come out of the same shuffle.
     """
     rows = with_engines(candidates, versions)
     if fact_type:
         rows = rows.filter(F.col("fact_type") == fact_type)
     if fiscal_year is not None or period:
         rows = rows.filter(in_period(F.coalesce("period_end_date", "as_of_date"), fiscal_year, period))
+
     def said(rows: DataFrame) -> DataFrame:
-        return (
-            rows.withColumn("value_key", value_key(F.col("value")))
-            .groupBy("key_hash", *FACT_KEY, "engine", "value_key")
-            .agg(F.count("*").alias("n_candidates"), F.min("candidate_id").alias("first_candidate_id"))
+        return rows.groupBy("key_hash", *FACT_KEY, "engine", "value_key").agg(
+            F.count("*").alias("n_candidates"), F.min("candidate_id").alias("first_candidate_id")
         )
 
     def differing(rows: DataFrame) -> DataFrame:
         whole = Window.partitionBy("key_hash", *FACT_KEY)
         ends = said(rows).withColumns({"lo": F.min("value_key").over(whole), "hi": F.max("value_key").over(whole)})
-        return ends.filter("lo <> hi").drop("lo", "hi", "key_hash")
+        return ends.filter("lo <> hi").drop("lo", "hi")
 
     def differing_hot(rows: DataFrame) -> DataFrame:
         values = said(rows)
         keys = values.groupBy("key_hash", *FACT_KEY).agg(F.min("value_key").alias("lo"), F.max("value_key").alias("hi")).filter("lo <> hi")
-        return values.drop("key_hash").join(_prefixed(keys, "d_"), _same_key("d_"), "left_semi")
+        return values.join(_prefixed(keys, "d_"), _same_key("d_"), "left_semi")
 
-    out = by_key(rows, differing, differing_hot)
+    usual, hot, is_hot = narrow_parts(rows, sizes or dealing(rows))
     if facts is not None:
-        status = _prefixed(facts, "f_", "resolution_status", "resolution_method")
-        out = out.join(status, _same_key("f_"), "left").drop(*[f"f_{c}" for c in FACT_KEY])
+        facts = facts if "key_hash" in facts.columns else facts.withColumn("key_hash", F.xxhash64(*FACT_KEY))
+
+    def with_status(found: DataFrame, some: Column | None) -> DataFrame:
+        if facts is None:
+            return found.drop("key_hash")
+        own = facts if some is None else facts.filter(some)
+        status = _prefixed(own, "f_", "resolution_status", "resolution_method", F.col("key_hash").alias("f_key_hash"))
+        # The hash alone is the join's key, since rows lie by it; that the keys are the same is tested as a count, which Spark does not take for further join keys.
+        same = reduce(add, [F.col(c).eqNullSafe(F.col(f"f_{c}")).cast("int") for c in FACT_KEY]) == len(FACT_KEY)
+        joined = found.join(status, (F.col("key_hash") == F.col("f_key_hash")) & same, "left")
+        return joined.drop("key_hash", "f_key_hash", *[f"f_{c}" for c in FACT_KEY])
+
+    out = with_status(differing(usual), None if is_hot is None else ~is_hot)
+    if hot is not None:
+        out = out.unionByName(with_status(differing_hot(hot), is_hot))
     return out.orderBy(*FACT_KEY, "engine", "value_key").limit(limit) if limit is not None else out
 
 

@@ -199,3 +199,48 @@ def test_text_tables_of_whole_reports_equal_those_of_blocks(spark, monkeypatch):
         wide = T.text_tables(pages, M.base_patterns(), with_table=True)[1]
         wide = wide.select(*T.KEY, "row_index", "label", "cells", "table.title", "table.columns", "table.statement_type", "table.page_end")
         assert [read(tables), read(body), read(wide)] == want
+
+
+def test_discrepancies_and_facts_come_out_of_one_narrow_shuffle(spark, tmp_path):
+    found = entry.queries()["discrepancies"](spark, SMALL)
+    moved = re.findall(r"Exchange hashpartitioning\((.*?), REPARTITION_BY_NUM", plan_of(found))
+    assert len(moved) == 2 and "Exchange hashpartitioning" not in re.sub(r"Exchange hashpartitioning\((.*?), REPARTITION_BY_NUM", "", plan_of(found))
+    rows = found.collect()
+    ran = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert ran.count("ReusedExchange") >= 1 and len(rows) == len(set(rows)) > 0
+
+
+def test_discrepancies_with_null_keys_hot_keys_and_any_facts(spark, monkeypatch):
+    rnd = random.Random(3)
+    day = lambda: rnd.choice([None, "2024-12-31"])
+    word = lambda *words: rnd.choice([None, *words])
+    rows = [
+        (i % 170, word(1, 2), rnd.choice([1, 2, 3, None]), word("flow", "stock"), word(1), None, day(), day(), rnd.choice([None, 1.0, 2.0, 2.004]), word("1"), "CNY", None, None, "col_1", word(0.5))
+        for i in range(400)
+    ]
+    schema = (
+        "candidate_id long, report_id long, version_id long, fact_type string, metric_id long, period_start_date string, period_end_date string, as_of_date string, "
+        "value double, unit string, currency string, consolidation_scope string, audit_flag string, column_label string, quality_score double"
+    )
+    candidates = spark.createDataFrame(rows, schema).withColumn("value", F.col("value").cast("decimal(38,6)"))
+    versions = D.versions(spark)
+    said = {}
+    for x in rows:
+        at = (x[1], x[3], x[4], x[5], x[6], x[7], x[9], x[10], x[11])
+        engine = {1: "text", 2: "layout", 3: "version_3"}.get(x[2]) or f"candidate_{x[0]}"
+        value = "null" if x[8] is None else f"{x[8]:.2f}"
+        said.setdefault(at, {}).setdefault((engine, value), []).append(x[0])
+    agree = {at: max(len({e for e, w in v if w == value}) for _, value in v) for at, v in said.items()}
+    want = Counter(
+        (*at, *key, len(ids), min(ids), "auto", "consensus" if agree[at] > 1 else "single_engine")
+        for at, v in said.items() if len({w for _, w in v}) > 1 for key, ids in v.items()
+    )
+    read = lambda frame: Counter(map(tuple, frame.collect()))
+    for hot in (C.HOT_ROWS, 3):
+        monkeypatch.setattr(C, "HOT_ROWS", hot)
+        sizes = C.dealing(candidates)
+        assert bool(sizes[1]) == (hot == 3)
+        assert read(C.discrepancies(candidates, versions, C.consensus_facts(candidates, versions))) == want
+        assert read(C.discrepancies(candidates, versions, C.consensus_facts(candidates, versions, sizes=sizes), sizes=sizes)) == want
+        assert read(C.discrepancies(candidates, versions)) == Counter({k[:-2]: n for k, n in want.items()})
+        assert sum(read(C.discrepancies(candidates, versions, C.consensus_facts(candidates, versions).limit(0))).values()) == len(want)
