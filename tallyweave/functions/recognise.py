@@ -50,8 +50,9 @@ def contains_any(text: Column, words) -> Column:
     return hit
 
 
-def statement_by_keyword(text: Column) -> Column:
-    lowered = F.lower(text)
+def statement_by_keyword(text: Column, lowered: Column | None = None) -> Column:
+    """Statement type of the first keyword found; ``lowered`` is the text in lower case if that is there already."""
+    lowered = F.lower(text) if lowered is None else lowered
     return F.coalesce(*[F.when(contains_any(lowered, keys), F.lit(s)) for s, keys in STATEMENT_KEYWORDS.items()])
 
 
@@ -60,12 +61,13 @@ def rule_codes(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(RULE_CODE), F.lit(1)), F.lower)
 
 
-def detect_statement(text: Column, rule_map: Column | None = None) -> Column:
+def detect_statement(text: Column, rule_map: Column | None = None, lowered: Column | None = None) -> Column:
     """Statement type by keyword, else by the first rule code that ``rule_map`` knows.
 
-    ``rule_map`` is a ``map<string,string>`` column of code to statement.
+    ``rule_map`` is a ``map<string,string>`` column of code to statement.  Each
+    keyword would put the text in lower case anew, so costly loops pass it ``lowered``.
     """
-    found = statement_by_keyword(text)
+    found = statement_by_keyword(text, lowered)
     if rule_map is None:
         return found
     mapped = F.filter(F.transform(rule_codes(text), lambda c: F.try_element_at(rule_map, c)), lambda s: s.isNotNull())

@@ -430,14 +430,15 @@ def _read_lines(pages: DataFrame, rule_map: Column | None) -> DataFrame:
             {
                 "n_numbers": F.when(with_digit, F.size(R.number_texts(F.col("line")))).otherwise(0),
                 "label": F.when(with_digit, R.strip_numbers(F.col("line"))).otherwise(""),
+                "lowered": F.lower("line"),
             },
         ),
         {
             "place": place,
             "can_be_row": (F.col("n_numbers") >= 1) & (F.col("label") != ""),
-            "names_statement": R.detect_statement(F.col("line"), rule_map).isNotNull(),
+            "names_statement": R.detect_statement(F.col("line"), rule_map, F.col("lowered")).isNotNull(),
         },
-    ).drop("pos")
+    ).drop("pos", "lowered")
 
 
 def _is_row() -> Column:
@@ -463,10 +464,14 @@ def _table_sums(kept: Column) -> list[Column]:
 IS_TABLE = "n_cols >= 2 AND n_rows >= 2 AND n_two >= 2 AND n_two * 2 >= n_rows AND n_short * 2 >= n_rows"
 
 
+def _statement(text: Column, rule_map: Column | None) -> Column:
+    return let(F.lower(text), lambda lowered: R.detect_statement(text, rule_map, lowered))
+
+
 def _full_header(found: Column, near_line: Column, near_place: Column, rule_map: Column | None) -> Column:
     """The lines above a table, led by the last line that names a statement where that lies at most two pages back."""
     adds = (
-        R.detect_statement(F.array_join(found, " "), rule_map).isNull()
+        _statement(F.array_join(found, " "), rule_map).isNull()
         & near_line.isNotNull()
         & (F.col("page_start") - F.shiftright(near_place, 32) <= 2)
         & ~F.array_contains(found, near_line)
@@ -559,14 +564,14 @@ def _dealt_rows(dealt: DataFrame, patterns: dict[str, list[str]], rule_map: Colu
 
     def counts(near_line: Column) -> Column:
         text = F.array_join(_full_header(F.col("found"), near_line, F.col("near_place"), rule_map), " ")
-        return F.coalesce(_names_table(text, R.detect_statement(text, rule_map)), F.lit(False))
+        return F.coalesce(_names_table(text, _statement(text, rule_map)), F.lit(False))
 
     n_copies = F.when(F.size("near") > 1, F.size(F.filter("near", counts))).otherwise(1)
     copies = headed.withColumn("n_copies", n_copies).select("*", F.explode_outer("near").alias("near_line"))
     texts = stage(copies, {"header": _full_header(F.col("found"), F.col("near_line"), F.col("near_place"), rule_map)}).withColumn(
         "header_text", F.array_join("header", " ")
     )
-    named = stage(texts, {"by_header": R.detect_statement(F.col("header_text"), rule_map)}).filter(
+    named = stage(texts, {"by_header": _statement(F.col("header_text"), rule_map)}).filter(
         _names_table(F.col("header_text"), F.col("by_header"))
     )
 
@@ -654,7 +659,7 @@ def _block_tables(pages: DataFrame, patterns: dict[str, list[str]] | DataFrame,
         .join(named, [*group, "near_place"], "left")
         .transform(lambda df: stage(df, {"header": header}))
         .withColumn("header_text", F.array_join("header", " "))
-        .transform(lambda df: stage(df, {"by_header": R.detect_statement(F.col("header_text"), rule_map)}))
+        .transform(lambda df: stage(df, {"by_header": _statement(F.col("header_text"), rule_map)}))
         .filter(_names_table(F.col("header_text"), F.col("by_header")))
         .select(*KEY, *[c.alias(n) for n, c in _table_columns().items()], "n_cols", "first_kept")
     )
